@@ -42,7 +42,7 @@ def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
     vt = active.schema["a"].dataType
     schema = T.StructType([active.schema[c] for c in scope] + [T.StructField("v", vt)])
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key, pdf):
         pdf = pdf.sort_values(["a", "b"])
         later: dict = {}
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):

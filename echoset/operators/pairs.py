@@ -136,53 +136,81 @@ def sparse_pairs(vertices: DataFrame, scope: list[str], threshold: float, dim: i
 def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool, mode: str):
     thr = float(threshold)
 
-    def matrix(pdf: pd.DataFrame) -> np.ndarray:
+    def matrices(left: pd.DataFrame, right: pd.DataFrame):
         if sparse:
-            m = np.zeros((len(pdf), dim), dtype=np.float64)
-            for r, (ix, ww) in enumerate(zip(pdf["idx"], pdf["w"])):
-                if len(ix):
-                    m[r, np.asarray(ix, dtype=np.int64)] = np.asarray(ww, dtype=np.float64)
-            return m
-        vecs = list(pdf["vec"])
-        lens = {len(v) for v in vecs}
-        if len(lens) > 1:
+            # dense only over the buckets this block pair uses (column compression)
+            li = [np.asarray(x, dtype=np.int64) for x in left["idx"]]
+            ri = li if right is left else [np.asarray(x, dtype=np.int64) for x in right["idx"]]
+            cols = np.unique(np.concatenate(li + ri)) if (li or ri) else np.zeros(0, dtype=np.int64)
+
+            def build(ix_list, w_series):
+                m = np.zeros((len(ix_list), len(cols)), dtype=np.float64)
+                for r, (ix, ww) in enumerate(zip(ix_list, w_series)):
+                    if len(ix):
+                        m[r, np.searchsorted(cols, ix)] = np.asarray(ww, dtype=np.float64)
+                return m
+            A = build(li, left["w"])
+            return A, (A if right is left else build(ri, right["w"]))
+        lv = list(left["vec"])
+        rv = lv if right is left else list(right["vec"])
+        if len({len(v) for v in lv} | {len(v) for v in rv}) > 1:
             raise ValueError("Vectors must have the same dimensions")
-        return np.asarray(np.stack([np.asarray(v, dtype=np.float64) for v in vecs]))
+        A = np.asarray([np.asarray(v, dtype=np.float64) for v in lv])
+        return A, (A if right is left else np.asarray([np.asarray(v, dtype=np.float64) for v in rv]))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = key[-2], key[-1]
+    def one_pair(skey, lo, hi, pdf: pd.DataFrame, out: list):
         left = pdf[pdf["blk"] == lo]
         right = left if lo == hi else pdf[pdf["blk"] == hi]
-        A, B = matrix(left), matrix(right)
-        if A.shape[1] != B.shape[1]:
-            raise ValueError("Vectors must have the same dimensions")
+        if len(left) == 0 or len(right) == 0:
+            return
+        A, B = matrices(left, right)
         na = np.sqrt((A * A).sum(axis=1))
-        nb = np.sqrt((B * B).sum(axis=1))
+        nb = na if B is A else np.sqrt((B * B).sum(axis=1))
         with np.errstate(invalid="ignore", divide="ignore"):
             S = (A @ B.T) / np.outer(na, nb)
         S[(na == 0)[:, None] | (nb == 0)[None, :]] = 0.0
         pa = left["v"].to_numpy()
         pb = right["v"].to_numpy()
+        if lo == hi:
+            tri = pa[:, None] < pb[None, :]
         if mode == "max":
-            mask = pa[:, None] < pb[None, :] if lo == hi else np.ones(S.shape, dtype=bool)
-            vals = S[mask]
+            vals = S[tri] if lo == hi else S.ravel()
             vals = vals[~np.isnan(vals)]
-            best = float(vals.max()) if vals.size else None
-            out = pd.DataFrame({c: [key[i]] for i, c in enumerate(scope)})
-            out["max_sim"] = [best]
-            return out
+            if vals.size:
+                out.append((skey, None, None, float(vals.max())))
+            return
         with np.errstate(invalid="ignore"):
             keep = S >= thr  # NaN compares False: never an edge
         if lo == hi:
-            keep &= pa[:, None] < pb[None, :]
+            keep &= tri
         ii, jj = np.nonzero(keep)
-        a = pa[ii]
-        b = pb[jj]
-        out = pd.DataFrame({c: [key[k]] * len(ii) for k, c in enumerate(scope)})
-        out["a"] = np.minimum(a, b)
-        out["b"] = np.maximum(a, b)
-        out["sim"] = S[ii, jj]
-        return out
+        if len(ii):
+            a, b = pa[ii], pb[jj]
+            out.append((skey, np.minimum(a, b), np.maximum(a, b), S[ii, jj]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list = []
+        for key, part in pdf.groupby(scope + ["lo", "hi"], sort=False, dropna=False):
+            key = key if isinstance(key, tuple) else (key,)
+            one_pair(key[:-2], key[-2], key[-1], part, out)
+        cols: dict = {c: [] for c in scope}
+        if mode == "max":
+            cols["max_sim"] = []
+            for skey, _a, _b, m in out:
+                for k, c in enumerate(scope):
+                    cols[c].append(skey[k])
+                cols["max_sim"].append(m)
+            return pd.DataFrame(cols)
+        a_parts, b_parts, s_parts = [], [], []
+        for skey, a, b, sim in out:
+            for k, c in enumerate(scope):
+                cols[c].extend([skey[k]] * len(a))
+            a_parts.append(a); b_parts.append(b); s_parts.append(sim)
+        res = pd.DataFrame(cols)
+        res["a"] = np.concatenate(a_parts) if a_parts else np.zeros(0, dtype=np.int64)
+        res["b"] = np.concatenate(b_parts) if b_parts else np.zeros(0, dtype=np.int64)
+        res["sim"] = np.concatenate(s_parts) if s_parts else np.zeros(0, dtype=np.float64)
+        return res
 
     return run
 
@@ -192,11 +220,14 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
                 block_rows: int = DEFAULT_BLOCK_ROWS, mode: str = "edges") -> DataFrame:
     """Exact edges by block-matrix multiplication.
 
-    Blocks are formed inside each scope by hashing ``pos`` into
-    ``ceil(n / block_rows)`` blocks, so a scope of any size is spread over
-    many tasks; each block pair ``(lo <= hi)`` meets in one group, holding
-    about ``2 * block_rows`` vectors. With ``vector=None`` the sparse
-    ``idx``/``w`` columns are densified per block (``dim`` needed).
+    A scope of ``n`` rows is cut into ``ceil(n / block_rows)`` blocks by
+    hashing ``pos``; every block pair ``lo <= hi`` of a large scope is its own
+    group (about ``2 * block_rows`` vectors in memory, whatever the scope
+    size). Scopes that fit in one block are packed by a hash of the scope
+    into ``ceil(small_rows / block_rows)`` groups, so thousands of small
+    documents cost a few Python calls, not one each. Inside a group, each
+    scope is multiplied alone (numpy). With ``vector=None`` the sparse
+    ``idx``/``w`` columns are densified over the buckets a block pair uses.
     ``mode="max"`` returns ``scope..., max_sim`` per scope instead (J3).
     """
     sparse = vector is None
@@ -206,11 +237,21 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
         # one row per scope; the join lets AQE split a hot scope (skew join)
         v = v.join(v.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")), scope)
     else:
-        v = v.withColumn("_n", F.lit(v.count()))  # one scalar for the single global scope
+        total = v.count()  # one scalar for the single global scope
+        v = v.withColumn("_n", F.lit(total))
     nblk = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
     v = v.withColumn("blk", F.pmod(F.xxhash64(F.col("v")), nblk.cast("bigint")).cast("int"))
     v = v.withColumn("_other", F.explode(F.sequence(F.lit(0), nblk - 1)))
-    v = v.withColumn("lo", F.least("blk", "_other")).withColumn("hi", F.greatest("blk", "_other")).drop("_other", "_n")
+    v = v.withColumn("lo", F.least("blk", "_other")).withColumn("hi", F.greatest("blk", "_other"))
+    if scope:
+        n_small = (vertices.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+                   .where(F.col("n") <= block_rows).agg(F.sum("n")).first()[0] or 0)
+        packs = max(1, math.ceil(n_small / block_rows))
+        gkey = F.when(F.col("_n") <= block_rows, F.pmod(F.xxhash64(*scope), F.lit(packs))).otherwise(
+            F.lit(packs) + F.pmod(F.xxhash64(*scope, "lo", "hi"), F.lit((1 << 62) - 1)))
+    else:
+        gkey = F.xxhash64("lo", "hi")
+    v = v.withColumn("_g", gkey).drop("_other", "_n")
     vt = v.schema["v"].dataType
     scope_fields = [vertices.schema[c] for c in scope]
     if mode == "max":
@@ -218,7 +259,8 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
     else:
         schema = T.StructType(scope_fields + [
             T.StructField("a", vt), T.StructField("b", vt), T.StructField("sim", T.DoubleType())])
-    out = v.groupBy(*scope, "lo", "hi").applyInPandas(_block_job(scope, threshold, dim, sparse, mode), schema)
+    job = _block_job(scope, threshold, dim, sparse, mode)
+    out = v.groupBy("_g").applyInPandas(lambda pdf: job(pdf), schema)
     if mode == "max":
         return out.groupBy(*scope).agg(F.max("max_sim").alias("max_sim"))
     return out

@@ -56,13 +56,25 @@ def q_hash_vectors(spark, sf_dir):
         "doc_id", "semid", "bucket", F.round("weight", 9).alias("weight"))
 
 
-def q_line_pairs(spark, sf_dir):
+def _line_vertices(spark, sf_dir):
     el = line_elements(spark, sf_dir)
-    verts = encode_vertices(distinct_vertices(el, ["doc_id"], "semid", "text"), "text", "hashing", DIM)
-    e = sparse_pairs(verts, ["doc_id"], LINE_T, DIM)
+    return encode_vertices(distinct_vertices(el, ["doc_id"], "semid", "text"), "text", "hashing", DIM)
+
+
+def _line_pairs_out(e):
     return e.select("doc_id", F.col("a").alias("semid_a"), F.col("b").alias("semid_b"), _r6("sim", "similarity"))
 
 
+def q_line_pairs(spark, sf_dir):
+    """Per-document pairs of distinct passages, packed block-matrix job."""
+    return _line_pairs_out(block_pairs(_line_vertices(spark, sf_dir), ["doc_id"], LINE_T, vector=None, dim=DIM))
+
+
+def q_line_pairs_prefix(spark, sf_dir):
+    """The same pairs from the prefix-filtered inverted index."""
+    return _line_pairs_out(sparse_pairs(_line_vertices(spark, sf_dir), ["doc_id"], LINE_T, DIM))
+
+
 def line_members(spark, sf_dir, threshold=LINE_T, **kw):
     return group_items(line_elements(spark, sf_dir), ["doc_id"], "semid", threshold, **kw)
 
@@ -124,6 +136,7 @@ QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
     "line_pairs": q_line_pairs,
+    "line_pairs_prefix": q_line_pairs_prefix,
     "line_groups": q_line_groups,
     "line_group_summary": q_line_group_summary,
     "embedding_pairs": q_embedding_pairs,
@@ -173,6 +186,9 @@ ORACLES = {
     "line_pairs": O.with_clause(LINES, DEDUP_LINES, O.hashed(["doc_id"], "semid", DIM, "dverts"),
                                 O.sparse_edges(["doc_id"], LINE_T))
     + "\nSELECT doc_id, a AS semid_a, b AS semid_b, round(sim, 6) AS similarity FROM edges",
+    "line_pairs_prefix": O.with_clause(LINES, DEDUP_LINES, O.hashed(["doc_id"], "semid", DIM, "dverts"),
+                                       O.sparse_edges(["doc_id"], LINE_T))
+    + "\nSELECT doc_id, a AS semid_a, b AS semid_b, round(sim, 6) AS similarity FROM edges",
     "line_groups": _groups_sql(["doc_id"], "semid", LINE_T, [LINES])
     + "\nSELECT doc_id, leader_semid, semid, is_leader, round(sim, 6) AS similarity, text FROM members",
     "line_group_summary": _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + _summary_sql(["doc_id"], "semid"),

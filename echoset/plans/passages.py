@@ -41,9 +41,15 @@ def encode_vertices(vertices: DataFrame, content: str, encoder: str, dim: int) -
 
 def similar_edges(vertices: DataFrame, scope: list[str], threshold: float, encoder: str, dim: int,
                   strategy: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """J2 with the strategy chosen from the vector kind and the threshold."""
+    """J2 with the strategy chosen from the vector kind, scope and threshold.
+
+    ``auto``: scoped vectors (per document, per label, ...) use the packed
+    block-matrix job; hashed vectors compared across a whole corpus use the
+    prefix-filtered sparse join, whose work follows the number of similar
+    pairs instead of growing with the square of the corpus.
+    """
     if strategy == "auto":
-        strategy = "sparse" if encoder == "hashing" and threshold > 0 else "block"
+        strategy = "sparse" if encoder == "hashing" and threshold > 0 and not scope else "block"
     if strategy == "sparse":
         return sparse_pairs(vertices, scope, threshold, dim)
     if strategy == "block":
@@ -69,13 +75,28 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
         threshold = DEFAULT_THRESHOLD  # G2
     content = vector if vector is not None else text
     encoder = "precomputed" if vector is not None else "hashing"
+    import time
+
+    from pyspark import StorageLevel
+
+    clock = time.time()
     base = items.where(F.col(content).isNotNull())
     for c in scope:
         base = base.where(F.col(c).isNotNull())
+    # The items feed both the duplicate collapse and the final expansion, the
+    # vertices feed ranks, prefixes, scoring and roles: keep each computed once
+    # (memory, spilling to executor disk; lost blocks are rebuilt from lineage).
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim)
+    verts = verts.persist(StorageLevel.MEMORY_AND_DISK)
     edges = similar_edges(verts, scope, threshold, encoder, dim, strategy, block_rows)
     edges = edges.checkpoint(eager=True)  # read by every round and by the assignment
+    if stats is not None:
+        stats["persisted"] = [base, verts]
+        stats["edges_sec"] = round(time.time() - clock, 2)
     leaders = greedy_leaders(edges, scope, local_limit, stats=stats)
+    if stats is not None:
+        stats["leaders_sec"] = round(time.time() - clock, 2)
     assign = assign_members(edges, leaders, scope)
     roles = (assign.select(*scope, F.col("member").alias("pos"), "leader", "sim")
              .unionByName(assign.select(*scope, F.col("leader").alias("pos"), "leader",

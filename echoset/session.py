@@ -15,8 +15,12 @@ from pyspark.sql import SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "echoset") -> SparkSession:
     """Session for tests and the local bench (UI off, AQE on, UTC)."""
+    builder = SparkSession.builder
+    if os.environ.get("ECHOSET_EVENT_LOG"):  # profiling: stage times without the UI
+        builder = builder.config("spark.eventLog.enabled", "true").config(
+            "spark.eventLog.dir", "file://" + os.environ["ECHOSET_EVENT_LOG"])
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
