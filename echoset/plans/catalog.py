@@ -132,6 +132,66 @@ def q_conversation_groups(spark, sf_dir):
     return m.select("conv_id", "leader_turn", "turn", "is_leader", _r6("similarity"), "role")
 
 
+def q_document_outcomes(spark, sf_dir):
+    """Status and counts for every document."""
+    from echoset.operators.report import document_outcomes
+
+    _prep(spark)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    outcomes, _members = document_outcomes(lines_as_xml(docs), "p", LINE_T)
+    return outcomes.select("doc_id", "status", "message", "error", "n_texts", "n_groups", "grouped_texts",
+                           "removable_texts", "texts_minus_groups", "threshold")
+
+
+def q_page_outcomes(spark, sf_dir):
+    """P4 + O1 on raw web pages read as XML: malformed pages are ERROR rows."""
+    from echoset.operators.report import document_outcomes
+
+    _prep(spark)
+    pages = spread(read_table(spark, sf_dir, "pages")).select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml"))
+    outcomes, _ = document_outcomes(pages, "p title", LINE_T)
+    return outcomes.select("doc_id", "status", "n_texts", "n_groups")
+
+
+def q_line_max_similarity(spark, sf_dir):
+    from echoset.plans.passages import max_similarity_items
+
+    m = max_similarity_items(line_elements(spark, sf_dir), ["doc_id"], "semid")
+    return m.select("doc_id", _r6("max_similarity"))
+
+
+def q_embedding_max_similarity(spark, sf_dir):
+    from echoset.plans.passages import max_similarity_items
+
+    m = max_similarity_items(_embeddings(spark, sf_dir), ["label"], "vec_id", text=None, vector="embedding")
+    return m.select("label", _r6("max_similarity"))
+
+
+def q_embedding_pairs_lsh(spark, sf_dir):
+    """Approximate pairs (a subset of ``embedding_pairs``)."""
+    from echoset.operators.pairs import lsh_pairs
+
+    emb = _embeddings(spark, sf_dir).select("label", F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
+    e = lsh_pairs(emb, ["label"], EMB_T)
+    return e.select("label", F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), _r6("sim", "similarity"))
+
+
+def q_annotated_lines(spark, sf_dir):
+    """Each document with ``cms:semid`` on every ``<p>``."""
+    from echoset.operators.extract import annotate_documents
+
+    _prep(spark)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return annotate_documents(lines_as_xml(docs), "p").select("doc_id", "annotated_xml", "error")
+
+
+def q_line_result_documents(spark, sf_dir):
+    """S3: the reference's result shape, groups of texts per document."""
+    from echoset.operators.report import result_documents
+
+    return result_documents(line_members(spark, sf_dir), ["doc_id"], "semid")
+
+
 QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
@@ -144,6 +204,13 @@ QUERIES = {
     "embedding_groups_global": q_embedding_groups_global,
     "document_groups_global": q_document_groups_global,
     "conversation_groups": q_conversation_groups,
+    "document_outcomes": q_document_outcomes,
+    "page_outcomes": q_page_outcomes,
+    "line_max_similarity": q_line_max_similarity,
+    "embedding_max_similarity": q_embedding_max_similarity,
+    "embedding_pairs_lsh": q_embedding_pairs_lsh,
+    "annotated_lines": q_annotated_lines,
+    "line_result_documents": q_line_result_documents,
 }
 
 
@@ -203,3 +270,42 @@ ORACLES = {
     "conversation_groups": _groups_sql(["conv_id"], "turn", CONV_T, [CONV], "conv", False, ("role",))
     + "\nSELECT conv_id, leader_turn, turn, is_leader, round(sim, 6) AS similarity, role FROM members",
 }
+
+
+def _outcomes_sql() -> str:
+    from echoset.operators.report import ERR_NO_TEXT, MSG_GROUPS, MSG_NO_GROUPS, MSG_NO_TEXT
+
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    return _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + f""",
+per_doc AS (SELECT d.doc_id, count(i.semid) AS n_texts FROM documents d LEFT JOIN items i USING (doc_id) GROUP BY d.doc_id),
+grouped AS (SELECT doc_id, count(*) FILTER (WHERE is_leader) AS n_groups, count(*) AS grouped_texts FROM members GROUP BY doc_id),
+o AS (
+  SELECT p.doc_id, p.n_texts, coalesce(g.n_groups, 0) AS n_groups, coalesce(g.grouped_texts, 0) AS grouped_texts,
+         CASE WHEN p.n_texts = 0 THEN 'NO_TEXT_EXTRACTED' ELSE 'COMPLETED' END AS status
+  FROM per_doc p LEFT JOIN grouped g USING (doc_id)
+)
+SELECT doc_id, status,
+       CASE WHEN status = 'NO_TEXT_EXTRACTED' THEN {q(MSG_NO_TEXT)}
+            WHEN n_groups > 0 THEN {q(MSG_GROUPS)} ELSE {q(MSG_NO_GROUPS)} END AS message,
+       CASE WHEN status = 'NO_TEXT_EXTRACTED' THEN {q(ERR_NO_TEXT)} END AS error,
+       n_texts, n_groups, grouped_texts, grouped_texts - n_groups AS removable_texts,
+       n_texts - n_groups AS texts_minus_groups, {LINE_T} AS threshold
+FROM o"""
+
+
+ORACLES["document_outcomes"] = _outcomes_sql()
+ORACLES["line_max_similarity"] = O.with_clause(LINES, O.hashed(["doc_id"], "semid", DIM)) + """,
+pairmax AS (
+  SELECT x.doc_id, x.pos AS a, y.pos AS b, sum(x.w * y.w) AS sim
+  FROM wf x JOIN wf y ON x.doc_id = y.doc_id AND x.bucket = y.bucket AND x.pos < y.pos GROUP BY ALL
+),
+multi AS (SELECT doc_id FROM items GROUP BY doc_id HAVING count(*) >= 2)
+SELECT m.doc_id, round(coalesce(max(p.sim), 0.0), 6) AS max_similarity
+FROM multi m LEFT JOIN pairmax p USING (doc_id) GROUP BY m.doc_id"""
+ORACLES["embedding_max_similarity"] = """
+WITH vecs AS (SELECT label, vec_id AS pos, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT x.label, round(max(list_cosine_similarity(x.v, y.v)), 6) AS max_similarity
+FROM vecs x JOIN vecs y ON x.label = y.label AND x.pos < y.pos GROUP BY x.label"""
+ORACLES["line_result_documents"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + """,
+g AS (SELECT doc_id, leader_semid, list(text ORDER BY (NOT is_leader), semid) AS texts FROM members GROUP BY ALL)
+SELECT doc_id, list(texts ORDER BY leader_semid) AS similarity_groups FROM g GROUP BY doc_id"""

@@ -160,3 +160,30 @@ def number_groups(summary: DataFrame, scope: list[str], order: str) -> DataFrame
 
     w = Window.partitionBy(*scope).orderBy(f"leader_{order}")
     return summary.withColumn("group_no", F.row_number().over(w))
+
+
+def max_similarity_items(items: DataFrame, scope: list[str], order: str, text: str | None = "text",
+                         vector: str | None = None, dim: int = DEFAULT_DIM,
+                         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Highest similarity between two items of each scope (unthresholded).
+
+    Distinct contents are compared block by block (one number leaves each
+    task); copies of one content add their self-similarity. Scopes with
+    fewer than two items are absent.
+    """
+    from echoset.operators.pairs import max_similarity
+
+    content = vector if vector is not None else text
+    encoder = "precomputed" if vector is not None else "hashing"
+    verts = encode_vertices(distinct_vertices(items.where(F.col(content).isNotNull()), scope, order, content),
+                            content, encoder, dim)
+    if encoder == "hashing":
+        between = max_similarity(verts, scope, vector=None, dim=dim, block_rows=block_rows)
+    else:
+        between = max_similarity(verts, scope, vector="vector", block_rows=block_rows)
+    copies = (verts.where(F.col("copies") > 1).groupBy(*scope).agg(F.max("selfsim").alias("copy_sim")))
+    if not scope:
+        m = between.unionByName(copies.withColumnRenamed("copy_sim", "max_sim"))
+        return m.agg(F.max("max_sim").alias("max_similarity"))
+    both = between.join(copies, scope, "full")
+    return both.select(*scope, F.greatest("max_sim", "copy_sim").alias("max_similarity"))
