@@ -192,6 +192,26 @@ def q_line_result_documents(spark, sf_dir):
     return result_documents(line_members(spark, sf_dir), ["doc_id"], "semid")
 
 
+def q_streamed_document_outcomes(spark, sf_dir):
+    """O4 + O5: the documents table read as a stream (available-now trigger),
+    every micro-batch through the batch plan; returns the latest status per
+    document. Must equal ``document_outcomes``.
+    """
+    import uuid
+
+    from echoset.streaming.stream import latest_status, start_document_stream, text_table_stream
+
+    _prep(spark)
+    schema = read_table(spark, sf_dir, "documents").schema
+    src = f"{sf_dir}/documents.[p]arquet"  # a glob: the file source watches a folder pattern
+    out = f"{ensure_checkpoint_dir(spark)}/stream-out-{uuid.uuid4().hex}"
+    q = start_document_stream(text_table_stream(spark, src, schema), out, elements="p", threshold=LINE_T)
+    q.awaitTermination()
+    runs = spark.read.parquet(f"{out}/runs")
+    return latest_status(runs).select("doc_id", "status", "message", "error", "n_texts", "n_groups",
+                                      "grouped_texts", "removable_texts", "texts_minus_groups", "threshold")
+
+
 QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
@@ -211,6 +231,7 @@ QUERIES = {
     "embedding_pairs_lsh": q_embedding_pairs_lsh,
     "annotated_lines": q_annotated_lines,
     "line_result_documents": q_line_result_documents,
+    "streamed_document_outcomes": q_streamed_document_outcomes,
 }
 
 
@@ -294,6 +315,7 @@ FROM o"""
 
 
 ORACLES["document_outcomes"] = _outcomes_sql()
+ORACLES["streamed_document_outcomes"] = ORACLES["document_outcomes"]
 ORACLES["line_max_similarity"] = O.with_clause(LINES, O.hashed(["doc_id"], "semid", DIM)) + """,
 pairmax AS (
   SELECT x.doc_id, x.pos AS a, y.pos AS b, sum(x.w * y.w) AS sim
