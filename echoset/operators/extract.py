@@ -116,6 +116,9 @@ def _extract_batches(names_default: str, with_meta: bool, id_type: T.DataType):
                     rows_id.append(doc_id); rows_semid.append(None); rows_el.append(None)
                     rows_text.append(None); rows_err.append(err); rows_attr.append(None); rows_path.append(None)
                     continue
+                if not matches:  # marker row: the document exists but nothing matched (X7)
+                    rows_id.append(doc_id); rows_semid.append(None); rows_el.append(None)
+                    rows_text.append(None); rows_err.append(None); rows_attr.append(None); rows_path.append(None)
                 for sid, name, text, attrs, xp in matches:
                     rows_id.append(doc_id); rows_semid.append(sid); rows_el.append(name)
                     rows_text.append(text); rows_err.append(None); rows_attr.append(attrs); rows_path.append(xp)
@@ -161,7 +164,7 @@ def extract_elements(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_met
     parsed = parse_documents(docs, elements, with_meta)
     extra = ["attributes", "xpath"] if with_meta else []
     return (
-        parsed.where(F.col("parse_error").isNull())
+        parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
         .select("doc_id", "semid", "element", normalize_space("raw_text").alias("text"), *extra)
         .where(F.col("text") != "")
     )

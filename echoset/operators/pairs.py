@@ -133,6 +133,11 @@ def sparse_pairs(vertices: DataFrame, scope: list[str], threshold: float, dim: i
 
 # --------------------------------------------------------------------- J2b
 
+def _frame(cols: dict) -> pd.DataFrame:
+    # an empty plain list becomes a column Arrow cannot convert; an empty object Series can
+    return pd.DataFrame({c: (v if len(v) else pd.Series([], dtype=object)) for c, v in cols.items()})
+
+
 def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool, mode: str):
     thr = float(threshold)
 
@@ -200,13 +205,13 @@ def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool
                 for k, c in enumerate(scope):
                     cols[c].append(skey[k])
                 cols["max_sim"].append(m)
-            return pd.DataFrame(cols)
+            return _frame(cols)
         a_parts, b_parts, s_parts = [], [], []
         for skey, a, b, sim in out:
             for k, c in enumerate(scope):
                 cols[c].extend([skey[k]] * len(a))
             a_parts.append(a); b_parts.append(b); s_parts.append(sim)
-        res = pd.DataFrame(cols)
+        res = _frame(cols)
         res["a"] = np.concatenate(a_parts) if a_parts else np.zeros(0, dtype=np.int64)
         res["b"] = np.concatenate(b_parts) if b_parts else np.zeros(0, dtype=np.int64)
         res["sim"] = np.concatenate(s_parts) if s_parts else np.zeros(0, dtype=np.float64)

@@ -61,13 +61,9 @@ def validate_documents(docs: DataFrame, elements_col: str | None = "elements",
            .when(thr.isNotNull() & (F.isnan(thr) | (thr < 0.0) | (thr > 1.0)), F.lit(MSG_BAD_THRESHOLD))
            .when(F.col("xml").isNull(), F.lit(MSG_NO_XML))
            .when(F.trim(F.col("xml")) == "", F.lit(MSG_EMPTY_XML)))
-    out = docs
-    if has_el:
-        out = out.drop(elements_col)
-    if has_t:
-        out = out.drop(threshold_col)
-    return out.select("*", decoded.alias("elements"),
-                      F.coalesce(thr, F.lit(DEFAULT_THRESHOLD)).alias("threshold"), err.alias("error"))
+    keep = [c for c in docs.columns if c not in (elements_col, threshold_col, "elements", "threshold", "error")]
+    return docs.select(*keep, decoded.alias("elements"),
+                       F.coalesce(thr, F.lit(DEFAULT_THRESHOLD)).alias("threshold"), err.alias("error"))
 
 
 def outcome_message(status: Column, n_groups: Column) -> Column:
@@ -89,7 +85,7 @@ def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, thresho
     grouped_texts, removable_texts, texts_minus_groups, threshold``.
     """
     parsed = parse_documents(docs, elements).persist(StorageLevel.MEMORY_AND_DISK)
-    items = (parsed.where(F.col("parse_error").isNull())
+    items = (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
              .select("doc_id", "semid", normalize_space("raw_text").alias("text"))
              .where(F.col("text") != ""))
     members = group_items(items, ["doc_id"], "semid", threshold, **group_kw)

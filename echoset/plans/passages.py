@@ -23,6 +23,13 @@ from echoset.operators.pairs import (DEFAULT_BLOCK_ROWS, block_pairs, cosine, se
 from echoset.sources.documents import DEFAULT_THRESHOLD
 
 
+def vector_length_errors(items: DataFrame, scope: list[str], vector: str) -> DataFrame:
+    """``(scope..., error)`` for scopes whose vectors differ in length."""
+    by = items.groupBy(*scope).agg(F.min(F.size(vector)).alias("_lo"), F.max(F.size(vector)).alias("_hi"))
+    return by.where(F.col("_lo") != F.col("_hi")).select(
+        *scope, F.lit("Vectors must have the same dimensions").alias("error"))
+
+
 def distinct_vertices(items: DataFrame, scope: list[str], order: str, content: str) -> DataFrame:
     """R1 inside the engine: ``(scope..., content, pos, copies)``."""
     return items.groupBy(*scope, content).agg(F.min(order).alias("pos"), F.count(F.lit(1)).alias("copies"))
@@ -73,6 +80,10 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     """
     if threshold is None:
         threshold = DEFAULT_THRESHOLD  # G2
+    out_order = order
+    if order != "_ord":  # internal name, so user columns may be called pos, leader, ...
+        items = items.withColumnRenamed(order, "_ord")
+        order = "_ord"
     content = vector if vector is not None else text
     encoder = "precomputed" if vector is not None else "hashing"
     import time
@@ -83,6 +94,9 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     base = items.where(F.col(content).isNotNull())
     for c in scope:
         base = base.where(F.col(c).isNotNull())
+    if encoder == "precomputed":
+        # vectors of different lengths fail their scope (ERROR), not the job
+        base = base.join(vector_length_errors(base, scope, content), scope, "left_anti") if scope else base
     # The items feed both the duplicate collapse and the final expansion, the
     # vertices feed ranks, prefixes, scoring and roles: keep each computed once
     # (memory, spilling to executor disk; lost blocks are rebuilt from lineage).
@@ -114,8 +128,8 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     copy_of_leader = (F.col("leader") == F.col("pos")) & (F.col(order) != F.col("pos"))
     kept = joined.where((F.col("leader") != F.col("pos")) | (F.col(order) == F.col("pos")) | self_ok)
     sim = F.when(is_leader, F.lit(None).cast("double")).when(copy_of_leader, F.col("selfsim")).otherwise(F.col("sim"))
-    out_cols = [*scope, F.col("leader").alias(f"leader_{order}"), F.col(order), is_leader.alias("is_leader"),
-                sim.alias("similarity")]
+    out_cols = [*scope, F.col("leader").alias(f"leader_{out_order}"), F.col(order).alias(out_order),
+                is_leader.alias("is_leader"), sim.alias("similarity")]
     if vector is None:
         out_cols.append(F.col(content))
     out_cols += [F.col(c) for c in keep_cols]
