@@ -140,3 +140,44 @@ def save_run(df: DataFrame, path: str, run_id: str, mode: str = "append") -> Non
 def load_run(spark, path: str, run_id: str) -> DataFrame:
     """One run's rows (partition pruning on ``run_id``); absent -> empty."""
     return spark.read.parquet(path).where(F.col("run_id") == run_id)
+
+
+PREVIEW_MEMBERS = 5  # fixed value: members shown before "n more" in the reference's demo
+
+
+def group_previews(members: DataFrame, scope: list[str], order: str, n: int = PREVIEW_MEMBERS) -> DataFrame:
+    """W3 + F1: first ``n`` texts of each group (leader first, each cut to 20
+    characters plus '...') and how many more there are."""
+    from echoset.functions.text import truncate_text
+
+    lead = f"leader_{order}"
+    g = members.groupBy(*scope, lead).agg(
+        F.array_sort(F.collect_list(F.struct(F.when(F.col("is_leader"), 0).otherwise(1).alias("_r"),
+                                             F.col(order).alias("_o"), F.col("text").alias("_t")))).alias("_m"),
+        F.count(F.lit(1)).alias("size"))
+    return g.select(*scope, lead, "size",
+                    F.transform(F.slice("_m", 1, n), lambda x: truncate_text(x["_t"])).alias("preview"),
+                    F.greatest(F.col("size") - n, F.lit(0)).alias("more"))
+
+
+def multiword_flag(members: DataFrame, scope: list[str], order: str) -> DataFrame:
+    """Per group, whether every text has more than one word (filter on it
+    to drop groups holding a one-word text; off by default)."""
+    return members.groupBy(*scope, f"leader_{order}").agg(
+        F.bool_and(F.size(F.split(F.col("text"), " ")) > 1).alias("all_multiword"))
+
+
+def by_score(summary: DataFrame, order: str) -> DataFrame:
+    """Groups sorted by average similarity, highest first (a range-partitioned global sort)."""
+    return summary.orderBy(F.desc("avg_similarity"), f"leader_{order}")
+
+
+def element_ids(elements: DataFrame) -> DataFrame:
+    """A deterministic id per element, sha-256 of ``doc_id:semid``."""
+    return elements.withColumn(
+        "element_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("semid").cast("string")), 256))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Flat member (or text) rows as CSV with a header."""
+    df.write.mode("overwrite").option("header", "true").csv(path)

@@ -212,6 +212,18 @@ def q_streamed_document_outcomes(spark, sf_dir):
                                       "grouped_texts", "removable_texts", "texts_minus_groups", "threshold")
 
 
+def q_line_group_report(spark, sf_dir):
+    """Per group a 5-text preview, the remaining count and a
+    one-word flag, beside the summary scores."""
+    from echoset.operators.report import group_previews, multiword_flag
+
+    m = line_members(spark, sf_dir)
+    p = group_previews(m, ["doc_id"], "semid")
+    f = multiword_flag(m, ["doc_id"], "semid")
+    return p.join(f, ["doc_id", "leader_semid"]).select("doc_id", "leader_semid", "size", "preview", "more",
+                                                          "all_multiword")
+
+
 QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
@@ -232,6 +244,7 @@ QUERIES = {
     "annotated_lines": q_annotated_lines,
     "line_result_documents": q_line_result_documents,
     "streamed_document_outcomes": q_streamed_document_outcomes,
+    "line_group_report": q_line_group_report,
 }
 
 
@@ -331,3 +344,12 @@ FROM vecs x JOIN vecs y ON x.label = y.label AND x.pos < y.pos GROUP BY x.label"
 ORACLES["line_result_documents"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + """,
 g AS (SELECT doc_id, leader_semid, list(text ORDER BY (NOT is_leader), semid) AS texts FROM members GROUP BY ALL)
 SELECT doc_id, list(texts ORDER BY leader_semid) AS similarity_groups FROM g GROUP BY doc_id"""
+ORACLES["line_group_report"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + """,
+ordered AS (
+  SELECT doc_id, leader_semid, count(*) AS size,
+         list(CASE WHEN length(text) <= 20 THEN text ELSE substr(text, 1, 20) || '...' END
+              ORDER BY (NOT is_leader), semid) AS texts,
+         bool_and(len(string_split(text, ' ')) > 1) AS all_multiword
+  FROM members GROUP BY ALL
+)
+SELECT doc_id, leader_semid, size, texts[1:5] AS preview, greatest(size - 5, 0) AS more, all_multiword FROM ordered"""

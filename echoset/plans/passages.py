@@ -30,6 +30,9 @@ def vector_length_errors(items: DataFrame, scope: list[str], vector: str) -> Dat
         *scope, F.lit("Vectors must have the same dimensions").alias("error"))
 
 
+SPARSE_MAX_DENSITY = 0.02  # mean share of buckets per vector up to which J2c beats J2b
+
+
 def distinct_vertices(items: DataFrame, scope: list[str], order: str, content: str) -> DataFrame:
     """R1 inside the engine: ``(scope..., content, pos, copies)``."""
     return items.groupBy(*scope, content).agg(F.min(order).alias("pos"), F.count(F.lit(1)).alias("copies"))
@@ -51,12 +54,19 @@ def similar_edges(vertices: DataFrame, scope: list[str], threshold: float, encod
     """J2 with the strategy chosen from the vector kind, scope and threshold.
 
     ``auto``: scoped vectors (per document, per label, ...) use the packed
-    block-matrix job; hashed vectors compared across a whole corpus use the
-    prefix-filtered sparse join, whose work follows the number of similar
-    pairs instead of growing with the square of the corpus.
+    block-matrix job; sparse hashed vectors compared across a whole corpus use
+    the prefix-filtered join, whose work follows the number of similar pairs
+    instead of the square of the corpus. Dense-ish hashed vectors (long texts
+    in a small hashed space) go to the block job, where the prefix would hold
+    common buckets anyway.
     """
     if strategy == "auto":
-        strategy = "sparse" if encoder == "hashing" and threshold > 0 and not scope else "block"
+        strategy = "block"
+        if encoder == "hashing" and threshold > 0 and not scope:
+            # the prefix filter prunes only when vectors are sparse in the hashed
+            # space; long texts in a small space touch most buckets (one scalar)
+            density = (vertices.agg(F.avg(F.size("idx"))).first()[0] or 0.0) / dim
+            strategy = "sparse" if density <= SPARSE_MAX_DENSITY else "block"
     if strategy == "sparse":
         return sparse_pairs(vertices, scope, threshold, dim)
     if strategy == "block":
