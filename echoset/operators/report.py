@@ -147,17 +147,26 @@ PREVIEW_MEMBERS = 5  # fixed value: members shown before "n more" in the referen
 
 def group_previews(members: DataFrame, scope: list[str], order: str, n: int = PREVIEW_MEMBERS) -> DataFrame:
     """W3 + F1: first ``n`` texts of each group (leader first, each cut to 20
-    characters plus '...') and how many more there are."""
+    characters plus '...') and how many more there are.
+
+    The leader has the smallest position in its group, so the preview is the
+    ``n`` smallest positions: ``row_number() <= n``, which Spark plans as a
+    map-side group limit, so at most ``n`` rows per group and map task reach
+    the shuffle however large a group is. Sizes come from a partial count.
+    """
+    from pyspark.sql import Window
+
     from echoset.functions.text import truncate_text
 
     lead = f"leader_{order}"
-    g = members.groupBy(*scope, lead).agg(
-        F.array_sort(F.collect_list(F.struct(F.when(F.col("is_leader"), 0).otherwise(1).alias("_r"),
-                                             F.col(order).alias("_o"), F.col("text").alias("_t")))).alias("_m"),
-        F.count(F.lit(1)).alias("size"))
-    return g.select(*scope, lead, "size",
-                    F.transform(F.slice("_m", 1, n), lambda x: truncate_text(x["_t"])).alias("preview"),
-                    F.greatest(F.col("size") - n, F.lit(0)).alias("more"))
+    rn = F.row_number().over(Window.partitionBy(*scope, lead).orderBy(order))
+    top = members.select(*scope, lead, order, "text", rn.alias("_rn")).where(F.col("_rn") <= n)
+    first = top.groupBy(*scope, lead).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_rn"), truncate_text("text").alias("_t")))).alias("_p"))
+    sizes = members.groupBy(*scope, lead).agg(F.count(F.lit(1)).alias("size"))
+    return first.join(sizes, [*scope, lead]).select(
+        *scope, lead, "size", F.transform("_p", lambda x: x["_t"]).alias("preview"),
+        F.greatest(F.col("size") - n, F.lit(0)).alias("more"))
 
 
 def multiword_flag(members: DataFrame, scope: list[str], order: str) -> DataFrame:

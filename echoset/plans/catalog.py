@@ -57,8 +57,12 @@ def q_hash_vectors(spark, sf_dir):
 
 
 def _line_vertices(spark, sf_dir):
+    from pyspark import StorageLevel
+
     el = line_elements(spark, sf_dir)
-    return encode_vertices(distinct_vertices(el, ["doc_id"], "semid", "text"), "text", "hashing", DIM)
+    # read by the block sizing step and by the pair job: computed once
+    return encode_vertices(distinct_vertices(el, ["doc_id"], "semid", "text"), "text", "hashing", DIM).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 def _line_pairs_out(e):
@@ -102,7 +106,7 @@ def _embeddings(spark, sf_dir):
 def q_embedding_pairs(spark, sf_dir):
     emb = _embeddings(spark, sf_dir)
     verts = encode_vertices(distinct_vertices(emb, ["label"], "vec_id", "embedding"), "embedding", "precomputed", 0)
-    e = block_pairs(verts, ["label"], EMB_T, vector="vector")
+    e = block_pairs(verts.persist(), ["label"], EMB_T, vector="vector")
     return e.select("label", F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), _r6("sim", "similarity"))
 
 
@@ -262,7 +266,7 @@ SELECT *, round(size / max(size) OVER (PARTITION BY {s}), 6) AS relative_size FR
   SELECT {s}, leader_{order}, count(*) AS size,
          round(avg(sim), 6) AS avg_similarity, round(min(sim), 6) AS min_similarity,
          round(max(sim), 6) AS max_similarity, round(var_pop(sim), 6) AS var_similarity,
-         round(quantile_cont(sim, 0.75) - quantile_cont(sim, 0.25), 6) AS iqr_similarity
+         round(quantile_disc(sim, 0.75) - quantile_disc(sim, 0.25), 6) AS iqr_similarity
   FROM members GROUP BY {s}, leader_{order})"""
 
 

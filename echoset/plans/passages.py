@@ -30,6 +30,7 @@ def vector_length_errors(items: DataFrame, scope: list[str], vector: str) -> Dat
         *scope, F.lit("Vectors must have the same dimensions").alias("error"))
 
 
+IQR_ACCURACY = 10_000
 SPARSE_MAX_DENSITY = 0.02  # mean share of buckets per vector up to which J2c beats J2b
 
 
@@ -161,7 +162,9 @@ def group_summary(members: DataFrame, scope: list[str], order: str, threshold: f
         F.min("similarity").alias("min_similarity"),
         F.max("similarity").alias("max_similarity"),
         F.var_pop("similarity").alias("var_similarity"),
-        (F.percentile("similarity", 0.75) - F.percentile("similarity", 0.25)).alias("iqr_similarity"),
+        # bounded-memory quantile sketch (exact while a group has fewer values than its accuracy)
+        (F.percentile_approx("similarity", 0.75, IQR_ACCURACY)
+         - F.percentile_approx("similarity", 0.25, IQR_ACCURACY)).alias("iqr_similarity"),
     )
     if scope:
         largest = g.groupBy(*scope).agg(F.max("size").alias("_largest"))
@@ -199,8 +202,10 @@ def max_similarity_items(items: DataFrame, scope: list[str], order: str, text: s
 
     content = vector if vector is not None else text
     encoder = "precomputed" if vector is not None else "hashing"
+    from pyspark import StorageLevel
+
     verts = encode_vertices(distinct_vertices(items.where(F.col(content).isNotNull()), scope, order, content),
-                            content, encoder, dim)
+                            content, encoder, dim).persist(StorageLevel.MEMORY_AND_DISK)
     if encoder == "hashing":
         between = max_similarity(verts, scope, vector=None, dim=dim, block_rows=block_rows)
     else:
