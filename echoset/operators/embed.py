@@ -72,10 +72,28 @@ def hashing_vector(text: Column, dim: int = DEFAULT_DIM, buckets: Column | None
 
 
 def with_hashing_vectors(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
-    """Adds ``idx`` and ``w`` (T1, T8, T10: each row is embedded where it is)."""
+    """Adds ``idx`` and ``w`` (T1, T8, T10: each row is embedded where it is).
+
+    Staged projections: every intermediate array is read more than once by
+    the next step, so the optimizer keeps it as a computed column instead of
+    inlining (and re-evaluating) its expression at each use.
+    """
+    b = F.col("_b")
+    n = F.size(b)
     staged = df.withColumn("_b", sorted_buckets(F.col(text_col), dim))
-    v = hashing_vector(F.col(text_col), dim, buckets=F.col("_b"))
-    return staged.withColumn("_v", v).select(*df.columns, F.col("_v.idx").alias("idx"), F.col("_v.w").alias("w"))
+    prev = F.concat(F.array(F.lit(-1)), F.slice(b, 1, F.greatest(n - 1, F.lit(0))))
+    staged = staged.withColumn("_runs", F.filter(
+        F.arrays_zip(b.alias("k"), prev.alias("p"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("i")),
+        lambda r: r["k"] != r["p"])).withColumn("_n", n)
+    staged = staged.select(*df.columns, "_n", F.transform("_runs", lambda r: r["k"]).alias("idx"),
+                           F.transform("_runs", lambda r: r["i"]).alias("_starts"))
+    starts = F.col("_starts")
+    nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.col("_n") + 1))
+    staged = staged.select(*df.columns, "idx", F.zip_with(nexts, starts, lambda x, y: x - y).alias("_counts"))
+    counts = F.col("_counts")
+    norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c * c).cast("double"))
+    w = F.zip_with(counts, F.array_repeat(norm, F.size(counts)), lambda c, z: c.cast("double") / z)
+    return staged.select(*df.columns, "idx", w.alias("w"))
 
 
 def explode_sparse(df: DataFrame, keys: list[str]) -> DataFrame:
