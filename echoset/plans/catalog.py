@@ -357,3 +357,17 @@ ordered AS (
   FROM members GROUP BY ALL
 )
 SELECT doc_id, leader_semid, size, texts[1:5] AS preview, greatest(size - 5, 0) AS more, all_multiword FROM ordered"""
+ORACLES["annotated_lines"] = r"""
+WITH raw_lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k
+  FROM documents
+)
+SELECT doc_id,
+       '<doc>' || string_agg(
+         CASE WHEN line = '' THEN '<p cms:semid="' || k || '"/>'
+              ELSE '<p cms:semid="' || k || '">'
+                   || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END,
+         '' ORDER BY k) || '</doc>' AS annotated_xml,
+       CAST(NULL AS VARCHAR) AS error
+FROM raw_lines GROUP BY doc_id"""
