@@ -38,7 +38,7 @@ DEFAULT_LOCAL_LIMIT = 2_000_000
 
 
 def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
-    """Sequential greedy walk on the remaining subgraph of each scope."""
+    """Sequential greedy walk on the remaining subgraph of each scope; returns its members."""
     vt = active.schema["a"].dataType
     schema = T.StructType([active.schema[c] for c in scope] + [T.StructField("v", vt)])
 
@@ -48,14 +48,13 @@ def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
             later.setdefault(a, []).append(b)
         covered: set = set()
-        leaders = []
         for v in sorted(set(later) | set(pdf["b"].tolist())):
             if v in covered:
                 continue
-            leaders.append(v)
-            covered.update(later.get(v, ()))
-        out = pd.DataFrame({c: [key[i]] * len(leaders) for i, c in enumerate(scope)})
-        out["v"] = pd.Series(leaders, dtype=pdf["a"].dtype)
+            covered.update(later.get(v, ()))  # v leads: its later neighbours are members
+        members = sorted(covered)
+        out = pd.DataFrame({c: pd.Series([key[i]] * len(members), dtype=object) for i, c in enumerate(scope)})
+        out["v"] = pd.Series(members, dtype=pdf["a"].dtype)
         return out
 
     if scope:
@@ -68,40 +67,46 @@ def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAUL
                    max_rounds: int = 10_000, stats: dict | None = None) -> DataFrame:
     """Leaders ``(scope..., v)`` among vertices that have at least one edge.
 
-    Vertices without edges lead groups of one, which are never reported.
+    Rounds record *members*; every vertex of the graph is either a member or
+    a leader, so leaders are the vertices that never became members. (A
+    vertex can turn leader by isolation — all its remaining edges vanish when
+    its later neighbours join other leaders — and must still count, since it
+    may be the smallest leader adjacent to one of them.) Vertices without
+    edges lead groups of one, which are never reported.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     active = edges.select(*scope, "a", "b").checkpoint(eager=True)
-    found: list[DataFrame] = []
+    vertices = (active.select(*scope, F.col("a").alias("v"))
+                .unionByName(active.select(*scope, F.col("b").alias("v"))).distinct())
+    members: list[DataFrame] = []
     rounds = 0
     while True:
         n = active.count()
         if n == 0:
             break
         if n <= local_limit or rounds >= max_rounds:
-            found.append(_finish_locally(active, scope).checkpoint(eager=True))
+            members.append(_finish_locally(active, scope).checkpoint(eager=True))
             break
         rounds += 1
         starts = active.select(*scope, F.col("a").alias("v"))
         blocked = active.select(*scope, F.col("b").alias("v"))
         new_leaders = starts.join(blocked, scope + ["v"], "left_anti").distinct().checkpoint(eager=True)
         new_members = (active.join(new_leaders.withColumnRenamed("v", "a"), scope + ["a"], "left_semi")
-                       .select(*scope, F.col("b").alias("v")))
+                       .select(*scope, F.col("b").alias("v")).distinct().checkpoint(eager=True))
         decided = new_leaders.unionByName(new_members)
         active = (active.join(decided.withColumnRenamed("v", "a"), scope + ["a"], "left_anti")
                   .join(decided.withColumnRenamed("v", "b"), scope + ["b"], "left_anti")
                   .checkpoint(eager=True))
-        found.append(new_leaders)
+        members.append(new_members)
     if stats is not None:
         stats["rounds"] = rounds
-    if not found:
-        schema = T.StructType([edges.schema[c] for c in scope] + [T.StructField("v", edges.schema["a"].dataType)])
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    if not members:
+        return vertices
+    taken = members[0]
+    for m in members[1:]:
+        taken = taken.unionByName(m)
+    return vertices.join(taken, scope + ["v"], "left_anti")
 
 
 def assign_members(edges: DataFrame, leaders: DataFrame, scope: list[str]) -> DataFrame:

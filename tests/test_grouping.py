@@ -104,3 +104,40 @@ def test_random_invariants(spark, seed):
         assert all(cos(vecs[leader], vecs[m]) >= t for m in g)
         assert not members & set(g)
         members |= set(g)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pure_rounds_equal_walk(spark, seed):
+    # low-dimensional vectors: dense neighbourhoods, several rounds, vertices
+    # that turn leader only because all their remaining edges disappear
+    rng = np.random.default_rng(100 + seed)
+    vecs = rng.normal(size=(90, 3)).tolist()
+    for t in (0.6, 0.85):
+        stats = {}
+        assert run_groups(spark, vecs, t, local_limit=0, stats=stats) == walk(vecs, t)
+        assert stats["rounds"] >= 1
+
+
+def test_rounds_on_real_embeddings(spark):
+    import os
+
+    from echoset.operators.grouping import greedy_leaders
+    from echoset.operators.pairs import block_pairs
+    from echoset.plans.passages import distinct_vertices, encode_vertices
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver tables not present")
+    emb = spark.read.parquet(path)
+    v = encode_vertices(distinct_vertices(emb, [], "vec_id", "embedding"), "embedding", "precomputed", 0)
+    e = block_pairs(v, [], 0.3, vector="vector").checkpoint(eager=True)
+    edges = [(r.a, r.b) for r in e.collect()]
+    later = {}
+    for a, b in edges:
+        later.setdefault(a, set()).add(b)
+    covered, leaders = set(), set()
+    for x in sorted({x for ab in edges for x in ab}):
+        if x not in covered:
+            leaders.add(x)
+            covered |= later.get(x, set())
+    assert {r.v for r in greedy_leaders(e, [], 0).collect()} == leaders
