@@ -64,7 +64,7 @@ def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAULT_LOCAL_LIMIT,
-                   max_rounds: int = 10_000, stats: dict | None = None) -> DataFrame:
+                   max_rounds: int | None = None, stats: dict | None = None) -> DataFrame:
     """Leaders ``(scope..., v)`` among vertices that have at least one edge.
 
     Rounds record *members*; every vertex of the graph is either a member or
@@ -85,9 +85,11 @@ def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAUL
         n = active.count()
         if n == 0:
             break
-        if n <= local_limit or rounds >= max_rounds:
+        if n <= local_limit:  # the remainder is bounded: finish it per scope
             members.append(_finish_locally(active, scope).checkpoint(eager=True))
             break
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"greedy grouping: {n} active edges left after {rounds} rounds")
         rounds += 1
         starts = active.select(*scope, F.col("a").alias("v"))
         blocked = active.select(*scope, F.col("b").alias("v"))

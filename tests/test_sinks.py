@@ -38,3 +38,14 @@ def test_numbering_score_order_ids_csv(spark, tmp_path):
     write_csv(m.select("doc_id", "leader_semid", "semid", "similarity", "text"), out)
     back = spark.read.option("header", "true").csv(out)
     assert back.count() == m.count() and "leader_semid" in back.columns
+
+
+def test_read_xml_files_then_extract(spark, tmp_path):
+    from echoset.operators.extract import extract_elements
+    from echoset.sources.documents import read_xml_files
+
+    (tmp_path / "a.xml").write_text("<doc>\n<p>first\nline</p>\n<p>second</p>\n</doc>\n")
+    (tmp_path / "b.xml").write_text("<doc><title>only title</title></doc>")
+    docs = read_xml_files(spark, str(tmp_path / "*.xml"))
+    got = sorted((r.doc_id.rsplit("/", 1)[-1], r.semid, r.text) for r in extract_elements(docs, "p title").collect())
+    assert got == [("a.xml", 1, "first line"), ("a.xml", 2, "second"), ("b.xml", 1, "only title")]
