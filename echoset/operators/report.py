@@ -190,3 +190,41 @@ def element_ids(elements: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str) -> None:
     """Flat member (or text) rows as CSV with a header."""
     df.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def run_requests(requests: DataFrame, **group_kw) -> tuple[DataFrame, DataFrame]:
+    """The reference's request, as a table: ``(doc_id, xml, elements?, threshold?)``.
+
+    Every row is validated (P1-P3, P6, P7); invalid rows become ``ERROR``
+    outcomes carrying the validation message; valid rows are parsed with their
+    own element list and grouped with their own threshold, all in one job.
+    Returns ``(outcomes, members)`` like :func:`document_outcomes`.
+    """
+    v = validate_documents(requests).persist(StorageLevel.MEMORY_AND_DISK)
+    good = v.where(F.col("error").isNull()).select("doc_id", "xml", "elements", "threshold")
+    parsed = parse_documents(good.select("doc_id", "xml", "elements")).persist(StorageLevel.MEMORY_AND_DISK)
+    items = (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
+             .select("doc_id", "semid", normalize_space("raw_text").alias("text"))
+             .where(F.col("text") != "")
+             .join(good.select("doc_id", "threshold"), "doc_id"))
+    members = group_items(items, ["doc_id"], "semid", threshold_col="threshold", **group_kw)
+    per_doc = parsed.groupBy("doc_id").agg(
+        F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("n_texts"),
+        F.max("parse_error").alias("parse_error"))
+    grouped = members.groupBy("doc_id").agg(
+        F.count(F.when(F.col("is_leader"), 1)).alias("n_groups"), F.count(F.lit(1)).alias("grouped_texts"))
+    o = (per_doc.join(grouped, "doc_id", "left").fillna(0, ["n_groups", "grouped_texts"])
+         .join(good.select("doc_id", "threshold"), "doc_id"))
+    status = (F.when(F.col("parse_error").isNotNull(), F.lit("ERROR"))
+              .when(F.col("n_texts") == 0, F.lit("NO_TEXT_EXTRACTED")).otherwise(F.lit("COMPLETED")))
+    o = o.withColumn("status", status).select(
+        "doc_id", "status", outcome_message(F.col("status"), F.col("n_groups")).alias("message"),
+        F.when(F.col("status") == "NO_TEXT_EXTRACTED", F.lit(ERR_NO_TEXT)).otherwise(F.col("parse_error")).alias("error"),
+        "n_texts", "n_groups", "grouped_texts",
+        (F.col("grouped_texts") - F.col("n_groups")).alias("removable_texts"),
+        (F.col("n_texts") - F.col("n_groups")).alias("texts_minus_groups"), "threshold")
+    rejected = v.where(F.col("error").isNotNull()).select(
+        "doc_id", F.lit("ERROR").alias("status"), F.lit(MSG_ERROR).alias("message"), "error",
+        *[F.lit(0).cast("bigint").alias(c) for c in ("n_texts", "n_groups", "grouped_texts", "removable_texts",
+                                                      "texts_minus_groups")], "threshold")
+    return o.unionByName(rejected), members

@@ -80,14 +80,17 @@ def similar_edges(vertices: DataFrame, scope: list[str], threshold: float, encod
 def group_items(items: DataFrame, scope: list[str], order: str, threshold: float = DEFAULT_THRESHOLD,
                 text: str | None = "text", vector: str | None = None, dim: int = DEFAULT_DIM,
                 strategy: str = "auto", local_limit: int = DEFAULT_LOCAL_LIMIT,
-                block_rows: int = DEFAULT_BLOCK_ROWS, stats: dict | None = None) -> DataFrame:
+                block_rows: int = DEFAULT_BLOCK_ROWS, stats: dict | None = None,
+                threshold_col: str | None = None) -> DataFrame:
     """G1-G5 end to end. Returns one row per grouped item::
 
         scope..., leader_<order>, <order>, is_leader, similarity[, text]
 
     ``similarity`` is the member's cosine to its leader (R3), null for the
     leader. Groups of one are never reported (G3); empty input gives an empty
-    result (G5).
+    result (G5). With ``threshold_col`` each scope uses its own threshold (a
+    per-request parameter): pairs are computed once at the smallest one and
+    each scope keeps the edges that reach its own.
     """
     if threshold is None:
         threshold = DEFAULT_THRESHOLD  # G2
@@ -114,7 +117,15 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim)
     verts = verts.persist(StorageLevel.MEMORY_AND_DISK)
-    edges = similar_edges(verts, scope, threshold, encoder, dim, strategy, block_rows)
+    pair_t = threshold
+    if threshold_col is not None:
+        scope_t = base.groupBy(*scope).agg(F.min(threshold_col).cast("double").alias("_t"))
+        pair_t = scope_t.agg(F.min("_t")).first()[0]
+        if pair_t is None:
+            pair_t = threshold
+    edges = similar_edges(verts, scope, pair_t, encoder, dim, strategy, block_rows)
+    if threshold_col is not None:
+        edges = edges.join(scope_t, scope).where(F.col("sim") >= F.col("_t")).drop("_t")
     edges = edges.checkpoint(eager=True)  # read by every round and by the assignment
     if stats is not None:
         stats["persisted"] = [base, verts]
@@ -126,18 +137,21 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     roles = (assign.select(*scope, F.col("member").alias("pos"), "leader", "sim")
              .unionByName(assign.select(*scope, F.col("leader").alias("pos"), "leader",
                                         F.lit(None).cast("double").alias("sim")).distinct()))
-    thr = F.lit(float(threshold))
+    thr = F.col("_t") if threshold_col is not None else F.lit(float(threshold))
     self_ok = (F.col("selfsim") >= thr) & ~F.isnan("selfsim")
     vflags = verts.select(*scope, content, "pos", "copies", "selfsim")
+    if threshold_col is not None:
+        vflags = vflags.join(scope_t, scope)
     roles = (vflags.join(roles, scope + ["pos"], "left")
              .where(F.col("leader").isNotNull() | ((F.col("copies") > 1) & self_ok))
              .withColumn("leader", F.coalesce("leader", "pos"))
-             .select(*scope, content, "pos", "leader", "sim", "selfsim"))
-    keep_cols = [c for c in items.columns if c not in scope and c not in (order, content)]
+             .withColumn("_self_ok", self_ok)
+             .select(*scope, content, "pos", "leader", "sim", "selfsim", "_self_ok"))
+    keep_cols = [c for c in items.columns if c not in scope and c not in (order, content, threshold_col)]
     joined = base.select(*scope, order, content, *keep_cols).join(roles, scope + [content])
     is_leader = (F.col("leader") == F.col("pos")) & (F.col(order) == F.col("pos"))
     copy_of_leader = (F.col("leader") == F.col("pos")) & (F.col(order) != F.col("pos"))
-    kept = joined.where((F.col("leader") != F.col("pos")) | (F.col(order) == F.col("pos")) | self_ok)
+    kept = joined.where((F.col("leader") != F.col("pos")) | (F.col(order) == F.col("pos")) | F.col("_self_ok"))
     sim = F.when(is_leader, F.lit(None).cast("double")).when(copy_of_leader, F.col("selfsim")).otherwise(F.col("sim"))
     out_cols = [*scope, F.col("leader").alias(f"leader_{out_order}"), F.col(order).alias(out_order),
                 is_leader.alias("is_leader"), sim.alias("similarity")]

@@ -79,3 +79,20 @@ def test_entry_contract(spark):
     assert df.columns == ["doc_id", "leader_semid", "semid", "is_leader", "similarity", "text"]
     assert df.count() >= 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_run_requests_per_row_parameters(spark):
+    from echoset.operators.report import run_requests
+
+    xml = ("<doc><title>red apple pie</title><p>red apple pie recipe</p>"
+           "<p>red apple tart</p><p>other words</p></doc>")
+    rows = [("strict", xml, "p title", 0.99), ("loose", xml, "p title", 0.5), ("paras", xml, "p", 0.5),
+            ("badel", xml, "p.x", 0.5), ("badt", xml, "p", 2.0)]
+    req = spark.createDataFrame(rows, "doc_id string, xml string, elements string, threshold double")
+    out, members = run_requests(req)
+    o = {r.doc_id: r for r in out.collect()}
+    assert o["strict"].n_groups == 0 and o["strict"].n_texts == 4
+    assert o["loose"].n_groups == 1 and o["loose"].grouped_texts == 3
+    assert o["paras"].n_texts == 3 and o["paras"].n_groups == 1 and o["paras"].grouped_texts == 2
+    assert o["badel"].status == "ERROR" and o["badel"].error == MSG_BAD_ELEMENTS
+    assert o["badt"].status == "ERROR" and o["badt"].error == MSG_BAD_THRESHOLD
