@@ -75,3 +75,52 @@ def latest_status(runs: DataFrame, as_of=None, ttl_minutes: int = RUN_TTL_MINUTE
     latest = runs.groupBy("doc_id").agg(
         F.max_by(F.struct(*cols), F.struct("created_at", "batch_id")).alias("_r"))
     return latest.select("doc_id", "_r.*")
+
+
+def latest_status_stateful(runs: DataFrame, ttl_minutes: int = RUN_TTL_MINUTES) -> DataFrame:
+    """O5 on a stream of outcome rows: the newest status per document, kept in
+    state for ``ttl_minutes`` after its last update (processing time).
+
+    ``runs`` is a streaming DataFrame with ``doc_id, status, n_groups,
+    created_at``. Each update emits the document's current status; when a
+    document's time-to-live passes without news its state is dropped and one
+    final row with ``expired = true`` is emitted. State per document is one
+    small tuple, spread over the cluster by ``doc_id``.
+
+    Timeouts fire in no-data micro-batches, so a continuously triggered query
+    expires documents on time; a run-to-completion (``availableNow``) query
+    must set ``spark.sql.streaming.noDataMicroBatches.enabled=false``, or it
+    keeps servicing the pending timeouts instead of finishing.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    id_type = runs.schema["doc_id"].dataType.simpleString()
+    out_schema = f"doc_id {id_type}, status string, n_groups bigint, created_at timestamp, expired boolean"
+    state_schema = "status string, n_groups bigint, created_at timestamp"
+    ttl_ms = int(ttl_minutes) * 60 * 1000
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            status, n_groups, created = state.get
+            state.remove()
+            yield pd.DataFrame({"doc_id": [key[0]], "status": [status], "n_groups": [n_groups],
+                                "created_at": [created], "expired": [True]})
+            return
+        best = state.get if state.exists else None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            row = pdf.loc[pdf["created_at"].idxmax()]
+            if best is None or row["created_at"] >= pd.Timestamp(best[2]):
+                best = (row["status"], int(row["n_groups"]), row["created_at"].to_pydatetime())
+        if best is None:
+            return
+        state.update(best)
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"doc_id": [key[0]], "status": [best[0]], "n_groups": [best[1]],
+                            "created_at": [best[2]], "expired": [False]})
+
+    return (runs.select("doc_id", "status", F.col("n_groups").cast("bigint").alias("n_groups"), "created_at")
+            .groupBy("doc_id")
+            .applyInPandasWithState(step, out_schema, state_schema, "update", GroupStateTimeout.ProcessingTimeTimeout))

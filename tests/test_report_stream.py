@@ -96,3 +96,26 @@ def test_run_requests_per_row_parameters(spark):
     assert o["paras"].n_texts == 3 and o["paras"].n_groups == 1 and o["paras"].grouped_texts == 2
     assert o["badel"].status == "ERROR" and o["badel"].error == MSG_BAD_ELEMENTS
     assert o["badt"].status == "ERROR" and o["badt"].error == MSG_BAD_THRESHOLD
+
+
+def test_latest_status_stateful(spark, tmp_path):
+    import datetime as dt
+
+    from echoset.streaming.stream import latest_status_stateful
+
+    src = tmp_path / "runs"
+    schema = "doc_id string, status string, n_groups bigint, created_at timestamp"
+    t0 = dt.datetime(2026, 1, 1, 12, 0)
+    first = [("a", "PROCESSING", 0, t0), ("b", "PROCESSING", 0, t0), ("a", "COMPLETED", 2, t0 + dt.timedelta(seconds=5))]
+    spark.createDataFrame(first, schema).write.parquet(str(src / "batch1"))
+    stream = spark.readStream.schema(schema).parquet(str(src / "batch1"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        q = (latest_status_stateful(stream).writeStream.format("memory").queryName("latest_status_t")
+             .outputMode("update").option("checkpointLocation", str(tmp_path / "ck"))
+             .trigger(availableNow=True).start())
+        assert q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    got = {r.doc_id: (r.status, r.n_groups, r.expired) for r in spark.table("latest_status_t").collect()}
+    assert got == {"a": ("COMPLETED", 2, False), "b": ("PROCESSING", 0, False)}
