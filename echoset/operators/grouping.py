@@ -38,9 +38,11 @@ DEFAULT_LOCAL_LIMIT = 2_000_000
 
 
 def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
-    """Sequential greedy walk on the remaining subgraph of each scope; returns its members."""
+    """Sequential greedy walk on the remaining subgraph of each scope:
+    ``(scope..., v, is_leader)`` for every vertex of that subgraph."""
     vt = active.schema["a"].dataType
-    schema = T.StructType([active.schema[c] for c in scope] + [T.StructField("v", vt)])
+    schema = T.StructType([active.schema[c] for c in scope] + [
+        T.StructField("v", vt), T.StructField("is_leader", T.BooleanType())])
 
     def walk(key, pdf):
         pdf = pdf.sort_values(["a", "b"])
@@ -48,13 +50,16 @@ def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
             later.setdefault(a, []).append(b)
         covered: set = set()
+        verts, flags = [], []
         for v in sorted(set(later) | set(pdf["b"].tolist())):
-            if v in covered:
-                continue
-            covered.update(later.get(v, ()))  # v leads: its later neighbours are members
-        members = sorted(covered)
-        out = pd.DataFrame({c: pd.Series([key[i]] * len(members), dtype=object) for i, c in enumerate(scope)})
-        out["v"] = pd.Series(members, dtype=pdf["a"].dtype)
+            lead = v not in covered
+            if lead:
+                covered.update(later.get(v, ()))  # v leads: its later neighbours are members
+            verts.append(v)
+            flags.append(lead)
+        out = pd.DataFrame({c: pd.Series([key[i]] * len(verts), dtype=object) for i, c in enumerate(scope)})
+        out["v"] = pd.Series(verts, dtype=pdf["a"].dtype)
+        out["is_leader"] = pd.Series(flags, dtype=bool)
         return out
 
     if scope:
@@ -86,7 +91,12 @@ def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAUL
         if n == 0:
             break
         if n <= local_limit:  # the remainder is bounded: finish it per scope
-            members.append(_finish_locally(active, scope).checkpoint(eager=True))
+            walked = _finish_locally(active, scope).checkpoint(eager=True)
+            if rounds == 0:  # the walk saw the whole graph: its leaders are final
+                if stats is not None:
+                    stats["rounds"] = 0
+                return walked.where(F.col("is_leader")).select(*scope, "v")
+            members.append(walked.where(~F.col("is_leader")).select(*scope, "v"))
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"greedy grouping: {n} active edges left after {rounds} rounds")
