@@ -91,3 +91,27 @@ def test_annotate_round_trip(spark):
     again = spark.createDataFrame([("d", ann.annotated_xml)], "doc_id string, xml string")
     assert [r.text for r in extract_elements(again, "p title").orderBy("semid").collect()] == [
         "t", "one", "two b", "three"]
+
+
+def test_random_lines_round_trip(spark):
+    """lines -> escaped <p> document -> extraction == plain split + normalize-space."""
+    import random
+    import re
+
+    from echoset.sources.documents import lines_as_xml
+
+    rng = random.Random(11)
+    alphabet = list("abcxyz éüß&<>\"'\t  ") + ["\u00a0", "\u2028", "ʃ", "😀"]
+    docs = []
+    for d in range(40):
+        lines = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 8))]
+        docs.append((d, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    got = sorted((r.doc_id, r.semid, r.text) for r in extract_elements(lines_as_xml(df)).collect())
+    exp = []
+    for d, text in docs:
+        for k, line in enumerate(text.split("\n"), start=1):
+            norm = re.sub("[ \t\r\n]+", " ", line).strip(" ")
+            if norm:
+                exp.append((d, k, norm))
+    assert got == sorted(exp)

@@ -104,6 +104,11 @@ def test_random_invariants(spark, seed):
         assert all(cos(vecs[leader], vecs[m]) >= t for m in g)
         assert not members & set(g)
         members |= set(g)
+    leaders = [min(g) for g in got]
+    for i in leaders:  # no two leaders of one scope are similar
+        for j in leaders:
+            if i < j and scope_of(i) == scope_of(j):
+                assert cos(vecs[i], vecs[j]) < t
 
 
 @pytest.mark.parametrize("seed", range(6))
