@@ -95,7 +95,7 @@ def _parse_matches(xml: str, names: frozenset[str], with_meta: bool):
     return [out[k] for k in sorted(out)], None
 
 
-def _extract_batches(names_default: str, with_meta: bool, id_type: T.DataType):
+def _extract_batches(names_default: str, with_meta: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, frozenset[str]] = {}
         for pdf in batches:
@@ -143,9 +143,8 @@ def parse_documents(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta
     overrides the element list per row.
     """
     cols = ["doc_id", "xml"] + (["elements"] if "elements" in docs.columns else [])
-    id_type = docs.schema["doc_id"].dataType
     fields = [
-        T.StructField("doc_id", id_type),
+        T.StructField("doc_id", docs.schema["doc_id"].dataType),
         T.StructField("semid", T.IntegerType()),
         T.StructField("element", T.StringType()),
         T.StructField("raw_text", T.StringType()),
@@ -156,7 +155,7 @@ def parse_documents(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta
             T.StructField("attributes", T.MapType(T.StringType(), T.StringType())),
             T.StructField("xpath", T.StringType()),
         ]
-    return docs.select(*cols).mapInPandas(_extract_batches(elements, with_meta, id_type), T.StructType(fields))
+    return docs.select(*cols).mapInPandas(_extract_batches(elements, with_meta), T.StructType(fields))
 
 
 def extract_elements(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta: bool = False) -> DataFrame:
