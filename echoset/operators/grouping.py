@@ -69,7 +69,8 @@ def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAULT_LOCAL_LIMIT,
-                   max_rounds: int | None = None, stats: dict | None = None) -> DataFrame:
+                   max_rounds: int | None = None, stats: dict | None = None,
+                   edges_checkpointed: bool = False) -> DataFrame:
     """Leaders ``(scope..., v)`` among vertices that have at least one edge.
 
     Rounds record *members*; every vertex of the graph is either a member or
@@ -81,7 +82,9 @@ def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAUL
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    active = edges.select(*scope, "a", "b").checkpoint(eager=True)
+    active = edges.select(*scope, "a", "b")
+    if not edges_checkpointed:  # every round re-reads it: cut its lineage first
+        active = active.checkpoint(eager=True)
     vertices = (active.select(*scope, F.col("a").alias("v"))
                 .unionByName(active.select(*scope, F.col("b").alias("v"))).distinct())
     members: list[DataFrame] = []

@@ -130,7 +130,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     if stats is not None:
         stats["persisted"] = [base, verts]
         stats["edges_sec"] = round(time.time() - clock, 2)
-    leaders = greedy_leaders(edges, scope, local_limit, stats=stats)
+    leaders = greedy_leaders(edges, scope, local_limit, stats=stats, edges_checkpointed=True)
     if stats is not None:
         stats["leaders_sec"] = round(time.time() - clock, 2)
     assign = assign_members(edges, leaders, scope)
