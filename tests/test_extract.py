@@ -115,3 +115,14 @@ def test_random_lines_round_trip(spark):
             if norm:
                 exp.append((d, k, norm))
     assert got == sorted(exp)
+
+
+def test_element_metadata(spark):
+    xml = '<doc><p id="a" class="x">one</p><sec><p>two</p><p lang="fr">trois</p></sec></doc>'
+    df = spark.createDataFrame([("d", xml)], "doc_id string, xml string")
+    rows = extract_elements(df, "p", with_meta=True).orderBy("semid").collect()
+    assert [(r.semid, r.xpath, r.attributes) for r in rows] == [
+        (1, "/doc[1]/p[1]", {"id": "a", "class": "x"}),
+        (2, "/doc[1]/sec[1]/p[1]", {}),
+        (3, "/doc[1]/sec[1]/p[2]", {"lang": "fr"}),
+    ]
