@@ -76,15 +76,24 @@ def outcome_message(status: Column, n_groups: Column) -> Column:
 
 
 def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, threshold: float = DEFAULT_THRESHOLD,
-                      **group_kw) -> tuple[DataFrame, DataFrame]:
+                      observation=None, **group_kw) -> tuple[DataFrame, DataFrame]:
     """End-to-end run over ``(doc_id, xml)``: ``(outcomes, members)``.
 
     Each document is parsed once (persisted); the element rows feed grouping
     per document, the same parse gives the counts and parse errors. Outcome
     columns: ``doc_id, status, message, error, n_texts, n_groups,
     grouped_texts, removable_texts, texts_minus_groups, threshold``.
+    With a ``pyspark.sql.Observation`` the run also reports ``texts`` (A1/A2:
+    texts extracted = texts embedded) and ``documents`` as observed metrics,
+    collected alongside the job instead of by an extra one.
     """
-    parsed = parse_documents(docs, elements).persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parse_documents(docs, elements)
+    if observation is not None:  # one row per document has semid 1, or is a marker / error row
+        parsed = parsed.observe(
+            observation,
+            F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("texts"),
+            F.count(F.when(F.col("semid").isNull() | (F.col("semid") == 1), 1)).alias("documents"))
+    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
     items = (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
              .select("doc_id", "semid", normalize_space("raw_text").alias("text"))
              .where(F.col("text") != ""))

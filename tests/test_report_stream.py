@@ -119,3 +119,14 @@ def test_latest_status_stateful(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = {r.doc_id: (r.status, r.n_groups, r.expired) for r in spark.table("latest_status_t").collect()}
     assert got == {"a": ("COMPLETED", 2, False), "b": ("PROCESSING", 0, False)}
+
+
+def test_outcomes_observed_metrics(spark):
+    from pyspark.sql import Observation
+
+    docs = spark.createDataFrame([("a", "<d><p>x y</p><p>x y</p></d>"), ("b", "<d><p>z</p></d>")],
+                                 "doc_id string, xml string")
+    obs = Observation("run")
+    out, _ = document_outcomes(docs, observation=obs)
+    assert out.count() == 2
+    assert obs.get == {"texts": 3, "documents": 2}
