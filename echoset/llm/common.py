@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,11 +85,31 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def batches(fn: Callable) -> Callable:
-    """Lift a function on one pandas batch to ``mapInPandas``."""
+def stream_tiles(it, keys: list[str], load: Callable, meet: Callable, tile_rows: int):
+    """Run over batches sorted by ``keys`` and ``guest``: each tile meets its guests.
 
-    def run(it):
-        for pdf in it:
-            yield fn(pdf)
-
-    return run
+    ``load(pdf)`` gives arrays with one entry per row; the rows with guest = 0
+    of one key are its tile and stay in memory, the guests are streamed past it.
+    ``meet(x, y, inner)`` compares two lists of arrays (inner: x with itself)
+    and returns a list of findings; the findings of each batch are yielded.
+    """
+    key, home = None, []
+    for pdf in it:
+        k = pdf[keys].to_numpy()
+        guest, cols = pdf["guest"].to_numpy(), load(pdf)
+        edges = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        bounds = [0, *edges.tolist(), len(k)]
+        found: list = []
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            if s == e:
+                continue
+            if key is None or (k[s] != key).any():
+                key, home = k[s], [c[:0] for c in cols]
+            mid = s + int(np.searchsorted(guest[s:e], 1))
+            for lo in range(s, mid, tile_rows):
+                new = [c[lo:min(mid, lo + tile_rows)] for c in cols]
+                found += meet(new, home, False)
+                found += meet(new, new, True)
+                home = [np.concatenate(x) for x in zip(home, new)]
+            found += meet([c[mid:e] for c in cols], home, False)
+        yield found

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embed_dedup import embedding_groups
 from .simhash import simhash_groups
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all ``embeddings`` at cosine 0.95."""
+    return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all ``documents``."""
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
 
 
 QUERIES = {
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op10_simhash": op10_simhash,
 }
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, picked
+from .common import components, cut, picked, stream_tiles
 
 BITS = 64
 FLUSH = 100_000  # shingle hashes whose bits are unpacked at once (memory of a task)
@@ -135,25 +135,14 @@ def near_pairs(fps: DataFrame, radius: int, segments: int = 4, tile_rows: int =
     laid = at_home.union(near)
     dealt = laid.repartition("cls", "part").sortWithinPartitions("cls", "part", "guest")
 
+    def load(pdf):
+        return [pdf["fp"].to_numpy().view(np.uint64)]
+
+    def meet(x, y, inner):
+        return _compare(x[0], y[0], radius, inner)
+
     def run(it):
-        key, home = None, np.empty(0, np.uint64)
-        for pdf in it:
-            cls, prt = pdf["cls"].to_numpy(), pdf["part"].to_numpy()
-            guest, fp = pdf["guest"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-            edge = np.flatnonzero((cls[1:] != cls[:-1]) | (prt[1:] != prt[:-1])) + 1
-            found = []
-            for s, e in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(fp)]])):
-                if s == e:
-                    continue
-                if key != (cls[s], prt[s]):
-                    key, home = (cls[s], prt[s]), np.empty(0, np.uint64)
-                mid = s + int(np.searchsorted(guest[s:e], 1))
-                for lo in range(s, mid, tile_rows):
-                    new = fp[lo:min(mid, lo + tile_rows)]
-                    found += _compare(new, home, radius)
-                    found += _compare(new, new, radius, inner=True)
-                    home = np.concatenate([home, new])
-                found += _compare(fp[mid:e], home, radius)
+        for found in stream_tiles(it, ["cls", "part"], load, meet, tile_rows):
             if found:
                 a = np.concatenate([x for x, _ in found]).view(np.int64)
                 b = np.concatenate([y for _, y in found]).view(np.int64)
