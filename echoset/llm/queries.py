@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .embed_dedup import embedding_groups
 from .simhash import simhash_groups
+from .tokens import token_files
+
+
+def tokenizer_path() -> str:
+    """The public byte-level tokenizer, installed on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +22,11 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-ID files of all ``documents``, written and read back."""
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all ``documents``."""
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
@@ -21,6 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op5_token_files": op5_token_files,
     "op10_simhash": op10_simhash,
 }
 
