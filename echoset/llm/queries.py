@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import contamination
 from .embed_dedup import embedding_groups
 from .simhash import simhash_groups
 from .tokens import token_files
@@ -22,6 +23,11 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all ``documents``."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-ID files of all ``documents``, written and read back."""
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
@@ -34,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_decontamination": op3_decontamination,
     "op5_token_files": op5_token_files,
     "op10_simhash": op10_simhash,
 }
