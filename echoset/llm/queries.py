@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import contamination
 from .embed_dedup import embedding_groups
+from .secret_scan import scan_secrets, secret_digest
+from .sharding import shard_rows
 from .simhash import simhash_groups
 from .tokens import token_files
 
@@ -28,11 +30,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
 
 
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of all ``documents``."""
+    return shard_rows(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-ID files of all ``documents``, written and read back."""
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``, weak parts linked."""
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all ``documents``."""
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
@@ -41,7 +53,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_feistel_shards": op4_feistel_shards,
     "op5_token_files": op5_token_files,
+    "op8_secret_scan": op8_secret_scan,
     "op10_simhash": op10_simhash,
 }
 
