@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import contamination
 from .embed_dedup import embedding_groups
+from .html_text import extract_text
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import shard_rows
 from .simhash import simhash_groups
@@ -40,6 +41,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all ``pages``, site templates removed."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all ``documents``, weak parts linked."""
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
@@ -55,6 +61,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_files": op5_token_files,
+    "op6_html_text": op6_html_text,
     "op8_secret_scan": op8_secret_scan,
     "op10_simhash": op10_simhash,
 }
