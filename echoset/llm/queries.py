@@ -12,6 +12,7 @@ from .secret_scan import scan_secrets, secret_digest
 from .sharding import shard_rows
 from .simhash import simhash_groups
 from .tokens import token_files
+from .toxicity import toxicity_scores
 
 
 def tokenizer_path() -> str:
@@ -21,6 +22,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all ``documents``."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``embeddings`` at cosine 0.95."""
     return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
@@ -57,6 +63,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_feistel_shards": op4_feistel_shards,
