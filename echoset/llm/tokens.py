@@ -24,16 +24,22 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import picked
+from .words import slices
 
-CACHE_WORDS = 400_000  # encoded words that a worker remembers (memory only, never the result)
+CACHE_WORDS = 800_000  # words met lately that a worker remembers (memory and speed, never the result)
+ENCODE_AT_ONCE = 20_000  # words or texts given to the tokenizer in one call
+TEXT_BYTES = 1 << 24  # bytes of text handled at once; a longer text is alone
 READ_DOCS = 5_000  # documents in one batch read back
 NO_ID = -(1 << 63)
 
@@ -49,14 +55,33 @@ def open_folder(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+# Byte-level pre-tokenizers treat these alike; next to a space they change where a piece ends.
+_WHITE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_NOT_PLAIN = r"[\t-\r ][\t-\r ]|[\x1c-\x1f" + _WHITE + "]"
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs number ``at`` of ``flat`` (run i has size[i] entries), one after another."""
+    lengths = size[at]
+    total = int(lengths.sum())
+    place = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    shift = (np.cumsum(size) - size)[at] - (np.cumsum(lengths) - lengths)
+    source = np.repeat(shift.astype(place), lengths)
+    source += np.arange(total, dtype=place)
+    return flat[source]
+
+
 class Encoder:
     """A tokenizer that remembers words.
 
-    Byte-level pre-tokenizers start a new piece before every space that has a
-    non-space beside it, and merges never cross pieces; so such a text can be
-    encoded word by word, and frequent words need encoding once. Texts
-    where a split could change the pieces (longer runs of white space, special
-    tokens) are encoded whole, as with any other kind of tokenizer.
+    A byte-level pre-tokenizer starts a new piece before a space between
+    non-spaces, around a line feed between them, and between a letter or digit and the comma or
+    full stop that ends a word; merges never cross pieces. So a plain text (no two
+    white spaces together, no special token) is cut there, equal parts of a batch are
+    found by Arrow, and only those not met before are encoded. Other texts, and all texts
+    of other kinds of tokenizer, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -71,39 +96,87 @@ class Encoder:
             and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         )
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.whole = re.compile("|".join([r"\s \s", r"\s \Z", *special]))
+        self.not_plain = "|".join([_NOT_PLAIN, *special])
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes of ``dtype``."""
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # words met lately: their ids lie one after another in flat; age: the call that last met them
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.size, self.age = np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.calls = 0
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        ids, size = array(self.code), []
+        for lo in range(0, len(texts), ENCODE_AT_ONCE):
+            for e in self.tok.encode_batch(texts[lo:lo + ENCODE_AT_ONCE], add_special_tokens=False):
+                one = e.ids
+                ids.extend(one)
+                size.append(len(one))
+        return np.frombuffer(ids, self.dtype) if len(ids) else np.empty(0, self.dtype), np.array(size, np.int64)
+
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among ``self.words``, which takes in the new ones."""
+        self.calls += 1
+        if len(self.words) > CACHE_WORDS:  # forget those not met for the longest
+            self._keep(np.flatnonzero(self.age > np.quantile(self.age, 0.5)))
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).copy()
+        new = np.flatnonzero(at < 0)
+        added = words.take(pa.array(new))
+        flat, size = self._encode(added.to_pylist())
+        at[new] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, added])
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.age = np.concatenate([self.age, np.zeros(len(new), np.int64)])
+        self.age[at] = self.calls
+        return at
+
+    def _keep(self, at: np.ndarray) -> None:
+        self.flat = _gather(self.flat, self.size, at)
+        self.words, self.size, self.age = self.words.take(pa.array(at)), self.size[at], self.age[at]
+
+    def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts one after another, and the number of ids of each."""
+        n = len(texts)
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         if not self.by_word:
-            return self._encode(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        rest = []
-        for i, t in enumerate(texts):
-            if self.whole.search(t):
-                rest.append(i)
-            else:
-                split[i] = t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t]
-        for i, ids in zip(rest, self._encode([texts[i] for i in rest])):
-            out[i] = ids
-        known = self.words
-        need = list(set().union(*split.values()) - known.keys())
-        new = dict(zip(need, self._encode(need)))
-        if len(known) + len(new) <= CACHE_WORDS:
-            known.update(new)
-            new = known
-        for i, words in split.items():
-            if new is known:
-                out[i] = b"".join([known[w] for w in words])
-            else:
-                out[i] = b"".join([known[w] if w in known else new[w] for w in words])
-        return out
+            flat, size = self._encode(texts.to_pylist())
+            at = doc = np.arange(n)
+        else:
+            plain = ~pc.match_substring_regex(texts, self.not_plain).to_numpy(zero_copy_only=False)
+            parts, doc = self._cut(texts, plain)
+            coded = pc.dictionary_encode(parts)
+            at = self._look_up(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            flat, size = self.flat, self.size
+        if end is not None:  # one more part after each text's
+            after = np.searchsorted(doc, np.arange(n), "right")
+            at, doc = np.insert(at, after, len(size)), np.insert(doc, after, np.arange(n))
+            flat, size = np.append(flat, self.dtype.type(end)), np.append(size, 1)
+        return _gather(flat, size, at), np.bincount(doc, size[at], n).astype(np.int64)
+
+    def _cut(self, texts: pa.Array, plain: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts (slices of their bytes, not copied) and the text of each."""
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        lo, hi = int(bounds[0]), int(bounds[-1])
+        b = np.frombuffer(data, np.uint8)[lo:hi] if data is not None else np.empty(0, np.uint8)
+        starts = np.zeros(len(b) + 1, bool)
+        if plain.any():
+            gap = (b == 32) | (b == 10)
+            starts[:-1] |= gap
+            starts[1:] |= b == 10
+            if len(b) > 1:
+                stops = np.append(gap[1:], True)
+                stops[bounds[1:][bounds[1:] > lo] - lo - 1] = True  # the last byte of a text
+                starts[1:-1] |= ((b[1:] == 44) | (b[1:] == 46)) & stops[1:] & _ALNUM[b[:-1]]
+            if not plain.all():
+                starts &= np.append(np.repeat(plain, np.diff(bounds)), False)
+        starts[bounds - lo] = True
+        starts[-1] = True
+        places = np.flatnonzero(starts).astype(np.int64)
+        doc = np.searchsorted(bounds - lo, places[:-1], "right") - 1
+        parts = pa.Array.from_buffers(
+            pa.large_string(), max(0, len(places) - 1), [None, pa.py_buffer(places + lo), data if data is not None else pa.py_buffer(b"")])
+        return parts, doc
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -131,6 +204,8 @@ def write_token_files(
     src = picked(docs, id=id_col, text=text_col)
     if src.schema["id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError("document ids must be integers")
+    if end_id is not None and end_id >= encoder(tokenizer_path).tok.get_vocab_size(with_added_tokens=True):
+        raise ValueError("end_id is not in the vocabulary")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         src.select(F.col("id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
@@ -140,13 +215,11 @@ def write_token_files(
     )
 
     def write(it):
-        enc, fs, files, name = None, None, None, None
+        enc, files = None, None
         n_docs = n_ids = 0
-        for pdf in it:
+        for batch in it:
             if enc is None:
                 enc = encoder(tokenizer_path)
-                dtype = np.dtype("<u4") if end_id is not None and end_id >= 1 << 16 else enc.dtype
-                end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
                 fs, path = open_folder(folder)
                 task = TaskContext.get()
                 name = f"part-{task.partitionId():06d}"
@@ -154,22 +227,20 @@ def write_token_files(
                 own = f"{path}/.{name}-{task.taskAttemptId()}"
                 files = {x: fs.open_output_stream(f"{own}.{x}") for x in ("ids", "offsets", "docs")}
                 files["offsets"].write(np.zeros(1, "<i8").tobytes())
-            coded = enc(pdf["text"].tolist())
-            if dtype != enc.dtype:
-                coded = [np.frombuffer(x, enc.dtype).astype(dtype).tobytes() for x in coded]
-            coded = [x + end for x in coded]
-            files["ids"].write(b"".join(coded))
-            ends = n_ids + np.cumsum([len(x) // dtype.itemsize for x in coded])
-            files["offsets"].write(ends.astype("<i8").tobytes())
-            files["docs"].write(pdf["id"].astype("Int64").fillna(NO_ID).to_numpy(np.int64).astype("<i8").tobytes())
-            n_docs, n_ids = n_docs + len(coded), int(ends[-1])
+            for lo, hi in slices(batch.column(1), TEXT_BYTES):
+                ids, counts = enc(batch.column(1).slice(lo, hi - lo), end_id)
+                files["ids"].write(ids.tobytes())
+                ends = n_ids + np.cumsum(counts)
+                files["offsets"].write(ends.astype("<i8").tobytes())
+                files["docs"].write(pc.fill_null(batch.column(0).slice(lo, hi - lo), NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                n_docs, n_ids = n_docs + len(counts), int(ends[-1])
         if files:
             for x, f in files.items():
                 f.close()
                 fs.move(f"{own}.{x}", f"{path}/{name}.{x}")
-            yield pd.DataFrame({"name": [name], "dtype": [dtype.str], "docs": [n_docs], "ids": [n_ids]})
+            yield pa.RecordBatch.from_pydict({"name": [name], "dtype": [enc.dtype.str], "docs": [n_docs], "ids": [n_ids]})
 
-    written = ordered.mapInPandas(write, "name string, dtype string, docs bigint, ids bigint").collect()  # a row a part
+    written = ordered.mapInArrow(write, "name string, dtype string, docs bigint, ids bigint").collect()  # a row a part
     manifest = {"dtype": written[0]["dtype"] if written else "<u2", "end_id": end_id, "parts": []}
     base_docs = base_ids = 0
     for row in sorted(written, key=lambda r: r["name"]):
