@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import line_dedup, mixing
 from .common import table
 from .decontam import contamination
 from .embed_dedup import embedding_groups
@@ -52,11 +54,22 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked sampling probabilities of all ``documents``."""
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all ``documents``, weak parts linked."""
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without lines that stand on many sources."""
+    return line_dedup.remove_spread_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all ``documents``."""
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
@@ -69,8 +82,13 @@ QUERIES = {
     "op4_feistel_shards": op4_feistel_shards,
     "op5_token_files": op5_token_files,
     "op6_html_text": op6_html_text,
+    "op7_mixing": op7_mixing,
     "op8_secret_scan": op8_secret_scan,
+    "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing": mixing.oracle_sql(),
+    "op9_line_dedup": line_dedup.oracle_sql(),
+}
