@@ -175,8 +175,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A row goes if a row with its id and text is contaminated (the text
     decides, so this is exact for null and repeated ids too).
     """
-    marked = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_col).alias("h")).alias("_key"), F.col(f"`{text_col}`").alias("_text"))
-    bad = contamination(marked, items, "_key", "_text", **kw).where("contaminated").select(
-        F.col("_key.id").alias("_id"), F.col("_key.h").alias("_h")).distinct()
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_h"))
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("hash"))
+    marked = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    bad = contamination(marked, items, "key", "text", **kw).where("contaminated").select(
+        F.col("key.id").alias("_echoset_id"), F.col("key.hash").alias("_echoset_hash")).distinct()
+    same = key["id"].eqNullSafe(F.col("_echoset_id")) & (key["hash"] == F.col("_echoset_hash"))
     return docs.join(bad, same, "left_anti")

@@ -154,6 +154,9 @@ def parse(page: str | None) -> tuple[list[Element], list[tuple[int, str]]]:
                 if elements[stack[depth]].tag == tag:
                     close(depth)
                     break
+            else:
+                if tag == "p":  # HTML makes an empty paragraph of it
+                    flush()
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)

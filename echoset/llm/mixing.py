@@ -160,13 +160,13 @@ def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs`` that are drawn, with all their columns (no shuffle of texts)."""
     rows = cell_rows(docs, id_col, text_col, source_col, lang_col, None)
     cells = cell_probabilities(rows, temper or TEMPER, keep, None)
-    name = {m: f"_mix_{m}" for m in MARGINS}
-    cells = cells.select(*[F.col(m).alias(name[m]) for m in MARGINS], F.col("probability").alias("_mix_p"))
+    name = {m: f"_echoset_{m}" for m in MARGINS}
+    cells = cells.select(*[F.col(m).alias(name[m]) for m in MARGINS], F.col("probability").alias("_echoset_p"))
     cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     marked = docs.withColumns({
         name["source"]: named(F.col(f"`{source_col}`")), name["lang"]: named(F.col(f"`{lang_col}`")), name["topic"]: text_topic(text_col)})
-    return marked.join(cells, list(name.values())).where(draw(F.col(f"`{id_col}`"), seed) < F.col("_mix_p")).drop(*name.values(), "_mix_p")
+    return marked.join(cells, list(name.values())).where(draw(F.col(f"`{id_col}`"), seed) < F.col("_echoset_p")).drop(*name.values(), "_echoset_p")
 
 
 def oracle_sql(rounds: int = 40, keep: float = 0.7, seed: int = 42) -> str:

@@ -119,20 +119,20 @@ def near_pairs(fps: DataFrame, radius: int, segments: int = 4, tile_rows: int =
     parts = placed.groupBy("cls").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
     part = lambda n: F.pmod(F.xxhash64(F.lit(1), "fp"), n).cast("int")
 
-    offsets = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(f"d{i}") for i, x in enumerate(d)]) for d in _offsets(segments, radius)])
-    moved = [F.col(f"c{i}") + F.col(f"o.d{i}") for i in range(segments)]
-    near = (
-        placed.select("*", F.explode(offsets).alias("o"))
-        .where(" AND ".join(f"c{i} + o.d{i} BETWEEN 0 AND {width}" for i in range(segments)))
-        .select("fp", pack(moved).alias("cls"))
-        .join(parts, "cls")
-        .select("fp", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("guest"))
-    )
     own = placed.join(parts, "cls").select("fp", "cls", part(F.col("parts")).alias("own"))
     at_home = own.select(
         "fp", "cls", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("part"), "own",
     ).select("fp", "cls", "part", (F.col("part") < F.col("own")).cast("int").alias("guest"))
-    laid = at_home.union(near)
+    laid = at_home
+    shifts = _offsets(segments, radius)
+    if shifts:  # guests of the tiles within the radius
+        offsets = F.array(*[F.struct(*[F.lit(x).cast("bigint").alias(f"d{i}") for i, x in enumerate(d)]) for d in shifts])
+        moved = [F.col(f"c{i}") + F.col(f"o.d{i}") for i in range(segments)]
+        laid = laid.union(
+            placed.select("*", F.explode(offsets).alias("o"))
+            .where(" AND ".join(f"c{i} + o.d{i} BETWEEN 0 AND {width}" for i in range(segments)))
+            .select("fp", pack(moved).alias("cls")).join(parts, "cls")
+            .select("fp", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("guest")))
     dealt = laid.repartition("cls", "part").sortWithinPartitions("cls", "part", "guest")
 
     def load(pdf):
@@ -202,17 +202,18 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one of them stays. Rows with a null id stay only where no row of their
     group has an id, one for each distinct text.
     """
-    groups = simhash_groups(docs, id_col, text_col, **kw).select(F.col(f"`{id_col}`").alias("_id"), "component_id")
-    named = groups.where("_id = component_id").select("_id").distinct()
-    kept = docs.join(named, F.col(f"`{id_col}`") == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    groups = simhash_groups(docs, id_col, text_col, **kw).select(F.col(id_col).alias("_echoset_id"), "component_id")
+    named = groups.where("_echoset_id = component_id").select("_echoset_id").distinct()
+    kept = docs.join(named, F.col(f"`{id_col}`") == F.col("_echoset_id"), "left_semi").dropDuplicates([id_col])
     if not docs.where(F.col(f"`{id_col}`").isNull()).take(1):
         return kept
     nameless = docs.where(F.col(f"`{id_col}`").isNull())
-    marks = simhash_groups(docs.withColumn("_row", F.struct(id_col, text_col)), id_col, text_col, **kw)
-    lone = marks.where(F.col(f"`{id_col}`").isNull() & F.col("component_id").isNull()).select("fingerprint").distinct()
-    prints = fingerprints(nameless.select(F.xxhash64(text_col).alias("_k"), text_col), "_k", text_col,
+    src = picked(docs, id=id_col, text=text_col)
+    marks = simhash_groups(src, "id", "text", **kw)
+    lone = marks.where("id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+    prints = fingerprints(src.where("id IS NULL").select(F.xxhash64("text").alias("id"), "text"), "id", "text",
                           kw.get("shingle", 3), kw.get("seed", 42))
-    keys = prints.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(lone, "fingerprint", "left_semi")
-    stay = nameless.withColumn("_k", F.xxhash64(text_col)).join(
-        keys.select(F.col("id").alias("_k")).distinct(), "_k", "left_semi").drop("_k")
-    return kept.unionByName(stay.dropDuplicates([text_col]))
+    stay = prints.select(F.col("id").alias("_echoset_hash"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).join(
+        lone, "fingerprint", "left_semi").select("_echoset_hash").distinct()
+    nameless = nameless.join(stay, F.xxhash64(f"`{text_col}`") == F.col("_echoset_hash"), "left_semi")
+    return kept.unionByName(nameless.dropDuplicates([text_col]))

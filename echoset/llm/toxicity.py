@@ -182,14 +182,14 @@ class ToxicityModel:
         """``docs`` with a double ``score_col`` in 0 to 1; null and empty texts are scored too."""
         if self.trees is None:
             return docs.withColumn(score_col, F.lit(float(self.prior)))
-        out = self.trees.transform(docs.withColumn("_tox_features", array_to_vector(self.features(F.col(f"`{text_col}`")))))
-        out = out.withColumn("_tox_raw_score", vector_to_array("_tox_probability")[1])
-        score = F.col("_tox_raw_score")
+        out = self.trees.transform(docs.withColumn("_echoset_features", array_to_vector(self.features(F.col(f"`{text_col}`")))))
+        out = out.withColumn("_echoset_raw_score", vector_to_array("_echoset_probability")[1])
+        score = F.col("_echoset_raw_score")
         if self.calibration is not None:
             out = self.calibration.transform(out)
-            score = (1 - RANK) * F.col("_tox_calibrated") + RANK * score
+            score = (1 - RANK) * F.col("_echoset_calibrated") + RANK * score
         out = out.withColumn(score_col, F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
-        return out.drop("_tox_features", "_tox_raw", "_tox_probability", "_tox_prediction", "_tox_raw_score", "_tox_calibrated")
+        return out.drop("_echoset_features", "_echoset_raw", "_echoset_probability", "_echoset_prediction", "_echoset_raw_score", "_echoset_calibrated")
 
 
 def _features_of(lexicon):
@@ -218,19 +218,19 @@ def fit_toxicity(
     if fit.select("y").distinct().count() < 2:
         return ToxicityModel(spark, lexicon, None, None, prior)
     of = _features_of(spark.sparkContext.broadcast(lexicon))
-    table = cut(rows.select(array_to_vector(of("text")).alias("_tox_features"), "y", "fold", "weight").repartition(
+    table = cut(rows.select(array_to_vector(of("text")).alias("_echoset_features"), "y", "fold", "weight").repartition(
         spark.sparkContext.defaultParallelism))
     boosted = GBTClassifier(
-        featuresCol="_tox_features", labelCol="y", predictionCol="_tox_prediction", maxIter=trees, maxDepth=depth,
+        featuresCol="_echoset_features", labelCol="y", predictionCol="_echoset_prediction", maxIter=trees, maxDepth=depth,
         stepSize=0.2, seed=seed,
-    ).setRawPredictionCol("_tox_raw").setProbabilityCol("_tox_probability")
+    ).setRawPredictionCol("_echoset_raw").setProbabilityCol("_echoset_probability")
     model = boosted.fit(table.where(F.col("fold") != CALIBRATE))
     raw = model.transform(table.where(F.col("fold") == CALIBRATE)).select(
-        vector_to_array("_tox_probability")[1].alias("_tox_raw_score"), "y", "weight")
+        vector_to_array("_echoset_probability")[1].alias("_echoset_raw_score"), "y", "weight")
     calibration = None
     if held.select("y").distinct().count() == 2:
         calibration = IsotonicRegression(
-            featuresCol="_tox_raw_score", labelCol="y", weightCol="weight", predictionCol="_tox_calibrated").fit(raw)
+            featuresCol="_echoset_raw_score", labelCol="y", weightCol="weight", predictionCol="_echoset_calibrated").fit(raw)
     return ToxicityModel(spark, lexicon, model, calibration, prior)
 
 
@@ -250,4 +250,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` scored below 0.5, with all their columns."""
     model = fit_toxicity(docs, labels, id_col, text_col, **kw)
-    return model.scored(docs, text_col, "_tox_score").where("_tox_score < 0.5").drop("_tox_score")
+    return model.scored(docs, text_col, "_echoset_score").where("_echoset_score < 0.5").drop("_echoset_score")
