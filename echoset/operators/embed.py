@@ -4,9 +4,9 @@ Encoders
 --------
 ``hashing``      built-in, deterministic, pure Spark expressions: every word of
                  the normalised text (lower-cased) goes to bucket
-                 ``int(md5(word)[:8], 16) mod dim``; bucket counts are L2
-                 normalised. The whole text is used. The result is sparse:
-                 ``idx array<int>`` (ascending) and ``w array<double>``.
+                 ``int(md5(word)[:8], 16) mod dim``. The whole text is used.
+                 The result is sparse: ``idx array<int>`` (ascending), ``cnt
+                 array<bigint>`` and the squared norm ``sq``, all integers.
                  Computed row by row with higher-order functions in linear
                  time (sort, then run boundaries), so it needs no shuffle.
 ``precomputed``  vectors already in a table (``array<float|double>``).
@@ -48,35 +48,14 @@ def sorted_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
     return F.array_sort(F.transform(text_words(text), lambda w: word_bucket(w, dim)))
 
 
-def hashing_vector(text: Column, dim: int = DEFAULT_DIM, buckets: Column | None = None) -> Column:
-    """Sparse unit vector ``struct<idx array<int>, w array<double>>`` of a text.
+def with_hashing_counts(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
+    """Adds ``idx`` (buckets, ascending), ``cnt`` (words in each) and ``sq`` (sum of squared counts).
 
-    Pass ``buckets`` (a column holding :func:`sorted_buckets`) to hash each
-    word once; otherwise the bucket array is an inline expression.
-    """
-    # Lambda bodies below only touch their own arguments: an outer array used
-    # inside a lambda would be re-evaluated for every element.
-    b = buckets if buckets is not None else sorted_buckets(text, dim)
-    n = F.size(b)
-    prev = F.concat(F.array(F.lit(-1)), F.slice(b, 1, F.greatest(n - 1, F.lit(0))))
-    runs = F.filter(F.arrays_zip(b.alias("k"), prev.alias("p"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("i")),
-                    lambda r: r["k"] != r["p"])
-    starts = F.transform(runs, lambda r: r["i"])
-    nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n + 1))
-    counts = F.zip_with(nexts, starts, lambda x, y: x - y)
-    idx = F.transform(runs, lambda r: r["k"])
-    sq = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c * c)
-    norm = F.sqrt(sq.cast("double"))
-    w = F.zip_with(counts, F.array_repeat(norm, F.size(counts)), lambda c, z: c.cast("double") / z)
-    return F.struct(idx.alias("idx"), w.alias("w"))
-
-
-def with_hashing_vectors(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
-    """Adds ``idx`` and ``w`` (T1, T8, T10: each row is embedded where it is).
-
-    Staged projections: every intermediate array is read more than once by
-    the next step, so the optimizer keeps it as a computed column instead of
-    inlining (and re-evaluating) its expression at each use.
+    Integers, so similarities computed from them do not depend on strategy or
+    summation order (T1, T10: each row is embedded where it is). Staged
+    projections: every intermediate array is read more than once by the next
+    step, so the optimizer keeps it as a computed column instead of inlining
+    (and re-evaluating) its expression at each use.
     """
     b = F.col("_b")
     n = F.size(b)
@@ -89,11 +68,18 @@ def with_hashing_vectors(df: DataFrame, text_col: str = "text", dim: int = DEFAU
                            F.transform("_runs", lambda r: r["i"]).alias("_starts"))
     starts = F.col("_starts")
     nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.col("_n") + 1))
-    staged = staged.select(*df.columns, "idx", F.zip_with(nexts, starts, lambda x, y: x - y).alias("_counts"))
-    counts = F.col("_counts")
-    norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, c: acc + c * c).cast("double"))
-    w = F.zip_with(counts, F.array_repeat(norm, F.size(counts)), lambda c, z: c.cast("double") / z)
-    return staged.select(*df.columns, "idx", w.alias("w"))
+    staged = staged.select(*df.columns, "idx", F.zip_with(
+        nexts, starts, lambda x, y: (x - y).cast("bigint")).alias("cnt"))
+    sq = F.aggregate("cnt", F.lit(0).cast("bigint"), lambda acc, c: acc + c * c)
+    return staged.select(*df.columns, "idx", "cnt", sq.alias("sq"))
+
+
+def with_hashing_vectors(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
+    """Adds the unit vector ``idx`` and ``w`` of the counts."""
+    counted = with_hashing_counts(df, text_col, dim)
+    norm = F.sqrt(F.col("sq").cast("double"))
+    w = F.zip_with("cnt", F.array_repeat(norm, F.size("cnt")), lambda c, z: c.cast("double") / z)
+    return counted.select(*df.columns, "idx", w.alias("w"))
 
 
 def explode_sparse(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,58 +18,20 @@ leave the active edge table. Each round is a few joins over the shrinking
 active edges, checkpointed to ``spark.checkpoint.dir`` so lineage stays short
 and lost executors only cost the current round.
 
-Once the active edge table is at most ``local_limit`` rows (a checked bound),
-the rest is finished by the sequential walk inside ``applyInPandas`` per
-scope — each group then holds at most ``local_limit`` edges. This is the same
-answer (the remaining subgraph is independent of decided vertices), and it
-keeps long chains of near-duplicates from costing one round per two texts.
+Scopes that fit in one block never get here: their groups come straight from
+the pair job (``block_groups``). What is grouped in rounds is one scope or
+corpus too large for a task, and no round ever gathers it in one.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from echoset.session import ensure_checkpoint_dir
 
-DEFAULT_LOCAL_LIMIT = 2_000_000
 
-
-def _finish_locally(active: DataFrame, scope: list[str]) -> DataFrame:
-    """Sequential greedy walk on the remaining subgraph of each scope:
-    ``(scope..., v, is_leader)`` for every vertex of that subgraph."""
-    vt = active.schema["a"].dataType
-    schema = T.StructType([active.schema[c] for c in scope] + [
-        T.StructField("v", vt), T.StructField("is_leader", T.BooleanType())])
-
-    def walk(key, pdf):
-        pdf = pdf.sort_values(["a", "b"])
-        later: dict = {}
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
-            later.setdefault(a, []).append(b)
-        covered: set = set()
-        verts, flags = [], []
-        for v in sorted(set(later) | set(pdf["b"].tolist())):
-            lead = v not in covered
-            if lead:
-                covered.update(later.get(v, ()))  # v leads: its later neighbours are members
-            verts.append(v)
-            flags.append(lead)
-        out = pd.DataFrame({c: pd.Series([key[i]] * len(verts), dtype=object) for i, c in enumerate(scope)})
-        out["v"] = pd.Series(verts, dtype=pdf["a"].dtype)
-        out["is_leader"] = pd.Series(flags, dtype=bool)
-        return out
-
-    if scope:
-        return active.groupBy(*scope).applyInPandas(walk, schema)
-    return active.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
-        lambda k, p: walk((), p), schema)
-
-
-def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAULT_LOCAL_LIMIT,
-                   max_rounds: int | None = None, stats: dict | None = None,
+def greedy_leaders(edges: DataFrame, scope: list[str], max_rounds: int | None = None, stats: dict | None = None,
                    edges_checkpointed: bool = False) -> DataFrame:
     """Leaders ``(scope..., v)`` among vertices that have at least one edge.
 
@@ -93,20 +55,13 @@ def greedy_leaders(edges: DataFrame, scope: list[str], local_limit: int = DEFAUL
         n = active.count()
         if n == 0:
             break
-        if n <= local_limit:  # the remainder is bounded: finish it per scope
-            walked = _finish_locally(active, scope).checkpoint(eager=True)
-            if rounds == 0:  # the walk saw the whole graph: its leaders are final
-                if stats is not None:
-                    stats["rounds"] = 0
-                return walked.where(F.col("is_leader")).select(*scope, "v")
-            members.append(walked.where(~F.col("is_leader")).select(*scope, "v"))
-            break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"greedy grouping: {n} active edges left after {rounds} rounds")
         rounds += 1
-        starts = active.select(*scope, F.col("a").alias("v"))
-        blocked = active.select(*scope, F.col("b").alias("v"))
-        new_leaders = starts.join(blocked, scope + ["v"], "left_anti").distinct().checkpoint(eager=True)
+        # one row per vertex on both sides: a hub with all its edges is no hot key
+        starts = active.select(*scope, F.col("a").alias("v")).distinct()
+        blocked = active.select(*scope, F.col("b").alias("v")).distinct()
+        new_leaders = starts.join(blocked, scope + ["v"], "left_anti").checkpoint(eager=True)
         new_members = (active.join(new_leaders.withColumnRenamed("v", "a"), scope + ["a"], "left_semi")
                        .select(*scope, F.col("b").alias("v")).distinct().checkpoint(eager=True))
         decided = new_leaders.unionByName(new_members)
@@ -129,28 +84,3 @@ def assign_members(edges: DataFrame, leaders: DataFrame, scope: list[str]) -> Da
     led = edges.join(leaders.withColumnRenamed("v", "a"), scope + ["a"], "left_semi")
     best = led.groupBy(*scope, "b").agg(F.min(F.struct("a", "sim")).alias("_m"))
     return best.select(*scope, F.col("_m.a").alias("leader"), F.col("b").alias("member"), F.col("_m.sim").alias("sim"))
-
-
-def greedy_walk(items: list, sim, threshold: float) -> list[list[int]]:
-    """The reference's sequential walk on a small in-memory list (tests only).
-
-    ``sim(i, j)`` returns the similarity of items ``i`` and ``j``. Returns
-    groups of indices (leader first), singletons dropped.
-    """
-    done: set[int] = set()
-    groups = []
-    for i in range(len(items)):
-        if i in done:
-            continue
-        done.add(i)
-        g = [i]
-        for j in range(len(items)):
-            if j == i or j in done:
-                continue
-            s = sim(i, j)
-            if s >= threshold:  # NaN >= t is False
-                g.append(j)
-                done.add(j)
-        if len(g) > 1:
-            groups.append(g)
-    return groups

@@ -29,15 +29,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoset.operators.embed import explode_sparse
-
 PREFIX_EPS = 1e-9  # safety margin on the prefix bound (more candidates, never fewer)
 DEFAULT_BLOCK_ROWS = 1024
-MAX_RANK_TABLE = 1 << 22  # hashed dimensions handled by the prefix filter's rank lookup
+LENGTH_ERROR = "vector lengths differ within a scope"
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -51,15 +49,10 @@ def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(ad, bd, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
     na = F.sqrt(F.aggregate(ad, F.lit(0.0), lambda acc, x: acc + x * x))
     nb = F.sqrt(F.aggregate(bd, F.lit(0.0), lambda acc, x: acc + x * x))
-    checked = F.when(F.size(a) != F.size(b), F.raise_error(F.lit("Vectors must have the same dimensions")))
+    checked = F.when(F.size(a) != F.size(b), F.raise_error(F.lit(LENGTH_ERROR)))
     return F.coalesce(checked.cast("double"), F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot / (na * nb)))
 
 
-def self_similarity_sparse(w: Column) -> Column:
-    """Similarity of a sparse unit vector with itself (copies of one text)."""
-    return F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * x)
-
-
 def _keep(sim: Column, threshold: float) -> Column:
     # inclusive threshold; NaN never qualifies (Spark orders NaN above numbers)
     return (sim >= F.lit(float(threshold))) & ~F.isnan(sim)
@@ -67,67 +60,40 @@ def _keep(sim: Column, threshold: float) -> Column:
 
 # --------------------------------------------------------------------- J2c
 
-def bucket_ranks(vertices: DataFrame, dim: int) -> list[int]:
-    """Global order of buckets for the prefix filter: rank by (frequency, bucket).
+def prefix_features(feats: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Features ``(keys..., bucket)`` of each vector's rare-first prefix.
 
-    One aggregation whose result has at most ``dim`` rows (checked), so
-    bringing it to the driver is bounded by the encoder's dimension, not by
-    the data.
+    Buckets are ordered by (frequency, bucket), from a frequency table joined to the
+    features: nothing is ranked or gathered on the driver, and the plan does
+    not depend on the dimension. Seen from the common end, a feature belongs to the prefix
+    once the squared norm up to it reaches t^2: what is left out has norm below t.
     """
-    if dim > MAX_RANK_TABLE:
-        raise ValueError(f"dimension {dim} too large for the prefix filter rank table")
-    freq = (vertices.select(F.explode("idx").alias("bucket")).groupBy("bucket").count()
-            .orderBy("count", "bucket").select("bucket").collect())
-    rank = [0] * dim
-    seen = set()
-    for r, row in enumerate(freq):
-        rank[row["bucket"]] = r
-        seen.add(row["bucket"])
-    nxt = len(freq)
-    for bkt in range(dim):
-        if bkt not in seen:
-            rank[bkt] = nxt
-            nxt += 1
-    return rank
-
-
-def prefix_buckets(idx: Column, w: Column, rank: list[int], threshold: float) -> Column:
-    """Buckets of the shortest rare-first prefix whose suffix norm is < t."""
-    t2 = float(threshold) * float(threshold) - PREFIX_EPS
-    rank_arr = F.array(*[F.lit(r) for r in rank])
-    feats = F.transform(F.arrays_zip(idx, w), lambda x: F.struct(
-        F.element_at(rank_arr, x["idx"] + 1).alias("r"), x["idx"].alias("idx"), x["w"].alias("w")))
-    common_first = F.sort_array(feats, asc=False)
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(0).alias("m"))
-
-    def step(acc, x):
-        s = acc["s"] + x["w"] * x["w"]
-        return F.struct(s.alias("s"), (acc["i"] + 1).alias("i"),
-                        F.when((acc["m"] == 0) & (s >= F.lit(t2)), acc["i"] + 1).otherwise(acc["m"]).alias("m"))
-
-    m = F.aggregate(common_first, zero, step)["m"]
-    pre = F.when(m > 0, F.slice(common_first, F.greatest(m, F.lit(1)), F.size(common_first) - m + 1))
-    return F.coalesce(F.transform(pre, lambda x: x["idx"]), F.array().cast("array<int>"))
-
-
-def sparse_pairs(vertices: DataFrame, scope: list[str], threshold: float, dim: int,
-                 pos: str = "pos") -> DataFrame:
-    """Exact edges of sparse unit vectors (``idx``, ``w``), threshold > 0."""
+    t2 = float(threshold) * float(threshold) * (1 - PREFIX_EPS)
+    freq = feats.groupBy("bucket").agg(F.count(F.lit(1)).alias("_freq"))
+    common_first = Window.partitionBy(*keys).orderBy(F.desc("_freq"), F.desc("bucket")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    so_far = F.sum(F.col("c") * F.col("c")).over(common_first)
+    return (feats.join(freq, "bucket").withColumn("_so_far", so_far)
+            .where(F.col("_so_far") >= F.lit(t2) * F.col("sq")).select(*keys, "bucket"))
+
+
+def sparse_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos") -> DataFrame:
+    """Exact edges of hashed count vectors (``idx``, ``cnt``, ``sq``), threshold > 0."""
     if not threshold > 0:
         raise ValueError("sparse_pairs needs a positive threshold; use block_pairs for t <= 0")
-    rank = bucket_ranks(vertices, dim)
-    pre = vertices.select(*scope, F.col(pos).alias("v"),
-                          F.explode(prefix_buckets(F.col("idx"), F.col("w"), rank, threshold)).alias("bucket"))
+    feats = vertices.select(*scope, F.col(pos).alias("v"), "sq", F.inline(F.arrays_zip("idx", "cnt"))).select(
+        *scope, "v", "sq", F.col("idx").alias("bucket"), F.col("cnt").alias("c"))
+    pre = prefix_features(feats, scope + ["v"], threshold)
     l, r = pre.alias("l"), pre.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in scope] + [
         F.col("l.bucket") == F.col("r.bucket"), F.col("l.v") < F.col("r.v")]
     cand = l.join(r, on).select(*[F.col(f"l.{c}").alias(c) for c in scope],
                                 F.col("l.v").alias("a"), F.col("r.v").alias("b")).distinct()
-    feats = explode_sparse(vertices.select(*scope, F.col(pos).alias("v"), "idx", "w"), scope + ["v"])
-    fa = feats.select(*scope, F.col("v").alias("a"), "bucket", F.col("weight").alias("wa"))
-    fb = feats.select(*scope, F.col("v").alias("b"), "bucket", F.col("weight").alias("wb"))
+    fa = feats.select(*scope, F.col("v").alias("a"), "bucket", F.col("c").alias("ca"), F.col("sq").alias("sa"))
+    fb = feats.select(*scope, F.col("v").alias("b"), "bucket", F.col("c").alias("cb"), F.col("sq").alias("sb"))
     scored = (cand.join(fa, scope + ["a"]).join(fb, scope + ["b", "bucket"])
-              .groupBy(*scope, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")))
+              .groupBy(*scope, "a", "b").agg(
+                  (F.sum(F.col("ca") * F.col("cb")) / F.sqrt((F.first("sa") * F.first("sb")).cast("double"))).alias("sim")))
     return scored.where(_keep(F.col("sim"), threshold))
 
 
@@ -138,8 +104,7 @@ def _frame(cols: dict) -> pd.DataFrame:
     return pd.DataFrame({c: (v if len(v) else pd.Series([], dtype=object)) for c, v in cols.items()})
 
 
-def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool, mode: str):
-    thr = float(threshold)
+def _block_job(scope: list[str], sparse: bool, mode: str, block_rows: int):
 
     def matrices(left: pd.DataFrame, right: pd.DataFrame):
         if sparse:
@@ -148,18 +113,18 @@ def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool
             ri = li if right is left else [np.asarray(x, dtype=np.int64) for x in right["idx"]]
             cols = np.unique(np.concatenate(li + ri)) if (li or ri) else np.zeros(0, dtype=np.int64)
 
-            def build(ix_list, w_series):
+            def build(ix_list, counts):
                 m = np.zeros((len(ix_list), len(cols)), dtype=np.float64)
-                for r, (ix, ww) in enumerate(zip(ix_list, w_series)):
-                    if len(ix):
-                        m[r, np.searchsorted(cols, ix)] = np.asarray(ww, dtype=np.float64)
+                if len(cols):
+                    rows = np.repeat(np.arange(len(ix_list)), [len(ix) for ix in ix_list])
+                    m[rows, np.searchsorted(cols, np.concatenate(ix_list))] = np.concatenate(list(counts))
                 return m
-            A = build(li, left["w"])
-            return A, (A if right is left else build(ri, right["w"]))
+            A = build(li, left["cnt"])
+            return A, (A if right is left else build(ri, right["cnt"]))
         lv = list(left["vec"])
         rv = lv if right is left else list(right["vec"])
         if len({len(v) for v in lv} | {len(v) for v in rv}) > 1:
-            raise ValueError("Vectors must have the same dimensions")
+            raise ValueError(LENGTH_ERROR)
         A = np.asarray([np.asarray(v, dtype=np.float64) for v in lv])
         return A, (A if right is left else np.asarray([np.asarray(v, dtype=np.float64) for v in rv]))
 
@@ -169,11 +134,14 @@ def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool
         if len(left) == 0 or len(right) == 0:
             return
         A, B = matrices(left, right)
-        na = np.sqrt((A * A).sum(axis=1))
-        nb = na if B is A else np.sqrt((B * B).sum(axis=1))
+        qa = (A * A).sum(axis=1)
+        qb = qa if B is A else (B * B).sum(axis=1)
         with np.errstate(invalid="ignore", divide="ignore"):
-            S = (A @ B.T) / np.outer(na, nb)
-        S[(na == 0)[:, None] | (nb == 0)[None, :]] = 0.0
+            if sparse:  # integers: dot and squared norms are exact, equal texts give 1.0
+                S = (A @ B.T) / np.sqrt(np.outer(qa, qb))
+            else:
+                S = (A @ B.T) / np.outer(np.sqrt(qa), np.sqrt(qb))
+        S[(qa == 0)[:, None] | (qb == 0)[None, :]] = 0.0
         pa = left["v"].to_numpy()
         pb = right["v"].to_numpy()
         if lo == hi:
@@ -185,13 +153,14 @@ def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool
                 out.append((skey, None, None, float(vals.max())))
             return
         with np.errstate(invalid="ignore"):
-            keep = S >= thr  # NaN compares False: never an edge
+            keep = S >= float(left["t"].iloc[0])  # NaN compares False: never an edge
         if lo == hi:
             keep &= tri
-        ii, jj = np.nonzero(keep)
+        done = mode == "groups" and int(left["n"].iloc[0]) <= block_rows
+        ii, jj = _led(keep, pa) if done else np.nonzero(keep)
         if len(ii):
             a, b = pa[ii], pb[jj]
-            out.append((skey, np.minimum(a, b), np.maximum(a, b), S[ii, jj]))
+            out.append((skey, np.minimum(a, b), np.maximum(a, b), S[ii, jj], done))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
@@ -206,23 +175,39 @@ def _block_job(scope: list[str], threshold: float, dim: int | None, sparse: bool
                     cols[c].append(skey[k])
                 cols["max_sim"].append(m)
             return _frame(cols)
-        a_parts, b_parts, s_parts = [], [], []
-        for skey, a, b, sim in out:
+        a_parts, b_parts, s_parts, flags = [], [], [], []
+        for skey, a, b, sim, done in out:
             for k, c in enumerate(scope):
                 cols[c].extend([skey[k]] * len(a))
-            a_parts.append(a); b_parts.append(b); s_parts.append(sim)
+            a_parts.append(a); b_parts.append(b); s_parts.append(sim); flags.append(np.full(len(a), done))
         res = _frame(cols)
         res["a"] = np.concatenate(a_parts) if a_parts else np.zeros(0, dtype=np.int64)
         res["b"] = np.concatenate(b_parts) if b_parts else np.zeros(0, dtype=np.int64)
         res["sim"] = np.concatenate(s_parts) if s_parts else np.zeros(0, dtype=np.float64)
+        if mode == "groups":
+            res["grouped"] = np.concatenate(flags) if flags else np.zeros(0, dtype=bool)
         return res
 
     return run
 
 
+def _led(near: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, member) rows of a whole scope from its similarity marks.
+
+    By the set definition of the grouping: in position order a row that no
+    leader has claimed leads, and claims the unclaimed rows it is marked with.
+    """
+    claimed = np.full(len(pos), -1)
+    for i in np.argsort(pos, kind="stable"):
+        if claimed[i] < 0:
+            claimed[near[i] & (claimed < 0)] = i
+    members = np.flatnonzero(claimed >= 0)
+    return claimed[members], members
+
+
 def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos",
-                vector: str | None = "vector", dim: int | None = None,
-                block_rows: int = DEFAULT_BLOCK_ROWS, mode: str = "edges") -> DataFrame:
+                vector: str | None = "vector", block_rows: int = DEFAULT_BLOCK_ROWS, mode: str = "edges",
+                threshold_col: str | None = None) -> DataFrame:
     """Exact edges by block-matrix multiplication.
 
     A scope of ``n`` rows is cut into ``ceil(n / block_rows)`` blocks by
@@ -232,12 +217,16 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
     into ``ceil(small_rows / block_rows)`` groups, so thousands of small
     documents cost a few Python calls, not one each. Inside a group, each
     scope is multiplied alone (numpy). With ``vector=None`` the sparse
-    ``idx``/``w`` columns are densified over the buckets a block pair uses.
-    ``mode="max"`` returns ``scope..., max_sim`` per scope instead (J3).
+    ``idx``/``cnt`` columns are densified over the buckets a block pair uses.
+    ``mode="max"`` returns ``scope..., max_sim`` per scope instead (J3);
+    ``mode="groups"`` adds ``grouped``: for scopes that fit in a block the
+    rows are final (leader, member) pairs, for larger ones edges.
+    ``threshold_col`` gives each scope its own threshold.
     """
     sparse = vector is None
-    cols = ["idx", "w"] if sparse else [F.col(vector).alias("vec")]
-    v = vertices.select(*scope, F.col(pos).alias("v"), *cols)
+    cols = ["idx", "cnt"] if sparse else [F.col(vector).alias("vec")]
+    own = F.lit(float(threshold)) if threshold_col is None else F.col(threshold_col)
+    v = vertices.select(*scope, F.col(pos).alias("v"), own.cast("double").alias("t"), *cols)
     if scope:
         # one row per scope; the join lets AQE split a hot scope (skew join)
         v = v.join(v.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")), scope)
@@ -256,7 +245,7 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
             F.lit(packs) + F.pmod(F.xxhash64(*scope, "lo", "hi"), F.lit((1 << 62) - 1)))
     else:
         gkey = F.xxhash64("lo", "hi")
-    v = v.withColumn("_g", gkey).drop("_other", "_n")
+    v = v.withColumn("_g", gkey).withColumnRenamed("_n", "n").drop("_other")
     vt = v.schema["v"].dataType
     scope_fields = [vertices.schema[c] for c in scope]
     if mode == "max":
@@ -264,7 +253,9 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
     else:
         schema = T.StructType(scope_fields + [
             T.StructField("a", vt), T.StructField("b", vt), T.StructField("sim", T.DoubleType())])
-    job = _block_job(scope, threshold, dim, sparse, mode)
+        if mode == "groups":
+            schema = schema.add("grouped", T.BooleanType())
+    job = _block_job(scope, sparse, mode, block_rows)
     out = v.groupBy("_g").applyInPandas(lambda pdf: job(pdf), schema)
     if mode == "max":
         return out.groupBy(*scope).agg(F.max("max_sim").alias("max_sim"))
@@ -272,12 +263,12 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
 
 
 def max_similarity(vertices: DataFrame, scope: list[str], pos: str = "pos", vector: str | None = "vector",
-                   dim: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Highest similarity between two texts of each scope.
 
     Computed block by block; only one number per block pair leaves a task.
     """
-    return block_pairs(vertices, scope, float("-inf"), pos, vector, dim, block_rows, mode="max")
+    return block_pairs(vertices, scope, float("-inf"), pos, vector, block_rows, mode="max")
 
 
 # --------------------------------------------------------------------- J4

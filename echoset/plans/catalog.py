@@ -23,11 +23,9 @@ from echoset.sources.documents import lines_as_xml, read_table
 LINE_T = 0.75
 EMB_T = 0.3
 DOC_T = 0.9
-# 0.5 is avoided: two-word turns sharing one word sit at exactly 1/sqrt(4), a
-# floating-point tie where engines legitimately round either way (sf0.1 has one).
-# At 0.55 the nearest pair is 5e-5 away (sf0.1) and 1e-3 away (sf0.01).
-CONV_T = 0.55
+CONV_T = 0.5
 DIM = DEFAULT_DIM
+DOC_DIM = 1 << 20  # whole documents across the corpus
 
 
 def _prep(spark: SparkSession) -> None:
@@ -74,12 +72,12 @@ def _line_pairs_out(e):
 
 def q_line_pairs(spark, sf_dir):
     """Per-document pairs of distinct passages, packed block-matrix job."""
-    return _line_pairs_out(block_pairs(_line_vertices(spark, sf_dir), ["doc_id"], LINE_T, vector=None, dim=DIM))
+    return _line_pairs_out(block_pairs(_line_vertices(spark, sf_dir), ["doc_id"], LINE_T, vector=None))
 
 
 def q_line_pairs_prefix(spark, sf_dir):
     """The same pairs from the prefix-filtered inverted index."""
-    return _line_pairs_out(sparse_pairs(_line_vertices(spark, sf_dir), ["doc_id"], LINE_T, DIM))
+    return _line_pairs_out(sparse_pairs(_line_vertices(spark, sf_dir), ["doc_id"], LINE_T))
 
 
 def line_members(spark, sf_dir, threshold=LINE_T, **kw):
@@ -91,6 +89,12 @@ def q_line_groups(spark, sf_dir):
     return m.select("doc_id", "leader_semid", "semid", "is_leader", _r6("similarity"), "text")
 
 
+def q_line_groups_exact(spark, sf_dir):
+    """Groups at threshold 1.0: passages of equal word counts, copies included."""
+    m = line_members(spark, sf_dir, 1.0)
+    return m.select("doc_id", "leader_semid", "semid", "is_leader", _r6("similarity"))
+
+
 def _summary_cols(scope, order):
     return [*scope, f"leader_{order}", "size", _r6("avg_similarity"), _r6("min_similarity"),
             _r6("max_similarity"), _r6("var_similarity"), _r6("iqr_similarity"), _r6("relative_size")]
@@ -126,7 +130,7 @@ def q_embedding_groups_global(spark, sf_dir):
 def q_document_groups_global(spark, sf_dir):
     _prep(spark)
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    m = group_items(docs, [], "doc_id", DOC_T)
+    m = group_items(docs, [], "doc_id", DOC_T, dim=DOC_DIM)
     return m.select("leader_doc_id", "doc_id", "is_leader", _r6("similarity"))
 
 
@@ -237,6 +241,7 @@ QUERIES = {
     "line_pairs": q_line_pairs,
     "line_pairs_prefix": q_line_pairs_prefix,
     "line_groups": q_line_groups,
+    "line_groups_exact": q_line_groups_exact,
     "line_group_summary": q_line_group_summary,
     "embedding_pairs": q_embedding_pairs,
     "embedding_groups_label": q_embedding_groups_label,
@@ -257,8 +262,8 @@ QUERIES = {
 
 # ---------------------------------------------------------------- oracles
 
-def _groups_sql(scope, order, threshold, items_ctes, src="items", with_text=True, extra=()):
-    return O.with_clause(*items_ctes, O.hashed(scope, order, DIM, src), O.sparse_edges(scope, threshold),
+def _groups_sql(scope, order, threshold, items_ctes, src="items", with_text=True, extra=(), dim=DIM):
+    return O.with_clause(*items_ctes, O.hashed(scope, order, dim, src), O.sparse_edges(scope, threshold),
                          O.greedy(scope), O.members_cte(scope, order, with_text, src, extra))
 
 
@@ -269,7 +274,7 @@ SELECT *, round(size / max(size) OVER (PARTITION BY {s}), 6) AS relative_size FR
   SELECT {s}, leader_{order}, count(*) AS size,
          round(avg(sim), 6) AS avg_similarity, round(min(sim), 6) AS min_similarity,
          round(max(sim), 6) AS max_similarity, round(var_pop(sim), 6) AS var_similarity,
-         round(quantile_disc(sim, 0.75) - quantile_disc(sim, 0.25), 6) AS iqr_similarity
+         round(quantile_cont(sim, 0.75) - quantile_cont(sim, 0.25), 6) AS iqr_similarity
   FROM members GROUP BY {s}, leader_{order})"""
 
 
@@ -299,6 +304,8 @@ ORACLES = {
     + "\nSELECT doc_id, a AS semid_a, b AS semid_b, round(sim, 6) AS similarity FROM edges",
     "line_groups": _groups_sql(["doc_id"], "semid", LINE_T, [LINES])
     + "\nSELECT doc_id, leader_semid, semid, is_leader, round(sim, 6) AS similarity, text FROM members",
+    "line_groups_exact": _groups_sql(["doc_id"], "semid", 1.0, [LINES], with_text=False)
+    + "\nSELECT doc_id, leader_semid, semid, is_leader, round(sim, 6) AS similarity FROM members",
     "line_group_summary": _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + _summary_sql(["doc_id"], "semid"),
     "embedding_pairs": O.with_clause(O.dense_edges(["label"], "vec_id", "embedding", EMB_T, "embeddings"))
     + "\nSELECT label, a AS vec_id_a, b AS vec_id_b, round(sim, 6) AS similarity FROM edges",
@@ -306,7 +313,7 @@ ORACLES = {
     + "\nSELECT label, leader_vec_id, vec_id, is_leader, round(sim, 6) AS similarity FROM members",
     "embedding_groups_global": _emb_groups(["_g"], EMB_G, "emb", ("label",))
     + "\nSELECT leader_vec_id, vec_id, is_leader, round(sim, 6) AS similarity, label FROM members",
-    "document_groups_global": _groups_sql(["_g"], "doc_id", DOC_T, [DOCS_G], "docs", False)
+    "document_groups_global": _groups_sql(["_g"], "doc_id", DOC_T, [DOCS_G], "docs", False, dim=DOC_DIM)
     + "\nSELECT leader_doc_id, doc_id, is_leader, round(sim, 6) AS similarity FROM members",
     "conversation_groups": _groups_sql(["conv_id"], "turn", CONV_T, [CONV], "conv", False, ("role",))
     + "\nSELECT conv_id, leader_turn, turn, is_leader, round(sim, 6) AS similarity, role FROM members",
@@ -338,7 +345,7 @@ ORACLES["document_outcomes"] = _outcomes_sql()
 ORACLES["streamed_document_outcomes"] = ORACLES["document_outcomes"]
 ORACLES["line_max_similarity"] = O.with_clause(LINES, O.hashed(["doc_id"], "semid", DIM)) + """,
 pairmax AS (
-  SELECT x.doc_id, x.pos AS a, y.pos AS b, sum(x.w * y.w) AS sim
+  SELECT x.doc_id, x.pos AS a, y.pos AS b, sum(x.c * y.c) / sqrt(any_value(x.sq) * any_value(y.sq)) AS sim
   FROM wf x JOIN wf y ON x.doc_id = y.doc_id AND x.bucket = y.bucket AND x.pos < y.pos GROUP BY ALL
 ),
 multi AS (SELECT doc_id FROM items GROUP BY doc_id HAVING count(*) >= 2)

@@ -44,7 +44,8 @@ feats AS (
   FROM words WHERE word <> '' GROUP BY ALL
 ),
 wf AS (
-  SELECT {s}, pos, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY {s}, pos)) AS w FROM feats
+  SELECT {s}, pos, bucket, c, sum(c * c) OVER (PARTITION BY {s}, pos)::BIGINT AS sq,
+         c / sqrt(sum(c * c) OVER (PARTITION BY {s}, pos)) AS w FROM feats
 )"""
 
 
@@ -52,9 +53,10 @@ def sparse_edges(scope: list[str], threshold: float) -> str:
     s = ", ".join(f"x.{c}" for c in scope)
     return f"""
 edges AS (
-  SELECT {s}, x.pos AS a, y.pos AS b, sum(x.w * y.w) AS sim
-  FROM wf x JOIN wf y ON {_on(scope, 'x', 'y')} AND x.bucket = y.bucket AND x.pos < y.pos
-  GROUP BY ALL HAVING sum(x.w * y.w) >= {threshold}
+  SELECT * FROM (
+    SELECT {s}, x.pos AS a, y.pos AS b, sum(x.c * y.c) / sqrt((any_value(x.sq) * any_value(y.sq))::DOUBLE) AS sim
+    FROM wf x JOIN wf y ON {_on(scope, 'x', 'y')} AND x.bucket = y.bucket AND x.pos < y.pos
+    GROUP BY ALL) WHERE sim >= {threshold}
 )"""
 
 

@@ -16,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoset.operators.embed import DEFAULT_DIM, as_double_vector, with_hashing_vectors
-from echoset.operators.grouping import DEFAULT_LOCAL_LIMIT, assign_members, greedy_leaders
-from echoset.operators.pairs import (DEFAULT_BLOCK_ROWS, block_pairs, cosine, self_similarity_sparse,
-                                     sparse_pairs)
+from echoset.operators.embed import DEFAULT_DIM, as_double_vector, with_hashing_counts
+from echoset.operators.grouping import assign_members, greedy_leaders
+from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs, cosine, sparse_pairs
 from echoset.sources.documents import DEFAULT_THRESHOLD
 
 
@@ -27,11 +26,7 @@ def vector_length_errors(items: DataFrame, scope: list[str], vector: str) -> Dat
     """``(scope..., error)`` for scopes whose vectors differ in length."""
     by = items.groupBy(*scope).agg(F.min(F.size(vector)).alias("_lo"), F.max(F.size(vector)).alias("_hi"))
     return by.where(F.col("_lo") != F.col("_hi")).select(
-        *scope, F.lit("Vectors must have the same dimensions").alias("error"))
-
-
-IQR_ACCURACY = 10_000
-SPARSE_MAX_DENSITY = 0.02  # mean share of buckets per vector up to which J2c beats J2b
+        *scope, F.lit(LENGTH_ERROR).alias("error"))
 
 
 def distinct_vertices(items: DataFrame, scope: list[str], order: str, content: str) -> DataFrame:
@@ -42,44 +37,36 @@ def distinct_vertices(items: DataFrame, scope: list[str], order: str, content: s
 def encode_vertices(vertices: DataFrame, content: str, encoder: str, dim: int) -> DataFrame:
     """Adds the vector columns and ``selfsim`` (similarity of a copy with itself)."""
     if encoder == "hashing":
-        v = with_hashing_vectors(vertices, content, dim)
-        return v.withColumn("selfsim", self_similarity_sparse(F.col("w")))
+        v = with_hashing_counts(vertices, content, dim)
+        return v.withColumn("selfsim", F.when(F.col("sq") > 0, 1.0).otherwise(0.0))
     if encoder == "precomputed":
         v = vertices.withColumn("vector", as_double_vector(F.col(content)))
         return v.withColumn("selfsim", cosine(F.col("vector"), F.col("vector")))
     raise ValueError(f"unknown encoder {encoder!r}")
 
 
-def similar_edges(vertices: DataFrame, scope: list[str], threshold: float, encoder: str, dim: int,
-                  strategy: str = "auto", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """J2 with the strategy chosen from the vector kind, scope and threshold.
+def led_and_edges(vertices: DataFrame, scope: list[str], threshold: float, encoder: str,
+                  block_rows: int, threshold_col: str | None) -> DataFrame:
+    """``(scope..., a, b, sim, grouped)``: final (leader, member) rows and edges still to group.
 
-    ``auto``: scoped vectors (per document, per label, ...) use the packed
-    block-matrix job; sparse hashed vectors compared across a whole corpus use
-    the prefix-filtered join, whose work follows the number of similar pairs
-    instead of the square of the corpus. Dense-ish hashed vectors (long texts
-    in a small hashed space) go to the block job, where the prefix would hold
-    common buckets anyway.
+    Inside scopes (documents, labels, requests) the packed block job groups
+    every scope that fits in a block where its similarities are computed and
+    gives edges for larger ones. Across a corpus hashed vectors go through the
+    prefix-filtered join, dense ones through blocks.
     """
-    if strategy == "auto":
-        strategy = "block"
-        if encoder == "hashing" and threshold > 0 and not scope:
-            # the prefix filter prunes only when vectors are sparse in the hashed
-            # space; long texts in a small space touch most buckets (one scalar)
-            density = (vertices.agg(F.avg(F.size("idx"))).first()[0] or 0.0) / dim
-            strategy = "sparse" if density <= SPARSE_MAX_DENSITY else "block"
-    if strategy == "sparse":
-        return sparse_pairs(vertices, scope, threshold, dim)
-    if strategy == "block":
-        if encoder == "hashing":
-            return block_pairs(vertices, scope, threshold, vector=None, dim=dim, block_rows=block_rows)
-        return block_pairs(vertices, scope, threshold, vector="vector", block_rows=block_rows)
-    raise ValueError(f"unknown pair strategy {strategy!r}")
+    vector = None if encoder == "hashing" else "vector"
+    if scope:
+        return block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows, mode="groups",
+                           threshold_col=threshold_col)
+    if encoder == "hashing" and threshold > 0:
+        edges = sparse_pairs(vertices, scope, threshold)
+    else:
+        edges = block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows)
+    return edges.withColumn("grouped", F.lit(False))
 
 
 def group_items(items: DataFrame, scope: list[str], order: str, threshold: float = DEFAULT_THRESHOLD,
                 text: str | None = "text", vector: str | None = None, dim: int = DEFAULT_DIM,
-                strategy: str = "auto", local_limit: int = DEFAULT_LOCAL_LIMIT,
                 block_rows: int = DEFAULT_BLOCK_ROWS, stats: dict | None = None,
                 threshold_col: str | None = None) -> DataFrame:
     """G1-G5 end to end. Returns one row per grouped item::
@@ -88,9 +75,10 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
 
     ``similarity`` is the member's cosine to its leader (R3), null for the
     leader. Groups of one are never reported (G3); empty input gives an empty
-    result (G5). With ``threshold_col`` each scope uses its own threshold (a
-    per-request parameter): pairs are computed once at the smallest one and
-    each scope keeps the edges that reach its own.
+    result (G5). With ``threshold_col`` each scope is compared at its own
+    threshold (a per-request parameter). The items and vertices are kept for
+    the second reading by the caller's action; ``stats["persisted"]`` names
+    them for release.
     """
     if threshold is None:
         threshold = DEFAULT_THRESHOLD  # G2
@@ -117,31 +105,26 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim)
     verts = verts.persist(StorageLevel.MEMORY_AND_DISK)
-    pair_t = threshold
-    if threshold_col is not None:
-        scope_t = base.groupBy(*scope).agg(F.min(threshold_col).cast("double").alias("_t"))
-        pair_t = scope_t.agg(F.min("_t")).first()[0]
-        if pair_t is None:
-            pair_t = threshold
-    edges = similar_edges(verts, scope, pair_t, encoder, dim, strategy, block_rows)
     if threshold_col is not None:
-        edges = edges.join(scope_t, scope).where(F.col("sim") >= F.col("_t")).drop("_t")
-    edges = edges.checkpoint(eager=True)  # read by every round and by the assignment
+        scope_t = base.groupBy(*scope).agg(F.coalesce(F.min(threshold_col), F.lit(threshold)).cast("double").alias("_t"))
+        verts = verts.join(scope_t, scope)
+    found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None)
+    found = found.checkpoint(eager=True)  # read by every round and by the assignment
+    edges = found.where(~F.col("grouped")).drop("grouped")
     if stats is not None:
         stats["persisted"] = [base, verts]
         stats["edges_sec"] = round(time.time() - clock, 2)
-    leaders = greedy_leaders(edges, scope, local_limit, stats=stats, edges_checkpointed=True)
+    leaders = greedy_leaders(edges, scope, stats=stats, edges_checkpointed=True)
     if stats is not None:
         stats["leaders_sec"] = round(time.time() - clock, 2)
-    assign = assign_members(edges, leaders, scope)
+    led = found.where("grouped").select(*scope, F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
+    assign = led.unionByName(assign_members(edges, leaders, scope))
     roles = (assign.select(*scope, F.col("member").alias("pos"), "leader", "sim")
              .unionByName(assign.select(*scope, F.col("leader").alias("pos"), "leader",
                                         F.lit(None).cast("double").alias("sim")).distinct()))
     thr = F.col("_t") if threshold_col is not None else F.lit(float(threshold))
     self_ok = (F.col("selfsim") >= thr) & ~F.isnan("selfsim")
-    vflags = verts.select(*scope, content, "pos", "copies", "selfsim")
-    if threshold_col is not None:
-        vflags = vflags.join(scope_t, scope)
+    vflags = verts.select(*scope, content, "pos", "copies", "selfsim", *(["_t"] if threshold_col else []))
     roles = (vflags.join(roles, scope + ["pos"], "left")
              .where(F.col("leader").isNotNull() | ((F.col("copies") > 1) & self_ok))
              .withColumn("leader", F.coalesce("leader", "pos"))
@@ -176,9 +159,7 @@ def group_summary(members: DataFrame, scope: list[str], order: str, threshold: f
         F.min("similarity").alias("min_similarity"),
         F.max("similarity").alias("max_similarity"),
         F.var_pop("similarity").alias("var_similarity"),
-        # bounded-memory quantile sketch (exact while a group has fewer values than its accuracy)
-        (F.percentile_approx("similarity", 0.75, IQR_ACCURACY)
-         - F.percentile_approx("similarity", 0.25, IQR_ACCURACY)).alias("iqr_similarity"),
+        (F.percentile("similarity", 0.75) - F.percentile("similarity", 0.25)).alias("iqr_similarity"),
     )
     if scope:
         largest = g.groupBy(*scope).agg(F.max("size").alias("_largest"))
@@ -221,7 +202,7 @@ def max_similarity_items(items: DataFrame, scope: list[str], order: str, text: s
     verts = encode_vertices(distinct_vertices(items.where(F.col(content).isNotNull()), scope, order, content),
                             content, encoder, dim).persist(StorageLevel.MEMORY_AND_DISK)
     if encoder == "hashing":
-        between = max_similarity(verts, scope, vector=None, dim=dim, block_rows=block_rows)
+        between = max_similarity(verts, scope, vector=None, block_rows=block_rows)
     else:
         between = max_similarity(verts, scope, vector="vector", block_rows=block_rows)
     copies = (verts.where(F.col("copies") > 1).groupBy(*scope).agg(F.max("selfsim").alias("copy_sim")))

@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pytest
 
-from echoset.operators.grouping import greedy_walk
 from echoset.plans.passages import group_items
 
 
@@ -28,7 +27,18 @@ def cos(a, b):
 
 
 def walk(vecs, t):
-    return sorted(sorted(g) for g in greedy_walk(vecs, lambda i, j: cos(vecs[i], vecs[j]), t))
+    """Groups by definition: a vector leads unless an earlier leader is similar; others join their smallest one."""
+    n = len(vecs)
+    earlier = [[i for i in range(j) if cos(vecs[i], vecs[j]) >= t] for j in range(n)]
+    leaders = []
+    groups = {}
+    for j in range(n):
+        mine = [i for i in leaders if i in earlier[j]]
+        if mine:
+            groups.setdefault(min(mine), [min(mine)]).append(j)
+        else:
+            leaders.append(j)
+    return sorted(sorted(g) for g in groups.values())
 
 
 def test_two_near_one_far_one_opposite(spark):
@@ -81,7 +91,7 @@ def test_chain_rounds_equal_local_walk(spark):
     t = math.cos(0.075)
     expected = walk(vecs, t)
     stats = {}
-    assert run_groups(spark, vecs, t, local_limit=0, stats=stats) == expected
+    assert run_groups(spark, vecs, t, block_rows=8, stats=stats) == expected
     assert stats["rounds"] > 1
     assert run_groups(spark, vecs, t) == expected
 
@@ -92,7 +102,7 @@ def test_random_invariants(spark, seed):
     vecs = rng.normal(size=(150, 6)).tolist()
     scope_of = lambda i: f"s{i % 3}"
     t = 0.6
-    got = run_groups(spark, vecs, t, scope_of=scope_of, local_limit=5)
+    got = run_groups(spark, vecs, t, scope_of=scope_of, block_rows=20)
     exp = []
     for s in range(3):
         idx = [i for i in range(150) if i % 3 == s]
@@ -119,7 +129,7 @@ def test_pure_rounds_equal_walk(spark, seed):
     vecs = rng.normal(size=(90, 3)).tolist()
     for t in (0.6, 0.85):
         stats = {}
-        assert run_groups(spark, vecs, t, local_limit=0, stats=stats) == walk(vecs, t)
+        assert run_groups(spark, vecs, t, block_rows=8, stats=stats) == walk(vecs, t)
         assert stats["rounds"] >= 1
 
 
@@ -145,4 +155,4 @@ def test_rounds_on_real_embeddings(spark):
         if x not in covered:
             leaders.add(x)
             covered |= later.get(x, set())
-    assert {r.v for r in greedy_leaders(e, [], 0).collect()} == leaders
+    assert {r.v for r in greedy_leaders(e, []).collect()} == leaders

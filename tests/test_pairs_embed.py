@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from echoset.operators.embed import mean_pool, token_ids, with_hashing_vectors
+from echoset.operators.embed import mean_pool, token_ids, with_hashing_counts, with_hashing_vectors
 from echoset.operators.pairs import block_pairs, lsh_pairs, max_similarity, sparse_pairs
 from echoset.sources.documents import read_vocab
 
@@ -50,13 +50,13 @@ def test_sparse_block_and_brute_force_agree(spark, t):
     texts = [" ".join(rng.choice(vocab, size=rng.integers(3, 12))) for _ in range(120)]
     scope = [i % 4 for i in range(120)]
     df = spark.createDataFrame([(scope[i], i, x) for i, x in enumerate(texts)], "doc int, pos int, text string")
-    v = with_hashing_vectors(df, "text", 128).cache()
+    v = with_hashing_counts(df, "text", 128).cache()
     exp = brute([py_hash(x, 128) for x in texts], scope, t)
-    sp = {(r.doc, r.a, r.b) for r in sparse_pairs(v, ["doc"], t, 128).collect()}
-    bl = {(r.doc, r.a, r.b) for r in block_pairs(v, ["doc"], t, vector=None, dim=128, block_rows=7).collect()}
+    sp = {(r.doc, r.a, r.b) for r in sparse_pairs(v, ["doc"], t).collect()}
+    bl = {(r.doc, r.a, r.b) for r in block_pairs(v, ["doc"], t, vector=None, block_rows=7).collect()}
     assert sp == exp and bl == exp
     glob = {(0, i, j) for _, i, j in brute([py_hash(x, 128) for x in texts], [0] * 120, t)}
-    assert {(0, r.a, r.b) for r in sparse_pairs(v, [], t, 128).collect()} == glob
+    assert {(0, r.a, r.b) for r in sparse_pairs(v, [], t).collect()} == glob
 
 
 def test_dense_block_lsh_and_max(spark):
