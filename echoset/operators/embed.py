@@ -101,12 +101,13 @@ def as_double_vector(v: Column) -> Column:
 
 # ------------------------------------------------------------------ model path
 
-def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols: list[str] | None = None) -> DataFrame:
+def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols: list[str] | None = None,
+              max_words: int | None = None) -> DataFrame:
     """Model inputs from text with whole-word vocabulary lookup.
 
     ``vocab`` is ``(token string, id int)``. Words are split on whitespace,
-    lower-cased and looked up whole (unknown -> ``[UNK]``); at most 510
-    words; framed by ``[CLS]`` ... ``[SEP]``. Returns ``keys..., input_ids
+    lower-cased and looked up whole (unknown -> ``[UNK]``); whole texts unless
+    ``max_words`` is given (``MAX_WORDS`` for the reference's model); framed by ``[CLS]`` ... ``[SEP]``. Returns ``keys..., input_ids
     array<bigint>, attention_mask, token_type_ids``. The vocabulary join is
     an equi-join on the token (shuffle or broadcast, chosen by the planner
     from its size).
@@ -116,8 +117,9 @@ def token_ids(df: DataFrame, vocab: DataFrame, text_col: str = "text", key_cols:
     found = {r["token"]: r["id"] for r in
              vocab.where(F.col("token").isin("[UNK]", "[CLS]", "[SEP]")).groupBy("token").agg(F.max("id").alias("id")).collect()}
     unk, cls, sep = found.get("[UNK]", UNK_ID), found.get("[CLS]", CLS_ID), found.get("[SEP]", SEP_ID)
-    words = df.select(*keys, F.posexplode(F.split(F.col(text_col), "\\s+")).alias("wpos", "word")).where(
-        F.col("wpos") < MAX_WORDS)
+    words = df.select(*keys, F.posexplode(F.split(F.col(text_col), "\\s+")).alias("wpos", "word"))
+    if max_words is not None:
+        words = words.where(F.col("wpos") < max_words)
     looked = words.join(vocab.withColumnRenamed("token", "_tok"), F.lower(F.col("word")) == F.col("_tok"), "left")
     ids = looked.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("wpos", F.coalesce(F.col("id").cast("bigint"), F.lit(unk).cast("bigint")).alias("tid")))).alias("_s"))
@@ -135,20 +137,17 @@ def mean_pool(token_states: DataFrame, key: str = "id") -> DataFrame:
     """T7 + T8 over ``(key, states array<array<float>>)``: average every
     dimension over all tokens (markers included), then L2 normalise.
 
-    Pure Spark: each token row is one array, summed dimension-wise with
-    ``zip_with`` inside one aggregation per key (no per-dimension explode).
+    Pure Spark, row by row: the token vectors already lie in the row and are
+    folded in their order, so there is no shuffle and the sums never vary.
     """
-    tokens = token_states.select(key, F.explode("states").alias("tok")).select(key, as_double_vector(F.col("tok")).alias("tok"))
-    summed = tokens.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.reduce(F.collect_list("tok"), F.lit(None).cast("array<double>"),
-                 lambda acc, x: F.when(acc.isNull(), x).otherwise(F.zip_with(acc, x, lambda a, b: a + b))).alias("_s"),
-    )
-    mean = F.transform("_s", lambda x: x / F.col("_n"))
-    return summed.select(key, l2_normalize(mean).alias("vector"))
+    first = F.transform(F.element_at("states", 1), lambda x: F.lit(0.0))
+    total = F.aggregate("states", first, lambda acc, tok: F.zip_with(acc, tok, lambda a, b: a + b.cast("double")))
+    mean = F.transform(F.arrays_zip(total.alias("x"), F.array_repeat(F.size("states"), F.size(total)).alias("n")),
+                       lambda z: z["x"] / z["n"])
+    return token_states.select(key, mean.alias("_mean")).select(key, l2_normalize(F.col("_mean")).alias("vector"))
 
 
-def model_encoder(model_dir: str, dim: int, batch_size: int = 64):
+def model_encoder(model_dir: str, dim: int):
     """T6 + T9: ``mapInPandas`` function running an ONNX model per Arrow batch.
 
     The model is loaded once per Python worker; each text's token states are

@@ -20,6 +20,7 @@ normalised by :func:`normalize_space` (X3); empty texts are dropped (P5), so
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -175,41 +176,42 @@ def parse_errors(docs: DataFrame, elements: str = DEFAULT_ELEMENTS) -> DataFrame
         "doc_id", F.col("parse_error").alias("error"))
 
 
-def extraction_counts(docs: DataFrame, elements: str = DEFAULT_ELEMENTS) -> DataFrame:
-    """A1 + P4 + X7 in one pass: per document, texts extracted and parse error.
-
-    ``(doc_id, n_texts bigint, error string)``; ``n_texts`` is 0 both for
-    documents without a matching non-empty element and for bad documents.
-    """
-    parsed = parse_documents(docs, elements)
-    text = normalize_space("raw_text")
-    return parsed.groupBy("doc_id").agg(
-        F.count(F.when(F.col("parse_error").isNull() & (text != ""), 1)).alias("n_texts"),
-        F.max("parse_error").alias("error"),
-    )
+# ---------------------------------------------------------------- X6 / R13
 
+_START_TAG = re.compile(rb"""<[^\s/>]+(?:\s+[^\s=/>]+\s*=\s*(?:"[^"]*"|'[^']*'))*""")
+_OLD_ATTRIBUTE = re.compile(rb"""\s+""" + SEMID_ATTRIBUTE.encode() + rb"""\s*=\s*(?:"[^"]*"|'[^']*')""")
 
-# ---------------------------------------------------------------- X6 / R13
 
 def _annotate_one(xml: str, names: frozenset[str]):
-    from xml.dom import expatbuilder
+    """The document as it stands, with the attribute written into matching start tags.
+
+    One streaming pass notes where the tags begin; everything else, prolog,
+    comments and entities included, is copied unchanged at any depth.
+    """
     from xml.parsers import expat
 
+    data = xml.encode("utf-8", "surrogatepass")
+    parser = expat.ParserCreate("utf-8")
+    found: list[tuple[int, bytes]] = []
+
+    def start(name, _attrs):
+        if name in names:
+            found.append((parser.CurrentByteIndex, name.encode()))
+
+    parser.StartElementHandler = start
     try:
-        dom = expatbuilder.parseString(xml, namespaces=False)
+        parser.Parse(data, True)
     except (expat.ExpatError, ValueError) as exc:
         return None, f"malformed XML: {exc}"
-    n = 0
-    # depth-first pre-order over elements = document order of start tags
-    stack = [dom.documentElement]
-    while stack:
-        node = stack.pop()
-        if node.tagName in names:
-            n += 1
-            node.setAttribute(SEMID_ATTRIBUTE, str(n))
-        kids = [c for c in node.childNodes if c.nodeType == c.ELEMENT_NODE]
-        stack.extend(reversed(kids))
-    return dom.documentElement.toxml(), None
+    out, done = [], 0
+    for n, (at, name) in enumerate(found, 1):
+        if not data.startswith(b"<" + name, at) or at < done:
+            continue  # an element inside an entity's replacement text has no tag here
+        tag = _START_TAG.match(data, at)
+        after = at + 1 + len(name)
+        out += [data[done:after], f' {SEMID_ATTRIBUTE}="{n}"'.encode(), _OLD_ATTRIBUTE.sub(b"", data[after:tag.end()])]
+        done = tag.end()
+    return b"".join([*out, data[done:]]).decode("utf-8", "surrogatepass"), None
 
 
 def annotate_documents(docs: DataFrame, elements: str = DEFAULT_ELEMENTS) -> DataFrame:

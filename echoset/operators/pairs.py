@@ -286,8 +286,9 @@ def lsh_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str
 
     dist = math.sqrt(max(0.0, 2.0 - 2.0 * float(threshold)))
     norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform(vector, lambda x: x.cast("double") / norm)
-    data = vertices.select(*scope, F.col(pos).alias("v"), array_to_vector(unit).alias("features"))
+    unit = F.transform(vector, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
+    # a zero vector has no direction: it is similar to nothing at a positive threshold
+    data = vertices.where(norm > 0).select(*scope, F.col(pos).alias("v"), array_to_vector(unit).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(data)
     joined = model.approxSimilarityJoin(data, data, dist, distCol="dist")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from echoset.functions.text import normalize_space
 from echoset.operators.extract import parse_documents
-from echoset.plans.passages import group_items
+from echoset.plans.passages import group_items, vector_length_errors
 from echoset.sources.documents import DEFAULT_ELEMENTS, DEFAULT_THRESHOLD
 
 # Fixed values of the reference (request checks and result messages), verbatim.
@@ -28,7 +28,6 @@ MSG_BAD_ELEMENTS = "Elements parameter should be a space separated string of val
 MSG_BAD_THRESHOLD = "Threshold must be between 0.0 and 1.0."
 MSG_NO_XML = "xmlContent was not provided in request body."
 MSG_EMPTY_XML = "XML content is empty or invalid"
-MSG_BAD_ENCODING = "URLDecoder.decode failed"
 MSG_PROCESSING = "Processing in progress. Please try again later."
 MSG_ERROR = "An error occurred during processing."
 MSG_NO_TEXT = ("No embeddings were generated. This may be because no matching elements were found in your XML. "
@@ -37,6 +36,8 @@ MSG_NO_TEXT = ("No embeddings were generated. This may be because no matching el
 ERR_NO_TEXT = "No sentences found in XML. Revise elements query parameter or check data."
 MSG_GROUPS = "Processing completed. Similarity groups are available."
 MSG_NO_GROUPS = "Processing completed but no similarity groups were created for this session."
+# Own wording: causes the reference does not name.
+MSG_BAD_ENCODING = "Elements parameter is not valid URL encoding."
 STATUSES = ("PROCESSING", "COMPLETED", "ERROR", "NO_TEXT_EXTRACTED")
 RUN_TTL_MINUTES = 60
 
@@ -60,7 +61,7 @@ def validate_documents(docs: DataFrame, elements_col: str | None = "elements",
            .when(~decoded.rlike(ELEMENTS_PATTERN), F.lit(MSG_BAD_ELEMENTS))
            .when(thr.isNotNull() & (F.isnan(thr) | (thr < 0.0) | (thr > 1.0)), F.lit(MSG_BAD_THRESHOLD))
            .when(F.col("xml").isNull(), F.lit(MSG_NO_XML))
-           .when(F.trim(F.col("xml")) == "", F.lit(MSG_EMPTY_XML)))
+           .when(F.col("xml").rlike(r"\A[\x00-\x20]*\z"), F.lit(MSG_EMPTY_XML)))
     keep = [c for c in docs.columns if c not in (elements_col, threshold_col, "elements", "threshold", "error")]
     return docs.select(*keep, decoded.alias("elements"),
                        F.coalesce(thr, F.lit(DEFAULT_THRESHOLD)).alias("threshold"), err.alias("error"))
@@ -75,8 +76,33 @@ def outcome_message(status: Column, n_groups: Column) -> Column:
             .otherwise(F.lit(MSG_NO_GROUPS)))
 
 
+def _count_outcomes(parsed: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Status, message and counts per ``key`` from one parse and its groups."""
+    per_doc = parsed.groupBy(key).agg(
+        F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("n_texts"),
+        F.max("parse_error").alias("parse_error"))
+    grouped = members.groupBy(key).agg(
+        F.count(F.when(F.col("is_leader"), 1)).alias("n_groups"), F.count(F.lit(1)).alias("grouped_texts"))
+    o = per_doc.join(grouped, key, "left").fillna(0, ["n_groups", "grouped_texts"])
+    status = (F.when(F.col("parse_error").isNotNull(), F.lit("ERROR"))
+              .when(F.col("n_texts") == 0, F.lit("NO_TEXT_EXTRACTED"))
+              .otherwise(F.lit("COMPLETED")))
+    return o.withColumn("status", status).select(
+        key, "status", outcome_message(F.col("status"), F.col("n_groups")).alias("message"),
+        F.when(F.col("status") == "NO_TEXT_EXTRACTED", F.lit(ERR_NO_TEXT)).otherwise(F.col("parse_error")).alias("error"),
+        "n_texts", "n_groups", "grouped_texts",
+        (F.col("grouped_texts") - F.col("n_groups")).alias("removable_texts"),
+        (F.col("n_texts") - F.col("n_groups")).alias("texts_minus_groups"))
+
+
+def _texts(parsed: DataFrame) -> DataFrame:
+    return (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
+            .select("doc_id", "semid", normalize_space("raw_text").alias("text"))
+            .where(F.col("text") != ""))
+
+
 def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, threshold: float = DEFAULT_THRESHOLD,
-                      observation=None, **group_kw) -> tuple[DataFrame, DataFrame]:
+                      observation=None, held: list | None = None, **group_kw) -> tuple[DataFrame, DataFrame]:
     """End-to-end run over ``(doc_id, xml)``: ``(outcomes, members)``.
 
     Each document is parsed once (persisted); the element rows feed grouping
@@ -85,7 +111,8 @@ def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, thresho
     grouped_texts, removable_texts, texts_minus_groups, threshold``.
     With a ``pyspark.sql.Observation`` the run also reports ``texts`` (A1/A2:
     texts extracted = texts embedded) and ``documents`` as observed metrics,
-    collected alongside the job instead of by an extra one.
+    collected alongside the job instead of by an extra one. ``held`` takes what
+    is persisted, for :func:`release` once both tables are written.
     """
     parsed = parse_documents(docs, elements)
     if observation is not None:  # one row per document has semid 1, or is a marker / error row
@@ -94,28 +121,33 @@ def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, thresho
             F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("texts"),
             F.count(F.when(F.col("semid").isNull() | (F.col("semid") == 1), 1)).alias("documents"))
     parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    items = (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
-             .select("doc_id", "semid", normalize_space("raw_text").alias("text"))
-             .where(F.col("text") != ""))
-    members = group_items(items, ["doc_id"], "semid", threshold, **group_kw)
-    per_doc = parsed.groupBy("doc_id").agg(
-        F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("n_texts"),
-        F.max("parse_error").alias("parse_error"))
-    grouped = members.groupBy("doc_id").agg(
+    stats: dict = {}
+    members = group_items(_texts(parsed), ["doc_id"], "semid", threshold, stats=stats, **group_kw)
+    if held is not None:
+        held += [parsed, *stats["persisted"]]
+    return _count_outcomes(parsed, members, "doc_id").withColumn("threshold", F.lit(float(threshold))), members
+
+
+def release(held: list) -> None:
+    """Unpersist what a run kept, after its tables are written."""
+    while held:
+        held.pop().unpersist()
+
+
+def vector_outcomes(items: DataFrame, scope: str, order: str, vector: str, threshold: float, **group_kw) -> DataFrame:
+    """One outcome per scope of precomputed vectors: scopes whose vectors differ in length are ERROR rows.
+
+    ``scope, status, error, n_texts, n_groups, grouped_texts``; the other scopes complete.
+    """
+    errors = vector_length_errors(items, [scope], vector)
+    members = group_items(items, [scope], order, threshold, text=None, vector=vector, **group_kw)
+    counts = items.groupBy(scope).agg(F.count(F.lit(1)).alias("n_texts"))
+    grouped = members.groupBy(scope).agg(
         F.count(F.when(F.col("is_leader"), 1)).alias("n_groups"), F.count(F.lit(1)).alias("grouped_texts"))
-    o = per_doc.join(grouped, "doc_id", "left").fillna(0, ["n_groups", "grouped_texts"])
-    status = (F.when(F.col("parse_error").isNotNull(), F.lit("ERROR"))
-              .when(F.col("n_texts") == 0, F.lit("NO_TEXT_EXTRACTED"))
-              .otherwise(F.lit("COMPLETED")))
-    o = o.withColumn("status", status)
-    o = o.select(
-        "doc_id", "status", outcome_message(F.col("status"), F.col("n_groups")).alias("message"),
-        F.when(F.col("status") == "NO_TEXT_EXTRACTED", F.lit(ERR_NO_TEXT)).otherwise(F.col("parse_error")).alias("error"),
-        "n_texts", "n_groups", "grouped_texts",
-        (F.col("grouped_texts") - F.col("n_groups")).alias("removable_texts"),
-        (F.col("n_texts") - F.col("n_groups")).alias("texts_minus_groups"),
-        F.lit(float(threshold)).alias("threshold"))
-    return o, members
+    out = counts.join(errors, scope, "left").join(grouped, scope, "left").fillna(0, ["n_groups", "grouped_texts"])
+    return out.select(
+        scope, F.when(F.col("error").isNotNull(), "ERROR").otherwise("COMPLETED").alias("status"), "error",
+        "n_texts", "n_groups", "grouped_texts")
 
 
 def live_runs(runs: DataFrame, as_of, ttl_minutes: int = RUN_TTL_MINUTES) -> DataFrame:
@@ -141,9 +173,14 @@ def result_documents(members: DataFrame, scope: list[str], order: str) -> DataFr
                     lambda x: x["_x"]).alias("similarity_groups"))
 
 
-def save_run(df: DataFrame, path: str, run_id: str, mode: str = "append") -> None:
-    """Append a table (vertices with vectors, or groups) under ``run_id``."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode(mode).partitionBy("run_id").parquet(path)
+def save_run(df: DataFrame, path: str, run_id: str) -> None:
+    """Keep a table (vertices with vectors, or groups) under ``run_id``.
+
+    Only that run's partition is replaced, so a run saved again after a
+    failure has its rows once.
+    """
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id").parquet(path))
 
 
 def load_run(spark, path: str, run_id: str) -> DataFrame:
@@ -185,6 +222,22 @@ def multiword_flag(members: DataFrame, scope: list[str], order: str) -> DataFram
         F.bool_and(F.size(F.split(F.col("text"), " ")) > 1).alias("all_multiword"))
 
 
+def drop_one_word_groups(members: DataFrame, scope: list[str], order: str) -> DataFrame:
+    """R10 as a filter: only groups in which every text has more than one word."""
+    keep = multiword_flag(members, scope, order).where("all_multiword").select(*scope, f"leader_{order}")
+    return members.join(keep, [*scope, f"leader_{order}"], "left_semi")
+
+
+def distinct_group_texts(members: DataFrame, scope: list[str], order: str) -> DataFrame:
+    """Each group's distinct texts with the positions of all their copies.
+
+    ``scope..., leader_<order>, text, first, positions, copies``.
+    """
+    return members.groupBy(*scope, f"leader_{order}", "text").agg(
+        F.min(order).alias("first"), F.array_sort(F.collect_list(order)).alias("positions"),
+        F.count(F.lit(1)).alias("copies"))
+
+
 def by_score(summary: DataFrame, order: str) -> DataFrame:
     """Groups sorted by average similarity, highest first (a range-partitioned global sort)."""
     return summary.orderBy(F.desc("avg_similarity"), f"leader_{order}")
@@ -197,43 +250,38 @@ def element_ids(elements: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Flat member (or text) rows as CSV with a header."""
+    """Flat member (or text) rows as CSV with a header; metadata (maps, arrays, structs) as JSON text."""
+    nested = {f.name for f in df.schema if f.dataType.typeName() in ("map", "array", "struct")}
+    df = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns])
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def run_requests(requests: DataFrame, **group_kw) -> tuple[DataFrame, DataFrame]:
-    """The reference's request, as a table: ``(doc_id, xml, elements?, threshold?)``.
+def run_requests(requests: DataFrame, held: list | None = None, **group_kw) -> tuple[DataFrame, DataFrame]:
+    """The reference's request, as a table: ``(request_id?, doc_id, xml, elements?, threshold?)``.
 
-    Every row is validated (P1-P3, P6, P7); invalid rows become ``ERROR``
-    outcomes carrying the validation message; valid rows are parsed with their
-    own element list and grouped with their own threshold, all in one job.
-    Returns ``(outcomes, members)`` like :func:`document_outcomes`.
+    Every row is one request, keyed by ``request_id`` (given to the rows if the
+    table has none), so a document sent twice with other parameters stays two
+    requests. Every row is validated (P1-P3, P6, P7); invalid rows become
+    ``ERROR`` outcomes whose message names the cause; valid rows are parsed
+    with their own element list and grouped at their own threshold, in one
+    job. Returns ``(outcomes, members)``, both with ``request_id`` and ``doc_id``.
     """
+    if "request_id" not in requests.columns:  # fixed by the checkpoint before it is read twice
+        requests = requests.withColumn("request_id", F.monotonically_increasing_id()).checkpoint(eager=True)
     v = validate_documents(requests).persist(StorageLevel.MEMORY_AND_DISK)
-    good = v.where(F.col("error").isNull()).select("doc_id", "xml", "elements", "threshold")
-    parsed = parse_documents(good.select("doc_id", "xml", "elements")).persist(StorageLevel.MEMORY_AND_DISK)
-    items = (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
-             .select("doc_id", "semid", normalize_space("raw_text").alias("text"))
-             .where(F.col("text") != "")
-             .join(good.select("doc_id", "threshold"), "doc_id"))
-    members = group_items(items, ["doc_id"], "semid", threshold_col="threshold", **group_kw)
-    per_doc = parsed.groupBy("doc_id").agg(
-        F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("n_texts"),
-        F.max("parse_error").alias("parse_error"))
-    grouped = members.groupBy("doc_id").agg(
-        F.count(F.when(F.col("is_leader"), 1)).alias("n_groups"), F.count(F.lit(1)).alias("grouped_texts"))
-    o = (per_doc.join(grouped, "doc_id", "left").fillna(0, ["n_groups", "grouped_texts"])
-         .join(good.select("doc_id", "threshold"), "doc_id"))
-    status = (F.when(F.col("parse_error").isNotNull(), F.lit("ERROR"))
-              .when(F.col("n_texts") == 0, F.lit("NO_TEXT_EXTRACTED")).otherwise(F.lit("COMPLETED")))
-    o = o.withColumn("status", status).select(
-        "doc_id", "status", outcome_message(F.col("status"), F.col("n_groups")).alias("message"),
-        F.when(F.col("status") == "NO_TEXT_EXTRACTED", F.lit(ERR_NO_TEXT)).otherwise(F.col("parse_error")).alias("error"),
-        "n_texts", "n_groups", "grouped_texts",
-        (F.col("grouped_texts") - F.col("n_groups")).alias("removable_texts"),
-        (F.col("n_texts") - F.col("n_groups")).alias("texts_minus_groups"), "threshold")
+    good = v.where(F.col("error").isNull()).select("request_id", "doc_id", "xml", "elements", "threshold")
+    parsed = parse_documents(good.select(F.col("request_id").alias("doc_id"), "xml", "elements"))
+    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    own = good.select("request_id", F.col("doc_id").alias("_document"), "threshold")
+    items = _texts(parsed).withColumnRenamed("doc_id", "request_id").join(own, "request_id")
+    stats: dict = {}
+    members = group_items(items, ["request_id"], "semid", threshold_col="threshold", stats=stats, **group_kw)
+    if held is not None:
+        held += [v, parsed, *stats["persisted"]]
+    o = _count_outcomes(parsed.withColumnRenamed("doc_id", "request_id"), members, "request_id").join(own, "request_id")
+    o = o.withColumnRenamed("_document", "doc_id")
     rejected = v.where(F.col("error").isNotNull()).select(
-        "doc_id", F.lit("ERROR").alias("status"), F.lit(MSG_ERROR).alias("message"), "error",
+        "request_id", F.lit("ERROR").alias("status"), F.col("error").alias("message"), "error",
         *[F.lit(0).cast("bigint").alias(c) for c in ("n_texts", "n_groups", "grouped_texts", "removable_texts",
-                                                      "texts_minus_groups")], "threshold")
-    return o.unionByName(rejected), members
+                                                      "texts_minus_groups")], "threshold", "doc_id")
+    return o.unionByName(rejected), members.withColumnRenamed("_document", "doc_id")

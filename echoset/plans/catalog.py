@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from echoset.operators.embed import DEFAULT_DIM, explode_sparse, with_hashing_vectors
 from echoset.operators.extract import extract_elements
-from echoset.operators.pairs import block_pairs, sparse_pairs
+from echoset.operators.pairs import LENGTH_ERROR, block_pairs, sparse_pairs
 from echoset.plans import oracle as O
 from echoset.plans.passages import distinct_vertices, encode_vertices, group_items, group_summary
 from echoset.session import ensure_checkpoint_dir, ship_package, spread
@@ -235,6 +235,76 @@ def q_line_group_report(spark, sf_dir):
                                                           "all_multiword")
 
 
+def q_line_group_numbers(spark, sf_dir):
+    """Groups numbered in leader order, and their place by score inside the document."""
+    from pyspark.sql import Window
+
+    from echoset.plans.passages import number_groups
+
+    s = number_groups(group_summary(line_members(spark, sf_dir), ["doc_id"], "semid"), ["doc_id"], "semid")
+    by_score = Window.partitionBy("doc_id").orderBy(F.desc(F.round("avg_similarity", 6)), "leader_semid")
+    return s.select("doc_id", "leader_semid", "group_no", F.row_number().over(by_score).alias("score_rank"))
+
+
+def q_line_group_texts(spark, sf_dir):
+    """Distinct texts of each group with all their positions, one-word groups left out."""
+    from echoset.functions.text import preview
+    from echoset.operators.report import distinct_group_texts, drop_one_word_groups
+
+    m = drop_one_word_groups(line_members(spark, sf_dir), ["doc_id"], "semid")
+    return distinct_group_texts(m, ["doc_id"], "semid").withColumn("preview", preview("text"))
+
+
+def q_request_outcomes(spark, sf_dir):
+    """Every document as one request with parameters of its own."""
+    from echoset.operators.report import run_requests
+
+    _prep(spark)
+    docs = lines_as_xml(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    k = F.col("doc_id") % 10
+    requests = docs.select(
+        F.col("doc_id").alias("request_id"), (F.col("doc_id") % 100).alias("doc_id"),
+        F.when(k == 7, F.lit("\n\t")).when(k == 8, F.lit(None)).otherwise(F.col("xml")).alias("xml"),
+        F.when(k == 4, "p.x").when(k == 5, "title%20p").when(k == 6, "title").alias("elements"),
+        F.when(k == 9, 1.5).when(k == 1, 0.5).when(k == 2, 1.0).alias("threshold"))
+    out, _ = run_requests(requests)
+    return out.select("request_id", "doc_id", "status", "message", "error", "n_texts", "n_groups", "grouped_texts",
+                      "removable_texts", "texts_minus_groups", "threshold")
+
+
+def q_embedding_outcomes(spark, sf_dir):
+    """O1 on vectors: labels whose vectors differ in length are ERROR, the others complete."""
+    from echoset.operators.report import vector_outcomes
+
+    emb = _embeddings(spark, sf_dir)
+    cut = F.when(F.col("vec_id") % 97 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return vector_outcomes(emb.select("label", "vec_id", cut.alias("embedding")), "label", "vec_id", "embedding", EMB_T)
+
+
+def q_token_ids(spark, sf_dir):
+    """Model inputs of every turn, with the words of ``benchmark`` as vocabulary."""
+    from echoset.functions.text import normalize_space
+    from echoset.operators.embed import token_ids
+
+    _prep(spark)
+    word = F.explode(F.split(F.lower(normalize_space("text")), " ")).alias("token")
+    vocab = read_table(spark, sf_dir, "benchmark").select(word).where("token <> ''").distinct().select(
+        "token", F.conv(F.substring(F.md5("token"), 1, 7), 16, 10).cast("bigint").alias("id"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", normalize_space("text").alias("text"))
+    return token_ids(turns.where("text <> ''"), vocab, key_cols=["conv_id", "turn"]).select(
+        "conv_id", "turn", "input_ids", F.size("attention_mask").cast("bigint").alias("n_ids"))
+
+
+def q_mean_vectors(spark, sf_dir):
+    """Each vector's four quarters as token states, averaged and normalised."""
+    from echoset.operators.embed import mean_pool
+
+    states = F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(4)]).alias("states")
+    pooled = mean_pool(_embeddings(spark, sf_dir).select("vec_id", states), "vec_id")
+    return pooled.select("vec_id", F.posexplode("vector").alias("place", "x")).select(
+        "vec_id", "place", F.round("x", 6).alias("x"))
+
+
 QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
@@ -257,6 +327,12 @@ QUERIES = {
     "line_result_documents": q_line_result_documents,
     "streamed_document_outcomes": q_streamed_document_outcomes,
     "line_group_report": q_line_group_report,
+    "line_group_numbers": q_line_group_numbers,
+    "line_group_texts": q_line_group_texts,
+    "request_outcomes": q_request_outcomes,
+    "embedding_outcomes": q_embedding_outcomes,
+    "token_ids": q_token_ids,
+    "mean_vectors": q_mean_vectors,
 }
 
 
@@ -375,9 +451,70 @@ WITH raw_lines AS (
 )
 SELECT doc_id,
        '<doc>' || string_agg(
-         CASE WHEN line = '' THEN '<p cms:semid="' || k || '"/>'
-              ELSE '<p cms:semid="' || k || '">'
-                   || replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' END,
-         '' ORDER BY k) || '</doc>' AS annotated_xml,
+         '<p cms:semid="' || k || '">' || replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+           '"', '&quot;'), chr(39), '&apos;') || '</p>', '' ORDER BY k) || '</doc>' AS annotated_xml,
        CAST(NULL AS VARCHAR) AS error
 FROM raw_lines GROUP BY doc_id"""
+ORACLES["line_group_numbers"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + """
+SELECT doc_id, leader_semid, row_number() OVER (PARTITION BY doc_id ORDER BY leader_semid) AS group_no,
+       row_number() OVER (PARTITION BY doc_id ORDER BY avg_sim DESC, leader_semid) AS score_rank
+FROM (SELECT doc_id, leader_semid, round(avg(sim), 6) AS avg_sim FROM members GROUP BY ALL)"""
+ORACLES["line_group_texts"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + """,
+short AS (SELECT DISTINCT doc_id, leader_semid FROM members WHERE NOT contains(text, ' '))
+SELECT doc_id, leader_semid, text, min(semid) AS first, list(semid ORDER BY semid) AS positions, count(*) AS copies,
+       substr(text, 1, 20) || '...' AS preview
+FROM members m ANTI JOIN short USING (doc_id, leader_semid) GROUP BY doc_id, leader_semid, text"""
+ORACLES["embedding_outcomes"] = _emb_groups(
+    ["label"], """cut AS (SELECT label, vec_id, CASE WHEN vec_id % 97 = 0 THEN embedding[1:63] ELSE embedding END AS embedding FROM embeddings),
+bad AS (SELECT label FROM cut GROUP BY label HAVING min(len(embedding)) <> max(len(embedding))),
+emb AS (SELECT * FROM cut WHERE label NOT IN (SELECT label FROM bad))""", "emb", ()) + f""",
+g AS (SELECT label, count(*) FILTER (WHERE is_leader) AS n_groups, count(*) AS grouped_texts FROM members GROUP BY label)
+SELECT c.label, CASE WHEN any_value(b.label) IS NULL THEN 'COMPLETED' ELSE 'ERROR' END AS status,
+       CASE WHEN any_value(b.label) IS NOT NULL THEN '{LENGTH_ERROR}' END AS error, count(*) AS n_texts,
+       coalesce(any_value(g.n_groups), 0) AS n_groups, coalesce(any_value(g.grouped_texts), 0) AS grouped_texts
+FROM cut c LEFT JOIN bad b USING (label) LEFT JOIN g USING (label) GROUP BY c.label"""
+ORACLES["token_ids"] = r"""
+WITH vocab AS (SELECT token, ('0x' || substr(md5(token), 1, 7))::BIGINT AS id FROM (
+       SELECT DISTINCT unnest(string_split(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), ' ')) AS token FROM benchmark) WHERE token <> ''),
+t AS (SELECT conv_id, turn, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS text FROM conversations),
+w AS (SELECT conv_id, turn, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) AS pos
+      FROM t WHERE text <> '')
+SELECT conv_id, turn, list_concat(list_concat([101::BIGINT], list(coalesce(id, 100) ORDER BY pos)), [102::BIGINT]) AS input_ids,
+       count(*) + 2 AS n_ids
+FROM w LEFT JOIN vocab ON lower(word) = token GROUP BY conv_id, turn"""
+ORACLES["mean_vectors"] = """
+WITH p AS (SELECT vec_id, i AS place, (embedding[i + 1]::DOUBLE + embedding[i + 17]::DOUBLE + embedding[i + 33]::DOUBLE + embedding[i + 49]::DOUBLE) / 4 AS m
+           FROM embeddings, range(16) t(i))
+SELECT vec_id, CAST(place AS INTEGER) AS place, round(m / sqrt(sum(m * m) OVER (PARTITION BY vec_id)), 6) AS x FROM p"""
+
+
+def _requests_sql() -> str:
+    """Each document as a request: parameters from its id, groups at its own threshold."""
+    from echoset.operators.report import (ERR_NO_TEXT, MSG_BAD_ELEMENTS, MSG_BAD_THRESHOLD, MSG_EMPTY_XML, MSG_GROUPS,
+                                          MSG_NO_GROUPS, MSG_NO_TEXT, MSG_NO_XML)
+
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    own_t = "CASE doc_id % 10 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 0.75 END"
+    items = LINES + ",\nasked AS (SELECT * FROM items WHERE doc_id % 10 IN (0, 1, 2, 3, 5))"
+    pairs = O.sparse_edges(["doc_id"], 0.5).replace("edges AS (", "all_edges AS (")
+    kept = f"edges AS (SELECT * FROM all_edges WHERE sim >= {own_t})"
+    return O.with_clause(items, O.hashed(["doc_id"], "semid", DIM, "asked"), pairs, kept, O.greedy(["doc_id"]),
+                         O.members_cte(["doc_id"], "semid", False, "asked")) + f""",
+n AS (SELECT doc_id, count(*) AS n_texts FROM asked GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) FILTER (WHERE is_leader) AS n_groups, count(*) AS grouped_texts FROM members GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, coalesce(n_texts, 0) AS n_texts, coalesce(n_groups, 0) AS n_groups, coalesce(grouped_texts, 0) AS grouped_texts,
+         CASE d.doc_id % 10 WHEN 4 THEN {q(MSG_BAD_ELEMENTS)} WHEN 9 THEN {q(MSG_BAD_THRESHOLD)} WHEN 7 THEN {q(MSG_EMPTY_XML)}
+                            WHEN 8 THEN {q(MSG_NO_XML)} END AS bad
+  FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+)
+SELECT doc_id AS request_id, doc_id % 100 AS doc_id,
+       CASE WHEN bad IS NOT NULL THEN 'ERROR' WHEN n_texts = 0 THEN 'NO_TEXT_EXTRACTED' ELSE 'COMPLETED' END AS status,
+       CASE WHEN bad IS NOT NULL THEN bad WHEN n_texts = 0 THEN {q(MSG_NO_TEXT)} WHEN n_groups > 0 THEN {q(MSG_GROUPS)} ELSE {q(MSG_NO_GROUPS)} END AS message,
+       CASE WHEN bad IS NOT NULL THEN bad WHEN n_texts = 0 THEN {q(ERR_NO_TEXT)} END AS error,
+       n_texts, n_groups, grouped_texts, grouped_texts - n_groups AS removable_texts, n_texts - n_groups AS texts_minus_groups,
+       (CASE doc_id % 10 WHEN 9 THEN 1.5 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 0.75 END)::DOUBLE AS threshold
+FROM c"""
+
+
+ORACLES["request_outcomes"] = _requests_sql()

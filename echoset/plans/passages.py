@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from echoset.operators.embed import DEFAULT_DIM, as_double_vector, with_hashing_counts
 from echoset.operators.grouping import assign_members, greedy_leaders
-from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs, cosine, sparse_pairs
+from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs, sparse_pairs
 from echoset.sources.documents import DEFAULT_THRESHOLD
 
 
@@ -41,7 +41,9 @@ def encode_vertices(vertices: DataFrame, content: str, encoder: str, dim: int) -
         return v.withColumn("selfsim", F.when(F.col("sq") > 0, 1.0).otherwise(0.0))
     if encoder == "precomputed":
         v = vertices.withColumn("vector", as_double_vector(F.col(content)))
-        return v.withColumn("selfsim", cosine(F.col("vector"), F.col("vector")))
+        # a copy of a vector is exactly similar to it; zero vectors to nothing, NaN never
+        sq = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
+        return v.withColumn("selfsim", F.when(F.isnan(sq) | (sq == float("inf")), float("nan")).when(sq > 0, 1.0).otherwise(0.0))
     raise ValueError(f"unknown encoder {encoder!r}")
 
 
@@ -105,6 +107,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     base = base.persist(StorageLevel.MEMORY_AND_DISK)
     verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim)
     verts = verts.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [base, verts]
     if threshold_col is not None:
         scope_t = base.groupBy(*scope).agg(F.coalesce(F.min(threshold_col), F.lit(threshold)).cast("double").alias("_t"))
         verts = verts.join(scope_t, scope)
@@ -112,7 +115,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     found = found.checkpoint(eager=True)  # read by every round and by the assignment
     edges = found.where(~F.col("grouped")).drop("grouped")
     if stats is not None:
-        stats["persisted"] = [base, verts]
+        stats["persisted"] = kept
         stats["edges_sec"] = round(time.time() - clock, 2)
     leaders = greedy_leaders(edges, scope, stats=stats, edges_checkpointed=True)
     if stats is not None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoset.operators.report import RUN_TTL_MINUTES, document_outcomes, live_runs
+from echoset.operators.report import RUN_TTL_MINUTES, document_outcomes, live_runs, release
 from echoset.session import ensure_checkpoint_dir
 from echoset.sources.documents import DEFAULT_ELEMENTS, DEFAULT_THRESHOLD, lines_as_xml
 
@@ -36,12 +36,14 @@ def text_table_stream(spark: SparkSession, path: str, schema: T.StructType, id_c
 
 def _writer(out_dir: str, elements: str, threshold: float, group_kw: dict):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        outcomes, members = document_outcomes(batch, elements, threshold, **group_kw)
+        held: list = []
+        outcomes, members = document_outcomes(batch, elements, threshold, held=held, **group_kw)
         stamp = F.current_timestamp()
         for name, df in (("runs", outcomes.withColumn("created_at", stamp)), ("groups", members)):
             (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
              .parquet(f"{out_dir}/{name}"))
+        release(held)
     return write_batch
 
 

@@ -126,3 +126,17 @@ def test_element_metadata(spark):
         (2, "/doc[1]/sec[1]/p[1]", {}),
         (3, "/doc[1]/sec[1]/p[2]", {"lang": "fr"}),
     ]
+
+
+def test_annotated_copy_is_whole_at_any_depth(spark):
+    from echoset.operators.extract import annotate_documents
+
+    deep = "<doc>" + "<s>" * 3000 + "<p>x</p>" + "</s>" * 3000 + "</doc>"
+    full = ('<?xml version="1.0"?>\n<!DOCTYPE d [<!ENTITY e "é">]>\n<!-- before --><d><p a="1" cms:semid="9" b=\'>\'>&e;</p>'
+            "<q/><p/>\n<pp>no</pp></d><!-- after --><?pi x?>")
+    df = spark.createDataFrame([(1, deep), (2, full), (3, "<d><p></d>"), (4, None)], "doc_id int, xml string")
+    got = {r.doc_id: (r.annotated_xml, r.error) for r in annotate_documents(df, "p").collect()}
+    assert got[1] == (deep.replace("<p>", '<p cms:semid="1">'), None)
+    want = full.replace('<p a="1" cms:semid="9"', '<p cms:semid="1" a="1"').replace("<p/>", '<p cms:semid="2"/>')
+    assert got[2] == (want, None)
+    assert got[3][0] is None and got[3][1].startswith("malformed") and got[4][0] is None

@@ -22,6 +22,8 @@ def run_groups(spark, vecs, t, scope_of=None, **kw):
 
 def cos(a, b):
     a, b = np.asarray(a, float), np.asarray(b, float)
+    if (a == b).all() and a.any():
+        return 1.0  # copies
     na, nb = math.sqrt(a @ a), math.sqrt(b @ b)
     return 0.0 if na == 0 or nb == 0 else float(a @ b / (na * nb))
 
@@ -156,3 +158,25 @@ def test_rounds_on_real_embeddings(spark):
             leaders.add(x)
             covered |= later.get(x, set())
     assert {r.v for r in greedy_leaders(e, []).collect()} == leaders
+
+
+def test_equal_word_counts_are_similar_at_one(spark):
+    ten = "a b c d e f g h i j"
+    texts = ["a b", "a b", "b a", ten, ten, " ".join(reversed(ten.split())), "a a b"]
+    items = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc string, pos int, text string")
+    got = {}
+    for r in group_items(items, ["doc"], "pos", 1.0).collect():
+        got.setdefault(r.leader_pos, []).append(r.pos)
+    assert sorted(sorted(g) for g in got.values()) == [[0, 1, 2], [3, 4, 5]]
+    across = group_items(items.drop("doc"), [], "pos", 1.0).collect()
+    assert sorted(r.pos for r in across) == [0, 1, 2, 3, 4, 5]
+
+
+def test_rounds_and_blocks_agree(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(12)]
+    items = spark.createDataFrame([(f"d{i % 3}", i, " ".join(rng.choice(words, size=5))) for i in range(120)], "doc string, pos int, text string")
+    one = {tuple(r) for r in group_items(items, ["doc"], "pos", 0.6).collect()}
+    stats = {}
+    many = {tuple(r) for r in group_items(items, ["doc"], "pos", 0.6, block_rows=7, stats=stats).collect()}
+    assert one == many and stats["rounds"] >= 1

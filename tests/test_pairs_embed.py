@@ -85,7 +85,7 @@ def test_vocab_and_token_ids(spark, tmp_path):
         "[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "the": 6, "cat": 5}
     long_text = " ".join(["The"] * 300 + ["cat."] * 300)
     df = spark.createDataFrame([("d", 1, "The cat sat"), ("d", 2, long_text)], "doc_id string, semid int, text string")
-    rows = {r.semid: r for r in token_ids(df, vocab).collect()}
+    rows = {r.semid: r for r in token_ids(df, vocab, max_words=510).collect()}
     assert rows[1].input_ids == [2, 6, 5, 1, 3]
     assert rows[1].attention_mask == [1] * 5 and rows[1].token_type_ids == [0] * 5
     assert len(rows[2].input_ids) == 512
@@ -98,3 +98,9 @@ def test_mean_pool(spark):
     got = {r.id: r.vector for r in mean_pool(df).collect()}
     assert got[1] == pytest.approx([2 / math.sqrt(5), 1 / math.sqrt(5)])
     assert got[2] == [0.0, 0.0]
+
+
+def test_lsh_leaves_out_zero_vectors(spark):
+    rows = [(0, 0, [0.0, 0.0]), (0, 1, [1.0, 0.0]), (0, 2, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "g int, pos int, vector array<double>")
+    assert {(r.a, r.b) for r in lsh_pairs(df, ["g"], 0.9).collect()} == {(1, 2)}

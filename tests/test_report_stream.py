@@ -13,7 +13,7 @@ def test_validate(spark):
     rows = [("a", "<d/>", "p title", None), ("b", "<d/>", "a.b", 0.5), ("c", "<d/>", " p", 0.5),
             ("d", "<d/>", "p\n", 0.5), ("e", "<d/>", "a/b", 0.5), ("f", "<d/>", "p", -0.1),
             ("g", "<d/>", "p", 1.1), ("h", "<d/>", "p", float("nan")), ("i", None, "p", 0.5),
-            ("j", "   ", "p", 0.5), ("k", "<d/>", "p%20title", 1.0), ("l", "<d/>", "p%zz", 0.5),
+            ("j", "\n\t \x01\n", "p", 0.5), ("k", "<d/>", "p%20title", 1.0), ("l", "<d/>", "p%zz", 0.5),
             ("m", "<d/>", None, 0.0)]
     df = spark.createDataFrame(rows, "doc_id string, xml string, elements string, threshold double")
     got = {r.doc_id: r for r in validate_documents(df).collect()}
@@ -130,3 +130,44 @@ def test_outcomes_observed_metrics(spark):
     out, _ = document_outcomes(docs, observation=obs)
     assert out.count() == 2
     assert obs.get == {"texts": 3, "documents": 2}
+
+
+def test_repeated_documents_are_requests_of_their_own(spark):
+    from echoset.operators.report import release, run_requests
+
+    xml = "<d><p>a b</p><p>b a</p></d>"
+    req = spark.createDataFrame([("x", xml, "p", 0.9), ("x", "<d><p>a b</p><p>a c</p></d>", "p", 0.5), ("x", xml, "q", None)],
+                                "doc_id string, xml string, elements string, threshold double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    held = []
+    out, members = run_requests(req, held=held)
+    rows = sorted((r.doc_id, r.threshold, r.status, r.n_texts, r.n_groups, r.grouped_texts) for r in out.collect())
+    assert rows == [("x", 0.5, "COMPLETED", 2, 1, 2), ("x", 0.75, "NO_TEXT_EXTRACTED", 0, 0, 0), ("x", 0.9, "COMPLETED", 2, 1, 2)]
+    assert {r.doc_id for r in members.collect()} == {"x"} and members.select("request_id").distinct().count() == 2
+    release(held)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_vectors_of_different_length_are_an_error(spark):
+    from echoset.operators.report import vector_outcomes
+
+    rows = [("bad", 1, [1.0, 0.0]), ("bad", 2, [1.0]), ("good", 1, [1.0, 0.0]), ("good", 2, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "doc string, pos int, vector array<double>")
+    got = {r.doc: (r.status, r.error is None, r.n_texts, r.n_groups) for r in vector_outcomes(df, "doc", "pos", "vector", 0.9).collect()}
+    assert got == {"bad": ("ERROR", False, 2, 0), "good": ("COMPLETED", True, 2, 1)}
+
+
+def test_stream_releases_what_it_keeps(spark, tmp_path):
+    from echoset.streaming.stream import start_document_stream
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(3):
+        (src / f"{k}.xml").write_text("<doc><p>a b</p><p>a b</p></doc>")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    stream = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", 1).load(str(src))
+    q = start_document_stream(stream.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("xml")),
+                              str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 3
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -49,3 +49,31 @@ def test_read_xml_files_then_extract(spark, tmp_path):
     docs = read_xml_files(spark, str(tmp_path / "*.xml"))
     got = sorted((r.doc_id.rsplit("/", 1)[-1], r.semid, r.text) for r in extract_elements(docs, "p title").collect())
     assert got == [("a.xml", 1, "first line"), ("a.xml", 2, "second"), ("b.xml", 1, "only title")]
+
+
+def test_saving_a_run_again_keeps_its_rows_once(spark, tmp_path):
+    m = members(spark)
+    path = str(tmp_path / "groups")
+    for _ in range(2):
+        save_run(m, path, "run-a")
+        save_run(m, path, "run-b")
+    assert load_run(spark, path, "run-a").count() == load_run(spark, path, "run-b").count() == m.count()
+
+
+def test_csv_of_metadata(spark, tmp_path):
+    df = spark.createDataFrame([("d", {"id": "a"}, ["x", "y"])], "doc_id string, attributes map<string,string>, words array<string>")
+    write_csv(df, str(tmp_path / "csv"))
+    row = spark.read.option("header", "true").option("escape", "\\").csv(str(tmp_path / "csv")).first()
+    assert row.attributes == '{"id":"a"}' and row.words == '["x","y"]'
+
+
+def test_distinct_texts_and_one_word_groups(spark):
+    from echoset.operators.report import distinct_group_texts, drop_one_word_groups
+
+    m = members(spark)
+    got = {(r.doc_id, r.leader_semid, r.text): (r.first, r.positions) for r in distinct_group_texts(m, ["doc_id"], "semid").collect()}
+    assert got["d1", 1, "the quick brown fox jumps"] == (1, [1, 2]) and got["d1", 1, "quick brown fox jumps the"] == (4, [4])
+    items = spark.createDataFrame([("d", 1, "solo"), ("d", 2, "solo"), ("d", 3, "two words"), ("d", 4, "two words")],
+                                  "doc_id string, semid int, text string")
+    kept = drop_one_word_groups(group_items(items, ["doc_id"], "semid", 0.75), ["doc_id"], "semid")
+    assert sorted(r.semid for r in kept.collect()) == [3, 4]
