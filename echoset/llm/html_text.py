@@ -7,8 +7,9 @@
    (host, hash) is the key and a page gives each hash once, so a host
    with a third of all pages is summed on the map side like any other.
 3. The pages meet their host's templates. A host has at most (elements a page) /
-   ``min_share`` of them, so the list is bounded; the join is salted, so a
-   large host's pages are spread over many tasks.
+   ``min_share`` of them, so the list is bounded. Up to ``broadcast_hashes``
+   templates in all are broadcast, which leaves the pages where they are; for
+   more the join is salted, so a large host's pages are spread over many tasks.
 4. The pages are parsed again: template subtrees go, and with them what HTML
    itself names as not the article (menus, forms, scripts, ...; classes and
    roles that say so). What is left of the article is cut in blocks.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked
+from .common import cut, picked
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>"""
@@ -254,7 +255,7 @@ def host_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFr
 
 def extract_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    min_pages: int = 5, min_share: float = 0.1, salts: int = 16,
+    min_pages: int = 5, min_share: float = 0.1, salts: int = 64, broadcast_hashes: int = 200_000,
 ) -> DataFrame:
     """Main text of every page: ``<id_col>``, ``<url_col>``, ``text``, ``n_chars``.
 
@@ -263,18 +264,20 @@ def extract_text(
     """
     src = picked(pages, id=id_col, url=url_col, html=html_col).withColumn("host", _host("url"))
     id_type, url_type = (src.schema[c].dataType.simpleString() for c in ("id", "url"))
-    templates = host_templates(src, min_pages, min_share).where(F.size("templates") > 0)
-    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # pages without a host match nothing; a salt in their key keeps them apart as well
-    key = F.coalesce("host", F.lit(""))
-    salted = src.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).withColumn("host", key)
-    met = salted.join(spread, ["host", "salt"], "left").select("id", "url", "html", "templates")
+    templates = cut(host_templates(src, min_pages, min_share).where(F.size("templates") > 0))
+    held = templates.agg(F.sum(F.size("templates") + 1)).first()[0] or 0
+    if held <= broadcast_hashes:  # pages stay where they are
+        met = src.join(F.broadcast(templates), "host", "left")
+    else:  # a salt in the key spreads a large host's pages, and those without host, over many tasks
+        spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = src.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int"))
+        met = salted.withColumn("host", F.coalesce("host", F.lit(""))).join(spread, ["host", "salt"], "left")
 
     def run(it):
         for pdf in it:
             text = [main_text(p, frozenset(() if t is None else (int(x) for x in t))) for p, t in zip(pdf["html"], pdf["templates"])]
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": text})
 
-    out = met.mapInPandas(run, f"id {id_type}, url {url_type}, text string")
+    out = met.select("id", "url", "html", "templates").mapInPandas(run, f"id {id_type}, url {url_type}, text string")
     return out.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from echoset.llm.html_text import extract_text, host_templates, main_text, subtree_hashes
@@ -48,14 +49,15 @@ def divs(i, host):
             f"<div><p>All rights reserved by {host}.</p></div></body>")
 
 
-def test_templates_are_found_by_host(spark):
+@pytest.mark.parametrize("broadcast_hashes", [200_000, 0])
+def test_templates_are_found_by_host(spark, broadcast_hashes):
     rows = [(i, f"http://big.example.com/{i}?q=1#x", divs(i, "big")) for i in range(30)]
     rows += [(100 + i, f"https://user@Small.example.com:80/{i}", divs(i, "small")) for i in range(3)]  # too few to tell
     rows += [(200 + i, f"http://art.example.com/{i}", PAGE.format(i=i % 2)) for i in range(20)]  # mirrored articles stay
     rows += [(300, None, divs(0, "big")), (301, "no url", divs(0, "big")), (302, "http://big.example.com/", None), (303, "http://big.example.com", "")]
     rows += [(None, "http://big.example.com/n", divs(77, "big")), (0, rows[0][1], rows[0][2])]
     got = {}
-    for r in extract_text(pages(spark, rows)).collect():
+    for r in extract_text(pages(spark, rows), broadcast_hashes=broadcast_hashes).collect():
         assert r["n_chars"] == len(r["text"])
         got.setdefault(r["page_id"], []).append(r["text"])
     assert got[0] == ["News 0\n\nStory number 0 of big."] * 2 and got[7] == ["News 7\n\nStory number 7 of big."]
