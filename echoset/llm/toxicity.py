@@ -35,7 +35,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from .common import cut, picked
 
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]+[0-9@$*!#%&.]+[^\W\d_]+(?:[0-9@$*!#%&.]+[^\W\d_]+)*")
+# starts at a word's first letter and never goes back: linear in any text
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!#%&.]++[^\W\d_]++)++")
 SPACED = re.compile(r"\b[^\W\d_](?:[ .*_-][^\W\d_]\b){3,}")
 LEET = str.maketrans("013457@$!", "oieastasi")
 STEM, STEM_OF = 5, 7  # letters of a stem, least letters of a word that has one

@@ -8,6 +8,7 @@ from echoset.llm.toxicity import FEATURES, drop_toxic, fit_toxicity, learn_lexic
 
 from .fixtures import CLASHING, awkward_rows, docs_frame, prose
 
+FEW = {"trees": 4, "depth": 3}  # enough for these texts, and quick to fit
 INSULTS = ["wretch", "dullard", "knavebert", "knaveling", "oafish"]
 
 
@@ -36,7 +37,7 @@ def test_scores_separate_held_out_documents(spark):
     extra = [(5000 + i if i is not None else None, t) for i, t in awkward_rows()]
     noise = [(3, 1, None), (None, 1, 1), (99999, 1, 1), (4, 1, 5), (8, 1, 1)]  # ignored, but for the repeated label
     docs = docs_frame(spark, rows + extra)
-    got = toxicity_scores(docs, label_frame(spark, labels + noise)).collect()
+    got = toxicity_scores(docs, label_frame(spark, labels + noise), **FEW).collect()
     assert len(got) == len(rows) + len(extra)
     for r in got:
         key = "" if r["doc_id"] is None else str(r["doc_id"])
@@ -46,14 +47,14 @@ def test_scores_separate_held_out_documents(spark):
     assert np.mean([t == p for t, _, p in held]) > 0.95
     bad, good = [s for t, s, _ in held if t], [s for t, s, _ in held if not t]
     assert np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good]) > 0.98
-    kept = drop_toxic(docs, label_frame(spark, labels))
+    kept = drop_toxic(docs, label_frame(spark, labels), **FEW)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r["doc_id"] for r in got if not r["predicted"]), key=str)
 
 
 def test_only_the_text_enters_a_score(spark):
     rows, labels = labelled(300)
-    model = fit_toxicity(docs_frame(spark, rows), label_frame(spark, labels))
+    model = fit_toxicity(docs_frame(spark, rows), label_frame(spark, labels), **FEW)
     other = spark.createDataFrame([(t, -i, "zz", "elsewhere") for i, t in rows], "text string, doc_id bigint, lang string, source string")
     mine = spark.createDataFrame(rows, "doc_id bigint, text string")
     a = {r["text"]: r["score"] for r in model.scored(mine).collect()}
