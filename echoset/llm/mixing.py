@@ -20,16 +20,22 @@ from .common import cut, picked
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
-BROADCAST_CELLS = 100_000  # more cells than this are joined by a shuffle
+SMALL_CELLS = 100_000  # up to so many cells are raked in one task and broadcast; more are shuffled
+ROUNDS_AT_ONCE = 4  # raking rounds between checkpoints
 DIGITS = 13  # hexadecimal digits of the deciding hash
-WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _without(text: Column, chars: str) -> Column:
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def text_topic(text: str) -> Column:
-    """A coarse topic from the text's form (fixed rules, first that holds)."""
+    """A coarse topic from the text's form (fixed rules over its UTF-8 bytes, first that holds)."""
     t = F.col(text)
-    size = F.char_length(t)
-    count = lambda chars: size - F.char_length(F.translate(t, chars, ""))
+    size = F.octet_length(t)
+    count = lambda chars: size - F.octet_length(_without(t, chars))
     return (
         F.when(t.isNull() | (size == 0), "empty")
         .when(t.contains("License") | t.contains("Copyright"), "legal")
@@ -40,8 +46,10 @@ def text_topic(text: str) -> Column:
 
 
 def token_count(text: str) -> Column:
-    """Words between ASCII white space (0 for a null text)."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint")
+    """Token weight of a text: its spaces and line feeds and one more (0 for a null or empty text)."""
+    t = F.col(text)
+    words = F.octet_length(t) - F.octet_length(_without(t, " \n")) + 1
+    return F.coalesce(F.when(F.octet_length(t) > 0, words), F.lit(0)).cast("bigint")
 
 
 def cell_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
@@ -65,7 +73,7 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> DataFrame:
     return tables[0].union(tables[1]).union(tables[2])
 
 
-def rake(cells: DataFrame, targets: DataFrame, tol: float = 1e-12, max_rounds: int = 100) -> DataFrame:
+def rake(cells: DataFrame, targets: DataFrame, tol: float = 1e-12, max_rounds: int = 40) -> DataFrame:
     """``cells`` (margins, ``tokens``) with ``weight``: the raked share of all tokens, summing to 1.
 
     Values without a target get none; targets of values without tokens are left
@@ -77,12 +85,13 @@ def rake(cells: DataFrame, targets: DataFrame, tol: float = 1e-12, max_rounds: i
         share = targets.where(F.col("margin") == m).select(F.col("value").alias(m), F.col("share").alias(f"{m}_share"))
         w = w.join(share.where(F.col(f"{m}_share") > 0), m)
     w = cut(w.withColumn("weight", F.col("tokens").cast("double")))
+    if w.count() <= SMALL_CELLS:  # rows of a few numbers: the rounds then need no exchange
+        w = w.coalesce(1)
     total = {m: w.select(m, f"{m}_share").distinct().agg(F.sum(f"{m}_share")).first()[0] or 1.0 for m in MARGINS}
-    for _ in range(max_rounds):
-        for m in MARGINS:
+    for _ in range(0, max_rounds, ROUNDS_AT_ONCE):
+        for m in MARGINS * ROUNDS_AT_ONCE:
             now = F.sum("weight").over(Window.partitionBy(m))
-            w = w.withColumn("_want", F.col(f"{m}_share") / total[m]).withColumn("_now", now)
-            w = w.withColumn("weight", F.col("weight") * F.col("_want") / F.col("_now")).drop("_want", "_now")
+            w = w.withColumn("weight", F.col("weight") * (F.col(f"{m}_share") / total[m]) / now)
         w = cut(w)
         off = [
             w.groupBy(m).agg(F.sum("weight").alias("now"), F.first(f"{m}_share").alias("want"))
@@ -127,7 +136,7 @@ def cell_probabilities(rows: DataFrame, temper: dict[str, float], keep: float, t
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     targets = tempered_targets(cells, temper) if targets is None else targets
     out = cut(probabilities(rake(cells, targets), keep))
-    return F.broadcast(out) if out.count() <= BROADCAST_CELLS else out
+    return F.broadcast(out) if out.count() <= SMALL_CELLS else out
 
 
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -162,7 +171,7 @@ def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cells = cell_probabilities(rows, temper or TEMPER, keep, None)
     name = {m: f"_echoset_{m}" for m in MARGINS}
     cells = cells.select(*[F.col(m).alias(name[m]) for m in MARGINS], F.col("probability").alias("_echoset_p"))
-    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    cells = F.broadcast(cells) if cells.count() <= SMALL_CELLS else cells
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     marked = docs.withColumns({
         name["source"]: named(F.col(f"`{source_col}`")), name["lang"]: named(F.col(f"`{lang_col}`")), name["topic"]: text_topic(text_col)})
@@ -171,13 +180,19 @@ def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def oracle_sql(rounds: int = 40, keep: float = 0.7, seed: int = 42) -> str:
     """The same in DuckDB: a chain of raking rounds, the bound found by sorting the rates."""
-    topic = """CASE WHEN text IS NULL OR text = '' THEN 'empty'
+    def count(chars: str) -> str:
+        inner = "text"
+        for c in chars:
+            inner = f"replace({inner}, {'chr(10)' if c == chr(10) else repr(c)}, '')"
+        return f"(strlen(text) - strlen({inner}))"
+
+    topic = f"""CASE WHEN text IS NULL OR text = '' THEN 'empty'
       WHEN contains(text, 'License') OR contains(text, 'Copyright') THEN 'legal'
-      WHEN (length(text) - length(replace(text, '|', ''))) * 40 >= length(text) THEN 'table'
-      WHEN (length(text) - length(translate(text, '%*&$#!', ''))) * 20 >= length(text) THEN 'noisy'
-      WHEN length(text) < 500 THEN 'short' ELSE 'prose' END"""
+      WHEN {count('|')} * 40 >= strlen(text) THEN 'table'
+      WHEN {count('%*&$#!')} * 20 >= strlen(text) THEN 'noisy'
+      WHEN strlen(text) < 500 THEN 'short' ELSE 'prose' END"""
     steps = [f"""r AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, {topic} AS topic,
-      coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents)""",
+      CASE WHEN strlen(text) > 0 THEN {count(' ' + chr(10))} + 1 ELSE 0 END::BIGINT AS n_tokens FROM documents)""",
              "c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM r GROUP BY ALL HAVING sum(n_tokens) > 0)"]
     for m in MARGINS:
         steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {TEMPER[m]}) / sum(pow(sum(tokens), {TEMPER[m]})) OVER () AS share FROM c GROUP BY {m})")

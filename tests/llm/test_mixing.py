@@ -59,7 +59,7 @@ def test_documents_are_drawn_by_their_cells(spark):
     docs = docs_frame(spark, rows)
     got = mix_documents(docs, keep=0.5).collect()
     assert len(got) == len(rows)
-    tokens = sorted(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in rows)
+    tokens = sorted(len(re.findall("[ \n]", t)) + 1 if t else 0 for _, t in rows)
     assert sorted(r["n_tokens"] for r in got) == tokens
     assert {r["source"] for r in got} >= {NONE, "src1"} and {r["lang"] for r in got} == {"en", "de", NONE}
     cells = defaultdict(int)
