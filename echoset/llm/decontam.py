@@ -181,3 +181,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.col("key.id").alias("_echoset_id"), F.col("key.hash").alias("_echoset_hash")).distinct()
     same = key["id"].eqNullSafe(F.col("_echoset_id")) & (key["hash"] == F.col("_echoset_hash"))
     return docs.join(bad, same, "left_anti")
+
+
+def oracle_sql(window: int = 10) -> str:
+    """The same by comparing all windows' words (DuckDB)."""
+    words = (r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])")
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT item_id, {words} AS w FROM benchmark),
+s AS (SELECT item_id, w, least({window}, len(w)) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM s, unnest(generate_series(1, len(w) - n + 1)) t(i)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM d, ns, unnest(generate_series(1, len(w) - n + 1)) t(i) WHERE len(w) >= n),
+h AS (SELECT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, n, i FROM h), unnest(generate_series(i, i + n - 1)) u(p) GROUP BY doc_id),
+found AS (SELECT doc_id, list_sort(list_distinct(list(coalesce(item_id::VARCHAR, '')))) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)"""

@@ -208,3 +208,16 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     none = rows.where("raw IS NULL").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return found.union(none).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def oracle_sql(threshold: float = 0.95) -> str:
+    """The same by comparing all pairs (DuckDB); equal as long as the filters miss no link."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= {threshold}),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT c.a AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.a = component_id AS kept
+FROM c LEFT JOIN n ON c.a = n.a"""

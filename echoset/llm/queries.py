@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import decontam, embed_dedup, line_dedup, mixing
 from .common import table
-from .decontam import contamination
-from .embed_dedup import embedding_groups
 from .html_text import extract_text
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import shard_rows
@@ -31,12 +29,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all ``embeddings`` at cosine 0.95."""
-    return embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return embed_dedup.embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all ``documents``."""
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, k=5)
 
 
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +87,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": embed_dedup.oracle_sql(),
+    "op3_decontamination": decontam.oracle_sql(),
     "op7_mixing": mixing.oracle_sql(),
     "op9_line_dedup": line_dedup.oracle_sql(),
 }
