@@ -104,3 +104,29 @@ def test_lsh_leaves_out_zero_vectors(spark):
     rows = [(0, 0, [0.0, 0.0]), (0, 1, [1.0, 0.0]), (0, 2, [1.0, 0.1])]
     df = spark.createDataFrame(rows, "g int, pos int, vector array<double>")
     assert {(r.a, r.b) for r in lsh_pairs(df, ["g"], 0.9).collect()} == {(1, 2)}
+
+
+def test_failing_text_gets_a_zero_vector(monkeypatch):
+    """T9 with a stand-in session: one text fails, the others are embedded."""
+    import sys
+    import types
+
+    import pandas as pd
+
+    from echoset.operators.embed import model_encoder
+
+    class Session:
+        def __init__(self, path, providers):
+            assert path == "models/m/model.onnx"
+
+        def run(self, _, feeds):
+            ids = feeds["input_ids"]
+            if 13 in ids:
+                raise RuntimeError("bad input")
+            return [np.stack([np.stack([ids[0], 2.0 * ids[0]], axis=1)])]
+
+    monkeypatch.setitem(sys.modules, "onnxruntime", types.SimpleNamespace(InferenceSession=Session))
+    pdf = pd.DataFrame({"id": [1, 2], "input_ids": [[3, 3], [1, 13]]})
+    out = next(model_encoder("models/m", 2)(iter([pdf])))
+    assert out["vector"][0] == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5)]) and out["embed_error"][0] is None
+    assert out["vector"][1] == [0.0, 0.0] and out["embed_error"][1] == "bad input"
