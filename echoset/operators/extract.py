@@ -37,11 +37,13 @@ SEMID_ATTRIBUTE = "cms:semid"  # fixed value: attribute name written by the refe
 def _parse_matches(xml: str, names: frozenset[str], with_meta: bool):
     """Stream one document through expat; return (matches, error).
 
-    matches: list of (semid, name, raw_text, attributes, xpath) in start order.
+    matches: list of (semid, name, raw_text, attributes, xpath, content) in
+    start order; content is the element's markup as written (R11).
     """
     from xml.parsers import expat
 
-    parser = expat.ParserCreate()  # no namespace separator: qualified names as written
+    data = xml.encode("utf-8", "surrogatepass")
+    parser = expat.ParserCreate("utf-8")  # no namespace separator: qualified names as written
     parser.buffer_text = True
     parts: list[str] = []  # text chunks since the outermost open match started
     stack: list[tuple] = []  # per open element: (semid or 0, name, start index in parts)
@@ -63,7 +65,7 @@ def _parse_matches(xml: str, names: frozenset[str], with_meta: bool):
             counter[0] += 1
             sid = counter[0]
             open_matches += 1
-            meta = (dict(attrs), "/" + "/".join(path)) if with_meta else (None, None)
+            meta = (dict(attrs), "/" + "/".join(path), parser.CurrentByteIndex) if with_meta else None
             stack.append((sid, name, len(parts), meta))
         else:
             stack.append((0, name, 0, None))
@@ -75,20 +77,29 @@ def _parse_matches(xml: str, names: frozenset[str], with_meta: bool):
             path.pop()
             sib.pop()
         if sid:
-            out[sid] = (sid, ename, "".join(parts[begin:]), meta[0], meta[1])
+            extra = (meta[0], meta[1], content(meta[2], name)) if with_meta else (None, None, None)
+            out[sid] = (sid, ename, "".join(parts[begin:]), *extra)
             open_matches -= 1
             if open_matches == 0:
                 parts.clear()
 
-    def chars(data):
+    def content(at, name):
+        here = parser.CurrentByteIndex
+        if not data.startswith(b"<" + name.encode(), at):
+            return None  # inside an entity's replacement text: no markup of its own here
+        if data.startswith(b"</", here):
+            return data[at:data.index(b">", here) + 1].decode("utf-8", "surrogatepass")
+        return data[at:data.index(b">", _START_TAG.match(data, at).end()) + 1].decode("utf-8", "surrogatepass")
+
+    def chars(chunk):
         if open_matches:
-            parts.append(data)
+            parts.append(chunk)
 
     parser.StartElementHandler = start
     parser.EndElementHandler = end
     parser.CharacterDataHandler = chars
     try:
-        parser.Parse(xml, True)
+        parser.Parse(data, True)
     except expat.ExpatError as exc:
         return [], f"malformed XML: {exc}"
     except (ValueError, RecursionError) as exc:  # e.g. entity expansion limits
@@ -100,7 +111,7 @@ def _extract_batches(names_default: str, with_meta: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, frozenset[str]] = {}
         for pdf in batches:
-            rows_id, rows_semid, rows_el, rows_text, rows_err, rows_attr, rows_path = [], [], [], [], [], [], []
+            rows_id, rows_semid, rows_el, rows_text, rows_err, rows_attr, rows_path, rows_full = [], [], [], [], [], [], [], []
             has_elements = "elements" in pdf.columns
             for i, (doc_id, xml) in enumerate(zip(pdf["doc_id"], pdf["xml"])):
                 spec = pdf["elements"].iat[i] if has_elements else None
@@ -115,14 +126,14 @@ def _extract_batches(names_default: str, with_meta: bool):
                     matches, err = _parse_matches(xml, names, with_meta)
                 if err is not None:
                     rows_id.append(doc_id); rows_semid.append(None); rows_el.append(None)
-                    rows_text.append(None); rows_err.append(err); rows_attr.append(None); rows_path.append(None)
+                    rows_text.append(None); rows_err.append(err); rows_attr.append(None); rows_path.append(None); rows_full.append(None)
                     continue
                 if not matches:  # marker row: the document exists but nothing matched (X7)
                     rows_id.append(doc_id); rows_semid.append(None); rows_el.append(None)
-                    rows_text.append(None); rows_err.append(None); rows_attr.append(None); rows_path.append(None)
-                for sid, name, text, attrs, xp in matches:
+                    rows_text.append(None); rows_err.append(None); rows_attr.append(None); rows_path.append(None); rows_full.append(None)
+                for sid, name, text, attrs, xp, full in matches:
                     rows_id.append(doc_id); rows_semid.append(sid); rows_el.append(name)
-                    rows_text.append(text); rows_err.append(None); rows_attr.append(attrs); rows_path.append(xp)
+                    rows_text.append(text); rows_err.append(None); rows_attr.append(attrs); rows_path.append(xp); rows_full.append(full)
             res = pd.DataFrame({
                 "doc_id": pd.Series(rows_id, dtype=object),
                 "semid": pd.array(rows_semid, dtype="Int32"),
@@ -133,6 +144,7 @@ def _extract_batches(names_default: str, with_meta: bool):
             if with_meta:
                 res["attributes"] = pd.Series(rows_attr, dtype=object)
                 res["xpath"] = pd.Series(rows_path, dtype=object)
+                res["content"] = pd.Series(rows_full, dtype=object)
             yield res
     return run
 
@@ -155,6 +167,7 @@ def parse_documents(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta
         fields += [
             T.StructField("attributes", T.MapType(T.StringType(), T.StringType())),
             T.StructField("xpath", T.StringType()),
+            T.StructField("content", T.StringType()),
         ]
     return docs.select(*cols).mapInPandas(_extract_batches(elements, with_meta), T.StructType(fields))
 
@@ -162,7 +175,7 @@ def parse_documents(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta
 def extract_elements(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta: bool = False) -> DataFrame:
     """X1-X5 + P5: matching elements with normalised, non-empty text."""
     parsed = parse_documents(docs, elements, with_meta)
-    extra = ["attributes", "xpath"] if with_meta else []
+    extra = ["attributes", "xpath", "content"] if with_meta else []
     return (
         parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
         .select("doc_id", "semid", "element", normalize_space("raw_text").alias("text"), *extra)

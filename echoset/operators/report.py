@@ -173,6 +173,25 @@ def result_documents(members: DataFrame, scope: list[str], order: str) -> DataFr
                     lambda x: x["_x"]).alias("similarity_groups"))
 
 
+def full_results(outcomes: DataFrame, members: DataFrame, key: str, order: str, run_id: str) -> DataFrame:
+    """The whole result document of every outcome row, with or without groups.
+
+    ``key, run_id, status, message, error, n_groups, removable_texts,
+    similarity_groups``: groups by average score, highest first (to six
+    digits, then by leader), each leader first. For scopes of a document's
+    size: a scope's texts are gathered in its row.
+    """
+    lead = f"leader_{order}"
+    groups = members.groupBy(key, lead).agg(
+        F.round(F.avg("similarity"), 6).alias("_score"),
+        F.array_sort(F.collect_list(F.struct((~F.col("is_leader")).alias("_r"), F.col(order).alias("_o"), F.col("text").alias("_t")))).alias("_m"))
+    listed = groups.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("_score")).alias("_s"), F.col(lead).alias("_l"), F.transform("_m", lambda x: x["_t"]).alias("_x")))).alias("_g"))
+    return outcomes.join(listed, key, "left").select(
+        key, F.lit(run_id).alias("run_id"), "status", "message", "error", "n_groups", "removable_texts",
+        F.coalesce(F.transform("_g", lambda g: g["_x"]), F.array().cast("array<array<string>>")).alias("similarity_groups"))
+
+
 def save_run(df: DataFrame, path: str, run_id: str) -> None:
     """Keep a table (vertices with vectors, or groups) under ``run_id``.
 

@@ -305,6 +305,26 @@ def q_mean_vectors(spark, sf_dir):
         "vec_id", "place", F.round("x", 6).alias("x"))
 
 
+def q_element_metadata(spark, sf_dir):
+    """Name, position, markup and id of every element of the documents' lines."""
+    from echoset.operators.report import element_ids
+
+    _prep(spark)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    el = element_ids(extract_elements(lines_as_xml(docs), with_meta=True))
+    return el.select("doc_id", "semid", "element", "xpath", "content", "element_id", F.size("attributes").alias("n_attributes"))
+
+
+def q_document_results(spark, sf_dir):
+    """The result document of every document, groups by score."""
+    from echoset.operators.report import document_outcomes, full_results
+
+    _prep(spark)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    outcomes, members = document_outcomes(lines_as_xml(docs), "p", LINE_T)
+    return full_results(outcomes, members, "doc_id", "semid", "run-1")
+
+
 QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
@@ -332,6 +352,8 @@ QUERIES = {
     "request_outcomes": q_request_outcomes,
     "embedding_outcomes": q_embedding_outcomes,
     "token_ids": q_token_ids,
+    "element_metadata": q_element_metadata,
+    "document_results": q_document_results,
     "mean_vectors": q_mean_vectors,
 }
 
@@ -518,3 +540,15 @@ FROM c"""
 
 
 ORACLES["request_outcomes"] = _requests_sql()
+ORACLES["element_metadata"] = O.with_clause(LINES) + r"""
+SELECT i.doc_id, i.semid, 'p' AS element, '/doc[1]/p[' || i.semid || ']' AS xpath,
+       '<p>' || replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;')
+         || '</p>' AS content,
+       sha256(i.doc_id || ':' || i.semid) AS element_id, 0 AS n_attributes
+FROM items i JOIN raw_lines r ON i.doc_id = r.doc_id AND i.semid = r.semid"""
+ORACLES["document_results"] = ORACLES["document_outcomes"].replace("\nSELECT doc_id, status,", """,
+gt AS (SELECT doc_id, leader_semid, round(avg(sim), 6) AS score, list(text ORDER BY (NOT is_leader), semid) AS texts FROM members GROUP BY ALL),
+gl AS (SELECT doc_id, list(texts ORDER BY score DESC, leader_semid) AS similarity_groups FROM gt GROUP BY doc_id),
+whole AS (SELECT doc_id, status,""", 1) + """)
+SELECT doc_id, 'run-1' AS run_id, status, message, error, n_groups, removable_texts, coalesce(similarity_groups, []) AS similarity_groups
+FROM whole LEFT JOIN gl USING (doc_id)"""

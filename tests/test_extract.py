@@ -126,6 +126,10 @@ def test_element_metadata(spark):
         (2, "/doc[1]/sec[1]/p[1]", {}),
         (3, "/doc[1]/sec[1]/p[2]", {"lang": "fr"}),
     ]
+    assert [r.content for r in rows] == ['<p id="a" class="x">one</p>', "<p>two</p>", '<p lang="fr">trois</p>']
+    odd = spark.createDataFrame([("d", '<d><p>a<i>b</i><!-- c --> &amp; <p x=">"/>d</p >\n</d>')], "doc_id string, xml string")
+    assert [r.content for r in extract_elements(odd, "p i", with_meta=True).orderBy("semid").collect()] == [
+        '<p>a<i>b</i><!-- c --> &amp; <p x=">"/>d</p >', "<i>b</i>"]
 
 
 def test_annotated_copy_is_whole_at_any_depth(spark):
