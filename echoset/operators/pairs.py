@@ -19,8 +19,8 @@ Strategies (all exact except J4):
   Rows are hashed into blocks of bounded size inside their scope; each pair of
   blocks meets once in ``applyInPandas`` and is multiplied in numpy. Memory per
   task is bounded by the block size, never by the scope size.
-* :func:`lsh_pairs` (J4) — approximate: Spark ML random-projection LSH; a
-  subset of the exact edges, never extra ones.
+* :func:`lsh_pairs` (J4) — approximate: random hyperplanes, verified; a subset
+  of the exact edges, never extra ones.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echoset.operators.embed import as_double_vector
+
 PREFIX_EPS = 1e-9  # safety margin on the prefix bound (more candidates, never fewer)
 DEFAULT_BLOCK_ROWS = 1024
 LENGTH_ERROR = "vector lengths differ within a scope"
@@ -273,29 +275,50 @@ def max_similarity(vertices: DataFrame, scope: list[str], pos: str = "pos", vect
 
 # --------------------------------------------------------------------- J4
 
-def lsh_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos",
-              vector: str = "vector", bucket_length: float = 4.0, num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate edges with random-projection LSH (Spark ML).
+def hyperplane_signs(table: int, bits: int, dim: int, seed: int) -> np.ndarray:
+    """``bits`` x ``dim`` of +1 / -1: the parity of md5 of ``seed:table:bit:place``, the same everywhere."""
+    import hashlib
+
+    parity = [[int(hashlib.md5(f"{seed}:{table}:{b}:{i}".encode()).hexdigest()[0], 16) % 2 for i in range(dim)]
+              for b in range(bits)]
+    return 1.0 - 2.0 * np.array(parity)
 
-    For unit vectors, cosine >= t  <=>  euclidean distance <= sqrt(2 - 2t).
-    Spark re-checks the exact distance of every candidate, so the result is a
-    subset of the exact edges; recall depends on ``num_tables``.
+
+def lsh_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos",
+              vector: str = "vector", tables: int = 10, bits: int = 4, seed: int = 7) -> DataFrame:
+    """Approximate edges by random hyperplanes.
+
+    Vectors meet if in some table they lie on the same side of all ``bits``
+    hyperplanes; each candidate is verified by cosine, so the result is a
+    subset of the exact edges. A pair at angle x meets with probability
+    1 - (1 - (1 - x/pi)**bits)**tables: more bits prune more, more tables
+    find more. Zero vectors and vectors with NaN have no side and no edge.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    dist = math.sqrt(max(0.0, 2.0 - 2.0 * float(threshold)))
-    norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform(vector, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
-    # a zero vector has no direction: it is similar to nothing at a positive threshold
-    data = vertices.where(norm > 0).select(*scope, F.col(pos).alias("v"), array_to_vector(unit).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(data)
-    joined = model.approxSimilarityJoin(data, data, dist, distCol="dist")
-    cond = F.col("datasetA.v") < F.col("datasetB.v")
-    for c in scope:
-        cond = cond & F.col(f"datasetA.{c}").eqNullSafe(F.col(f"datasetB.{c}"))
-    out = joined.where(cond).select(*[F.col(f"datasetA.{c}").alias(c) for c in scope],
-                                    F.col("datasetA.v").alias("a"), F.col("datasetB.v").alias("b"),
-                                    (F.lit(1.0) - F.col("dist") * F.col("dist") / 2).alias("sim"))
+    src = vertices.select(*scope, F.col(pos).alias("v"), as_double_vector(F.col(vector)).alias("vec"))
+    fields = [src.schema[c] for c in scope] + [src.schema["v"]]
+    schema = T.StructType(fields + [T.StructField("tbl", T.IntegerType()), T.StructField("side", T.LongType())])
+
+    def sides(it):
+        signs: dict[tuple[int, int], np.ndarray] = {}
+        weights = 1 << np.arange(bits)
+        for pdf in it:
+            size = pdf["vec"].map(lambda x: 0 if x is None else len(x)).to_numpy()
+            for dim in np.unique(size[size > 0]):
+                rows = pdf[size == dim]
+                x = np.stack([np.asarray(v, float) for v in rows["vec"]])
+                ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                for t in range(tables):
+                    if (t, dim) not in signs:
+                        signs[t, dim] = hyperplane_signs(t, bits, int(dim), seed)
+                    side = (x[ok] @ signs[t, dim].T >= 0) @ weights
+                    yield rows.loc[ok, [*scope, "v"]].assign(tbl=t, side=side + (int(dim) << bits))
+
+    met = src.mapInPandas(sides, schema)
+    l, r = met.alias("l"), met.alias("r")
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in scope] + [
+        F.col("l.tbl") == F.col("r.tbl"), F.col("l.side") == F.col("r.side"), F.col("l.v") < F.col("r.v")]
+    cand = l.join(r, on).select(*[F.col(f"l.{c}").alias(c) for c in scope], F.col("l.v").alias("a"), F.col("r.v").alias("b")).distinct()
+    left = src.withColumnRenamed("v", "a").withColumnRenamed("vec", "_va")
+    right = src.withColumnRenamed("v", "b").withColumnRenamed("vec", "_vb")
+    out = cand.join(left, scope + ["a"]).join(right, scope + ["b"]).select(*scope, "a", "b", cosine(F.col("_va"), F.col("_vb")).alias("sim"))
     return out.where(_keep(F.col("sim"), threshold))

@@ -552,3 +552,14 @@ gl AS (SELECT doc_id, list(texts ORDER BY score DESC, leader_semid) AS similarit
 whole AS (SELECT doc_id, status,""", 1) + """)
 SELECT doc_id, 'run-1' AS run_id, status, message, error, n_groups, removable_texts, coalesce(similarity_groups, []) AS similarity_groups
 FROM whole LEFT JOIN gl USING (doc_id)"""
+ORACLES["embedding_pairs_lsh"] = f"""
+WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+s AS (SELECT t, b, i, CASE WHEN ('0x' || substr(md5('7:' || t || ':' || b || ':' || i), 1, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS sign
+      FROM range(10) q(t), range(4) r(b), range(64) u(i)),
+sides AS (SELECT label, vec_id, t, b, sum(x[i + 1] * sign) >= 0 AS side FROM v, s GROUP BY ALL),
+k AS (SELECT label, vec_id, t, string_agg(side::INTEGER::VARCHAR, '' ORDER BY b) AS sides FROM sides GROUP BY ALL),
+met AS (SELECT DISTINCT x.label, x.vec_id AS a, y.vec_id AS b FROM k x JOIN k y
+        ON x.label = y.label AND x.t = y.t AND x.sides = y.sides AND x.vec_id < y.vec_id)
+SELECT m.label, a AS vec_id_a, b AS vec_id_b, round(list_cosine_similarity(x.x, y.x), 6) AS similarity
+FROM met m JOIN v x ON m.label = x.label AND m.a = x.vec_id JOIN v y ON m.label = y.label AND m.b = y.vec_id
+WHERE list_cosine_similarity(x.x, y.x) >= {EMB_T}"""

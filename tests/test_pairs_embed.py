@@ -130,3 +130,14 @@ def test_failing_text_gets_a_zero_vector(monkeypatch):
     out = next(model_encoder("models/m", 2)(iter([pdf])))
     assert out["vector"][0] == pytest.approx([1 / math.sqrt(5), 2 / math.sqrt(5)]) and out["embed_error"][0] is None
     assert out["vector"][1] == [0.0, 0.0] and out["embed_error"][1] == "bad input"
+
+
+def test_lsh_meets_and_prunes(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 32))
+    near = x + 0.1 * rng.normal(size=x.shape)
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))], "g int, pos int, vector array<double>")
+    found = {(r.a, r.b) for r in lsh_pairs(df, ["g"], 0.95).collect()}
+    assert sum((i, i + 60) in found for i in range(60)) >= 57
+    met = lsh_pairs(df, ["g"], -1.0).count()  # every candidate passes
+    assert met < 0.6 * 120 * 119 / 2
