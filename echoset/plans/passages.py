@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from echoset.operators.embed import DEFAULT_DIM, as_double_vector, with_hashing_counts
 from echoset.operators.grouping import assign_members, greedy_leaders
-from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs, sparse_pairs
+from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs
 from echoset.sources.documents import DEFAULT_THRESHOLD
 
 
@@ -53,17 +53,13 @@ def led_and_edges(vertices: DataFrame, scope: list[str], threshold: float, encod
 
     Inside scopes (documents, labels, requests) the packed block job groups
     every scope that fits in a block where its similarities are computed and
-    gives edges for larger ones. Across a corpus hashed vectors go through the
-    prefix-filtered join, dense ones through blocks.
+    gives edges for larger ones. A whole corpus is one such large scope.
     """
     vector = None if encoder == "hashing" else "vector"
     if scope:
         return block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows, mode="groups",
                            threshold_col=threshold_col)
-    if encoder == "hashing" and threshold > 0:
-        edges = sparse_pairs(vertices, scope, threshold)
-    else:
-        edges = block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows)
+    edges = block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows)
     return edges.withColumn("grouped", F.lit(False))
 
 
