@@ -3,8 +3,8 @@
 A line that stands on many sites is boilerplate, however often each site repeats it.
 
 1. Every text is cut in lines; a line's key is two 64-bit hashes of its trimmed
-   text. Lines of fewer than ``min_chars`` characters have no key: too short to
-   tell boilerplate from chance, they always stay.
+   text. Blank lines have no key and always stay. ``min_chars`` above 1 leaves
+   shorter lines out too; it is off unless asked for.
 2. A HyperLogLog sketch of the sites of each line is built where the
    lines lie and merged by aggregation: one small sketch a line and task,
    however many rows a hot line has.
@@ -56,7 +56,7 @@ def spread_lines(keyed: DataFrame, min_sites: int, band: float) -> DataFrame:
 
 def remove_spread_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8,
-    min_chars: int = 25, band: float = 0.25,
+    min_chars: int = 1, band: float = 0.25,
 ) -> DataFrame:
     """Every text without cross-site boilerplate: ``<id_col>``, ``text``, ``n_lines``, ``n_removed``.
 
@@ -83,7 +83,7 @@ def remove_spread_lines(
         F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
-def oracle_sql(min_sites: int = 8, min_chars: int = 25) -> str:
+def oracle_sql(min_sites: int = 8, min_chars: int = 1) -> str:
     """The same by exact distinct counts (DuckDB)."""
     return f"""
 WITH d AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents),

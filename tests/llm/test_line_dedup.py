@@ -64,3 +64,10 @@ def test_no_python_on_the_main_path(spark):
 
 def test_empty_table(spark):
     assert remove_spread_lines(frame(spark, [])).collect() == []
+
+
+def test_short_lines_count_by_default(spark):
+    rows = [(i, f"All rights reserved.\n\nstory {i}\n ok\t", f"site{i % 9}") for i in range(9)] + [(9, "few\n", "site1"), (10, "few", "site2")]
+    got = remove_spread_lines(frame(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 8, 1)
+    assert brute(rows, 8, 1)[0] == (0, "\nstory 0", 4, 2)
