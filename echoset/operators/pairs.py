@@ -284,16 +284,37 @@ def hyperplane_signs(table: int, bits: int, dim: int, seed: int) -> np.ndarray:
     return 1.0 - 2.0 * np.array(parity)
 
 
+def lsh_shape(threshold: float, recall: float = 0.9, max_tables: int = 64) -> tuple[int, int]:
+    """``(tables, bits)``: the most bits (16 at most) at which no more than ``max_tables``
+    tables let a pair at the threshold meet with probability ``recall``.
+
+    Opposite vectors never share a side: at -1 no shape reaches a recall, and it is 10 tables of 4.
+    """
+    p = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    if p <= 0:
+        return 10, 4
+    if p >= 1:
+        return 1, 16
+    for bits in range(16, 0, -1):
+        tables = math.ceil(math.log(1 - recall) / math.log1p(-(p ** bits)))
+        if tables <= max_tables:
+            return tables, bits
+    return tables, 1  # near -1 more tables than that, not less recall
+
+
 def lsh_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos",
-              vector: str = "vector", tables: int = 10, bits: int = 4, seed: int = 7) -> DataFrame:
+              vector: str = "vector", tables: int | None = None, bits: int | None = None, seed: int = 7) -> DataFrame:
     """Approximate edges by random hyperplanes.
 
     Vectors meet if in some table they lie on the same side of all ``bits``
     hyperplanes; each candidate is verified by cosine, so the result is a
     subset of the exact edges. A pair at angle x meets with probability
     1 - (1 - (1 - x/pi)**bits)**tables: more bits prune more, more tables
-    find more. Zero vectors and vectors with NaN have no side and no edge.
+    find more. Unless both are given, ``lsh_shape`` takes them from the threshold so that
+    this is 0.9 or more there. Zero vectors and vectors with NaN have no side and no edge.
     """
+    if tables is None or bits is None:
+        tables, bits = lsh_shape(threshold)
     src = vertices.select(*scope, F.col(pos).alias("v"), as_double_vector(F.col(vector)).alias("vec"))
     fields = [src.schema[c] for c in scope] + [src.schema["v"]]
     schema = T.StructType(fields + [T.StructField("tbl", T.IntegerType()), T.StructField("side", T.LongType())])

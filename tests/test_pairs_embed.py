@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echoset.operators.embed import mean_pool, token_ids, with_hashing_counts, with_hashing_vectors
-from echoset.operators.pairs import block_pairs, lsh_pairs, max_similarity, sparse_pairs
+from echoset.operators.pairs import block_pairs, lsh_pairs, lsh_shape, max_similarity, sparse_pairs
 from echoset.sources.documents import read_vocab
 
 TEXTS = ["the cat sat on the mat", "The cat sat on a mat.", "dogs bark loudly at night",
@@ -141,3 +141,17 @@ def test_lsh_meets_and_prunes(spark):
     assert sum((i, i + 60) in found for i in range(60)) >= 57
     met = lsh_pairs(df, ["g"], -1.0).count()  # every candidate passes
     assert met < 0.6 * 120 * 119 / 2
+
+
+def test_lsh_recall_at_low_thresholds(spark):
+    for t in (-0.9, 0.0, 0.3, 0.75, 0.95):
+        tables, bits = lsh_shape(t)
+        assert 1 - (1 - (1 - math.acos(t) / math.pi) ** bits) ** tables >= 0.9
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(250, 64))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    S = y @ y.T
+    exp = {(i, j) for i in range(250) for j in range(i + 1, 250) if S[i, j] >= 0.3}
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "g int, pos int, vector array<double>")
+    found = {(r.a, r.b) for r in lsh_pairs(df, ["g"], 0.3).collect()}
+    assert found <= exp and len(found) >= 0.88 * len(exp)  # 0.9 expected, about 250 pairs
