@@ -234,23 +234,25 @@ def _host(url: str):
     return F.when(host != "", host)
 
 
-def host_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """Rows ``(host, templates)``: hashes of the subtrees that recur on a host's pages."""
+def template_rows(pages: DataFrame, min_pages: int, min_share: float, salts: int = 64) -> DataFrame:
+    """Rows ``(host, hash)``: the subtrees that recur on a host's pages, none gathered."""
 
     def run(it):
         for pdf in it:
             yield pd.DataFrame({"host": pdf["host"], "hash": [subtree_hashes(p) for p in pdf["html"]]})
 
     hashes = pages.where("host IS NOT NULL").select("host", "html").mapInPandas(run, "host string, hash array<bigint>")
-    # one exploded table gives both counts: hash 0 stands for the page itself
-    each = hashes.select("host", F.explode(F.concat(F.array(F.lit(0).cast("bigint")), "hash")).alias("hash"))
-    counts = each.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    often = counts.where((F.col("n") >= min_pages) | (F.col("hash") == 0))
-    listed = often.groupBy("host").agg(
-        F.max(F.when(F.col("hash") == 0, F.col("n"))).alias("pages"),
-        F.collect_list(F.when(F.col("hash") != 0, F.struct("hash", "n"))).alias("seen"))
-    return listed.select("host", F.transform(
-        F.filter("seen", lambda s: s["n"] >= F.col("pages") * min_share), lambda s: s["hash"]).alias("templates"))
+    counts = hashes.select("host", F.explode("hash").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") >= min_pages).withColumn("salt", F.pmod(F.xxhash64("hash"), F.lit(salts)).cast("int"))
+    # a small table, one row a host; the salt spreads a large host's hashes over many tasks
+    sizes = pages.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return often.join(sizes, ["host", "salt"]).where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+
+
+def host_templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """Rows ``(host, templates)``: the template hashes of each host that has any."""
+    return template_rows(pages, min_pages, min_share).groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def extract_text(
@@ -264,7 +266,7 @@ def extract_text(
     """
     src = picked(pages, id=id_col, url=url_col, html=html_col).withColumn("host", _host("url"))
     id_type, url_type = (src.schema[c].dataType.simpleString() for c in ("id", "url"))
-    templates = cut(host_templates(src, min_pages, min_share).where(F.size("templates") > 0))
+    templates = cut(host_templates(src, min_pages, min_share))
     held = templates.agg(F.sum(F.size("templates") + 1)).first()[0] or 0
     if held <= broadcast_hashes:  # pages stay where they are
         met = src.join(F.broadcast(templates), "host", "left")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from echoset.llm.html_text import extract_text, host_templates, main_text, subtree_hashes
+from echoset.llm.html_text import extract_text, host_templates, main_text, subtree_hashes, template_rows
 
 from .fixtures import CLASHING
 
@@ -80,3 +80,14 @@ def test_templates_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert extract_text(pages(spark, [])).collect() == []
+
+
+def test_only_templates_are_gathered(spark):
+    rows = [(i, f"http://h.org/{i}", divs(i // 6, "h")) for i in range(120)]  # groups of 6 copies are no template at a share of 0.1
+    src = pages(spark, rows).select(F.lit("h.org").alias("host"), "html")
+    own = [subtree_hashes(h) for _, _, h in rows]
+    want = {x for h in own for x in h if sum(x in g for g in own) >= 12}
+    found = template_rows(src, 5, 0.1)
+    assert {r["hash"] for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
