@@ -12,7 +12,7 @@
    more the join is salted, so a large host's pages are spread over many tasks.
 4. The pages are parsed again: template subtrees go, and with them what HTML
    itself names as not the article (menus, forms, scripts, ...; classes and
-   roles that say so). What is left of the article is cut in blocks.
+   roles that say so). All that is left is cut in blocks, in <article> or <main> and around them.
 
 An article's running text is never template: a paragraph, list or heading without class and id,
 inside <article> or <main> and not made of links, stays however often it
@@ -214,19 +214,14 @@ def subtree_hashes(page: str | None) -> list[int]:
 
 
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
-    """The blocks of the article, joined by empty lines, without template subtrees."""
+    """All blocks, joined by empty lines, but those of template subtrees and of what names itself other than the article."""
     elements, blocks = parse(page)
     gone = [False] * len(elements)
     for i, e in enumerate(elements[1:], 1):
         running = e.scope and not e.marked and (e.tag in PROSE or e.tag in SCOPES) and 2 * e.linked <= e.chars
         whole = e.tag in ("html", "body") or (e.tag in SCOPES and not e.dropped)
         gone[i] = gone[e.parent] or e.dropped or (e.hash in templates and not running and not whole)
-    left = [(elements[i].scope, block) for i, block in blocks if not gone[i]]
-    for scope in SCOPES:
-        inside = [block for s, block in left if s == scope]
-        if inside:
-            return "\n\n".join(inside)
-    return "\n\n".join(block for _, block in left)
+    return "\n\n".join(block for i, block in blocks if not gone[i])
 
 
 def _host(url: str):

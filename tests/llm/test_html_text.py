@@ -91,3 +91,9 @@ def test_only_templates_are_gathered(spark):
     assert {r["hash"] for r in found.collect()} == want and found.count() == len(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_text_around_a_nested_article_stays():
+    assert main_text("<main><h1>Title</h1><p>body</p><article>related teaser</article></main>") == "Title\n\nbody\n\nrelated teaser"
+    assert main_text("<body><h1>Head</h1><main><p>lead</p><article><p>a</p></article><article><p>b</p></article></main><p>tail</p><nav>menu</nav>"
+                     ) == "Head\n\nlead\n\na\n\nb\n\ntail"
