@@ -97,3 +97,13 @@ def test_text_around_a_nested_article_stays():
     assert main_text("<main><h1>Title</h1><p>body</p><article>related teaser</article></main>") == "Title\n\nbody\n\nrelated teaser"
     assert main_text("<body><h1>Head</h1><main><p>lead</p><article><p>a</p></article><article><p>b</p></article></main><p>tail</p><nav>menu</nav>"
                      ) == "Head\n\nlead\n\na\n\nb\n\ntail"
+
+
+@pytest.mark.parametrize("broadcast_hashes", [200_000, 0])
+def test_template_on_two_percent_of_a_large_host(spark, broadcast_hashes):
+    rows = [(i, f"http://large.org/{i}", f"<body>{'<div><p>Maintenance on Sunday.</p></div>' if i % 50 == 0 else ''}"
+             f"<div><p>Story number {i}, group {i // 30} of many.</p></div><div><p>Topic {i // 30}</p></div></body>") for i in range(10_000)]
+    rows.append((10_000, "http://large.org/0", rows[0][2]))
+    got = {r["page_id"]: r["text"] for r in extract_text(pages(spark, rows), broadcast_hashes=broadcast_hashes).collect()}
+    assert len(got) == len(rows) and not any("Maintenance" in t for t in got.values())
+    assert got[50] == "Story number 50, group 1 of many.\n\nTopic 1"  # 30 of 10,000 pages are too few
