@@ -16,7 +16,7 @@ from echoset.operators.embed import DEFAULT_DIM, explode_sparse, with_hashing_ve
 from echoset.operators.extract import extract_elements
 from echoset.operators.pairs import LENGTH_ERROR, block_pairs, sparse_pairs
 from echoset.plans import oracle as O
-from echoset.plans.passages import distinct_vertices, encode_vertices, group_items, group_summary
+from echoset.plans.passages import distinct_vertices, encode_vertices, group_items, group_summary, pair_members
 from echoset.session import ensure_checkpoint_dir, ship_package, spread
 from echoset.sources.documents import lines_as_xml, read_table
 
@@ -79,6 +79,13 @@ def q_line_pairs_prefix(spark, sf_dir):
     return _line_pairs_out(sparse_pairs(_line_vertices(spark, sf_dir), ["doc_id"], LINE_T))
 
 
+def q_line_pair_members(spark, sf_dir):
+    """Membership beside ``line_pairs`` and ``line_pairs_prefix``: each position with its first copy, copies and links."""
+    verts = _line_vertices(spark, sf_dir)
+    pairs = block_pairs(verts, ["doc_id"], LINE_T, vector=None)
+    return pair_members(line_elements(spark, sf_dir), verts, pairs, ["doc_id"], "semid", "text", LINE_T)
+
+
 def line_members(spark, sf_dir, threshold=LINE_T, **kw):
     return group_items(line_elements(spark, sf_dir), ["doc_id"], "semid", threshold, **kw)
 
@@ -109,13 +116,23 @@ def _embeddings(spark, sf_dir):
     return spread(read_table(spark, sf_dir, "embeddings"))
 
 
+def _embedding_vertices(emb):
+    return encode_vertices(distinct_vertices(emb, ["label"], "vec_id", "embedding"), "embedding", "precomputed", 0).persist()
+
+
 def q_embedding_pairs(spark, sf_dir):
-    emb = _embeddings(spark, sf_dir)
-    verts = encode_vertices(distinct_vertices(emb, ["label"], "vec_id", "embedding"), "embedding", "precomputed", 0)
-    e = block_pairs(verts.persist(), ["label"], EMB_T, vector="vector")
+    e = block_pairs(_embedding_vertices(_embeddings(spark, sf_dir)), ["label"], EMB_T, vector="vector")
     return e.select("label", F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), _r6("sim", "similarity"))
 
 
+def q_embedding_pair_members(spark, sf_dir):
+    """Membership beside ``embedding_pairs``: each vector with its first copy, copies and links."""
+    emb = _embeddings(spark, sf_dir)
+    verts = _embedding_vertices(emb)
+    pairs = block_pairs(verts, ["label"], EMB_T, vector="vector")
+    return pair_members(emb, verts, pairs, ["label"], "vec_id", "embedding", EMB_T)
+
+
 def q_embedding_groups_label(spark, sf_dir):
     m = group_items(_embeddings(spark, sf_dir), ["label"], "vec_id", EMB_T, text=None, vector="embedding")
     return m.select("label", "leader_vec_id", "vec_id", "is_leader", _r6("similarity"))
@@ -329,10 +346,12 @@ QUERIES = {
     "hash_vectors": q_hash_vectors,
     "line_pairs": q_line_pairs,
     "line_pairs_prefix": q_line_pairs_prefix,
+    "line_pair_members": q_line_pair_members,
     "line_groups": q_line_groups,
     "line_groups_exact": q_line_groups_exact,
     "line_group_summary": q_line_group_summary,
     "embedding_pairs": q_embedding_pairs,
+    "embedding_pair_members": q_embedding_pair_members,
     "embedding_groups_label": q_embedding_groups_label,
     "embedding_groups_global": q_embedding_groups_global,
     "document_groups_global": q_document_groups_global,
@@ -551,6 +570,20 @@ gl AS (SELECT doc_id, list(texts ORDER BY score DESC, leader_semid) AS similarit
 whole AS (SELECT doc_id, status,""", 1) + """)
 SELECT doc_id, 'run-1' AS run_id, status, message, error, n_groups, removable_texts, coalesce(similarity_groups, []) AS similarity_groups
 FROM whole LEFT JOIN gl USING (doc_id)"""
+def _pair_members_sql(scope, order, content, src, *ctes):
+    """Membership from uncollapsed items and all their edges."""
+    return O.with_clause(*ctes) + f""",
+ends AS (SELECT {scope}, a AS pos FROM edges UNION ALL SELECT {scope}, b AS pos FROM edges),
+linked AS (SELECT {scope}, pos, count(*) AS links FROM ends GROUP BY ALL)
+SELECT i.{scope}, i.{order}, min(i.{order}) OVER same AS first_{order}, count(*) OVER same AS copies, coalesce(l.links, 0) AS links
+FROM {src} i LEFT JOIN linked l ON i.{scope} = l.{scope} AND i.{order} = l.pos
+WINDOW same AS (PARTITION BY i.{scope}, i.{content})"""
+
+
+ORACLES["line_pair_members"] = _pair_members_sql(
+    "doc_id", "semid", "text", "items", LINES, O.hashed(["doc_id"], "semid", DIM), O.sparse_edges(["doc_id"], LINE_T))
+ORACLES["embedding_pair_members"] = _pair_members_sql(
+    "label", "vec_id", "embedding", "embeddings", O.dense_edges(["label"], "vec_id", "embedding", EMB_T, "embeddings"))
 ORACLES["embedding_pairs_lsh"] = f"""
 WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
 s AS (SELECT t, b, i, CASE WHEN ('0x' || substr(md5('7:' || t || ':' || b || ':' || i), 1, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS sign

@@ -34,6 +34,26 @@ def distinct_vertices(items: DataFrame, scope: list[str], order: str, content: s
     return items.groupBy(*scope, content).agg(F.min(order).alias("pos"), F.count(F.lit(1)).alias("copies"))
 
 
+def pair_members(items: DataFrame, vertices: DataFrame, pairs: DataFrame, scope: list[str], order: str, content: str,
+                 threshold: float) -> DataFrame:
+    """Membership beside pairs ``a, b`` of vertices: ``scope..., <order>, first_<order>, copies, links``.
+
+    One row per position: the vertex it belongs to, the positions there, and the
+    other positions at ``threshold`` or more, its own copies among them. Counted
+    from the pairs of vertices and their sizes; no pair of positions is made.
+    """
+    sides = pairs.select(*scope, F.col("a").alias("pos"), F.col("b").alias("_other")).unionByName(
+        pairs.select(*scope, F.col("b").alias("pos"), F.col("a").alias("_other")))
+    sizes = vertices.select(*scope, F.col("pos").alias("_other"), F.col("copies").alias("_n"))
+    met = sides.join(sizes, scope + ["_other"]).groupBy(*scope, "pos").agg(F.sum("_n").alias("_met"))
+    alike = (F.col("selfsim") >= F.lit(float(threshold))) & ~F.isnan("selfsim")
+    links = F.coalesce("_met", F.lit(0)) + F.when(alike, F.col("copies") - 1).otherwise(F.lit(0))
+    classes = vertices.join(met, scope + ["pos"], "left").select(
+        *scope, content, F.col("pos").alias(f"first_{order}"), "copies", links.cast("bigint").alias("links"))
+    return items.select(*scope, order, content).join(classes, scope + [content]).select(
+        *scope, order, f"first_{order}", "copies", "links")
+
+
 def encode_vertices(vertices: DataFrame, content: str, encoder: str, dim: int) -> DataFrame:
     """Adds the vector columns and ``selfsim`` (similarity of a copy with itself)."""
     if encoder == "hashing":
