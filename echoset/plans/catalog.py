@@ -297,6 +297,16 @@ def q_embedding_outcomes(spark, sf_dir):
     return vector_outcomes(emb.select("label", "vec_id", cut.alias("embedding")), "label", "vec_id", "embedding", EMB_T)
 
 
+def q_embedding_outcomes_by_label(spark, sf_dir):
+    """The same with shortened vectors in a quarter of the labels only, chosen by a hash: most are grouped at any scale."""
+    from echoset.operators.report import vector_outcomes
+
+    emb = _embeddings(spark, sf_dir)
+    mixed = F.conv(F.substring(F.md5(F.col("label").cast("string")), 1, 1), 16, 10).cast("int") < 4
+    cut = F.when(mixed & (F.col("vec_id") % 3 == 0), F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return vector_outcomes(emb.select("label", "vec_id", cut.alias("embedding")), "label", "vec_id", "embedding", EMB_T)
+
+
 def q_token_ids(spark, sf_dir):
     """Model inputs of every turn, with the words of ``benchmark`` as vocabulary."""
     from echoset.functions.text import normalize_space
@@ -369,6 +379,7 @@ QUERIES = {
     "line_group_texts": q_line_group_texts,
     "request_outcomes": q_request_outcomes,
     "embedding_outcomes": q_embedding_outcomes,
+    "embedding_outcomes_by_label": q_embedding_outcomes_by_label,
     "token_ids": q_token_ids,
     "element_metadata": q_element_metadata,
     "document_results": q_document_results,
@@ -513,6 +524,8 @@ SELECT c.label, CASE WHEN any_value(b.label) IS NULL THEN 'COMPLETED' ELSE 'ERRO
        CASE WHEN any_value(b.label) IS NOT NULL THEN '{LENGTH_ERROR}' END AS error, count(*) AS n_texts,
        coalesce(any_value(g.n_groups), 0) AS n_groups, coalesce(any_value(g.grouped_texts), 0) AS grouped_texts
 FROM cut c LEFT JOIN bad b USING (label) LEFT JOIN g USING (label) GROUP BY c.label"""
+ORACLES["embedding_outcomes_by_label"] = ORACLES["embedding_outcomes"].replace(
+    "vec_id % 97 = 0", "('0x' || substr(md5(label::VARCHAR), 1, 1))::INTEGER < 4 AND vec_id % 3 = 0")
 ORACLES["token_ids"] = r"""
 WITH vocab AS (SELECT token, ('0x' || substr(md5(token), 1, 7))::BIGINT AS id FROM (
        SELECT DISTINCT unnest(string_split(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), ' ')) AS token FROM benchmark) WHERE token <> ''),

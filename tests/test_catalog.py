@@ -44,3 +44,9 @@ def test_copies_of_vectors_have_rows(spark, vectors):
     rows = same_as_oracle(spark, vectors, "embedding_pair_members", "embeddings")
     assert len(rows) == 1200 and sum(r["copies"] == 3 for r in rows) == 120
     assert all(r["links"] >= 2 for r in rows if r["vec_id"] % 10 == 0)
+
+
+def test_most_labels_are_grouped(spark, vectors):
+    rows = same_as_oracle(spark, vectors, "embedding_outcomes_by_label", "embeddings")
+    done = [r for r in rows if r["status"] == "COMPLETED"]
+    assert len(rows) == 40 and 20 < len(done) < 40 and all(r["n_groups"] > 0 for r in done)
