@@ -81,20 +81,22 @@ def fingerprint_texts(texts, shingle: int, seed: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row per document: ``id``, ``fp`` (the 64 bits as a signed long).
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, marks: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per document: ``id``, ``fp`` (the 64 bits as a signed long) and the long columns ``marks``.
 
     Null and blank texts have fingerprint zero; whole texts are used.
     """
-    src = picked(docs, id=id_col, text=text_col)
+    src = picked(docs, id=id_col, text=text_col, **{m: m for m in marks})
     id_type = src.schema["id"].dataType.simpleString()
 
     def run(it):
         for pdf in it:
             fp = fingerprint_texts(pdf["text"].tolist(), shingle, seed)
-            yield pd.DataFrame({"id": pdf["id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"id": pdf["id"], "fp": fp.view(np.int64), **{m: pdf[m] for m in marks}})
 
-    return src.mapInPandas(run, f"id {id_type}, fp bigint")
+    return src.mapInPandas(run, ", ".join([f"id {id_type}, fp bigint", *[f"{m} bigint" for m in marks]]))
 
 
 def _offsets(segments: int, radius: int) -> list[tuple[int, ...]]:
@@ -167,6 +169,14 @@ def _compare(x: np.ndarray, y: np.ndarray, radius: int, inner: bool = False) ->
     return out
 
 
+def _rooted(first: DataFrame, radius: int, segments: int, tile_rows: int) -> DataFrame:
+    """``fp, least`` of the distinct fingerprints, with the ``root`` of each one's component."""
+    roots = components(near_pairs(first.select("fp"), radius, segments, tile_rows))
+    return first.join(roots, first["fp"] == roots["id"], "left").select(
+        first["fp"], "least", F.coalesce("root", first["fp"]).alias("root")
+    )
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
     radius: int = 2, seed: int = 42, segments: int = 4, tile_rows: int = 4096,
@@ -180,12 +190,7 @@ def simhash_groups(
     group has no other id. An empty table gives an empty result; extra columns are ignored.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    first = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    links = near_pairs(first.select("fp"), radius, segments, tile_rows)
-    roots = components(links)
-    named = first.join(roots, first["fp"] == roots["id"], "left").select(
-        first["fp"], "least", F.coalesce("root", first["fp"]).alias("root")
-    )
+    named = _rooted(marked.groupBy("fp").agg(F.min("id").alias("least")), radius, segments, tile_rows)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     table = named.join(names, "root").select(F.col("fp"), "component_id")
     return marked.join(table, "fp").select(
@@ -196,15 +201,24 @@ def simhash_groups(
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row whose id names it.
+    """The rows of ``docs`` that stay: of each group the first by id, text hash and hash of the whole row.
 
-    All columns are kept. Rows that share an id are versions of one document:
-    one of them stays. Rows with a null id stay only where no row of their
-    group has an id, one for each distinct text.
+    All columns are kept. Rows that share an id are rows of their own: one whose
+    text is in another group counts there. Rows with a null id stay only where no
+    row of their group has an id, one for each distinct text.
     """
-    groups = simhash_groups(docs, id_col, text_col, **kw).select(F.col(id_col).alias("_echoset_id"), "component_id")
-    named = groups.where("_echoset_id = component_id").select("_echoset_id").distinct()
-    kept = docs.join(named, F.col(f"`{id_col}`") == F.col("_echoset_id"), "left_semi").dropDuplicates([id_col])
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    rows = docs.withColumns({
+        "_echoset_t": F.xxhash64(f"`{text_col}`"), "_echoset_r": F.xxhash64(*whole, *[c.isNull() for c in whole])})
+    marks = ("_echoset_t", "_echoset_r")
+    marked = cut(fingerprints(rows, id_col, text_col, kw.get("shingle", 3), kw.get("seed", 42), marks))
+    first = marked.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", *marks))).alias("least"))
+    named = _rooted(first, kw.get("radius", 2), kw.get("segments", 4), kw.get("tile_rows", 4096))
+    picks = named.groupBy("root").agg(F.min("least").alias("least")).where("least IS NOT NULL").select(
+        F.col("least.id").alias("_echoset_id"), *[F.col(f"least.{m}").alias(f"{m}_") for m in marks])
+    same = (F.col(f"`{id_col}`") == F.col("_echoset_id")) & (F.col("_echoset_t") == F.col("_echoset_t_")) & (
+        F.col("_echoset_r") == F.col("_echoset_r_"))
+    kept = rows.join(picks, same, "left_semi").dropDuplicates([id_col, *marks]).drop(*marks)  # those left are equal
     if not docs.where(F.col(f"`{id_col}`").isNull()).take(1):
         return kept
     nameless = docs.where(F.col(f"`{id_col}`").isNull())

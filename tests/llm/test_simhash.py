@@ -74,3 +74,14 @@ def test_nameless_rows_stay_once_a_text(spark):
     rows = [(None, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (1, "other words here now"), (None, "other words here now")]
     kept = [(r["doc_id"], r["text"]) for r in simhash_dedup(docs_frame(spark, rows)).collect()]
     assert sorted(kept, key=str) == sorted([(None, "alpha beta gamma delta"), (1, "other words here now")], key=str)
+
+
+def test_every_group_keeps_its_first_row(spark):
+    a, b = "alpha beta gamma delta epsilon", "quite other words stand here today"
+    rows = [(3, a), (5, a), (5, b), (7, a), (7, a), (9, b)]
+    for parts in (1, 3):
+        for order in (rows, rows[::-1]):
+            kept = simhash_dedup(docs_frame(spark, order).repartition(parts)).collect()
+            assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, a), (5, b)]
+    kept = simhash_dedup(docs_frame(spark, [(5, a), (5, b), (5, a)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(5, a), (5, b)]
