@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, line_dedup, mixing
+from . import decontam, embed_dedup, line_dedup, mixing, variants
 from .common import table
 from .html_text import extract_text
 from .secret_scan import scan_secrets, secret_digest
@@ -13,6 +13,7 @@ from .sharding import shard_rows
 from .simhash import simhash_groups
 from .tokens import token_files
 from .toxicity import toxicity_scores
+from .variants import spelling_variants
 
 
 def tokenizer_path() -> str:
@@ -73,6 +74,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all ``documents``."""
+    return spelling_variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, noise=199, ratio=5)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -91,4 +98,5 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": decontam.oracle_sql(),
     "op7_mixing": mixing.oracle_sql(),
     "op9_line_dedup": line_dedup.oracle_sql(),
+    "op13_spelling_variants": variants.oracle_sql(),
 }
