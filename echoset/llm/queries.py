@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import decontam, embed_dedup, line_dedup, mixing, variants
 from .common import table
 from .html_text import extract_text
+from .phrases import edited_fingerprints
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import shard_rows
 from .simhash import simhash_groups
@@ -74,6 +75,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and of their edited texts."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all ``documents``."""
     return spelling_variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, noise=199, ratio=5)
@@ -90,6 +96,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
