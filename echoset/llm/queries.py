@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, line_dedup, mixing, variants
+from . import collocations, decontam, embed_dedup, line_dedup, mixing, variants
 from .common import table
 from .html_text import extract_text
 from .phrases import edited_fingerprints
@@ -80,6 +80,11 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of each language of all ``documents``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), min_count=30, cover=80, top=2000)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all ``documents``."""
     return spelling_variants(table(spark, sf_dir, "documents"), min_length=6, min_count=5, noise=199, ratio=5)
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
     "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_collocations": op12_collocations,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -105,5 +111,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": decontam.oracle_sql(),
     "op7_mixing": mixing.oracle_sql(),
     "op9_line_dedup": line_dedup.oracle_sql(),
+    "op12_collocations": collocations.oracle_sql(),
     "op13_spelling_variants": variants.oracle_sql(),
 }
