@@ -107,3 +107,41 @@ def test_template_on_two_percent_of_a_large_host(spark, broadcast_hashes):
     got = {r["page_id"]: r["text"] for r in extract_text(pages(spark, rows), broadcast_hashes=broadcast_hashes).collect()}
     assert len(got) == len(rows) and not any("Maintenance" in t for t in got.values())
     assert got[50] == "Story number 50, group 1 of many.\n\nTopic 1"  # 30 of 10,000 pages are too few
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="wrapper has-sidebar"><article><p>Body text.</p></article></div>',
+    '<div class="post comments-open"><p>Body text.</p></div><div class="sidebar">x</div>',
+    '<div id="page-with-nav"><nav>Menu</nav><p>Body text.</p></div>',
+    '<form id="aspnetForm"><div class="menu">Menu</div><p>Body text.</p><input></form>',
+    '<form id="aspnetForm"><article><p>Body text.</p></article><fieldset><p>Sign in.</p></fieldset></form>',
+    '<main><section id="related-work"><p>Body text.</p></section></main>',
+    '<main><div id="copyright-law">Body text.</div></main>',
+    '<nav><a href="/">Home</a><main><p>Body text.</p></main>',
+    '<nav><ul><li><a href="/">Home</a><article><p>Body text.</p></article>',
+    '<p>Body <span class="advert">Buy now, <span>cheap</span></span>text.</p>',
+    '<a class="skip-link" href="#c">Skip to content</a><p>Body <span hidden>not</span> text.</p>',
+    '<article><p>Body text.</p><div class="comments"><p>A much longer comment than all of the article, by a reader.</p></div></article>',
+    '<article><p>Body text.</p></article><div class="related-posts"><article><p>Teaser</p></article></div>',
+    '<article class="comment"><p>A long comment that a reader wrote below.</p></article><article><p>Body text.</p></article>',
+])
+def test_layout_names_do_not_drop_the_article(page):
+    assert main_text(page) == "Body text."
+    assert main_text(f"<html><body>{page}</body></html>") == "Body text."
+
+
+@pytest.mark.parametrize("piece", ["<a ", 'a <b "', "<b '\">", "<!", "<script ", "</x", "<div>", "</div>", "<x><p>", "<li>", "</script ", "<p '>\""])
+def test_hostile_markup_in_linear_time(piece):
+    import time
+
+    took = []
+    for size in (250_000, 1_000_000):
+        for tail in ("", ">"):
+            began = time.process_time()
+            main_text(piece * (size // len(piece)) + tail)
+            took.append(time.process_time() - began)
+    assert max(took) < 12 and max(took[2:]) < 9 * max(0.1, *took[:2])  # a quadratic scan takes 16 times as long
+
+
+def test_unmatched_end_tags_under_deep_nesting():
+    assert main_text("<x>" * 50_000 + "</y>" * 50_000 + "<p>end") == "end"
