@@ -28,16 +28,12 @@ from .common import components, cut, picked, stream_tiles
 
 BITS = 64
 FLUSH = 100_000  # shingle hashes whose bits are unpacked at once (memory of a task)
+PIECE = 1 << 20  # code points of a text cut in words at once; longer texts are folded piece by piece
 BLOCK = 1 << 20  # pairs compared at once
 
 
-def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
-    """XXH64 of every run of ``shingle`` words, repeats included.
-
-    Words are the runs between ASCII white space, A-Z lower-cased. A text of
-    fewer words gives its whole sequence, a text without words nothing.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _hashed(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, repeats included; of all words if they are fewer."""
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
@@ -51,10 +47,70 @@ def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
     return np.array([digest(joined[s:e], seed) for s, e in spans], np.uint64)
 
 
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower()
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words, repeats included.
+
+    Words are the runs between ASCII white space, A-Z lower-cased. A text of
+    fewer words gives its whole sequence, a text without words nothing.
+    """
+    return _hashed(_bytes(text or "").split(), shingle, seed)
+
+
+def _word_runs(text: str):
+    """The words of a long text, a piece at a time; a word that a piece cuts comes with the piece where it ends."""
+    cut: list[bytes] = []
+    for lo in range(0, len(text), PIECE):
+        piece = _bytes(text[lo:lo + PIECE])
+        words = piece.split()
+        if cut and (not words or piece[:1].isspace()):
+            words.insert(0, b"".join(cut))
+            cut = []
+        elif cut:
+            cut.append(words[0])
+            if len(words) > 1 or piece[-1:].isspace():
+                words[0] = b"".join(cut)
+                cut = []
+            else:
+                words = []
+        if words and not cut and not piece[-1:].isspace():
+            cut = [words.pop()]
+        yield words
+    if cut:
+        yield [b"".join(cut)]
+
+
+def _long_fingerprint(text: str, shingle: int, seed: int) -> int:
+    """Fingerprint of a long text: bit counts are summed over its pieces, whose last words go on into the next."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    held: list[bytes] = []
+    for words in _word_runs(text):
+        held += words
+        if len(held) < shingle + 1:
+            continue
+        hashes = _hashed(held, shingle, seed)
+        held = held[len(held) - shingle + 1:] if shingle > 1 else []
+        total += len(hashes)
+        for lo in range(0, len(hashes), FLUSH):
+            counts += _bits(hashes[lo:lo + FLUSH]).sum(axis=0, dtype=np.int64)
+    if not total or len(held) == shingle:  # what was held back makes the only shingle, or the last one
+        hashes = _hashed(held, shingle, seed)
+        total += len(hashes)
+        counts += _bits(hashes).sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > total).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
 def _majority(hashes: list[np.ndarray]) -> np.ndarray:
     """Fingerprint of each non-empty array: bit set in over half of its hashes."""
     sizes = np.array([len(h) for h in hashes])
-    bits = np.unpackbits(np.concatenate(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = _bits(np.concatenate(hashes))
     counts = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int64)
     over = (2 * counts > sizes[:, None]).astype(np.uint8)
     return np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
@@ -67,6 +123,9 @@ def fingerprint_texts(texts, shingle: int, seed: int) -> np.ndarray:
     rows: list[int] = []
     held = 0
     for i, text in enumerate(texts):
+        if text and len(text) > PIECE:
+            out[i] = _long_fingerprint(text, shingle, seed)
+            continue
         h = shingle_hashes(text, shingle, seed)
         if not len(h):
             continue

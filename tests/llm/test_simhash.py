@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from echoset.llm.simhash import near_pairs, simhash_dedup, simhash_groups
+from echoset.llm import simhash
+from echoset.llm.simhash import fingerprint_texts, near_pairs, simhash_dedup, simhash_groups
 
 from .fixtures import awkward_rows, docs_frame, union_find
 
@@ -85,3 +86,29 @@ def test_every_group_keeps_its_first_row(spark):
             assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, a), (5, b)]
     kept = simhash_dedup(docs_frame(spark, [(5, a), (5, b), (5, a)])).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == [(5, a), (5, b)]
+
+
+@pytest.mark.parametrize("piece,flush", [(1, 1), (5, 2), (64, 7), (1000, 100)])
+def test_long_texts_are_folded_in_pieces(monkeypatch, piece, flush):
+    rng = random.Random(piece)
+    words = ["a", "B", "naïve", "x" * 40, "😀", "the"]
+    texts = [rng.choice(["", " ", "\n\t"]) + "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\x0b "]) for _ in range(n))[:rng.choice([-1, 10**6])]
+             for n in (0, 1, 2, 3, 4, 5, 30, 300) for _ in range(4)] + ["", " " * 50, "x" * 500, "one two", "one two three"]
+    for k in (1, 2, 3, 5):
+        want = fingerprint_texts(texts, k, 42)
+        assert want.tolist() == [brute_fingerprint(t, k) for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(simhash, "PIECE", piece)
+            m.setattr(simhash, "FLUSH", flush)
+            assert fingerprint_texts(texts, k, 42).tolist() == want.tolist()
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    text = "a bc def " * 300_000  # 2.7 MB of short words
+    tracemalloc.start()
+    fingerprint_texts([text], 3, 42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
