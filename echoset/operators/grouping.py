@@ -11,28 +11,79 @@ compared and cosine is symmetric): on the graph of edges ``a < b``,
 * a non-leader's group is its smallest adjacent leader.
 
 That is the lexicographically-first maximal independent set, computed in
-parallel rounds (Blelloch, Fineman, Shun, SPAA 2012): every undecided vertex
-without an undecided earlier neighbour becomes a leader; every undecided
-vertex adjacent to a new leader from above becomes a member; decided vertices
-leave the active edge table. Each round is a few joins over the shrinking
-active edges, checkpointed to ``spark.checkpoint.dir`` so lineage stays short
-and lost executors only cost the current round.
+parallel rounds (Blelloch, Fineman, Shun, SPAA 2012). A round resolves more than the vertices
+without an undecided earlier neighbour: the edges are dealt in ranges of their later end's
+position, about ``RANGE_EDGES`` each, and a task walks its range in order and decides every vertex whose
+earlier neighbours it can tell, so a chain of dependent vertices costs a round for each range that it
+crosses and not one for every two links. Decided vertices leave the active edge table. Rounds are
+checkpointed to ``spark.checkpoint.dir``, so lineage stays short and lost executors only cost the
+current round. A task streams its sorted edges and holds the states of its range's vertices.
 
 Scopes that fit in one block never get here: their groups come straight from
-the pair job (``block_groups``). What is grouped in rounds is one scope or
-corpus too large for a task, and no round ever gathers it in one.
+the pair job (``block_groups``).
 """
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echoset.session import ensure_checkpoint_dir
 
+RANGE_EDGES = 500_000  # edges walked in one task
+
+
+def _resolved(active: DataFrame, scope: list[str], ranges: int) -> DataFrame:
+    """``(scope..., v, leads)``: later ends of edges that a walk of their own range decides."""
+    keys = [*scope, "b"]
+    if ranges > 1:  # an earlier end that is no edge's later end leads; ends in other ranges are unknown
+        later = active.select(*scope, F.col("b").alias("a")).distinct().withColumn("known", F.lit(False))
+        marked = active.join(later, [*scope, "a"], "left").withColumn("known", F.coalesce("known", F.lit(True)))
+        dealt = marked.repartitionByRange(ranges, *keys)
+    else:
+        dealt = active.withColumn("known", F.lit(True)).coalesce(1)
+    fields = [active.schema[c] for c in scope]
+    schema = T.StructType([*fields, T.StructField("v", active.schema["b"].dataType), T.StructField("leads", T.BooleanType())])
+
+    def walk(it):
+        states: dict = {}
+        key, led, unknown = None, False, False
+        done: list = []
+
+        def settle():
+            if key is not None:
+                states[key] = False if led else None if unknown else True
+                if states[key] is not None:
+                    done.append((*key, states[key]))
+
+        for pdf in it:
+            cols = [pdf[c].tolist() for c in (*keys, "a", "known")]
+            for *k, a, known in zip(*cols):
+                k = tuple(k)
+                if k != key:
+                    settle()
+                    if key is not None and k[:-1] != key[:-1]:
+                        states.clear()
+                    key, led, unknown = k, False, False
+                leads = states.get((*k[:-1], a), known or None)
+                led |= leads is True
+                unknown |= leads is None
+            if done:
+                yield pd.DataFrame(done, columns=[*scope, "v", "leads"])
+                done = []
+        settle()
+        if done:
+            yield pd.DataFrame(done, columns=[*scope, "v", "leads"])
+
+    return dealt.sortWithinPartitions(*keys, "a").mapInPandas(walk, schema)
+
 
 def greedy_leaders(edges: DataFrame, scope: list[str], max_rounds: int | None = None, stats: dict | None = None,
-                   edges_checkpointed: bool = False) -> DataFrame:
+                   edges_checkpointed: bool = False, range_edges: int | None = None) -> DataFrame:
     """Leaders ``(scope..., v)`` among vertices that have at least one edge.
 
     Rounds record *members*; every vertex of the graph is either a member or
@@ -58,17 +109,20 @@ def greedy_leaders(edges: DataFrame, scope: list[str], max_rounds: int | None =
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"greedy grouping: {n} active edges left after {rounds} rounds")
         rounds += 1
-        # one row per vertex on both sides: a hub with all its edges is no hot key
-        starts = active.select(*scope, F.col("a").alias("v")).distinct()
-        blocked = active.select(*scope, F.col("b").alias("v")).distinct()
-        new_leaders = starts.join(blocked, scope + ["v"], "left_anti").checkpoint(eager=True)
-        new_members = (active.join(new_leaders.withColumnRenamed("v", "a"), scope + ["a"], "left_semi")
-                       .select(*scope, F.col("b").alias("v")).distinct().checkpoint(eager=True))
-        decided = new_leaders.unionByName(new_members)
-        active = (active.join(decided.withColumnRenamed("v", "a"), scope + ["a"], "left_anti")
-                  .join(decided.withColumnRenamed("v", "b"), scope + ["b"], "left_anti")
+        ranges = math.ceil(n / (range_edges or RANGE_EDGES))
+        decided = _resolved(active, scope, ranges).checkpoint(eager=True)
+        led = decided.where(~F.col("leads")).drop("leads")
+        if ranges == 1:  # the walk saw every edge and decided every vertex
+            members.append(led)
+            break
+        leaders = decided.where("leads").select(*scope, F.col("v").alias("a"))
+        led = led.unionByName(
+            active.join(leaders, [*scope, "a"], "left_semi").select(*scope, F.col("b").alias("v"))).distinct().checkpoint(eager=True)
+        gone = led.unionByName(leaders.withColumnRenamed("a", "v"))
+        active = (active.join(gone.withColumnRenamed("v", "a"), scope + ["a"], "left_anti")
+                  .join(gone.withColumnRenamed("v", "b"), scope + ["b"], "left_anti")
                   .checkpoint(eager=True))
-        members.append(new_members)
+        members.append(led)
     if stats is not None:
         stats["rounds"] = rounds
     if not members:

@@ -15,9 +15,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echoset.operators.embed import DEFAULT_DIM, as_double_vector, with_hashing_counts
 from echoset.operators.grouping import assign_members, greedy_leaders
+from echoset.operators.leaders import group_corpus
 from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs
 from echoset.sources.documents import DEFAULT_THRESHOLD
 
@@ -68,17 +70,20 @@ def encode_vertices(vertices: DataFrame, content: str, encoder: str, dim: int) -
 
 
 def led_and_edges(vertices: DataFrame, scope: list[str], threshold: float, encoder: str,
-                  block_rows: int, threshold_col: str | None) -> DataFrame:
+                  block_rows: int, threshold_col: str | None, stats: dict | None = None) -> DataFrame:
     """``(scope..., a, b, sim, grouped)``: final (leader, member) rows and edges still to group.
 
     Inside scopes (documents, labels, requests) the packed block job groups
     every scope that fits in a block where its similarities are computed and
-    gives edges for larger ones. A whole corpus is one such large scope.
+    gives edges for larger ones. A whole corpus is compared with leaders only.
     """
     vector = None if encoder == "hashing" else "vector"
     if scope:
         return block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows, mode="groups",
                            threshold_col=threshold_col)
+    if isinstance(vertices.schema["pos"].dataType, T.NumericType):
+        led = group_corpus(vertices, threshold, sparse=vector is None, stats=stats)
+        return led.withColumn("grouped", F.lit(True))
     edges = block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows)
     return edges.withColumn("grouped", F.lit(False))
 
@@ -127,7 +132,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     if threshold_col is not None:
         scope_t = base.groupBy(*scope).agg(F.coalesce(F.min(threshold_col), F.lit(threshold)).cast("double").alias("_t"))
         verts = verts.join(scope_t, scope)
-    found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None)
+    found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None, stats)
     found = found.checkpoint(eager=True)  # read by every round and by the assignment
     edges = found.where(~F.col("grouped")).drop("grouped")
     if stats is not None:

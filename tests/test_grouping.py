@@ -94,7 +94,7 @@ def test_chain_rounds_equal_local_walk(spark):
     expected = walk(vecs, t)
     stats = {}
     assert run_groups(spark, vecs, t, block_rows=8, stats=stats) == expected
-    assert stats["rounds"] > 1
+    assert stats["rounds"] == 1  # one range: its walk resolves the chain
     assert run_groups(spark, vecs, t) == expected
 
 
@@ -180,3 +180,41 @@ def test_rounds_and_blocks_agree(spark):
     stats = {}
     many = {tuple(r) for r in group_items(items, ["doc"], "pos", 0.6, block_rows=7, stats=stats).collect()}
     assert one == many and stats["rounds"] >= 1
+
+
+def lfmis(edges):
+    """Members by definition: later ends of an edge from a leader."""
+    later = {}
+    for a, b in edges:
+        later.setdefault(a, set()).add(b)
+    members = set()
+    for x in sorted({x for ab in edges for x in ab}):
+        if x not in members:
+            members |= later.get(x, set())
+    return members
+
+
+@pytest.mark.parametrize("range_edges", [40, 7, 1000])
+def test_ranges_of_edges_equal_the_definition(spark, range_edges):
+    from echoset.operators.grouping import greedy_leaders
+
+    rng = random.Random(range_edges)
+    edges = {tuple(sorted(rng.sample(range(90), 2))) for _ in range(200)} | {(i, i + 1) for i in range(100, 130)}
+    rows = [(s, a, b) for s in ("x", "y") for a, b in edges if s == "x" or a % 3]
+    df = spark.createDataFrame(rows, "s string, a bigint, b bigint")
+    got = {(r.s, r.v) for r in greedy_leaders(df, ["s"], range_edges=range_edges).collect()}
+    want = set()
+    for s in ("x", "y"):
+        own = [(a, b) for t, a, b in rows if t == s]
+        want |= {(s, v) for v in {v for e in own for v in e} - lfmis(own)}
+    assert got == want
+
+
+def test_long_chain_in_few_rounds(spark):
+    from echoset.operators.grouping import greedy_leaders
+
+    chain = spark.range(10_000).selectExpr("id AS a", "id + 1 AS b")
+    for range_edges in (1_500, 500_000):
+        stats = {}
+        leaders = sorted(r.v for r in greedy_leaders(chain, [], stats=stats, range_edges=range_edges).collect())
+        assert leaders == list(range(0, 10_001, 2)) and stats["rounds"] < 40
