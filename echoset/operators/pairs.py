@@ -19,8 +19,8 @@ Strategies (all exact except J4):
   Rows are hashed into blocks of bounded size inside their scope; each pair of
   blocks meets once in ``applyInPandas`` and is multiplied in numpy. Memory per
   task is bounded by the block size, never by the scope size.
-* :func:`lsh_pairs` (J4) — approximate: random hyperplanes, verified; a subset
-  of the exact edges, never extra ones.
+* :func:`lsh_pairs` (J4) — approximate: cross-polytope hashing with multi-probe,
+  verified; a subset of the exact edges, never extra ones.
 """
 
 from __future__ import annotations
@@ -275,70 +275,95 @@ def max_similarity(vertices: DataFrame, scope: list[str], pos: str = "pos", vect
 
 # --------------------------------------------------------------------- J4
 
-def hyperplane_signs(table: int, bits: int, dim: int, seed: int) -> np.ndarray:
-    """``bits`` x ``dim`` of +1 / -1: the parity of md5 of ``seed:table:bit:place``, the same everywhere."""
+POLYTOPES, CORNERS, PROBES = 2, 64, 3  # cross-polytopes of a table, their directions, nearest corners probed
+
+
+def direction_signs(table: int, polytope: int, dim: int, seed: int, corners: int = CORNERS) -> np.ndarray:
+    """``corners`` x ``dim`` of +1 / -1: parity of md5 of ``seed:table:polytope:corner:place``, the same everywhere."""
     import hashlib
 
-    parity = [[int(hashlib.md5(f"{seed}:{table}:{b}:{i}".encode()).hexdigest()[0], 16) % 2 for i in range(dim)]
-              for b in range(bits)]
+    parity = [[int(hashlib.md5(f"{seed}:{table}:{polytope}:{c}:{i}".encode()).hexdigest()[0], 16) % 2 for i in range(dim)]
+              for c in range(corners)]
     return 1.0 - 2.0 * np.array(parity)
 
 
-def lsh_shape(threshold: float, recall: float = 0.9, max_tables: int = 64) -> tuple[int, int]:
-    """``(tables, bits)``: the most bits (16 at most) at which no more than ``max_tables``
-    tables let a pair at the threshold meet with probability ``recall``.
+def lsh_tables(threshold: float, recall: float = 0.95, polytopes: int = POLYTOPES, corners: int = CORNERS, probes: int = PROBES,
+               max_tables: int = 512) -> int:
+    """Tables that let a pair at the threshold meet with probability ``recall``.
 
-    Opposite vectors never share a side: at -1 no shape reaches a recall, and it is 10 tables of 4.
+    How often two such vectors share one of their nearest corners is measured on
+    simulated directions (a fixed seed); a table needs that of all its polytopes.
     """
-    p = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    if p <= 0:
-        return 10, 4
+    rng = np.random.default_rng(11)
+    t = max(-1.0, min(1.0, threshold))
+    x = rng.standard_normal((20_000, corners))
+    y = t * x + math.sqrt(1 - t * t) * rng.standard_normal((20_000, corners))
+    marks = []
+    for z in (x, y):
+        near = np.argsort(-np.abs(z), axis=1)[:, :probes]
+        mark = np.zeros((len(z), 2 * corners), bool)
+        np.put_along_axis(mark, 2 * near + (np.take_along_axis(z, near, 1) > 0), True, axis=1)
+        marks.append(mark)
+    p = (marks[0] & marks[1]).any(axis=1).mean() ** polytopes
     if p >= 1:
-        return 1, 16
-    for bits in range(16, 0, -1):
-        tables = math.ceil(math.log(1 - recall) / math.log1p(-(p ** bits)))
-        if tables <= max_tables:
-            return tables, bits
-    return tables, 1  # near -1 more tables than that, not less recall
-
-
-def lsh_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos",
-              vector: str = "vector", tables: int | None = None, bits: int | None = None, seed: int = 7) -> DataFrame:
-    """Approximate edges by random hyperplanes.
-
-    Vectors meet if in some table they lie on the same side of all ``bits``
-    hyperplanes; each candidate is verified by cosine, so the result is a
-    subset of the exact edges. A pair at angle x meets with probability
-    1 - (1 - (1 - x/pi)**bits)**tables: more bits prune more, more tables
-    find more. Unless both are given, ``lsh_shape`` takes them from the threshold so that
-    this is 0.9 or more there. Zero vectors and vectors with NaN have no side and no edge.
-    """
-    if tables is None or bits is None:
-        tables, bits = lsh_shape(threshold)
+        return 1
+    tables = math.ceil(math.log(1 - recall) / math.log1p(-p)) if p > 0 else max_tables + 1
+    if tables > max_tables:
+        raise ValueError(f"threshold {threshold} needs {tables} tables; compare all pairs instead")
+    return tables
+
+
+def lsh_candidates(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos", vector: str = "vector",
+                   tables: int | None = None, seed: int = 7) -> DataFrame:
+    """Pairs ``scope..., a, b`` (a < b) that meet in some table, each once."""
+    tables = tables or lsh_tables(threshold)
     src = vertices.select(*scope, F.col(pos).alias("v"), as_double_vector(F.col(vector)).alias("vec"))
     fields = [src.schema[c] for c in scope] + [src.schema["v"]]
     schema = T.StructType(fields + [T.StructField("tbl", T.IntegerType()), T.StructField("side", T.LongType())])
 
     def sides(it):
-        signs: dict[tuple[int, int], np.ndarray] = {}
-        weights = 1 << np.arange(bits)
+        signs: dict[tuple[int, int, int], np.ndarray] = {}
         for pdf in it:
             size = pdf["vec"].map(lambda x: 0 if x is None else len(x)).to_numpy()
             for dim in np.unique(size[size > 0]):
                 rows = pdf[size == dim]
                 x = np.stack([np.asarray(v, float) for v in rows["vec"]])
                 ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                if not ok.any():
+                    continue
+                keys, x = rows.loc[ok, [*scope, "v"]], x[ok]
                 for t in range(tables):
-                    if (t, dim) not in signs:
-                        signs[t, dim] = hyperplane_signs(t, bits, int(dim), seed)
-                    side = (x[ok] @ signs[t, dim].T >= 0) @ weights
-                    yield rows.loc[ok, [*scope, "v"]].assign(tbl=t, side=side + (int(dim) << bits))
+                    codes = np.full((len(x), 1), int(dim))
+                    for k in range(POLYTOPES):
+                        if (t, k, dim) not in signs:
+                            signs[t, k, dim] = direction_signs(t, k, int(dim), seed)
+                        y = x @ signs[t, k, dim].T
+                        near = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :PROBES]
+                        corner = 2 * near + (np.take_along_axis(y, near, 1) > 0)
+                        codes = (codes[:, :, None] * 2 * CORNERS + corner[:, None, :]).reshape(len(x), -1)
+                    n = codes.shape[1]
+                    yield keys.loc[keys.index.repeat(n)].assign(tbl=t, side=codes.ravel())
 
     met = src.mapInPandas(sides, schema)
     l, r = met.alias("l"), met.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in scope] + [
         F.col("l.tbl") == F.col("r.tbl"), F.col("l.side") == F.col("r.side"), F.col("l.v") < F.col("r.v")]
-    cand = l.join(r, on).select(*[F.col(f"l.{c}").alias(c) for c in scope], F.col("l.v").alias("a"), F.col("r.v").alias("b")).distinct()
+    return l.join(r, on).select(*[F.col(f"l.{c}").alias(c) for c in scope], F.col("l.v").alias("a"), F.col("r.v").alias("b")).distinct()
+
+
+def lsh_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos", vector: str = "vector",
+              tables: int | None = None, seed: int = 7) -> DataFrame:
+    """Approximate edges by cross-polytope hashing with multi-probe.
+
+    A table turns a vector by two random sign matrices; it lies nearest to some corners of
+    each cross-polytope and is filed under every pair of its three nearest of either. Vectors
+    filed alike in some table are candidates, each verified by cosine, so the
+    result is a subset of the exact edges. ``tables`` come from the threshold
+    (``lsh_tables``: expected recall 0.95 at the threshold, more above). Zero vectors and vectors with
+    NaN have no corner and no edge.
+    """
+    cand = lsh_candidates(vertices, scope, threshold, pos, vector, tables, seed)
+    src = vertices.select(*scope, F.col(pos).alias("v"), as_double_vector(F.col(vector)).alias("vec"))
     left = src.withColumnRenamed("v", "a").withColumnRenamed("vec", "_va")
     right = src.withColumnRenamed("v", "b").withColumnRenamed("vec", "_vb")
     out = cand.join(left, scope + ["a"]).join(right, scope + ["b"]).select(*scope, "a", "b", cosine(F.col("_va"), F.col("_vb")).alias("sim"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from echoset.operators.embed import DEFAULT_DIM, explode_sparse, with_hashing_vectors
 from echoset.operators.extract import extract_elements
-from echoset.operators.pairs import LENGTH_ERROR, block_pairs, sparse_pairs
+from echoset.operators.pairs import CORNERS, LENGTH_ERROR, POLYTOPES, PROBES, block_pairs, lsh_tables, sparse_pairs
 from echoset.plans import oracle as O
 from echoset.plans.passages import distinct_vertices, encode_vertices, group_items, group_summary, pair_members
 from echoset.session import ensure_checkpoint_dir, ship_package, spread
@@ -288,17 +288,8 @@ def q_request_outcomes(spark, sf_dir):
                       "removable_texts", "texts_minus_groups", "threshold")
 
 
-def q_embedding_outcomes(spark, sf_dir):
-    """O1 on vectors: labels whose vectors differ in length are ERROR, the others complete."""
-    from echoset.operators.report import vector_outcomes
-
-    emb = _embeddings(spark, sf_dir)
-    cut = F.when(F.col("vec_id") % 97 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
-    return vector_outcomes(emb.select("label", "vec_id", cut.alias("embedding")), "label", "vec_id", "embedding", EMB_T)
-
-
 def q_embedding_outcomes_by_label(spark, sf_dir):
-    """The same with shortened vectors in a quarter of the labels only, chosen by a hash: most are grouped at any scale."""
+    """O1 on vectors: labels whose vectors differ in length (a quarter, chosen by a hash) are ERROR, the others complete."""
     from echoset.operators.report import vector_outcomes
 
     emb = _embeddings(spark, sf_dir)
@@ -378,7 +369,6 @@ QUERIES = {
     "line_group_numbers": q_line_group_numbers,
     "line_group_texts": q_line_group_texts,
     "request_outcomes": q_request_outcomes,
-    "embedding_outcomes": q_embedding_outcomes,
     "embedding_outcomes_by_label": q_embedding_outcomes_by_label,
     "token_ids": q_token_ids,
     "element_metadata": q_element_metadata,
@@ -515,7 +505,7 @@ short AS (SELECT DISTINCT doc_id, leader_semid FROM members WHERE NOT contains(t
 SELECT doc_id, leader_semid, text, min(semid) AS first, list(semid ORDER BY semid) AS positions, count(*) AS copies,
        substr(text, 1, 20) || '...' AS preview
 FROM members m ANTI JOIN short USING (doc_id, leader_semid) GROUP BY doc_id, leader_semid, text"""
-ORACLES["embedding_outcomes"] = _emb_groups(
+_VECTOR_OUTCOMES = _emb_groups(
     ["label"], """cut AS (SELECT label, vec_id, CASE WHEN vec_id % 97 = 0 THEN embedding[1:63] ELSE embedding END AS embedding FROM embeddings),
 bad AS (SELECT label FROM cut GROUP BY label HAVING min(len(embedding)) <> max(len(embedding))),
 emb AS (SELECT * FROM cut WHERE label NOT IN (SELECT label FROM bad))""", "emb", ()) + f""",
@@ -524,7 +514,7 @@ SELECT c.label, CASE WHEN any_value(b.label) IS NULL THEN 'COMPLETED' ELSE 'ERRO
        CASE WHEN any_value(b.label) IS NOT NULL THEN '{LENGTH_ERROR}' END AS error, count(*) AS n_texts,
        coalesce(any_value(g.n_groups), 0) AS n_groups, coalesce(any_value(g.grouped_texts), 0) AS grouped_texts
 FROM cut c LEFT JOIN bad b USING (label) LEFT JOIN g USING (label) GROUP BY c.label"""
-ORACLES["embedding_outcomes_by_label"] = ORACLES["embedding_outcomes"].replace(
+ORACLES["embedding_outcomes_by_label"] = _VECTOR_OUTCOMES.replace(
     "vec_id % 97 = 0", "('0x' || substr(md5(label::VARCHAR), 1, 1))::INTEGER < 4 AND vec_id % 3 = 0")
 ORACLES["token_ids"] = r"""
 WITH vocab AS (SELECT token, ('0x' || substr(md5(token), 1, 7))::BIGINT AS id FROM (
@@ -599,10 +589,13 @@ ORACLES["embedding_pair_members"] = _pair_members_sql(
     "label", "vec_id", "embedding", "embeddings", O.dense_edges(["label"], "vec_id", "embedding", EMB_T, "embeddings"))
 ORACLES["embedding_pairs_lsh"] = f"""
 WITH v AS (SELECT label, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-s AS (SELECT t, b, i, CASE WHEN ('0x' || substr(md5('7:' || t || ':' || b || ':' || i), 1, 1))::INTEGER % 2 = 0 THEN 1 ELSE -1 END AS sign
-      FROM range(10) q(t), range(4) r(b), range(64) u(i)),
-sides AS (SELECT label, vec_id, t, b, sum(x[i + 1] * sign) >= 0 AS side FROM v, s GROUP BY ALL),
-k AS (SELECT label, vec_id, t, string_agg(side::INTEGER::VARCHAR, '' ORDER BY b) AS sides FROM sides GROUP BY ALL),
+s AS (SELECT t, p, c, list(CASE WHEN ('0x' || substr(md5('7:' || t || ':' || p || ':' || c || ':' || i), 1, 1))::INTEGER % 2 = 0 THEN 1.0::DOUBLE ELSE -1 END ORDER BY i) AS sign
+      FROM range({lsh_tables(EMB_T)}) q(t), range({POLYTOPES}) r(p), range({CORNERS}) u(c), range(64) w(i) GROUP BY ALL),
+y AS (SELECT label, vec_id, t, p, c, list_inner_product(x, sign) AS y FROM v, s),
+n AS (SELECT label, vec_id, t, p, 2 * c + (y > 0)::INTEGER AS corner FROM y
+      QUALIFY row_number() OVER (PARTITION BY label, vec_id, t, p ORDER BY abs(y) DESC, c) <= {PROBES}),
+k AS (SELECT g.label, g.vec_id, g.t, g.corner * 1000 + h.corner AS sides FROM n g JOIN n h
+      ON g.label = h.label AND g.vec_id = h.vec_id AND g.t = h.t AND g.p = 0 AND h.p = 1),
 met AS (SELECT DISTINCT x.label, x.vec_id AS a, y.vec_id AS b FROM k x JOIN k y
         ON x.label = y.label AND x.t = y.t AND x.sides = y.sides AND x.vec_id < y.vec_id)
 SELECT m.label, a AS vec_id_a, b AS vec_id_b, round(list_cosine_similarity(x.x, y.x), 6) AS similarity
