@@ -69,7 +69,7 @@ def with_hashing_counts(df: DataFrame, text_col: str = "text", dim: int = DEFAUL
     starts = F.col("_starts")
     nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.col("_n") + 1))
     staged = staged.select(*df.columns, "idx", F.zip_with(
-        nexts, starts, lambda x, y: (x - y).cast("bigint")).alias("cnt"))
+        F.slice(nexts, 1, F.size(starts)), starts, lambda x, y: (x - y).cast("bigint")).alias("cnt"))
     sq = F.aggregate("cnt", F.lit(0).cast("bigint"), lambda acc, c: acc + c * c)
     return staged.select(*df.columns, "idx", "cnt", sq.alias("sq"))
 

@@ -342,6 +342,101 @@ def q_document_results(spark, sf_dir):
     return full_results(outcomes, members, "doc_id", "semid", "run-1")
 
 
+def q_document_groups_incremental(spark, sf_dir):
+    """Corpus groups of ``documents`` that arrive in two halves, the second sent twice."""
+    import uuid
+
+    from echoset.plans.store import GroupStore
+
+    _prep(spark)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    store = GroupStore(spark, f"{ensure_checkpoint_dir(spark)}/groups-{uuid.uuid4().hex}", DOC_T)
+    middle = docs.approxQuantile("doc_id", [0.5], 0.01)[0]
+    store.append(docs.where(F.col("doc_id") <= middle), 0, "doc_id")
+    for _ in range(2):
+        store.append(docs.where(F.col("doc_id") > middle), 1, "doc_id")
+    m = store.members("doc_id")
+    return m.select("leader_doc_id", "doc_id", "is_leader", _r6("similarity"))
+
+
+STORED_T = (0.3, 0.34, 0.4)
+
+
+def q_embedding_groups_stored(spark, sf_dir):
+    """Groups at three thresholds from one pair job, whose edges are kept by similarity."""
+    import uuid
+    from functools import reduce
+
+    from echoset.plans.store import EdgeStore
+
+    verts = _embedding_vertices(_embeddings(spark, sf_dir))
+    store = EdgeStore(spark, f"{ensure_checkpoint_dir(spark)}/edges-{uuid.uuid4().hex}", ["label"])
+    store.write(block_pairs(verts, ["label"], min(STORED_T), vector="vector"))
+    verts.unpersist()
+    found = [store.groups(t).withColumn("threshold", F.lit(t)) for t in STORED_T]
+    return reduce(DataFrame.unionByName, found).select(
+        "threshold", "label", F.col("leader").alias("leader_vec_id"), F.col("member").alias("vec_id"), _r6("sim", "similarity"))
+
+
+def nested_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, xml``: lines in nested sections with inline children, attributes, comments and a prolog.
+
+    Lines two by two: a section with the first and, nested in it, a section with the
+    second. Every tenth document (``doc_id % 10 = 3``) lacks its last end tag.
+    """
+    from echoset.functions.text import xml_escape
+
+    lines = F.split(xml_escape(F.col("text")), "\n", -1)
+
+    def section(line, i):
+        n = i.cast("string")
+        even = F.concat(F.lit('<section id="s'), n, F.lit('" kind="even"><p n="'), n, F.lit('">'), line, F.lit(" <b>b"), n,
+                        F.lit("</b><!-- a comment --></p>"))
+        odd = F.concat(F.lit('<section id="s'), n, F.lit('"><p n="'), n, F.lit('">'), line, F.lit("</p></section></section>"))
+        return F.when(i % 2 == 0, even).otherwise(odd)
+
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><doc><title>T <i>'), F.col("doc_id").cast("string"), F.lit("</i></title>"),
+        F.array_join(F.transform(lines, section), ""), F.when(F.size(lines) % 2 == 1, F.lit("</section>")).otherwise(F.lit("")),
+        F.when(F.col("doc_id") % 10 == 3, F.lit("")).otherwise(F.lit("</doc>")))
+    return docs.select("doc_id", xml.alias("xml"))
+
+
+NESTED_LISTS = ("section p", "title  b title")
+
+
+def q_nested_elements(spark, sf_dir):
+    """Two element lists asked of every document, each parsed once into nodes."""
+    from echoset.operators.nodes import node_table, select_elements
+
+    _prep(spark)
+    docs = nested_documents(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    nodes = node_table(docs).checkpoint(eager=True)
+    asked = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, NESTED_LISTS))).alias("k", "elements"))
+    found = select_elements(nodes, asked.select((F.col("doc_id") * 2 + F.col("k")).alias("request_id"), "doc_id", "elements"))
+    return found.select("request_id", "doc_id", "semid", "element", "text", F.col("path").alias("xpath"), "level",
+                        F.size("attributes").alias("n_attributes"), F.col("attributes")["id"].alias("id"))
+
+
+def q_nested_outcomes(spark, sf_dir):
+    """Outcomes of the nested documents; every tenth is malformed and an ERROR row."""
+    from echoset.operators.report import run_requests
+
+    _prep(spark)
+    docs = nested_documents(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out, _ = run_requests(docs.select(F.col("doc_id").alias("request_id"), "doc_id", "xml", F.lit("section p").alias("elements")))
+    return out.select("doc_id", "status", F.col("error").startswith("malformed XML").alias("malformed"), "n_texts", "n_groups", "grouped_texts")
+
+
+def q_annotated_nested(spark, sf_dir):
+    """X6, R13 on nested documents with attributes, comments and a prolog; none for a malformed one."""
+    from echoset.operators.extract import annotate_documents
+
+    _prep(spark)
+    docs = nested_documents(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return annotate_documents(docs, "section p").select("doc_id", "annotated_xml", F.col("error").isNotNull().alias("malformed"))
+
+
 QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
@@ -356,6 +451,11 @@ QUERIES = {
     "embedding_groups_label": q_embedding_groups_label,
     "embedding_groups_global": q_embedding_groups_global,
     "document_groups_global": q_document_groups_global,
+    "document_groups_incremental": q_document_groups_incremental,
+    "embedding_groups_stored": q_embedding_groups_stored,
+    "nested_elements": q_nested_elements,
+    "nested_outcomes": q_nested_outcomes,
+    "annotated_nested": q_annotated_nested,
     "conversation_groups": q_conversation_groups,
     "document_outcomes": q_document_outcomes,
     "page_outcomes": q_page_outcomes,
@@ -601,3 +701,51 @@ met AS (SELECT DISTINCT x.label, x.vec_id AS a, y.vec_id AS b FROM k x JOIN k y
 SELECT m.label, a AS vec_id_a, b AS vec_id_b, round(list_cosine_similarity(x.x, y.x), 6) AS similarity
 FROM met m JOIN v x ON m.label = x.label AND m.a = x.vec_id JOIN v y ON m.label = y.label AND m.b = y.vec_id
 WHERE list_cosine_similarity(x.x, y.x) >= {EMB_T}"""
+
+
+ORACLES["document_groups_incremental"] = ORACLES["document_groups_global"]
+ORACLES["embedding_groups_stored"] = "\nUNION ALL\n".join(
+    "SELECT * FROM (" + O.with_clause(O.dense_edges(["label"], "vec_id", "embedding", t, "embeddings"), O.greedy(["label"]))
+    + f"\nSELECT {t}::DOUBLE AS threshold, label, leader AS leader_vec_id, member AS vec_id, round(sim, 6) AS similarity FROM assign)"
+    for t in STORED_T)
+_NORM = lambda x: f"trim(regexp_replace({x}, '[ \\t\\r\\n]+', ' ', 'g'))"
+_NESTED = r"""
+nl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i,
+              len(string_split(text, chr(10))) AS n FROM documents),
+np AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS below FROM nl)"""
+_NESTED_MATCHES = f"""{_NESTED},
+nm AS (
+  SELECT doc_id, i, 2 * i + 1 AS semid, 'section' AS element, 's' || i AS id, i % 2 + 2 AS level, 2 - i % 2 AS n_attributes,
+         {_NORM("CASE WHEN i % 2 = 0 THEN line || ' b' || i || coalesce(below, '') ELSE line END")} AS text,
+         '/doc[1]/section[' || (i // 2 + 1) || ']' || CASE WHEN i % 2 = 1 THEN '/section[1]' ELSE '' END AS xpath FROM np
+  UNION ALL
+  SELECT doc_id, i, 2 * i + 2, 'p', NULL, i % 2 + 3, 1, {_NORM("CASE WHEN i % 2 = 0 THEN line || ' b' || i ELSE line END")},
+         '/doc[1]/section[' || (i // 2 + 1) || ']' || CASE WHEN i % 2 = 1 THEN '/section[1]' ELSE '' END || '/p[1]' FROM np)"""
+ORACLES["nested_elements"] = "WITH " + _NESTED_MATCHES + """,
+other AS (
+  SELECT doc_id, 1 AS semid, 'title' AS element, 'T ' || doc_id AS text, '/doc[1]/title[1]' AS xpath, 2 AS level FROM documents
+  UNION ALL SELECT doc_id, i // 2 + 2, 'b', 'b' || i, '/doc[1]/section[' || (i // 2 + 1) || ']/p[1]/b[1]', 4 FROM nl WHERE i % 2 = 0)
+SELECT * FROM (
+  SELECT doc_id * 2 AS request_id, doc_id, semid::INTEGER AS semid, element, text, xpath, level::INTEGER AS level, n_attributes::INTEGER AS n_attributes, id FROM nm
+  UNION ALL SELECT doc_id * 2 + 1, doc_id, semid::INTEGER, element, text, xpath, level, 0, NULL FROM other)
+WHERE text <> '' AND doc_id % 10 <> 3"""
+ORACLES["nested_outcomes"] = O.with_clause(
+    _NESTED_MATCHES, "items AS (SELECT doc_id, semid::INTEGER AS semid, text FROM nm WHERE text <> '' AND doc_id % 10 <> 3)",
+    O.hashed(["doc_id"], "semid", DIM), O.sparse_edges(["doc_id"], LINE_T), O.greedy(["doc_id"]),
+    O.members_cte(["doc_id"], "semid", False)) + """,
+t AS (SELECT doc_id, count(*) AS n_texts FROM items GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) FILTER (WHERE is_leader) AS n_groups, count(*) AS grouped_texts FROM members GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 3 THEN 'ERROR' WHEN n_texts IS NULL THEN 'NO_TEXT_EXTRACTED' ELSE 'COMPLETED' END AS status,
+       CASE WHEN d.doc_id % 10 = 3 THEN true WHEN n_texts IS NULL THEN false END AS malformed,
+       coalesce(n_texts, 0) AS n_texts, coalesce(n_groups, 0) AS n_groups, coalesce(grouped_texts, 0) AS grouped_texts
+FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id)"""
+ORACLES["annotated_nested"] = "WITH " + _NESTED + """,
+e AS (SELECT *, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS safe FROM nl),
+x AS (SELECT doc_id, any_value(n) AS n, string_agg(
+        '<section cms:semid="' || (2 * i + 1) || '" id="s' || i || CASE WHEN i % 2 = 0 THEN '" kind="even' ELSE '' END
+        || '"><p cms:semid="' || (2 * i + 2) || '" n="' || i || '">' || safe
+        || CASE WHEN i % 2 = 0 THEN ' <b>b' || i || '</b><!-- a comment --></p>' ELSE '</p></section></section>' END, '' ORDER BY i) AS body
+      FROM e GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN '<?xml version="1.0"?><doc><title>T <i>' || doc_id || '</i></title>' || body
+         || CASE WHEN n % 2 = 1 THEN '</section>' ELSE '' END || '</doc>' END AS annotated_xml, doc_id % 10 = 3 AS malformed
+FROM x"""
