@@ -268,11 +268,21 @@ def element_ids(elements: DataFrame) -> DataFrame:
         "element_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("semid").cast("string")), 256))
 
 
+# quotes doubled; nulls apart from empty texts
+CSV = {"header": "true", "escape": '"', "emptyValue": '""', "nullValue": "", "multiLine": "true",
+       "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Flat member (or text) rows as CSV with a header; metadata (maps, arrays, structs) as JSON text."""
     nested = {f.name for f in df.schema if f.dataType.typeName() in ("map", "array", "struct")}
     df = df.select(*[F.to_json(F.col(f"`{c}`")).alias(c) if c in nested else F.col(f"`{c}`") for c in df.columns])
-    df.write.mode("overwrite").option("header", "true").csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark, path: str, schema: str) -> DataFrame:
+    """A file that ``write_csv`` wrote, with its types again; nested columns stay JSON text."""
+    return spark.read.options(**CSV).schema(schema).csv(path)
 
 
 def run_requests(requests: DataFrame, held: list | None = None, **group_kw) -> tuple[DataFrame, DataFrame]:

@@ -437,6 +437,102 @@ def q_annotated_nested(spark, sf_dir):
     return annotate_documents(docs, "section p").select("doc_id", "annotated_xml", F.col("error").isNotNull().alias("malformed"))
 
 
+def _scratch(spark, name):
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_file_elements(spark, sf_dir):
+    """Every document written as an XML file of its own, the files read whole and extracted."""
+    from echoset.sources.documents import read_xml_files
+
+    _prep(spark)
+    folder = _scratch(spark, "xml")
+    lines_as_xml(read_table(spark, sf_dir, "documents").select("doc_id", "text")).write.partitionBy("doc_id").text(folder)
+    files = read_xml_files(spark, f"{folder}/*/*.txt").withColumn(
+        "doc_id", F.regexp_extract("doc_id", r"doc_id=(-?\d+)", 1).cast("bigint"))
+    return extract_elements(files).select("doc_id", "semid", "element", "text")
+
+
+def q_vocabulary_token_ids(spark, sf_dir):
+    """Model inputs of every document, cut at 510 words, with a vocabulary read from a file."""
+    from echoset.functions.text import normalize_space
+    from echoset.operators.embed import token_ids
+    from echoset.sources.documents import read_vocab
+
+    _prep(spark)
+    folder = _scratch(spark, "vocab")
+    word = F.explode(F.split(F.lower(normalize_space("text")), " ")).alias("token")
+    read_table(spark, sf_dir, "benchmark").select(word).where("token <> ''").distinct().coalesce(1).sortWithinPartitions("token").write.text(folder)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", normalize_space("text").alias("text"))).where("text <> ''")
+    return token_ids(docs, read_vocab(spark, f"{folder}/*.txt"), max_words=510, key_cols=["doc_id"]).select(
+        "doc_id", "input_ids", F.size("attention_mask").cast("bigint").alias("n_ids"))
+
+
+def q_line_groups_csv(spark, sf_dir):
+    """The grouped passages written as CSV and read back."""
+    from echoset.operators.report import read_csv, write_csv
+
+    _prep(spark)
+    path = _scratch(spark, "csv")
+    write_csv(q_line_groups(spark, sf_dir), path)
+    return read_csv(spark, path, "doc_id bigint, leader_semid int, semid int, is_leader boolean, similarity double, text string")
+
+
+RUN_CREATED = {"en": "10:00:00", "fr": "10:30:00", "de": "11:00:00", "es": "09:59:59.999"}
+
+
+def q_live_run_groups(spark, sf_dir):
+    """One run a language, each saved twice, looked up by run id while it lives (as of 11:00, 60 minutes)."""
+    from echoset.operators.report import live_runs, load_run, save_run
+
+    _prep(spark)
+    path = _scratch(spark, "runs")
+    lang = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    members = line_members(spark, sf_dir).join(lang, "doc_id").select("doc_id", "leader_semid", "semid", "lang").checkpoint(eager=True)
+    for run in [*RUN_CREATED, "en"]:  # a run saved again replaces itself
+        save_run(members.where(F.col("lang") == run).drop("lang"), path, run)
+    runs = spark.createDataFrame(list(RUN_CREATED.items()), "run_id string, clock string").select(
+        "run_id", F.to_timestamp(F.concat(F.lit("2024-05-01 "), "clock")).alias("created_at"))
+    live = live_runs(runs, "2024-05-01 11:00:00").join(load_run(spark, path, "en").unionByName(load_run(spark, path, "es")).unionByName(
+        load_run(spark, path, "fr")).unionByName(load_run(spark, path, "absent")), "run_id")
+    return live.select("run_id", "doc_id", "leader_semid", "semid")
+
+
+STATUS_CHUNKS = 4
+
+
+def q_streamed_run_states(spark, sf_dir):
+    """O1, O3, O5 by creation time: a stream of PROCESSING and final events, some of them a chunk late.
+
+    Documents are created half an hour apart; every seventh document's outcome arrives with the next chunk
+    of events, when most such runs have expired.
+    """
+    from echoset.streaming.stream import run_states, start_status_stream
+
+    _prep(spark)
+    folder, out = _scratch(spark, "events"), _scratch(spark, "states")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    created = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 1800)
+    chunk = F.floor((F.col("doc_id") - low) * STATUS_CHUNKS / (high - low + 1)).cast("int")
+    begun = docs.select("doc_id", F.lit("PROCESSING").alias("status"), F.lit(0).alias("n_groups"), created.alias("created_at"),
+                        created.alias("at"), chunk.alias("chunk"))
+    ended = docs.select(
+        "doc_id", F.when(F.col("doc_id") % 5 == 0, "ERROR").otherwise("COMPLETED").alias("status"), (F.col("doc_id") % 3).cast("int").alias("n_groups"),
+        created.alias("created_at"), (created + F.expr("INTERVAL 10 MINUTES")).alias("at"),
+        (chunk + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("chunk"))
+    events = begun.unionByName(ended).checkpoint(eager=True)
+    for k in range(STATUS_CHUNKS + 1):  # a file a chunk, in order
+        events.where(F.col("chunk") == k).drop("chunk").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("doc_id bigint, status string, n_groups int, created_at timestamp, at timestamp").option(
+        "maxFilesPerTrigger", 1).parquet(folder)
+    start_status_stream(stream, out).awaitTermination()
+    return run_states(spark.read.parquet(out)).select(
+        "doc_id", "status", "n_groups", F.unix_seconds("created_at").alias("created"), "expired")
+
+
 QUERIES = {
     "extract_lines": q_extract_lines,
     "hash_vectors": q_hash_vectors,
@@ -456,6 +552,11 @@ QUERIES = {
     "nested_elements": q_nested_elements,
     "nested_outcomes": q_nested_outcomes,
     "annotated_nested": q_annotated_nested,
+    "file_elements": q_file_elements,
+    "vocabulary_token_ids": q_vocabulary_token_ids,
+    "line_groups_csv": q_line_groups_csv,
+    "live_run_groups": q_live_run_groups,
+    "streamed_run_states": q_streamed_run_states,
     "conversation_groups": q_conversation_groups,
     "document_outcomes": q_document_outcomes,
     "page_outcomes": q_page_outcomes,
@@ -749,3 +850,24 @@ x AS (SELECT doc_id, any_value(n) AS n, string_agg(
 SELECT doc_id, CASE WHEN doc_id % 10 <> 3 THEN '<?xml version="1.0"?><doc><title>T <i>' || doc_id || '</i></title>' || body
          || CASE WHEN n % 2 = 1 THEN '</section>' ELSE '' END || '</doc>' END AS annotated_xml, doc_id % 10 = 3 AS malformed
 FROM x"""
+ORACLES["file_elements"] = ORACLES["extract_lines"]
+ORACLES["line_groups_csv"] = ORACLES["line_groups"]
+ORACLES["vocabulary_token_ids"] = r"""
+WITH vocab AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (
+       SELECT DISTINCT unnest(string_split(lower(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))), ' ')) AS token FROM benchmark) WHERE token <> ''),
+t AS (SELECT doc_id, string_split_regex(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '\s+')[1:510] AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t WHERE words <> [''])
+SELECT doc_id, list_concat(list_concat([101::BIGINT], list(coalesce(id, 100) ORDER BY pos)), [102::BIGINT]) AS input_ids, count(*) + 2 AS n_ids
+FROM w LEFT JOIN vocab ON lower(word) = token GROUP BY doc_id"""
+ORACLES["live_run_groups"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + """
+SELECT d.lang AS run_id, m.doc_id, leader_semid, semid FROM members m JOIN documents d USING (doc_id) WHERE d.lang IN ('en', 'fr')"""
+ORACLES["streamed_run_states"] = f"""
+WITH d AS (SELECT doc_id, 1704067200 + doc_id * 1800 AS created,
+                  ((doc_id - min(doc_id) OVER ()) * {STATUS_CHUNKS} // (max(doc_id) OVER () - min(doc_id) OVER () + 1))::INTEGER AS k FROM documents),
+e AS (SELECT k, created AS moment FROM d UNION ALL SELECT k + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END, created + 600 FROM d),
+mark AS (SELECT b.k, max(moment) - 10800 AS watermark FROM (SELECT DISTINCT k FROM e) b JOIN e ON e.k <= b.k GROUP BY b.k),
+last AS (SELECT max(watermark) AS watermark FROM mark),
+s AS (SELECT d.*, doc_id % 7 = 0 AND created + 3600 < m.watermark AS missed, created + 3600 < l.watermark AS expired
+      FROM d JOIN mark m ON m.k = d.k, last l)
+SELECT doc_id, CASE WHEN missed THEN 'PROCESSING' WHEN doc_id % 5 = 0 THEN 'ERROR' ELSE 'COMPLETED' END AS status,
+       CASE WHEN missed THEN 0 ELSE doc_id % 3 END AS n_groups, created, expired FROM s"""

@@ -126,3 +126,74 @@ def latest_status_stateful(runs: DataFrame, ttl_minutes: int = RUN_TTL_MINUTES)
     return (runs.select("doc_id", "status", F.col("n_groups").cast("bigint").alias("n_groups"), "created_at")
             .groupBy("doc_id")
             .applyInPandasWithState(step, out_schema, state_schema, "update", GroupStateTimeout.ProcessingTimeTimeout))
+
+
+def status_by_creation(events: DataFrame, ttl_minutes: int = RUN_TTL_MINUTES, late: str = "3 hours") -> DataFrame:
+    """O5 by creation time: each run's status while it lives, from a stream of status events.
+
+    ``events``: ``doc_id, status, n_groups, created_at, at`` (``at``: the time of the event; a run's first is
+    ``PROCESSING``). Time is the watermark, ``late`` behind the newest event, so the result does not
+    depend on when rows arrive: the status with the newest ``at`` counts, a run
+    expires once the watermark is past ``created_at`` + ``ttl_minutes`` (strictly), and news for a run that has
+    expired change nothing. Emits ``doc_id, status, n_groups, created_at, expired`` at each change; a run's state
+    is one small row, dropped when its event-time timer fires.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    id_type = events.schema["doc_id"].dataType.simpleString()
+    ttl_ms = int(ttl_minutes) * 60 * 1000
+
+    def out(key, status, n_groups, created, expired):
+        return pd.DataFrame({"doc_id": [key[0]], "status": [status], "n_groups": [n_groups],
+                             "created_at": [pd.Timestamp(created, unit="ms")], "expired": [expired]})
+
+    def step(key, batches, state):
+        held = state.get if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            yield out(key, held[0], held[1], held[2], True)
+            return
+        rows = sorted((int(at), int(created), status, int(n)) for pdf in batches for at, created, status, n in zip(
+            pdf["at_ms"], pdf["created_ms"], pdf["status"], pdf["n_groups"]))
+        if not rows:
+            return
+        at, created, status, n = rows[-1]
+        created = min(r[1] for r in rows) if held is None else held[2]
+        if created + ttl_ms < state.getCurrentWatermarkMs():  # its timer is due: the news came too late
+            if held is not None:
+                status, n = held[0], held[1]
+                state.remove()
+            yield out(key, status, n, created, True)
+            return
+        if held is not None and held[3] > at:
+            status, n, at = held[0], held[1], held[3]
+        state.update((status, n, created, at))
+        state.setTimeoutTimestamp(created + ttl_ms)
+        yield out(key, status, n, created, False)
+
+    timed = events.withWatermark("at", late).select(
+        "doc_id", "status", F.col("n_groups").cast("bigint").alias("n_groups"), "at", F.unix_millis("at").alias("at_ms"),
+        F.unix_millis("created_at").alias("created_ms"))
+    return timed.groupBy("doc_id").applyInPandasWithState(
+        step, f"doc_id {id_type}, status string, n_groups bigint, created_at timestamp, expired boolean",
+        "status string, n_groups bigint, created_ms bigint, at_ms bigint", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_status_stream(events: DataFrame, out_dir: str, checkpoint: str | None = None, **kw):
+    """Run :func:`status_by_creation` over what has arrived and write its changes to ``{out_dir}`` by batch."""
+    if checkpoint is None:
+        checkpoint = f"{ensure_checkpoint_dir(events.sparkSession)}/status-{uuid.uuid4().hex}"
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(out_dir))
+
+    return (status_by_creation(events, **kw).writeStream.outputMode("update").foreachBatch(write_batch)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def run_states(changes: DataFrame) -> DataFrame:
+    """The last change of each document."""
+    cols = [c for c in changes.columns if c not in ("doc_id", "batch_id")]
+    return changes.groupBy("doc_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("_r")).select("doc_id", "_r.*")
