@@ -9,10 +9,12 @@ A line that stands on many sites is boilerplate, however often each site repeats
    lines lie and merged by aggregation: one small sketch a line and task,
    however many rows a hot line has.
 3. Estimates far from the threshold decide; lines near it (within ``band``,
-   many standard errors wide) get exact distinct counts. Only their rows
-   are shuffled again.
+   many standard errors wide) get exact distinct counts.
 4. The places of boilerplate lines are gathered for each text that has any, and the texts
    are put together again without them.
+
+The lines of 3 and 4 are met with keys that are few: up to ``broadcast_keys`` (counted) are
+broadcast, so that all other lines stay where they are; more are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -39,7 +41,16 @@ def _keyed(rows: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def spread_lines(keyed: DataFrame, min_sites: int, band: float) -> DataFrame:
+BROADCAST_KEYS = 200_000  # two longs each
+
+
+def _met(lines: DataFrame, keys: DataFrame, broadcast_keys: int) -> DataFrame:
+    """The lines whose key is among the (checkpointed) keys."""
+    few = keys.count() <= broadcast_keys
+    return lines.join(F.broadcast(keys) if few else keys, ["k1", "k2"], "left_semi")
+
+
+def spread_lines(keyed: DataFrame, min_sites: int, band: float, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Keys ``k1, k2`` of the lines on ``min_sites`` sites or more; rows without site count nowhere."""
     sketches = keyed.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
     spread = cut(
@@ -48,7 +59,7 @@ def spread_lines(keyed: DataFrame, min_sites: int, band: float) -> DataFrame:
     sure = spread.where(F.col("sites") > min_sites * (1 + band)).select("k1", "k2")
     near = spread.where(F.col("sites") <= min_sites * (1 + band)).select("k1", "k2")
     exact = (
-        keyed.where("site IS NOT NULL").select("k1", "k2", "site").join(near, ["k1", "k2"], "left_semi")
+        _met(keyed.where("site IS NOT NULL").select("k1", "k2", "site"), near, broadcast_keys)
         .distinct().groupBy("k1", "k2").agg(F.count("*").alias("sites"))
         .where(F.col("sites") >= min_sites).select("k1", "k2"))
     return sure.union(exact)
@@ -56,7 +67,7 @@ def spread_lines(keyed: DataFrame, min_sites: int, band: float) -> DataFrame:
 
 def remove_spread_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 8,
-    min_chars: int = 1, band: float = 0.25,
+    min_chars: int = 1, band: float = 0.25, broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Every text without cross-site boilerplate: ``<id_col>``, ``text``, ``n_lines``, ``n_removed``.
 
@@ -68,9 +79,9 @@ def remove_spread_lines(
     src = picked(docs, id=id_col, text=text_col, site=site_col).withColumn("site", F.col("site").cast("string"))
     rows = src.select("id", F.xxhash64("text").alias("mark"), "site", _lines("text").alias("lines"))
     keyed = _keyed(rows, min_chars)
-    spread = cut(spread_lines(keyed, min_sites, band))
+    spread = cut(spread_lines(keyed, min_sites, band, broadcast_keys))
     gone = (
-        keyed.select("id", "mark", "pos", "k1", "k2").join(spread, ["k1", "k2"], "left_semi")
+        _met(keyed.select("id", "mark", "pos", "k1", "k2"), spread, broadcast_keys)
         .groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("pos").alias("gone")))
     met = rows.select("id", "mark", "lines").join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     # hashed set difference of places, then one look-up a kept line: linear in the text
