@@ -13,7 +13,6 @@ S4-S6          :func:`save_run`, :func:`load_run` — tables partitioned by run.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,17 +101,16 @@ def _texts(parsed: DataFrame) -> DataFrame:
 
 
 def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, threshold: float = DEFAULT_THRESHOLD,
-                      observation=None, held: list | None = None, **group_kw) -> tuple[DataFrame, DataFrame]:
+                      observation=None, **group_kw) -> tuple[DataFrame, DataFrame]:
     """End-to-end run over ``(doc_id, xml)``: ``(outcomes, members)``.
 
-    Each document is parsed once (persisted); the element rows feed grouping
+    Each document is parsed once (checkpointed); the element rows feed grouping
     per document, the same parse gives the counts and parse errors. Outcome
     columns: ``doc_id, status, message, error, n_texts, n_groups,
     grouped_texts, removable_texts, texts_minus_groups, threshold``.
     With a ``pyspark.sql.Observation`` the run also reports ``texts`` (A1/A2:
     texts extracted = texts embedded) and ``documents`` as observed metrics,
-    collected alongside the job instead of by an extra one. ``held`` takes what
-    is persisted, for :func:`release` once both tables are written.
+    collected alongside the job instead of by an extra one.
     """
     parsed = parse_documents(docs, elements)
     if observation is not None:  # one row per document has semid 1, or is a marker / error row
@@ -120,20 +118,11 @@ def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, thresho
             observation,
             F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("texts"),
             F.count(F.when(F.col("semid").isNull() | (F.col("semid") == 1), 1)).alias("documents"))
-    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    stats: dict = {}
-    members = group_items(_texts(parsed), ["doc_id"], "semid", threshold, stats=stats, **group_kw)
-    if held is not None:
-        held += [parsed, *stats["persisted"]]
+    parsed = parsed.checkpoint(eager=True)
+    members = group_items(_texts(parsed), ["doc_id"], "semid", threshold, **group_kw).checkpoint(eager=True)  # counted and returned
     return _count_outcomes(parsed, members, "doc_id").withColumn("threshold", F.lit(float(threshold))), members
 
 
-def release(held: list) -> None:
-    """Unpersist what a run kept, after its tables are written."""
-    while held:
-        held.pop().unpersist()
-
-
 def vector_outcomes(items: DataFrame, scope: str, order: str, vector: str, threshold: float, **group_kw) -> DataFrame:
     """One outcome per scope of precomputed vectors: scopes whose vectors differ in length are ERROR rows.
 
@@ -268,9 +257,7 @@ def element_ids(elements: DataFrame) -> DataFrame:
         "element_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("semid").cast("string")), 256))
 
 
-# quotes doubled; nulls apart from empty texts
-CSV = {"header": "true", "escape": '"', "emptyValue": '""', "nullValue": "", "multiLine": "true",
-       "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -282,10 +269,10 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def read_csv(spark, path: str, schema: str) -> DataFrame:
     """A file that ``write_csv`` wrote, with its types again; nested columns stay JSON text."""
-    return spark.read.options(**CSV).schema(schema).csv(path)
+    return spark.read.options(**CSV, multiLine="true").schema(schema).csv(path)
 
 
-def run_requests(requests: DataFrame, held: list | None = None, **group_kw) -> tuple[DataFrame, DataFrame]:
+def run_requests(requests: DataFrame, **group_kw) -> tuple[DataFrame, DataFrame]:
     """The reference's request, as a table: ``(request_id?, doc_id, xml, elements?, threshold?)``.
 
     Every row is one request, keyed by ``request_id`` (given to the rows if the
@@ -297,16 +284,13 @@ def run_requests(requests: DataFrame, held: list | None = None, **group_kw) -> t
     """
     if "request_id" not in requests.columns:  # fixed by the checkpoint before it is read twice
         requests = requests.withColumn("request_id", F.monotonically_increasing_id()).checkpoint(eager=True)
-    v = validate_documents(requests).persist(StorageLevel.MEMORY_AND_DISK)
+    v = validate_documents(requests).checkpoint(eager=True)
     good = v.where(F.col("error").isNull()).select("request_id", "doc_id", "xml", "elements", "threshold")
     parsed = parse_documents(good.select(F.col("request_id").alias("doc_id"), "xml", "elements"))
-    parsed = parsed.persist(StorageLevel.MEMORY_AND_DISK)
+    parsed = parsed.checkpoint(eager=True)
     own = good.select("request_id", F.col("doc_id").alias("_document"), "threshold")
     items = _texts(parsed).withColumnRenamed("doc_id", "request_id").join(own, "request_id")
-    stats: dict = {}
-    members = group_items(items, ["request_id"], "semid", threshold_col="threshold", stats=stats, **group_kw)
-    if held is not None:
-        held += [v, parsed, *stats["persisted"]]
+    members = group_items(items, ["request_id"], "semid", threshold_col="threshold", **group_kw)
     o = _count_outcomes(parsed.withColumnRenamed("doc_id", "request_id"), members, "request_id").join(own, "request_id")
     o = o.withColumnRenamed("_document", "doc_id")
     rejected = v.where(F.col("error").isNotNull()).select(

@@ -57,12 +57,9 @@ def q_hash_vectors(spark, sf_dir):
 
 
 def _line_vertices(spark, sf_dir):
-    from pyspark import StorageLevel
-
     el = line_elements(spark, sf_dir)
     # read by the block sizing step and by the pair job: computed once
-    return encode_vertices(distinct_vertices(el, ["doc_id"], "semid", "text"), "text", "hashing", DIM).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    return encode_vertices(distinct_vertices(el, ["doc_id"], "semid", "text"), "text", "hashing", DIM).checkpoint(eager=True)
 
 
 def _line_pairs_out(e):
@@ -117,7 +114,7 @@ def _embeddings(spark, sf_dir):
 
 
 def _embedding_vertices(emb):
-    return encode_vertices(distinct_vertices(emb, ["label"], "vec_id", "embedding"), "embedding", "precomputed", 0).persist()
+    return encode_vertices(distinct_vertices(emb, ["label"], "vec_id", "embedding"), "embedding", "precomputed", 0).checkpoint(eager=True)
 
 
 def q_embedding_pairs(spark, sf_dir):
@@ -372,7 +369,6 @@ def q_embedding_groups_stored(spark, sf_dir):
     verts = _embedding_vertices(_embeddings(spark, sf_dir))
     store = EdgeStore(spark, f"{ensure_checkpoint_dir(spark)}/edges-{uuid.uuid4().hex}", ["label"])
     store.write(block_pairs(verts, ["label"], min(STORED_T), vector="vector"))
-    verts.unpersist()
     found = [store.groups(t).withColumn("threshold", F.lit(t)) for t in STORED_T]
     return reduce(DataFrame.unionByName, found).select(
         "threshold", "label", F.col("leader").alias("leader_vec_id"), F.col("member").alias("vec_id"), _r6("sim", "similarity"))

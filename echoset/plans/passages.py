@@ -70,20 +70,17 @@ def encode_vertices(vertices: DataFrame, content: str, encoder: str, dim: int) -
 
 
 def led_and_edges(vertices: DataFrame, scope: list[str], threshold: float, encoder: str,
-                  block_rows: int, threshold_col: str | None, stats: dict | None = None) -> DataFrame:
+                  block_rows: int, threshold_col: str | None) -> DataFrame:
     """``(scope..., a, b, sim, grouped)``: final (leader, member) rows and edges still to group.
 
     Inside scopes (documents, labels, requests) the packed block job groups
     every scope that fits in a block where its similarities are computed and
-    gives edges for larger ones. A whole corpus is compared with leaders only.
+    gives edges for larger ones (and for a corpus whose positions are no numbers).
     """
     vector = None if encoder == "hashing" else "vector"
     if scope:
         return block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows, mode="groups",
                            threshold_col=threshold_col)
-    if isinstance(vertices.schema["pos"].dataType, T.NumericType):
-        led = group_corpus(vertices, threshold, sparse=vector is None, stats=stats)
-        return led.withColumn("grouped", F.lit(True))
     edges = block_pairs(vertices, scope, threshold, vector=vector, block_rows=block_rows)
     return edges.withColumn("grouped", F.lit(False))
 
@@ -99,9 +96,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     ``similarity`` is the member's cosine to its leader (R3), null for the
     leader. Groups of one are never reported (G3); empty input gives an empty
     result (G5). With ``threshold_col`` each scope is compared at its own
-    threshold (a per-request parameter). The items and vertices are kept for
-    the second reading by the caller's action; ``stats["persisted"]`` names
-    them for release.
+    threshold (a per-request parameter).
     """
     if threshold is None:
         threshold = DEFAULT_THRESHOLD  # G2
@@ -111,11 +106,6 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
         order = "_ord"
     content = vector if vector is not None else text
     encoder = "precomputed" if vector is not None else "hashing"
-    import time
-
-    from pyspark import StorageLevel
-
-    clock = time.time()
     base = items.where(F.col(content).isNotNull())
     for c in scope:
         base = base.where(F.col(c).isNotNull())
@@ -123,26 +113,24 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
         # vectors of different lengths fail their scope (ERROR), not the job
         base = base.join(vector_length_errors(base, scope, content), scope, "left_anti") if scope else base
     # The items feed both the duplicate collapse and the final expansion, the
-    # vertices feed ranks, prefixes, scoring and roles: keep each computed once
-    # (memory, spilling to executor disk; lost blocks are rebuilt from lineage).
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim)
-    verts = verts.persist(StorageLevel.MEMORY_AND_DISK)
-    kept = [base, verts]
+    # vertices feed pairs, scoring and roles: each is computed once, into the shared
+    # checkpoint folder (nothing stays cached for the session; Spark's cleaner drops the files
+    # once the plan that reads them is gone).
+    base = base.checkpoint(eager=True)
+    verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim).checkpoint(eager=True)
     if threshold_col is not None:
         scope_t = base.groupBy(*scope).agg(F.coalesce(F.min(threshold_col), F.lit(threshold)).cast("double").alias("_t"))
         verts = verts.join(scope_t, scope)
-    found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None, stats)
-    found = found.checkpoint(eager=True)  # read by every round and by the assignment
-    edges = found.where(~F.col("grouped")).drop("grouped")
-    if stats is not None:
-        stats["persisted"] = kept
-        stats["edges_sec"] = round(time.time() - clock, 2)
-    leaders = greedy_leaders(edges, scope, stats=stats, edges_checkpointed=True)
-    if stats is not None:
-        stats["leaders_sec"] = round(time.time() - clock, 2)
-    led = found.where("grouped").select(*scope, F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
-    assign = led.unionByName(assign_members(edges, leaders, scope))
+    if not scope and isinstance(verts.schema["pos"].dataType, T.NumericType):  # a corpus: compared with leaders only
+        led = group_corpus(verts, threshold, sparse=encoder == "hashing", stats=stats)
+        assign = led.select(F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
+    else:
+        found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None)
+        found = found.checkpoint(eager=True)  # read by every round and by the assignment
+        edges = found.where(~F.col("grouped")).drop("grouped")
+        leaders = greedy_leaders(edges, scope, stats=stats, edges_checkpointed=True)
+        led = found.where("grouped").select(*scope, F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
+        assign = led.unionByName(assign_members(edges, leaders, scope))
     roles = (assign.select(*scope, F.col("member").alias("pos"), "leader", "sim")
              .unionByName(assign.select(*scope, F.col("leader").alias("pos"), "leader",
                                         F.lit(None).cast("double").alias("sim")).distinct()))
@@ -221,10 +209,8 @@ def max_similarity_items(items: DataFrame, scope: list[str], order: str, text: s
 
     content = vector if vector is not None else text
     encoder = "precomputed" if vector is not None else "hashing"
-    from pyspark import StorageLevel
-
     verts = encode_vertices(distinct_vertices(items.where(F.col(content).isNotNull()), scope, order, content),
-                            content, encoder, dim).persist(StorageLevel.MEMORY_AND_DISK)
+                            content, encoder, dim).checkpoint(eager=True)
     if encoder == "hashing":
         between = max_similarity(verts, scope, vector=None, block_rows=block_rows)
     else:

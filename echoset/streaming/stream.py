@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoset.operators.report import RUN_TTL_MINUTES, document_outcomes, live_runs, release
+from echoset.operators.report import RUN_TTL_MINUTES, document_outcomes, live_runs
 from echoset.session import ensure_checkpoint_dir
 from echoset.sources.documents import DEFAULT_ELEMENTS, DEFAULT_THRESHOLD, lines_as_xml
 
@@ -36,14 +36,12 @@ def text_table_stream(spark: SparkSession, path: str, schema: T.StructType, id_c
 
 def _writer(out_dir: str, elements: str, threshold: float, group_kw: dict):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        held: list = []
-        outcomes, members = document_outcomes(batch, elements, threshold, held=held, **group_kw)
+        outcomes, members = document_outcomes(batch, elements, threshold, **group_kw)
         stamp = F.current_timestamp()
         for name, df in (("runs", outcomes.withColumn("created_at", stamp)), ("groups", members)):
             (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
              .parquet(f"{out_dir}/{name}"))
-        release(held)
     return write_batch
 
 
@@ -132,10 +130,9 @@ def status_by_creation(events: DataFrame, ttl_minutes: int = RUN_TTL_MINUTES, la
     """O5 by creation time: each run's status while it lives, from a stream of status events.
 
     ``events``: ``doc_id, status, n_groups, created_at, at`` (``at``: the time of the event; a run's first is
-    ``PROCESSING``). Time is the watermark, ``late`` behind the newest event, so the result does not
-    depend on when rows arrive: the status with the newest ``at`` counts, a run
+    ``PROCESSING``). Time is the watermark, ``late`` behind the newest event, not the clock: the status with the newest ``at`` counts, a run
     expires once the watermark is past ``created_at`` + ``ttl_minutes`` (strictly), and news for a run that has
-    expired change nothing. Emits ``doc_id, status, n_groups, created_at, expired`` at each change; a run's state
+    expired change nothing. Events further back than ``late`` may be dropped, as with any watermark. Emits ``doc_id, status, n_groups, created_at, expired`` at each change; a run's state
     is one small row, dropped when its event-time timer fires.
     """
     import pandas as pd

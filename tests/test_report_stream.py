@@ -133,18 +133,16 @@ def test_outcomes_observed_metrics(spark):
 
 
 def test_repeated_documents_are_requests_of_their_own(spark):
-    from echoset.operators.report import release, run_requests
+    from echoset.operators.report import run_requests
 
     xml = "<d><p>a b</p><p>b a</p></d>"
     req = spark.createDataFrame([("x", xml, "p", 0.9), ("x", "<d><p>a b</p><p>a c</p></d>", "p", 0.5), ("x", xml, "q", None)],
                                 "doc_id string, xml string, elements string, threshold double")
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
-    held = []
-    out, members = run_requests(req, held=held)
+    out, members = run_requests(req)
     rows = sorted((r.doc_id, r.threshold, r.status, r.n_texts, r.n_groups, r.grouped_texts) for r in out.collect())
     assert rows == [("x", 0.5, "COMPLETED", 2, 1, 2), ("x", 0.75, "NO_TEXT_EXTRACTED", 0, 0, 0), ("x", 0.9, "COMPLETED", 2, 1, 2)]
     assert {r.doc_id for r in members.collect()} == {"x"} and members.select("request_id").distinct().count() == 2
-    release(held)
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
@@ -171,3 +169,28 @@ def test_stream_releases_what_it_keeps(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "runs")).count() == 3
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_status_follows_creation_time(spark, tmp_path):
+    """Late news within the time to live counts, later ones do not; time is the watermark."""
+    import datetime as dt
+
+    from echoset.streaming.stream import run_states, start_status_stream
+
+    day = dt.datetime(2024, 5, 1)
+    at = lambda minutes: day + dt.timedelta(minutes=minutes)
+    chunks = [
+        [("a", "PROCESSING", 0, 0, 0), ("b", "PROCESSING", 0, 0, 0), ("c", "PROCESSING", 0, 5, 5), ("d", "PROCESSING", 0, 65, 65), ("d", "ERROR", 0, 65, 66)],
+        [("a", "COMPLETED", 2, 0, 10), ("x", "PROCESSING", 0, 75, 75)],  # the watermark is 66 - 5: a's end comes late by 1
+        [("c", "COMPLETED", 3, 5, 62), ("b", "ERROR", 1, 0, 62), ("y", "PROCESSING", 0, 90, 90)],  # the watermark is 75 - 5 = 5 + 65: not past for c
+        [("y", "COMPLETED", 1, 90, 95), ("y", "PROCESSING", 0, 90, 91)],
+    ]
+    src = str(tmp_path / "in")
+    for rows in chunks:
+        spark.createDataFrame([(i, s, n, at(c), at(e)) for i, s, n, c, e in rows], "doc_id string, status string, n_groups int, created_at timestamp, at timestamp"
+                              ).coalesce(1).write.mode("append").parquet(src)
+    events = spark.readStream.schema("doc_id string, status string, n_groups int, created_at timestamp, at timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    start_status_stream(events, str(tmp_path / "out"), ttl_minutes=65, late="5 minutes").awaitTermination()
+    got = {r.doc_id: (r.status, r.n_groups, r.expired) for r in run_states(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert got == {"a": ("COMPLETED", 2, True), "b": ("PROCESSING", 0, True), "c": ("COMPLETED", 3, True), "d": ("ERROR", 0, False),
+                   "x": ("PROCESSING", 0, False), "y": ("COMPLETED", 1, False)}
