@@ -6,8 +6,7 @@ margins agree. A cell's weight over its tokens is the rate at which its document
 should be drawn; scaled to a token budget and bounded by 1 it is each
 document's probability, and a hash of the document's id decides.
 
-Only cells are ever raked, three windows a round over one row per cell; the
-documents are aggregated once and met with their cell's probability once.
+Only cells are ever raked, one row per cell; the documents are aggregated once and met with their cell's probability once.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from .common import cut, picked
 
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
-SMALL_CELLS = 100_000  # up to so many cells are raked in one task and broadcast; more are shuffled
-ROUNDS_AT_ONCE = 4  # raking rounds between checkpoints
+SMALL_CELLS = 100_000  # up to so many cells are raked in one task and broadcast; more are shuffled (tested to give the same)
+ROUNDS_AT_ONCE = 4  # raking rounds of few cells between checkpoints
 DIGITS = 13  # hexadecimal digits of the deciding hash
 
 
@@ -74,38 +73,99 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float]) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: DataFrame, tol: float = 1e-12, max_rounds: int = 40) -> DataFrame:
-    """``cells`` (margins, ``tokens``) with ``weight``: the raked share of all tokens, summing to 1.
+    """``cells`` (margins, ``tokens``) with ``weight`` and ``margin_error``; weights are shares of all tokens.
+
+    Up to ``SMALL_CELLS`` cells are scaled in one task, whose rounds need no exchange; more are
+    scaled by factors per margin value that aggregations renew. The weights are the same.
 
     Values without a target get none; targets of values without tokens are left
     out and the rest made to sum to 1 again. Targets that contradict each other
-    (no weights can meet them) settle as far as ``max_rounds`` takes them.
+    (no weights can meet them) settle as far as ``max_rounds`` takes them:
+    ``margin_error``, the same in every row, is the largest relative distance of a margin
+    from its target that is left.
     """
     w = cells.where("tokens > 0")
     for m in MARGINS:
         share = targets.where(F.col("margin") == m).select(F.col("value").alias(m), F.col("share").alias(f"{m}_share"))
         w = w.join(share.where(F.col(f"{m}_share") > 0), m)
-    w = cut(w.withColumn("weight", F.col("tokens").cast("double")))
-    if w.count() <= SMALL_CELLS:  # rows of a few numbers: the rounds then need no exchange
-        w = w.coalesce(1)
-    total = {m: w.select(m, f"{m}_share").distinct().agg(F.sum(f"{m}_share")).first()[0] or 1.0 for m in MARGINS}
+    w = cut(w)
+    for m in MARGINS:  # a few rows of sums: targets of the values that are left sum to 1
+        total = w.groupBy(m).agg(F.first(f"{m}_share").alias("share")).agg(F.sum("share")).first()[0] or 1.0
+        w = w.withColumn(f"{m}_share", F.col(f"{m}_share") / total)
+    few = w.count() <= SMALL_CELLS
+    w = (_scale_cells if few else _renew_factors)(w, tol, max_rounds)
+    error = _distances(w, MARGINS).agg(F.max("off")).first()[0]
+    return w.select(*MARGINS, "tokens", "weight", F.lit(error).cast("double").alias("margin_error"))
+
+
+def _distances(w: DataFrame, margins: tuple[str, ...]) -> DataFrame:
+    """``off``: each margin value's relative distance from its target."""
+    tables = [
+        w.groupBy(m).agg(F.sum("weight").alias("now"), F.first(f"{m}_share").alias("want"))
+        .select(F.abs(F.col("now") / F.col("want") - 1).alias("off")) for m in margins]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def _scale_cells(w: DataFrame, tol: float, max_rounds: int) -> DataFrame:
+    """Few cells: one task scales them margin by margin."""
+    w = w.withColumn("weight", F.col("tokens").cast("double")).coalesce(1)
     for _ in range(0, max_rounds, ROUNDS_AT_ONCE):
         for m in MARGINS * ROUNDS_AT_ONCE:
             now = F.sum("weight").over(Window.partitionBy(m))
-            w = w.withColumn("weight", F.col("weight") * (F.col(f"{m}_share") / total[m]) / now)
+            w = w.withColumn("weight", F.col("weight") * F.col(f"{m}_share") / now)
         w = cut(w)
-        off = [
-            w.groupBy(m).agg(F.sum("weight").alias("now"), F.first(f"{m}_share").alias("want"))
-            .select(F.abs(F.col("now") / (F.col("want") / total[m]) - 1).alias("off"))
-            for m in MARGINS[:-1]  # the last margin was just met
-        ]
-        worst = off[0].union(off[1]).agg(F.max("off")).first()[0]
+        worst = _distances(w, MARGINS[:-1]).agg(F.max("off")).first()[0]  # the last margin was just met
         if worst is None or worst <= tol:
             break
-    return w.select(*MARGINS, "tokens", "weight")
+    return w
+
+
+def _renew_factors(w: DataFrame, tol: float, max_rounds: int) -> DataFrame:
+    """Many cells: a weight is the tokens times one factor per margin value.
+
+    A step renews one margin's factors: target share over the sum, by value, of tokens
+    times the other factors. Sums are combined before the shuffle, so a value that most
+    cells share burdens no task. Ends when no factor moves by more than ``tol``.
+    """
+    factors, small = {}, {}
+    for m in MARGINS:
+        factors[m] = cut(w.groupBy(m).agg(F.first(f"{m}_share").alias("share")).withColumn(f"{m}_factor", F.lit(1.0)))
+        small[m] = factors[m].count() <= SMALL_CELLS
+    base = cut(w)
+
+    def weighed(x: DataFrame, margins: list[str]) -> tuple[DataFrame, Column]:
+        weight = F.col("tokens").cast("double")
+        for m in margins:
+            x = x.join(_sized(factors[m].select(m, f"{m}_factor"), small[m]), m)
+            weight = weight * F.col(f"{m}_factor")
+        return x, weight
+
+    for _ in range(max_rounds):
+        moves = []
+        for m in MARGINS:
+            x, weight = weighed(base, [o for o in MARGINS if o != m])
+            sums = x.groupBy(m).agg(F.sum(weight).alias("now"))
+            renewed = cut(sums.join(factors[m].withColumnRenamed(f"{m}_factor", "was"), m).select(
+                m, "share", (F.col("share") / F.col("now")).alias(f"{m}_factor"),
+                F.abs(F.col("was") * F.col("now") / F.col("share") - 1).alias("move")))
+            factors[m] = renewed.drop("move")
+            moves.append(renewed.select("move"))
+        if moves[0].union(moves[1]).union(moves[2]).agg(F.max("move")).first()[0] <= tol:
+            break
+    x, weight = weighed(base, list(MARGINS))
+    return cut(x.select(*base.columns, weight.alias("weight")))
+
+
+def _sized(df: DataFrame, small: bool) -> DataFrame:
+    """A table whose rows were counted: broadcast if few."""
+    return F.broadcast(df) if small else df
 
 
 def probabilities(raked: DataFrame, keep: float) -> DataFrame:
-    """``margins, weight, probability``: weight over tokens, scaled so that ``keep`` of all tokens is expected.
+    """``margins, weight, probability`` and further columns but the tokens: weight over tokens, scaled so that ``keep`` of all tokens is expected.
 
     Cells whose rate would pass 1 are taken whole and the others scaled up
     for it: each step bounds more cells and is one small aggregation.
@@ -122,7 +182,8 @@ def probabilities(raked: DataFrame, keep: float) -> DataFrame:
         if row["n"] == bounded or not row["rest"]:
             break
         bounded, scale = row["n"], (keep * total - row["whole"]) / row["rest"]
-    return rated.select(*MARGINS, "weight", F.least(F.lit(1.0), F.lit(float(scale)) * F.col("rate")).alias("probability"))
+    kept = [c for c in raked.columns if c != "tokens"]
+    return rated.select(*kept, F.least(F.lit(1.0), F.lit(float(scale)) * F.col("rate")).alias("probability"))
 
 
 def draw(id_col: Column, seed: int) -> Column:
@@ -136,7 +197,7 @@ def cell_probabilities(rows: DataFrame, temper: dict[str, float], keep: float, t
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     targets = tempered_targets(cells, temper) if targets is None else targets
     out = cut(probabilities(rake(cells, targets), keep))
-    return F.broadcast(out) if out.count() <= SMALL_CELLS else out
+    return _sized(out, out.count() <= SMALL_CELLS)
 
 
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -149,11 +210,12 @@ def mix_documents(
 ) -> DataFrame:
     """Every document's cell, probability and whether it is drawn.
 
-    ``<id_col>, source, lang, topic, n_tokens, weight, probability, kept``, one
+    ``<id_col>, source, lang, topic, n_tokens, weight, probability, kept, margin_error``, one
     row per row of ``docs``. Targets (``margin, value, share``) default to the observed
     shares tempered per margin. Documents of cells without tokens or without a target
     have weight and probability 0; empty documents in a cell with tokens are drawn like
-    any other of it. Rows with the same id are drawn alike.
+    any other of it. Rows with the same id are drawn alike. ``margin_error`` says how far
+    the raked margins still are from their targets (see ``rake``; null without a raked cell).
     """
     rows = cell_rows(docs, id_col, text_col, source_col, lang_col, topic)
     cells = cell_probabilities(rows, temper or TEMPER, keep, targets)
@@ -161,7 +223,7 @@ def mix_documents(
     p = F.coalesce("probability", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col), *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"),
-        p.alias("probability"), (draw(F.col("id"), seed) < p).alias("kept"))
+        p.alias("probability"), (draw(F.col("id"), seed) < p).alias("kept"), "margin_error")
 
 
 def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
@@ -171,7 +233,7 @@ def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     cells = cell_probabilities(rows, temper or TEMPER, keep, None)
     name = {m: f"_echoset_{m}" for m in MARGINS}
     cells = cells.select(*[F.col(m).alias(name[m]) for m in MARGINS], F.col("probability").alias("_echoset_p"))
-    cells = F.broadcast(cells) if cells.count() <= SMALL_CELLS else cells
+    cells = _sized(cells, cells.count() <= SMALL_CELLS)
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
     marked = docs.withColumns({
         name["source"]: named(F.col(f"`{source_col}`")), name["lang"]: named(F.col(f"`{lang_col}`")), name["topic"]: text_topic(text_col)})
@@ -209,8 +271,10 @@ def oracle_sql(rounds: int = 40, keep: float = 0.7, seed: int = 42) -> str:
     # expected tokens are the least, over the cells taken whole, of theirs plus the scaled rest: so the largest scale holds
     steps.append("z AS (SELECT max(scale) AS scale FROM (SELECT max(budget) / sum(w) AS scale FROM s "
                  "UNION ALL SELECT (budget - upto) / rest FROM s WHERE rest > 1e-12 AND budget > upto))")
-    steps.append("p AS (SELECT source, lang, topic, w AS weight, least(1.0, z.scale * rate) AS probability FROM s, z)")
+    off = " UNION ALL ".join(f"SELECT abs(sum(w) / max({m}_share) - 1) AS off FROM w{k} GROUP BY {m}" for m in MARGINS)
+    steps.append(f"e AS (SELECT max(off) AS margin_error FROM ({off}))")
+    steps.append("p AS (SELECT source, lang, topic, w AS weight, least(1.0, z.scale * rate) AS probability, margin_error FROM s, z, e)")
     return "WITH " + ",\n".join(steps) + f"""
 SELECT r.doc_id, r.source, r.lang, r.topic, r.n_tokens, round(coalesce(weight, 0), 6) AS weight, round(coalesce(probability, 0), 6) AS probability,
-       ('0x' || substr(md5('{seed}:' || r.doc_id), 1, {DIGITS}))::BIGINT::DOUBLE / {16 ** DIGITS}.0 < coalesce(probability, 0) AS kept
+       ('0x' || substr(md5('{seed}:' || r.doc_id), 1, {DIGITS}))::BIGINT::DOUBLE / {16 ** DIGITS}.0 < coalesce(probability, 0) AS kept, round(margin_error, 6) AS margin_error
 FROM r LEFT JOIN p USING (source, lang, topic)"""

@@ -57,7 +57,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raked sampling probabilities of all ``documents``."""
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
-    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability", "margin_error")})
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

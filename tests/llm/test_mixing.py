@@ -43,6 +43,28 @@ def test_raked_margins_meet_the_targets(spark):
             assert abs(w[a[0]] * w[a[1]] / (w[b[0]] * w[b[1]]) - 1) < 1e-6
 
 
+def test_tables_of_any_size_are_raked_alike(spark, monkeypatch):
+    cells = some_cells()
+    targets = spark.createDataFrame(
+        [("source", s, 0.2) for s in "abcde"] + [("lang", s, 1 / 3) for s in "xyz"] + [("topic", "p", 0.9), ("topic", "q", 0.1)],
+        "margin string, value string, share double")
+    one = {tuple(r[:3]): r for r in rake(cells_frame(spark, cells), targets, tol=0.0, max_rounds=4).collect()}
+    monkeypatch.setattr("echoset.llm.mixing.SMALL_CELLS", 0)
+    other = {tuple(r[:3]): r for r in rake(cells_frame(spark, cells), targets, tol=0.0, max_rounds=4).collect()}
+    assert one.keys() == other.keys() == {c[:3] for c in cells}
+    for c, r in one.items():
+        assert abs(r["weight"] - other[c]["weight"]) < 1e-12 and abs(r["margin_error"] - other[c]["margin_error"]) < 1e-9
+
+
+def test_contradicting_targets_are_reported(spark):
+    cells = [("a", "x", "p", 10), ("b", "y", "p", 10)]  # a is x and b is y: their targets cannot differ
+    targets = spark.createDataFrame([("source", "a", 0.5), ("source", "b", 0.5), ("lang", "x", 0.8), ("lang", "y", 0.2), ("topic", "p", 1.0)],
+                                    "margin string, value string, share double")
+    out = rake(cells_frame(spark, cells), targets, max_rounds=6).collect()
+    assert len(out) == 2 and all(abs(r["margin_error"] - 0.6) < 1e-9 for r in out)
+    assert rake(cells_frame(spark, cells).where("false"), targets).collect() == []
+
+
 def test_probabilities_meet_the_budget(spark):
     raked = spark.createDataFrame([("a", "x", "p", 100, 0.6), ("b", "x", "p", 900, 0.3), ("c", "x", "p", 1000, 0.1)],
                                   "source string, lang string, topic string, tokens bigint, weight double")
