@@ -140,10 +140,14 @@ def q_embedding_groups_global(spark, sf_dir):
     return m.select("leader_vec_id", "vec_id", "is_leader", _r6("similarity"), "label")
 
 
-def q_document_groups_global(spark, sf_dir):
+def document_members(spark, sf_dir):
     _prep(spark)
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    m = group_items(docs, [], "doc_id", DOC_T)
+    return group_items(docs, [], "doc_id", DOC_T)
+
+
+def q_document_groups_global(spark, sf_dir):
+    m = document_members(spark, sf_dir)
     return m.select("leader_doc_id", "doc_id", "is_leader", _r6("similarity"))
 
 
@@ -259,6 +263,15 @@ def q_line_group_numbers(spark, sf_dir):
     return s.select("doc_id", "leader_semid", "group_no", F.row_number().over(by_score).alias("score_rank"))
 
 
+def q_document_group_report_global(spark, sf_dir):
+    """W2, W4, R3-R5, R15 for a corpus: scores of each group of whole documents, its number and its place by score."""
+    from echoset.plans.passages import number_groups, rank_groups
+
+    s = group_summary(document_members(spark, sf_dir), [], "doc_id")
+    s = rank_groups(number_groups(s, [], "doc_id"), [], "doc_id")
+    return s.select(*_summary_cols([], "doc_id"), "group_no", "score_rank")
+
+
 def q_line_group_texts(spark, sf_dir):
     """Distinct texts of each group with all their positions, one-word groups left out."""
     from echoset.functions.text import preview
@@ -543,6 +556,7 @@ QUERIES = {
     "embedding_groups_label": q_embedding_groups_label,
     "embedding_groups_global": q_embedding_groups_global,
     "document_groups_global": q_document_groups_global,
+    "document_group_report_global": q_document_group_report_global,
     "document_groups_incremental": q_document_groups_incremental,
     "embedding_groups_stored": q_embedding_groups_stored,
     "nested_elements": q_nested_elements,
@@ -697,6 +711,9 @@ ORACLES["line_group_numbers"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]
 SELECT doc_id, leader_semid, row_number() OVER (PARTITION BY doc_id ORDER BY leader_semid) AS group_no,
        row_number() OVER (PARTITION BY doc_id ORDER BY avg_sim DESC, leader_semid) AS score_rank
 FROM (SELECT doc_id, leader_semid, round(avg(sim), 6) AS avg_sim FROM members GROUP BY ALL)"""
+ORACLES["document_group_report_global"] = _groups_sql(["_g"], "doc_id", DOC_T, [DOCS_G], "docs", False) + f"""
+SELECT * EXCLUDE (_g), row_number() OVER (ORDER BY leader_doc_id) AS group_no,
+       row_number() OVER (ORDER BY avg_similarity DESC, leader_doc_id) AS score_rank FROM ({_summary_sql(["_g"], "doc_id")})"""
 ORACLES["line_group_texts"] = _groups_sql(["doc_id"], "semid", LINE_T, [LINES]) + """,
 short AS (SELECT DISTINCT doc_id, leader_semid FROM members WHERE NOT contains(text, ' '))
 SELECT doc_id, leader_semid, text, min(semid) AS first, list(semid ORDER BY semid) AS positions, count(*) AS copies,

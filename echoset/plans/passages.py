@@ -13,7 +13,7 @@ that AQE may split when one key is hot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from echoset.operators.embed import DEFAULT_DIM, as_double_vector, with_hashing_
 from echoset.operators.grouping import assign_members, greedy_leaders
 from echoset.operators.leaders import group_corpus
 from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs
+from echoset.operators.ranks import exact_quantiles, numbered
 from echoset.sources.documents import DEFAULT_THRESHOLD
 
 
@@ -162,17 +163,25 @@ def group_summary(members: DataFrame, scope: list[str], order: str, threshold: f
     ``size``, ``avg/min/max/var_pop_similarity`` and the inter-quartile range
     over the members' scores (the leader's own score excluded), and the size
     relative to the largest group of the scope (an aggregation joined back,
-    not a window, so one huge scope is never one task).
+    not a window, so one huge scope is never one task). Groups of a corpus (no scope)
+    may hold any number of scores: their quantiles come from ranks in the sorted table.
     """
     lead = f"leader_{order}"
-    g = members.groupBy(*scope, lead).agg(
+    parts = [
         F.count(F.lit(1)).alias("size"),
         F.avg("similarity").alias("avg_similarity"),
         F.min("similarity").alias("min_similarity"),
         F.max("similarity").alias("max_similarity"),
         F.var_pop("similarity").alias("var_similarity"),
-        (F.percentile("similarity", 0.75) - F.percentile("similarity", 0.25)).alias("iqr_similarity"),
-    )
+    ]
+    if scope:
+        iqr = F.percentile("similarity", 0.75) - F.percentile("similarity", 0.25)
+        g = members.groupBy(*scope, lead).agg(*parts, iqr.alias("iqr_similarity"))
+    else:
+        members = members.select(lead, "similarity").checkpoint(eager=True)  # read twice
+        q = exact_quantiles(members, [lead], "similarity", {"_q1": 0.25, "_q3": 0.75})
+        g = members.groupBy(lead).agg(*parts).join(q, lead, "left")
+        g = g.withColumn("iqr_similarity", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
     if scope:
         largest = g.groupBy(*scope).agg(F.max("size").alias("_largest"))
         g = g.join(largest, scope)
@@ -187,15 +196,23 @@ def group_summary(members: DataFrame, scope: list[str], order: str, threshold: f
 def number_groups(summary: DataFrame, scope: list[str], order: str) -> DataFrame:
     """1-based group number inside each scope, in leader order.
 
-    A window per scope: meant for per-document scopes (display numbering),
-    where a scope's groups are bounded by the document's size.
+    A window per scope for documents, labels or requests (display numbering); the
+    groups of a corpus (no scope) are numbered by ranges of their leaders.
     """
-    from pyspark.sql import Window
-
+    if not scope:
+        return numbered(summary, [F.col(f"leader_{order}")], "group_no")
     w = Window.partitionBy(*scope).orderBy(f"leader_{order}")
     return summary.withColumn("group_no", F.row_number().over(w))
 
 
+def rank_groups(summary: DataFrame, scope: list[str], order: str) -> DataFrame:
+    """``score_rank``, the 1-based place by average similarity (to 6 places), then by leader."""
+    by = [F.desc(F.round("avg_similarity", 6)), F.asc(f"leader_{order}")]
+    if not scope:
+        return numbered(summary, by, "score_rank")
+    return summary.withColumn("score_rank", F.row_number().over(Window.partitionBy(*scope).orderBy(*by)))
+
+
 def max_similarity_items(items: DataFrame, scope: list[str], order: str, text: str | None = "text",
                          vector: str | None = None, dim: int = DEFAULT_DIM,
                          block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
