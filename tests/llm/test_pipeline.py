@@ -30,7 +30,7 @@ def test_stages_and_their_order():
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "decontamination", "mixing", "token_files"]
     numbers = sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_run_equals_its_stages_by_brute_force(spark, sf_dir):
