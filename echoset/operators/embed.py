@@ -45,7 +45,7 @@ def word_bucket(w: Column, dim: int) -> Column:
 
 def sorted_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """Bucket of every word, ascending (repeats kept)."""
-    return F.array_sort(F.transform(text_words(text), lambda w: word_bucket(w, dim)))
+    return F.sort_array(F.transform(text_words(text), lambda w: word_bucket(w, dim)))  # natively; array_sort interprets a comparator
 
 
 def with_hashing_counts(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
@@ -60,12 +60,10 @@ def with_hashing_counts(df: DataFrame, text_col: str = "text", dim: int = DEFAUL
     b = F.col("_b")
     n = F.size(b)
     staged = df.withColumn("_b", sorted_buckets(F.col(text_col), dim))
-    prev = F.concat(F.array(F.lit(-1)), F.slice(b, 1, F.greatest(n - 1, F.lit(0))))
-    staged = staged.withColumn("_runs", F.filter(
-        F.arrays_zip(b.alias("k"), prev.alias("p"), F.sequence(F.lit(1), F.greatest(n, F.lit(1))).alias("i")),
-        lambda r: r["k"] != r["p"])).withColumn("_n", n)
-    staged = staged.select(*df.columns, "_n", F.transform("_runs", lambda r: r["k"]).alias("idx"),
-                           F.transform("_runs", lambda r: r["i"]).alias("_starts"))
+    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    staged = staged.withColumn("_n", n).withColumn("_starts", F.filter(
+        places, lambda i: (i == 1) | (F.get(b, i - 1) != F.get(b, i - 2))))
+    staged = staged.select(*df.columns, "_n", F.transform("_starts", lambda i: F.get(b, i - 1)).alias("idx"), "_starts")
     starts = F.col("_starts")
     nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.col("_n") + 1))
     staged = staged.select(*df.columns, "idx", F.zip_with(

@@ -1,8 +1,8 @@
 """Element extraction (X1-X7, P4) as a Spark job over a documents table.
 
-Each document is parsed where it lies (``mapInPandas``, one streaming expat
-pass per document, no DOM), so work spreads over all partitions and no
-document travels to the driver. The parser is not namespace aware, like the
+Each document is parsed where it lies (``mapInArrow``, one streaming expat
+pass per document, no DOM, rows handed on in small batches), so work spreads over all
+partitions, no document travels to the driver and a worker holds a few documents. The parser is not namespace aware, like the
 reference's factory defaults: an element's name is its qualified name.
 
 Output of :func:`extract_elements` — one row per matching element, in
@@ -24,9 +24,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from echoset.functions.text import normalize_space
 from echoset.sources.documents import DEFAULT_ELEMENTS
@@ -107,15 +109,31 @@ def _parse_matches(xml: str, names: frozenset[str], with_meta: bool):
     return [out[k] for k in sorted(out)], None
 
 
-def _extract_batches(names_default: str, with_meta: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+SLICE_DOCS = 32  # documents turned into Python objects at once
+BATCH_ROWS, BATCH_CHARS = 4096, 2_000_000  # rows and characters handed on at once
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """The rows of Arrow batches as lists by column, a few documents at a time.
+
+    A batch holds up to ``maxRecordsPerBatch`` whole documents; only a slice of it becomes objects.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_DOCS):
+            yield batch.slice(at, SLICE_DOCS).to_pydict()
+
+
+def _extract_batches(names_default: str, with_meta: bool, schema: pa.Schema):
+    def handed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, frozenset[str]] = {}
-        for pdf in batches:
-            rows_id, rows_semid, rows_el, rows_text, rows_err, rows_attr, rows_path, rows_full = [], [], [], [], [], [], [], []
-            has_elements = "elements" in pdf.columns
-            for i, (doc_id, xml) in enumerate(zip(pdf["doc_id"], pdf["xml"])):
-                spec = pdf["elements"].iat[i] if has_elements else None
-                if spec is None or (isinstance(spec, float)):
+        rows: list[tuple] = []
+        chars = 0
+        for part in slices(batches):
+            for doc_id, xml, spec in zip(part["doc_id"], part["xml"], part.get("elements", [None] * SLICE_DOCS)):
+                if spec is None:
                     spec = names_default
                 names = cache.get(spec)
                 if names is None:
@@ -124,28 +142,17 @@ def _extract_batches(names_default: str, with_meta: bool):
                     matches, err = [], "XML content not provided"
                 else:
                     matches, err = _parse_matches(xml, names, with_meta)
-                if err is not None:
-                    rows_id.append(doc_id); rows_semid.append(None); rows_el.append(None)
-                    rows_text.append(None); rows_err.append(err); rows_attr.append(None); rows_path.append(None); rows_full.append(None)
-                    continue
-                if not matches:  # marker row: the document exists but nothing matched (X7)
-                    rows_id.append(doc_id); rows_semid.append(None); rows_el.append(None)
-                    rows_text.append(None); rows_err.append(None); rows_attr.append(None); rows_path.append(None); rows_full.append(None)
+                if err is not None or not matches:  # marker row: the document exists but nothing matched (X7)
+                    rows.append((doc_id, None, None, None, err, None, None, None)[:len(schema)])
                 for sid, name, text, attrs, xp, full in matches:
-                    rows_id.append(doc_id); rows_semid.append(sid); rows_el.append(name)
-                    rows_text.append(text); rows_err.append(None); rows_attr.append(attrs); rows_path.append(xp); rows_full.append(full)
-            res = pd.DataFrame({
-                "doc_id": pd.Series(rows_id, dtype=object),
-                "semid": pd.array(rows_semid, dtype="Int32"),
-                "element": pd.Series(rows_el, dtype=object),
-                "raw_text": pd.Series(rows_text, dtype=object),
-                "parse_error": pd.Series(rows_err, dtype=object),
-            })
-            if with_meta:
-                res["attributes"] = pd.Series(rows_attr, dtype=object)
-                res["xpath"] = pd.Series(rows_path, dtype=object)
-                res["content"] = pd.Series(rows_full, dtype=object)
-            yield res
+                    meta = (list(attrs.items()), xp, full) if with_meta else ()
+                    rows.append((doc_id, sid, name, text, None, *meta))
+                    chars += len(text)
+                    if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield handed(rows)
+                        rows, chars = [], 0
+        if rows:
+            yield handed(rows)
     return run
 
 
@@ -169,7 +176,8 @@ def parse_documents(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta
             T.StructField("xpath", T.StringType()),
             T.StructField("content", T.StringType()),
         ]
-    return docs.select(*cols).mapInPandas(_extract_batches(elements, with_meta), T.StructType(fields))
+    schema = T.StructType(fields)
+    return docs.select(*cols).mapInArrow(_extract_batches(elements, with_meta, to_arrow_schema(schema)), schema)
 
 
 def extract_elements(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_meta: bool = False) -> DataFrame:

@@ -16,15 +16,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from echoset.functions.text import normalize_space
+from echoset.operators.extract import slices
 
 STRETCH = 256  # node numbers in a stretch
-BATCH_NODES = 50_000  # rows handed on at once
+BATCH_NODES = 4096  # rows handed on at once
 
 
 def _nodes_of(xml: str):
@@ -73,26 +75,27 @@ def node_table(docs: DataFrame) -> DataFrame:
     id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     schema = T.StructType([id_field, *T.StructType.fromDDL(
         "kind string, start long, end long, level int, name string, path string, attributes map<string,string>, text string").fields])
-    columns = [f.name for f in schema]
+    arrow = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(rows):
-            df = pd.DataFrame(rows, columns=columns)
-            return df.astype({"start": "Int64", "end": "Int64", "level": "Int32"})
+    def handed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-        for pdf in batches:
-            rows: list[tuple] = []
-            for doc_id, xml in zip(pdf["doc_id"], pdf["xml"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for part in slices(batches):
+            for doc_id, xml in zip(part["doc_id"], part["xml"]):
                 nodes, error = ([], "XML content not provided") if xml is None else _nodes_of(xml)
-                rows += [(doc_id, *n) for n in nodes]
+                for *n, attributes, text in nodes:
+                    rows.append((doc_id, *n, attributes if attributes is None else list(attributes.items()), text))
+                    if len(rows) >= BATCH_NODES:
+                        yield handed(rows)
+                        rows = []
                 if error is not None:
                     rows.append((doc_id, "error", None, None, None, None, None, None, error))
-                if len(rows) >= BATCH_NODES:
-                    yield frame(rows)
-                    rows = []
-            yield frame(rows)
+        if rows:
+            yield handed(rows)
 
-    return docs.select("doc_id", "xml").mapInPandas(run, schema)
+    return docs.select("doc_id", "xml").mapInArrow(run, schema)
 
 
 def select_elements(nodes: DataFrame, requests: DataFrame) -> DataFrame:

@@ -108,67 +108,99 @@ def _frame(cols: dict) -> pd.DataFrame:
 
 def _block_job(scope: list[str], sparse: bool, mode: str, block_rows: int):
 
-    def matrices(left: pd.DataFrame, right: pd.DataFrame):
+    def flat(lists, kind):
+        """The values of all lists in one array, and where each list ends."""
+        ends = np.cumsum([0, *map(len, lists)])
+        return (np.concatenate(lists).astype(kind, copy=False) if ends[-1] else np.zeros(0, kind)), ends
+
+    def stretch(values, ends, rows):
+        """The lists of some rows (ascending) in one array, and their lengths."""
+        size = ends[rows + 1] - ends[rows]
+        if len(rows) and rows[-1] - rows[0] + 1 == len(rows):
+            return values[ends[rows[0]]:ends[rows[-1] + 1]], size
+        return np.concatenate([values[ends[r]:ends[r + 1]] for r in rows]) if len(rows) else values[:0], size
+
+    def matrices(data, left, right):
         if sparse:
             # dense only over the buckets this block pair uses (column compression)
-            li = [np.asarray(x, dtype=np.int64) for x in left["idx"]]
-            ri = li if right is left else [np.asarray(x, dtype=np.int64) for x in right["idx"]]
-            cols = np.unique(np.concatenate(li + ri)) if (li or ri) else np.zeros(0, dtype=np.int64)
-
-            def build(ix_list, counts):
-                m = np.zeros((len(ix_list), len(cols)), dtype=np.float64)
-                if len(cols):
-                    rows = np.repeat(np.arange(len(ix_list)), [len(ix) for ix in ix_list])
-                    m[rows, np.searchsorted(cols, np.concatenate(ix_list))] = np.concatenate(list(counts))
+            idx, cnt, ends = data
+            li, ln = stretch(idx, ends, left)
+            ri, rn = (li, ln) if right is left else stretch(idx, ends, right)
+            cols = np.unique(li if right is left else np.concatenate([li, ri]))
+
+            def build(ix, size, rows):
+                m = np.zeros((len(rows), len(cols)), dtype=np.float64)
+                m[np.repeat(np.arange(len(rows)), size), np.searchsorted(cols, ix)] = stretch(cnt, ends, rows)[0]
                 return m
-            A = build(li, left["cnt"])
-            return A, (A if right is left else build(ri, right["cnt"]))
-        lv = list(left["vec"])
-        rv = lv if right is left else list(right["vec"])
+            A = build(li, ln, left)
+            return A, (A if right is left else build(ri, rn, right))
+        lv = [data[i] for i in left]
+        rv = lv if right is left else [data[i] for i in right]
         if len({len(v) for v in lv} | {len(v) for v in rv}) > 1:
             raise ValueError(LENGTH_ERROR)
         A = np.asarray([np.asarray(v, dtype=np.float64) for v in lv])
         return A, (A if right is left else np.asarray([np.asarray(v, dtype=np.float64) for v in rv]))
 
-    def one_pair(skey, lo, hi, pdf: pd.DataFrame, out: list):
-        left = pdf[pdf["blk"] == lo]
-        right = left if lo == hi else pdf[pdf["blk"] == hi]
-        if len(left) == 0 or len(right) == 0:
+    def one_pair(skey, same, data, left, right, pos, t, whole, out: list):
+        if mode != "max" and same and len(left) < 2:
+            if not sparse:
+                matrices(data, left, left)
             return
-        A, B = matrices(left, right)
-        qa = (A * A).sum(axis=1)
-        qb = qa if B is A else (B * B).sum(axis=1)
+        A, B = matrices(data, left, right)
+        qa = np.einsum("ij,ij->i", A, A)
+        qb = qa if B is A else np.einsum("ij,ij->i", B, B)
         with np.errstate(invalid="ignore", divide="ignore"):
             if sparse:  # integers: dot and squared norms are exact, equal texts give 1.0
                 S = (A @ B.T) / np.sqrt(np.outer(qa, qb))
             else:
                 S = (A @ B.T) / np.outer(np.sqrt(qa), np.sqrt(qb))
         S[(qa == 0)[:, None] | (qb == 0)[None, :]] = 0.0
-        pa = left["v"].to_numpy()
-        pb = right["v"].to_numpy()
-        if lo == hi:
+        pa, pb = pos[left], pos[right]
+        if same:
             tri = pa[:, None] < pb[None, :]
         if mode == "max":
-            vals = S[tri] if lo == hi else S.ravel()
+            vals = S[tri] if same else S.ravel()
             vals = vals[~np.isnan(vals)]
             if vals.size:
                 out.append((skey, None, None, float(vals.max())))
             return
         with np.errstate(invalid="ignore"):
-            keep = S >= float(left["t"].iloc[0])  # NaN compares False: never an edge
-        if lo == hi:
+            keep = S >= t  # NaN compares False: never an edge
+        if same:
             keep &= tri
-        done = mode == "groups" and int(left["n"].iloc[0]) <= block_rows
-        ii, jj = _led(keep, pa) if done else np.nonzero(keep)
-        if len(ii):
-            a, b = pa[ii], pb[jj]
-            out.append((skey, np.minimum(a, b), np.maximum(a, b), S[ii, jj], done))
+        if not keep.any():
+            return
+        ii, jj = _led(keep, pa) if whole else np.nonzero(keep)
+        a, b = pa[ii], pb[jj]
+        out.append((skey, np.minimum(a, b), np.maximum(a, b), S[ii, jj], whole))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
-        for key, part in pdf.groupby(scope + ["lo", "hi"], sort=False, dropna=False):
-            key = key if isinstance(key, tuple) else (key,)
-            one_pair(key[:-2], key[-2], key[-1], part, out)
+        if len(pdf):
+            # rows of a block pair side by side, in the order they came; lists unpacked once for all
+            part = pdf.groupby(scope + ["lo", "hi"], sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(part, kind="stable")
+            pdf, part = pdf.iloc[order], part[order]
+            if sparse:
+                idx, ends = flat(pdf["idx"].tolist(), np.int64)
+                data = idx, flat(pdf["cnt"].tolist(), np.float64)[0], ends
+            else:
+                data = pdf["vec"].tolist()
+            pos, blk, lo, hi = (pdf[c].to_numpy() for c in ("v", "blk", "lo", "hi"))
+            keys = [pdf[c].tolist() for c in scope]
+            if mode == "groups":
+                whole = pdf["n"].to_numpy() <= block_rows
+            else:
+                whole = np.zeros(len(pdf), bool)
+            t = pdf["t"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            for at, end in zip(cuts, cuts[1:]):
+                rows = np.arange(at, end)
+                same = lo[at] == hi[at]
+                left = rows if same else rows[blk[at:end] == lo[at]]
+                right = left if same else rows[blk[at:end] == hi[at]]
+                if len(left) and len(right):
+                    one_pair(tuple(k[at] for k in keys), same, data, left, right, pos, float(t[at]), bool(whole[at]), out)
         cols: dict = {c: [] for c in scope}
         if mode == "max":
             cols["max_sim"] = []

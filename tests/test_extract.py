@@ -144,3 +144,20 @@ def test_annotated_copy_is_whole_at_any_depth(spark):
     want = full.replace('<p a="1" cms:semid="9"', '<p cms:semid="1" a="1"').replace("<p/>", '<p cms:semid="2"/>')
     assert got[2] == (want, None)
     assert got[3][0] is None and got[3][1].startswith("malformed") and got[4][0] is None
+
+
+def test_a_batch_of_many_documents_is_handed_on_in_small_parts():
+    import pyarrow as pa
+
+    from echoset.operators import extract as X
+
+    n = 3 * X.BATCH_ROWS // 10
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "xml": ["<d>" + "<p>a</p>" * 10 + "</d>"] * n})
+    schema = pa.schema([("doc_id", pa.int64()), ("semid", pa.int32()), ("element", pa.string()), ("raw_text", pa.string()),
+                        ("parse_error", pa.string())])
+    parts = list(X._extract_batches("p", False, schema)(iter([docs])))
+    assert max(p.num_rows for p in parts) <= X.BATCH_ROWS and sum(p.num_rows for p in parts) == 10 * n
+    assert [d for p in parts for d in p.column("doc_id").to_pylist()] == [d for d in range(n) for _ in range(10)]
+    assert max(len(s["doc_id"]) for s in X.slices([docs])) <= X.SLICE_DOCS
+    long = pa.RecordBatch.from_pydict({"doc_id": [1], "xml": ["<d>" + f"<p>{'x' * 100_000}</p>" * 50 + "</d>"]})
+    assert max(sum(map(len, p.column("raw_text").to_pylist())) for p in X._extract_batches("p", False, schema)(iter([long]))) <= X.BATCH_CHARS + 100_000
