@@ -14,7 +14,7 @@ Strategies (all exact except J4):
   threshold. Two unit vectors with dot >= t must share a prefix bucket, so
   the candidate join never touches the common buckets that make a plain
   inverted index explode, and no bucket is ever dropped. Candidates are then
-  scored exactly with a relational sparse dot product.
+  scored exactly on the packed vectors.
 * :func:`block_pairs` (J2b) — dense vectors, or sparse densified per block.
   Rows are hashed into blocks of bounded size inside their scope; each pair of
   blocks meets once in ``applyInPandas`` and is multiplied in numpy. Memory per
@@ -29,7 +29,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,41 +62,94 @@ def _keep(sim: Column, threshold: float) -> Column:
 
 # --------------------------------------------------------------------- J2c
 
-def prefix_features(feats: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Features ``(keys..., bucket)`` of each vector's rare-first prefix.
-
-    Buckets are ordered by (frequency, bucket), from a frequency table joined to the
-    features: nothing is ranked or gathered on the driver, and the plan does
-    not depend on the dimension. Seen from the common end, a feature belongs to the prefix
-    once the squared norm up to it reaches t^2: what is left out has norm below t.
-    """
-    t2 = float(threshold) * float(threshold) * (1 - PREFIX_EPS)
-    freq = feats.groupBy("bucket").agg(F.count(F.lit(1)).alias("_freq"))
-    common_first = Window.partitionBy(*keys).orderBy(F.desc("_freq"), F.desc("bucket")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    so_far = F.sum(F.col("c") * F.col("c")).over(common_first)
-    return (feats.join(freq, "bucket").withColumn("_so_far", so_far)
-            .where(F.col("_so_far") >= F.lit(t2) * F.col("sq")).select(*keys, "bucket"))
-
-
 def sparse_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos") -> DataFrame:
     """Exact edges of hashed count vectors (``idx``, ``cnt``, ``sq``), threshold > 0."""
     if not threshold > 0:
         raise ValueError("sparse_pairs needs a positive threshold; use block_pairs for t <= 0")
-    feats = vertices.select(*scope, F.col(pos).alias("v"), "sq", F.inline(F.arrays_zip("idx", "cnt"))).select(
-        *scope, "v", "sq", F.col("idx").alias("bucket"), F.col("cnt").alias("c"))
-    pre = prefix_features(feats, scope + ["v"], threshold)
+    verts = vertices.select(*scope, F.col(pos).alias("v"), "sq", "idx", "cnt")
+    pre = _packed_prefixes(verts, scope, threshold)
     l, r = pre.alias("l"), pre.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in scope] + [
         F.col("l.bucket") == F.col("r.bucket"), F.col("l.v") < F.col("r.v")]
     cand = l.join(r, on).select(*[F.col(f"l.{c}").alias(c) for c in scope],
                                 F.col("l.v").alias("a"), F.col("r.v").alias("b")).distinct()
-    fa = feats.select(*scope, F.col("v").alias("a"), "bucket", F.col("c").alias("ca"), F.col("sq").alias("sa"))
-    fb = feats.select(*scope, F.col("v").alias("b"), "bucket", F.col("c").alias("cb"), F.col("sq").alias("sb"))
-    scored = (cand.join(fa, scope + ["a"]).join(fb, scope + ["b", "bucket"])
-              .groupBy(*scope, "a", "b").agg(
-                  (F.sum(F.col("ca") * F.col("cb")) / F.sqrt((F.first("sa") * F.first("sb")).cast("double"))).alias("sim")))
-    return scored.where(_keep(F.col("sim"), threshold))
+    one = verts.select(*scope, F.col("v").alias("a"), F.col("sq").alias("sa"), F.col("idx").alias("ia"), F.col("cnt").alias("ca"))
+    two = verts.select(*scope, F.col("v").alias("b"), F.col("sq").alias("sb"), F.col("idx").alias("ib"), F.col("cnt").alias("cb"))
+    return _packed_scores(cand.join(one, scope + ["a"]).join(two, scope + ["b"]), scope, threshold)
+
+
+PACKED_ROWS = 2048  # rows unpacked at once
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and the row of each."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), size)
+
+
+def _packed_prefixes(verts: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """Features ``(scope..., v, bucket)`` of each vector's rare-first prefix; only these leave a task.
+
+    Buckets are ordered by (frequency, bucket), one number a bucket (as many as the dimension), known
+    to every task. Seen from the common end, a feature belongs to the prefix
+    once the squared norm up to it reaches t^2: what is left out has norm below t.
+    """
+    t2 = float(threshold) * float(threshold) * (1 - PREFIX_EPS)
+    freq = verts.select(F.explode("idx").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("bucket")
+    buckets = freq["bucket"].to_numpy()
+    place = np.empty(len(buckets), np.int64)  # common first
+    place[np.lexsort((-buckets.astype(np.int64), -freq["n"].to_numpy().astype(np.int64)))] = np.arange(len(buckets))
+    schema = T.StructType([*[verts.schema[c] for c in scope], verts.schema["v"], T.StructField("bucket", T.IntegerType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED_ROWS):
+                part = batch.slice(at, PACKED_ROWS)
+                idx, row = _lists(part.column("idx"))
+                if not len(idx):
+                    continue
+                c = _lists(part.column("cnt"))[0].astype(np.int64)
+                order = np.lexsort((place[np.searchsorted(buckets, idx)], row))
+                row, idx, so_far = row[order], idx[order], np.cumsum((c * c)[order])
+                first = np.searchsorted(row, row)  # where the row's features begin
+                so_far -= np.concatenate([[0], so_far])[first]
+                keep = so_far >= t2 * part.column("sq").to_numpy(zero_copy_only=False)[row]
+                rows = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(rows) for c in [*scope, "v"]], pa.array(idx[keep], pa.int32())],
+                                                 names=[*scope, "v", "bucket"])
+
+    return verts.mapInArrow(run, schema)
+
+
+def _packed_scores(pairs: DataFrame, scope: list[str], threshold: float) -> DataFrame:
+    """``scope..., a, b, sim`` of pairs with both packed vectors; integers, so the sums are exact."""
+    keys = [*scope, "a", "b"]
+    schema = T.StructType([*[pairs.schema[c] for c in keys], T.StructField("sim", T.DoubleType())])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACKED_ROWS):
+                part = batch.slice(at, PACKED_ROWS)
+                (ia, ra), (ib, rb) = _lists(part.column("ia")), _lists(part.column("ib"))
+                if not len(ia) or not len(ib):
+                    continue
+                ca, cb = (_lists(part.column(c))[0].astype(np.int64) for c in ("ca", "cb"))
+                dim = int(max(ia.max(), ib.max())) + 1
+                ka, kb = ra * dim + ia, rb * dim + ib  # ascending: rows in order, buckets ascending in each
+                to = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+                met = kb[to] == ka
+                dot = np.bincount(ra[met], (ca[met] * cb[to[met]]).astype(np.float64), part.num_rows)
+                sq = part.column("sa").to_numpy(zero_copy_only=False) * part.column("sb").to_numpy(zero_copy_only=False)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = dot / np.sqrt(sq.astype(np.float64))
+                rows = np.flatnonzero(sim >= float(threshold))
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(rows)) for c in keys], pa.array(sim[rows])], names=[*keys, "sim"])
+
+    return pairs.select(*keys, "ia", "ca", "sa", "ib", "cb", "sb").mapInArrow(run, schema)
 
 
 # --------------------------------------------------------------------- J2b

@@ -163,3 +163,22 @@ def test_lsh_recall_and_candidates_at_a_low_threshold(spark):
     assert [lsh_tables(t) for t in (1.0, 0.95)] == [1, 1] and lsh_tables(0.5) < lsh_tables(0.3)
     with pytest.raises(ValueError, match="compare all pairs"):
         lsh_tables(0.0)
+
+
+def test_prefix_pairs_carry_packed_vectors_not_features(spark):
+    """One row a vector and a candidate, one a prefix feature: no window, no join of single features."""
+    rows = [(i % 3, i, list(range(i, i + 200)), [1 + (i + k) % 2 for k in range(200)]) for i in range(40)]
+    rows = [(*r, sum(c * c for c in r[3])) for r in rows] + [(0, 99, [], [], 0)]
+    v = spark.createDataFrame(rows, "doc int, pos bigint, idx array<int>, cnt array<bigint>, sq bigint").checkpoint()
+    pairs = sparse_pairs(v, ["doc"], 0.9)
+    assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.doc, r.a, r.b): r.sim for r in pairs.collect()}
+    want = {}
+    for d, a, ia, ca, sa in rows:
+        for e, b, ib, cb, sb in rows:
+            if d == e and a < b:
+                other = dict(zip(ib, cb))
+                sim = sum(c * other.get(i, 0) for i, c in zip(ia, ca)) / (sa * sb) ** 0.5 if sa and sb else 0.0
+                if sim >= 0.9:
+                    want[d, a, b] = sim
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
