@@ -15,9 +15,9 @@ items, in position order, are grouped like this:
 Items appended later never change an earlier leader. ``group_onto`` uses this: new items meet
 the stored leaders, the rest is grouped as above.
 
-Blocks are sized by memory (``hold_rows``) and by the number of task slots, and multiplied in
-tiles, so an item is copied n / hold_rows times at most (and at least as often as it takes to keep
-the slots busy), not once for each tile.
+Blocks are sized by memory (``hold_rows``) and by the number of task slots, kept once in the checkpoint folder and
+met by a cross join of blocks, so no item is copied to a shuffle. Of sparse rows only those are multiplied whose
+norms over groups of buckets leave the threshold within reach (``_Hits``).
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from echoset.operators.grouping import assign_members, greedy_leaders
 from echoset.operators.pairs import LENGTH_ERROR
@@ -37,34 +38,81 @@ TILE = 1024  # rows multiplied at once
 EDGES = 64  # edges an item that are written before a corpus is split
 LEAF_ROWS = {True: 1024, False: 4096}  # by sparse or dense
 HOLD_ROWS = {True: 4096, False: 16384}
+BOUNDS, BOUND_MARGIN = 256, 1e-4  # groups of buckets whose norms bound a similarity from above; room for single precision
+LAID_CELLS = 1 << 24  # cells of a block that may be laid out at once
+AT_ONCE = 4  # right blocks of a task
+PROBED = 8  # blocks from which a few pairs are looked at first
 
 
 class _Rows:
-    """Rows of a block, cut in tiles, ready to be multiplied."""
+    """Rows of a block, cut in tiles, ready to be multiplied.
 
-    def __init__(self, pdf: pd.DataFrame, sparse: bool):
-        pdf = pdf.sort_values("v", kind="stable")
-        self.pos, self.sparse = pdf["v"].to_numpy(), sparse
+    By position, or (``alike``) rows of like bounds side by side in stretches of that many positions.
+    """
+
+    def __init__(self, cols: dict, sparse: bool, alike: int = 0):
+        """``cols``: ``v`` and either ``idx``, ``cnt`` (as values and lengths), ``sq`` or ``vector``."""
+        order = np.argsort(cols["v"], kind="stable")
+        self.sparse, self.used, self.laid = sparse, {}, None
         if sparse:
-            lists = [np.asarray(x, np.int64) for x in pdf["idx"]]
-            self.ends = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-            self.idx = np.concatenate([np.empty(0, np.int64), *lists])
-            self.cnt = np.concatenate([np.empty(0), *[np.asarray(x, np.float64) for x in pdf["cnt"]]])
-            self.sq = pdf["sq"].to_numpy(np.float64)
+            self.idx, size = cols["idx"]
+            self.cnt = cols["cnt"][0].astype(np.float64, copy=False)
+            self.sq = cols["sq"].astype(np.float64, copy=False)
+            self.ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            self.bounds = self._group_norms()
+            if alike:
+                by = np.argsort(-self.bounds[order], axis=1, kind="stable")[:, :2]
+                order = order[np.lexsort((by[:, 1], by[:, 0], np.arange(len(order)) // alike))]
+            starts, size = self.ends[:-1][order], np.diff(self.ends)[order]
+            self.ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            at = np.repeat(starts - self.ends[:-1], size) + np.arange(self.ends[-1])
+            self.idx, self.cnt, self.sq, self.bounds = self.idx[at], self.cnt[at], self.sq[order], self.bounds[order]
         else:
-            if len({len(x) for x in pdf["vector"]}) > 1:
+            vectors = [cols["vector"][i] for i in order]
+            if len({len(x) for x in vectors}) > 1:
                 raise ValueError(LENGTH_ERROR)
-            self.vec = np.array([np.asarray(x, np.float64) for x in pdf["vector"]]).reshape(len(pdf), -1)
+            self.vec = np.array(vectors, np.float64).reshape(len(order), -1)
             self.sq = (self.vec * self.vec).sum(axis=1)
-        self.used: dict[int, np.ndarray] = {}
+        self.pos = cols["v"][order]
+
+    @classmethod
+    def of_frame(cls, pdf: pd.DataFrame, sparse: bool):
+        def flat(lists, kind):
+            return np.concatenate([np.empty(0, kind), *[np.asarray(x, kind) for x in lists]]), [len(x) for x in lists]
+
+        if not sparse:
+            return cls({"v": pdf["v"].to_numpy(), "vector": pdf["vector"].tolist()}, False)
+        return cls({"v": pdf["v"].to_numpy(), "idx": flat(pdf["idx"], np.int64), "cnt": flat(pdf["cnt"], np.float64),
+                    "sq": pdf["sq"].to_numpy(np.float64)}, True)
+
+    @classmethod
+    def of_arrow(cls, rows, sparse: bool, alike: int = 0):
+        """From an Arrow array of structs; lists are read in place."""
+        names = [f.name for f in rows.type]
+        cols = dict(zip(names, rows.flatten()))
+        out = {"v": cols["v"].to_numpy(zero_copy_only=False)}
+        for c in ("idx", "cnt"):
+            if sparse:
+                out[c] = cols[c].flatten().to_numpy(zero_copy_only=False), cols[c].value_lengths().to_numpy(zero_copy_only=False)
+        if sparse:
+            out["sq"] = cols["sq"].to_numpy(zero_copy_only=False)
+        else:
+            out["vector"] = [np.asarray(x, np.float64) for x in cols["vector"].to_numpy(zero_copy_only=False)]
+        return cls(out, sparse, alike)
 
     def __len__(self):
         return len(self.pos)
 
+    def _group_norms(self) -> np.ndarray:
+        """Norms of each unit vector over groups of buckets: their dot product is no less than the similarity."""
+        row = np.repeat(np.arange(len(self.sq)), np.diff(self.ends))
+        out = np.bincount(row * BOUNDS + self.idx % BOUNDS, self.cnt * self.cnt, len(self.sq) * BOUNDS).reshape(-1, BOUNDS)
+        return np.sqrt(out / np.where(self.sq > 0, self.sq, 1)[:, None]).astype(np.float32)
+
     def buckets(self, lo: int, hi: int) -> np.ndarray:
-        if lo not in self.used:
-            self.used[lo] = np.unique(self.idx[self.ends[lo]:self.ends[hi]])
-        return self.used[lo]
+        if (lo, hi) not in self.used:
+            self.used[lo, hi] = np.unique(self.idx[self.ends[lo]:self.ends[hi]])
+        return self.used[lo, hi]
 
     def dense(self, lo: int, hi: int, cols: np.ndarray, kind) -> np.ndarray:
         out = np.zeros((hi - lo, len(cols)), kind)
@@ -76,6 +124,16 @@ class _Rows:
             out[row[ok], at[ok]] = self.cnt[a:b][ok]
         return out
 
+    def tile(self, lo: int, hi: int, cols: np.ndarray, kind) -> np.ndarray:
+        """A tile laid out over ``cols``; kept while the whole block takes few cells."""
+        if len(self) * len(cols) > LAID_CELLS:
+            return self.dense(lo, hi, cols, kind)
+        if self.laid is None or self.laid[0] is not cols or self.laid[1] != kind:
+            self.laid = (cols, kind, {})
+        if (lo, hi) not in self.laid[2]:
+            self.laid[2][lo, hi] = self.dense(lo, hi, cols, kind)
+        return self.laid[2][lo, hi]
+
 
 def _similar(x: _Rows, a: int, b: int, y: _Rows, c: int, d: int) -> np.ndarray:
     """Similarities of rows a to b with rows c to d; zero vectors are like nothing."""
@@ -99,24 +157,62 @@ def _tiles(n: int) -> list[tuple[int, int]]:
     return [(lo, min(n, lo + TILE)) for lo in range(0, n, TILE)]
 
 
+class _Hits:
+    """The pairs of two blocks at the threshold, tile by tile.
+
+    Of sparse rows, those are multiplied whose bounds (see ``_group_norms``) leave the threshold open in
+    some part of the tile; the margin covers the bounds' single precision.
+    """
+
+    def __init__(self, x: _Rows, y: _Rows, threshold: float):
+        self.x, self.y, self.threshold = x, y, threshold
+        if x.sparse:
+            self.cols = np.intersect1d(x.buckets(0, len(x)), y.buckets(0, len(y)), assume_unique=True)
+            self.kind = np.float32 if max(x.sq.max(initial=0), y.sq.max(initial=0)) < 1 << 24 else np.float64
+
+    def of(self, a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns (from ``a`` and ``c``) and similarities."""
+        x, y = self.x, self.y
+        if not x.sparse or not self.threshold > 0:
+            sim = _similar(x, a, b, y, c, d)
+            with np.errstate(invalid="ignore"):
+                i, j = np.nonzero(sim >= self.threshold)  # NaN compares False
+            return i, j, sim[i, j]
+        open_ = x.bounds[a:b] @ y.bounds[c:d].T >= np.float32(self.threshold - BOUND_MARGIN)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        part = max(1, TILE // 4)
+        for p in range(0, b - a, part):
+            for q in range(0, d - c, part):
+                some = open_[p:p + part, q:q + part]
+                if not some.any():
+                    continue
+                i, j = p + np.flatnonzero(some.any(axis=1)), q + np.flatnonzero(some.any(axis=0))
+                dot = x.tile(a, b, self.cols, self.kind)[i] @ y.tile(c, d, self.cols, self.kind)[j].T
+                norm = np.sqrt(np.outer(x.sq[a + i], y.sq[c + j]))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sim = dot.astype(np.float64) / norm
+                    sim[norm == 0] = 0.0
+                    h, k = np.nonzero(sim >= self.threshold)
+                found.append((i[h], j[k], sim[h, k]))
+        return tuple(np.concatenate(f) for f in zip(*found))
+
+
 def _near(x: _Rows, y: _Rows, threshold: float, limit: int):
     """Edges (a < b by position) between two blocks, or of one with itself; None if more than ``limit``."""
     found, total = [], 0
+    hits = _Hits(x, y, threshold)
     for a, b in _tiles(len(x)):
         for c, d in _tiles(len(y)):
             if x is y and c < a:
                 continue
-            sim = _similar(x, a, b, y, c, d)
-            with np.errstate(invalid="ignore"):
-                hit = sim >= threshold  # NaN compares False
+            i, j, sim = hits.of(a, b, c, d)
             if x is y and a == c:
-                hit = np.triu(hit, 1)
-            i, j = np.nonzero(hit)
+                i, j, sim = i[i < j], j[i < j], sim[i < j]
             total += len(i)
             if total > limit:
                 return None
             p, q = x.pos[a + i], y.pos[c + j]
-            found.append((np.minimum(p, q), np.maximum(p, q), sim[i, j]))
+            found.append((np.minimum(p, q), np.maximum(p, q), sim))
     return found
 
 
@@ -124,18 +220,18 @@ def _claimed(new: _Rows, leaders: _Rows, threshold: float):
     """For each new row its least leader, if any: (rows, leaders' positions, similarities)."""
     least = np.full(len(new), -1)
     sims = np.zeros(len(new))
-    for c, d in _tiles(len(leaders)):  # ascending positions: the first hit is the least
+    hits = _Hits(new, leaders, threshold)
+    for c, d in _tiles(len(leaders)):  # every position of a tile before those of the next: the first tile holds the least
         for a, b in _tiles(len(new)):
-            open_ = least[a:b] < 0
-            if not open_.any():
+            if (least[a:b] >= 0).all():
                 continue
-            sim = _similar(new, a, b, leaders, c, d)
-            with np.errstate(invalid="ignore"):
-                hit = sim >= threshold
-            first = hit.argmax(axis=1)
-            take = np.flatnonzero(open_ & hit.any(axis=1))
-            least[a + take] = c + first[take]
-            sims[a + take] = sim[take, first[take]]
+            i, j, sim = hits.of(a, b, c, d)
+            order = np.lexsort((leaders.pos[c + j], i))
+            i, j, sim = i[order], j[order], sim[order]
+            first = np.flatnonzero(np.diff(i, prepend=-1))
+            first = first[least[a + i[first]] < 0]
+            least[a + i[first]] = c + j[first]
+            sims[a + i[first]] = sim[first]
     rows = np.flatnonzero(least >= 0)
     return rows, leaders.pos[least[rows]], sims[rows]
 
@@ -186,7 +282,7 @@ def _picked(x: _Rows, rows: list[int]) -> _Rows:
 
 
 def _payload(df: DataFrame, pos: str, sparse: bool) -> DataFrame:
-    return df.select(F.col(pos).alias("v"), *(("idx", "cnt", "sq") if sparse else ("vector",)))
+    return df.select(F.col(pos).alias("v"), *(("idx", F.col("cnt").cast("array<int>").alias("cnt"), "sq") if sparse else ("vector",)))
 
 
 def _schema(df: DataFrame) -> T.StructType:
@@ -198,30 +294,60 @@ def _frame(a, b, sim) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b, "sim": np.asarray(sim, np.float64)})
 
 
-def _block_of(n_blocks: int):
-    return F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int")
+def _blocks(items: DataFrame, n_blocks: int) -> DataFrame:
+    """``blk, rows``: the items of a block as one array of structs; a block a partition, kept once."""
+    whole = items.where(F.col("v").isNotNull()).groupBy(F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int").alias("blk")).agg(
+        F.collect_list(F.struct(*items.columns)).alias("rows"))
+    return whole.repartitionById(n_blocks, "blk").checkpoint(eager=True)
+
+
+def _met(left: DataFrame, right: DataFrame, wanted, run, schema: T.StructType) -> DataFrame:
+    """``run(rows of p, rows of q, p, q)`` for block pairs p of ``left``, q of ``right``; blocks are read where they were kept,
+    no row is copied to a shuffle."""
+    import pyarrow as pa
+
+    arrow = to_arrow_schema(schema)
+
+    def each(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].values for c in ("left", "right"))
+                out = run(x, y, batch.column("p")[k].as_py(), batch.column("q")[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+
+    l = left.select(F.col("blk").alias("p"), F.col("rows").alias("left"))
+    r = right.select(F.col("blk").alias("q"), F.col("rows").alias("right"))
+    r = r.coalesce(math.ceil(max(1, r.rdd.getNumPartitions()) / AT_ONCE))  # a task reads its left block once for a few others
+    return l.hint("shuffle_replicate_nl").join(r, wanted).mapInArrow(each, schema)
 
 
 def near_edges(items: DataFrame, n: int, threshold: float, sparse: bool, hold_rows: int, stats: dict) -> DataFrame:
-    """Edges ``a, b, sim`` of all pairs of blocks; a row without ends for each block pair that has too many."""
+    """Edges ``a, b, sim`` of all pairs of blocks, checkpointed; a row without ends for each block pair that has too many.
+
+    Of many blocks a few pairs are looked at first: rows without ends there are returned at once.
+    """
     slots = items.sparkSession.sparkContext.defaultParallelism
     g = max(math.ceil(n / hold_rows), min(math.ceil(math.sqrt(6 * slots)), math.ceil(n / TILE)))
     limit = max(64, EDGES * math.ceil(n / g) // g)
     stats["copied_rows"] = stats.get("copied_rows", 0) + n * g
-    laid = items.withColumn("blk", _block_of(g)).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(g - 1)))).select(
-        "*", (F.least("blk", "o") * g + F.greatest("blk", "o")).alias("key"))
+    blocks = _blocks(items, g)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = divmod(int(key[0]), g)
-        x = _Rows(pdf[pdf["blk"] == lo], sparse)
-        y = x if lo == hi else _Rows(pdf[pdf["blk"] == hi], sparse)
+    def run(left, right, p, q):
+        x = _Rows.of_arrow(left, sparse, len(left))
+        y = x if p == q else _Rows.of_arrow(right, sparse, len(right))
         found = _near(x, y, threshold, limit)
         if found is None:
-            return _frame([None], [None], [0.0]).astype({"a": object, "b": object})
-        cols = [np.concatenate(c) for c in zip(*found)] if found else [x.pos[:0], x.pos[:0], np.empty(0)]
-        return _frame(*cols)
+            return [None], [None], [0.0]
+        return [np.concatenate(c) for c in zip(*found)] if found else ([], [], [])
 
-    return laid.groupBy("key").applyInPandas(run, _schema(items))
+    def edges(left, right):
+        return _met(left, right, F.col("p") <= F.col("q"), run, _schema(items)).checkpoint(eager=True)
+
+    if g >= PROBED:
+        first = edges(blocks.where("blk = 0").coalesce(1), blocks.where(F.col("blk").between(1, slots)))
+        if first.where("a IS NULL").take(1):
+            return first
+    return edges(blocks, blocks)
 
 
 def claimed_by(new: DataFrame, n_new: int, leaders: DataFrame, n_leaders: int, threshold: float, sparse: bool, hold_rows: int,
@@ -231,23 +357,19 @@ def claimed_by(new: DataFrame, n_new: int, leaders: DataFrame, n_leaders: int, t
     gl = max(1, math.ceil(n_leaders / hold_rows))
     gn = max(math.ceil(n_new / hold_rows), min(math.ceil(3 * slots / gl), math.ceil(n_new / 256)), 1)
     stats["copied_rows"] = stats.get("copied_rows", 0) + n_new * gl + n_leaders * gn
-    across = lambda df, mine, others, new_side: df.withColumn("blk", _block_of(mine)).withColumn(
-        "o", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select(
-        "*", F.lit(new_side).alias("new"), (F.col("blk") * gl + F.col("o") if new_side else F.col("o") * gl + F.col("blk")).alias("key"))
-    laid = across(new, gn, gl, True).unionByName(across(leaders, gl, gn, False))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = _Rows(pdf[pdf["new"]], sparse), _Rows(pdf[~pdf["new"]], sparse)
+    def run(left, right, _p, _q):
+        x, y = _Rows.of_arrow(left, sparse, len(left)), _Rows.of_arrow(right, sparse, TILE)
         rows, least, sims = _claimed(x, y, threshold)
-        return _frame(least, x.pos[rows], sims)
+        return least, x.pos[rows], sims
 
-    met = laid.groupBy("key").applyInPandas(run, _schema(new))
+    met = _met(_blocks(new, gn), _blocks(leaders, gl), F.lit(True), run, _schema(new))
     return met.groupBy("b").agg(F.min(F.struct("a", "sim")).alias("m")).select("m.a", "b", "m.sim")
 
 
 def _leaf(items: DataFrame, threshold: float, sparse: bool) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(*_led_alone(_Rows(pdf, sparse), threshold))
+        return _frame(*_led_alone(_Rows.of_frame(pdf, sparse), threshold))
 
     return items.groupBy(F.lit(0).alias("key")).applyInPandas(run, _schema(items))  # leaf_rows items at most
 
@@ -262,7 +384,7 @@ def _lead(items: DataFrame, n: int, threshold: float, sparse: bool, leaf_rows: i
         return []
     if n <= leaf_rows:
         return [_leaf(items, threshold, sparse).checkpoint(eager=True)]
-    edges = near_edges(items, n, threshold, sparse, hold_rows, stats).checkpoint(eager=True)
+    edges = near_edges(items, n, threshold, sparse, hold_rows, stats)
     if not edges.where("a IS NULL").take(1):
         stats["edges"] = stats.get("edges", 0) + edges.count()
         return [assign_members(edges, greedy_leaders(edges, [], stats=stats, edges_checkpointed=True), []).select(
@@ -275,9 +397,7 @@ def _lead(items: DataFrame, n: int, threshold: float, sparse: bool, leaf_rows: i
         last = items.agg(F.max("v")).first()[0]
         early, late, n_early = items.where(F.col("v") < last), items.where(F.col("v") == last), n - 1
     parts = _lead(early, n_early, threshold, sparse, leaf_rows, hold_rows, stats)
-    leaders = early
-    for p in parts:
-        leaders = _without(leaders, p)
+    leaders = _without(early, _union(parts, items)) if parts else early
     claimed = claimed_by(late, n - n_early, leaders, leaders.count(), threshold, sparse, hold_rows, stats).checkpoint(eager=True)
     rest = _without(late, claimed)
     return [*parts, claimed, *_lead(rest, rest.count(), threshold, sparse, leaf_rows, hold_rows, stats)]

@@ -83,3 +83,34 @@ def test_appended_items_give_the_groups_of_all(spark, first):
     leaders = old.join(before.select(before.b.alias("pos")), "pos", "left_anti")
     after = group_onto(new, leaders, 0.7, sparse=False, leaf_rows=10)
     assert groups(before.unionByName(after)) == walk(vecs.tolist(), 0.7)
+
+
+def test_block_pairs_copy_no_item_to_a_shuffle(spark, monkeypatch):
+    """Blocks are kept once and met by a cross join: the job that compares them has no exchange."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, sorted(rng.choice(900, 4, replace=False).tolist()), [1, 2, 1, 1], 7) for i in range(300)],
+                               "pos bigint, idx array<int>, cnt array<bigint>, sq bigint").repartition(3)
+    plans = []
+    cut = type(df).checkpoint
+
+    def noted(self, eager=True):
+        if {"a", "b", "sim"} == set(self.columns):
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return cut(self, eager)
+
+    monkeypatch.setattr(type(df), "checkpoint", noted)
+    L.near_edges(L._payload(df, "pos", True), 300, 0.8, True, 30, {}).count()
+    assert plans and not any("Exchange" in p for p in plans)
+
+
+def test_bounds_are_no_less_than_similarities():
+    rng = np.random.default_rng(8)
+    size = rng.integers(0, 30, 200)
+    idx = np.concatenate([np.empty(0, np.int64), *[np.sort(rng.choice(4096, n, replace=False)) for n in size]])
+    cnt = rng.integers(1, 60, len(idx)).astype(float)
+    sq = np.bincount(np.repeat(np.arange(200), size), cnt * cnt, 200)
+    x = L._Rows({"v": rng.permutation(200), "idx": (idx, size), "cnt": (cnt, size), "sq": sq}, True, alike=64)
+    sim = L._similar(x, 0, 200, x, 0, 200)
+    assert (x.bounds @ x.bounds.T + L.BOUND_MARGIN >= sim).all()
+    i, j, s = L._Hits(x, x, 0.2).of(0, 200, 0, 200)
+    assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(sim >= 0.2))) and (s == sim[i, j]).all()
