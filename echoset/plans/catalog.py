@@ -454,12 +454,13 @@ def _scratch(spark, name):
 
 def q_file_elements(spark, sf_dir):
     """Every document written as an XML file of its own, the files read whole and extracted."""
-    from echoset.sources.documents import read_xml_files
+    from echoset.sources.documents import read_xml_files, write_document_files
 
     _prep(spark)
     folder = _scratch(spark, "xml")
-    lines_as_xml(read_table(spark, sf_dir, "documents").select("doc_id", "text")).write.partitionBy("doc_id").text(folder)
-    files = read_xml_files(spark, f"{folder}/*/*.txt").withColumn(
+    if not write_document_files(lines_as_xml(read_table(spark, sf_dir, "documents").select("doc_id", "text")), folder):
+        return extract_elements(spark.createDataFrame([], "doc_id bigint, xml string")).select("doc_id", "semid", "element", "text")
+    files = read_xml_files(spark, f"{folder}/*").withColumn(
         "doc_id", F.regexp_extract("doc_id", r"doc_id=(-?\d+)", 1).cast("bigint"))
     return extract_elements(files).select("doc_id", "semid", "element", "text")
 

@@ -24,12 +24,67 @@ def read_xml_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, ``doc_id`` = file path, ``xml`` = whole content.
 
     ``wholetext`` keeps each file in one row; the file path comes from the
-    hidden ``_metadata`` column, so no driver-side listing is needed.
+    hidden ``_metadata`` column, so no driver-side listing is needed. Spark counts a
+    small file as 4 MB and gives a task 32 of them; tasks of many files take up to 8 such shares.
     """
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("xml"))
-    )
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("xml"))
+    parts, enough = files.rdd.getNumPartitions(), 8 * spark.sparkContext.defaultParallelism
+    return files.coalesce(max(enough, parts // 8)) if parts > enough else files
+
+
+FILE_FOLDERS = 256  # folders that document files are dealt over
+NO_ID = "__HIVE_DEFAULT_PARTITION__"  # the name Spark gives a null
+
+
+def _open_folder(folder: str):
+    """(pyarrow file system, path) of a folder any node can reach."""
+    from pyarrow import fs
+
+    if folder.startswith("file:"):
+        folder = "/" + folder[len("file:"):].lstrip("/")
+    if folder.startswith("/"):
+        return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri(folder)
+
+
+def write_document_files(documents: DataFrame, folder: str) -> int:
+    """S1, the other way: every document (``doc_id, xml``) as a file ``<folder>/<n>/doc_id=<doc_id>.<task>.xml``; returns the files.
+
+    Each task writes its own rows straight into the shared folder, under a name of its own first, so a repeated or
+    parallel attempt replaces a whole file by an equal one. Rows of a task with one id share a file, a line each.
+    """
+    def write(batches):
+        import zlib
+        from itertools import groupby
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        task, own = context.partitionId(), context.taskAttemptId()
+        fs, root = _open_folder(folder)
+        made: set[int] = set()
+        n = 0
+
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c) for c in ("doc_id", "xml")))
+
+        for doc_id, same in groupby(((i.as_py(), x) for i, x in rows()), key=lambda r: r[0]):
+            name = NO_ID if doc_id is None else str(doc_id)
+            place = zlib.crc32(name.encode()) % FILE_FOLDERS
+            if place not in made:
+                fs.create_dir(f"{root}/{place}", recursive=True)
+                made.add(place)
+            with fs.open_output_stream(f"{root}/{place}/_{own}") as f:
+                for _, xml in same:
+                    f.write((xml.as_buffer().to_pybytes() if xml.is_valid else b"") + b"\n")
+            fs.move(f"{root}/{place}/_{own}", f"{root}/{place}/doc_id={name}.{task}.xml")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    files = documents.select("doc_id", "xml").sortWithinPartitions("doc_id").mapInArrow(write, "n bigint")
+    return files.agg(F.sum("n")).first()[0] or 0
 
 
 def lines_as_xml(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id",

@@ -77,3 +77,20 @@ def test_distinct_texts_and_one_word_groups(spark):
                                   "doc_id string, semid int, text string")
     kept = drop_one_word_groups(group_items(items, ["doc_id"], "semid", 0.75), ["doc_id"], "semid")
     assert sorted(r.semid for r in kept.collect()) == [3, 4]
+
+
+def test_document_files_in_few_folders_and_read_back(spark, tmp_path):
+    """A file a document, written by the tasks themselves; few folders to list; rows of a task with one id share a file."""
+    from echoset.operators.extract import extract_elements
+    from echoset.sources.documents import FILE_FOLDERS, lines_as_xml, read_xml_files, write_document_files
+
+    rows = [(i, f"line {i}\nsecond <é>") for i in range(600)] + [(-3, "one"), (-3, "two"), (7000, None)]
+    docs = lines_as_xml(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))
+    folder = str(tmp_path / "files")
+    assert write_document_files(docs, folder) == 602
+    paths = [p for p in (tmp_path / "files").rglob("*") if p.is_file()]
+    assert len(paths) == 602 and len({p.parent for p in paths}) <= FILE_FOLDERS
+    files = read_xml_files(spark, f"{folder}/*")
+    assert files.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    got = sorted((int(r.doc_id.split("doc_id=")[1].split(".")[0]), r.semid, r.text) for r in extract_elements(files).collect())
+    assert got == sorted((i, k + 1, t) for i in range(600) for k, t in enumerate((f"line {i}", "second <é>")))
