@@ -126,14 +126,18 @@ def latest_status_stateful(runs: DataFrame, ttl_minutes: int = RUN_TTL_MINUTES)
             .applyInPandasWithState(step, out_schema, state_schema, "update", GroupStateTimeout.ProcessingTimeTimeout))
 
 
+RUN_BUCKETS = 2048  # lists that the runs alive are dealt over
+
+
 def status_by_creation(events: DataFrame, ttl_minutes: int = RUN_TTL_MINUTES, late: str = "3 hours") -> DataFrame:
     """O5 by creation time: each run's status while it lives, from a stream of status events.
 
     ``events``: ``doc_id, status, n_groups, created_at, at`` (``at``: the time of the event; a run's first is
     ``PROCESSING``). Time is the watermark, ``late`` behind the newest event, not the clock: the status with the newest ``at`` counts, a run
     expires once the watermark is past ``created_at`` + ``ttl_minutes`` (strictly), and news for a run that has
-    expired change nothing. Events further back than ``late`` may be dropped, as with any watermark. Emits ``doc_id, status, n_groups, created_at, expired`` at each change; a run's state
-    is one small row, dropped when its event-time timer fires.
+    expired change nothing. Events further back than ``late`` may be dropped, as with any watermark. Emits ``doc_id, status, n_groups, created_at, expired`` at each change. The
+    runs alive are kept in ``RUN_BUCKETS`` lists by a hash of the id, so a micro-batch costs a few Python calls and not one a
+    run; a list's event-time timer fires for its first run to expire.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -141,40 +145,51 @@ def status_by_creation(events: DataFrame, ttl_minutes: int = RUN_TTL_MINUTES, la
     id_type = events.schema["doc_id"].dataType.simpleString()
     ttl_ms = int(ttl_minutes) * 60 * 1000
 
-    def out(key, status, n_groups, created, expired):
-        return pd.DataFrame({"doc_id": [key[0]], "status": [status], "n_groups": [n_groups],
-                             "created_at": [pd.Timestamp(created, unit="ms")], "expired": [expired]})
-
-    def step(key, batches, state):
-        held = state.get if state.exists else None
-        if state.hasTimedOut:
+    def step(_key, batches, state):
+        names = ("ids", "status", "n_groups", "created_ms", "at_ms")
+        runs = {r[0]: r[1:] for r in zip(*state.get)} if state.exists else {}
+        now = state.getCurrentWatermarkMs()
+        news: dict = {}
+        for pdf in batches:
+            for doc_id, *row in zip(pdf["id"], pdf["at_ms"], pdf["created_ms"], pdf["status"], pdf["n_groups"]):
+                news.setdefault(None if pd.isna(doc_id) else doc_id, []).append((int(row[0]), int(row[1]), row[2], int(row[3])))
+        out = []
+        for doc_id, rows in news.items():
+            held = runs.get(doc_id)
+            at, created, status, n = max(rows)
+            created = min(r[1] for r in rows) if held is None else held[2]
+            if created + ttl_ms < now:  # it has expired: the news came too late
+                if held is not None:
+                    status, n = held[0], held[1]
+                    del runs[doc_id]
+                out.append((doc_id, status, n, created, True))
+                continue
+            if held is not None and held[3] > at:
+                status, n, at = held[0], held[1], held[3]
+            runs[doc_id] = (status, n, created, at)
+            out.append((doc_id, status, n, created, False))
+        for doc_id in [d for d, r in runs.items() if r[2] + ttl_ms < now]:
+            status, n, created, _at = runs.pop(doc_id)
+            out.append((doc_id, status, n, created, True))
+        if runs:
+            state.update(tuple(map(list, zip(*((d, *r) for d, r in runs.items())))))
+            state.setTimeoutTimestamp(min(r[2] for r in runs.values()) + ttl_ms)  # the first to expire
+        elif state.exists:
             state.remove()
-            yield out(key, held[0], held[1], held[2], True)
-            return
-        rows = sorted((int(at), int(created), status, int(n)) for pdf in batches for at, created, status, n in zip(
-            pdf["at_ms"], pdf["created_ms"], pdf["status"], pdf["n_groups"]))
-        if not rows:
-            return
-        at, created, status, n = rows[-1]
-        created = min(r[1] for r in rows) if held is None else held[2]
-        if created + ttl_ms < state.getCurrentWatermarkMs():  # its timer is due: the news came too late
-            if held is not None:
-                status, n = held[0], held[1]
-                state.remove()
-            yield out(key, status, n, created, True)
-            return
-        if held is not None and held[3] > at:
-            status, n, at = held[0], held[1], held[3]
-        state.update((status, n, created, at))
-        state.setTimeoutTimestamp(created + ttl_ms)
-        yield out(key, status, n, created, False)
+        if out:
+            cols = dict(zip(("id", *names[1:4], "expired"), zip(*out)))
+            yield pd.DataFrame({"id": pd.Series(cols["id"], dtype=object), "status": cols["status"], "n_groups": cols["n_groups"],
+                                "created_at": pd.to_datetime(pd.Series(cols["created_ms"]), unit="ms"), "expired": cols["expired"]})
 
     timed = events.withWatermark("at", late).select(
-        "doc_id", "status", F.col("n_groups").cast("bigint").alias("n_groups"), "at", F.unix_millis("at").alias("at_ms"),
-        F.unix_millis("created_at").alias("created_ms"))
-    return timed.groupBy("doc_id").applyInPandasWithState(
-        step, f"doc_id {id_type}, status string, n_groups bigint, created_at timestamp, expired boolean",
-        "status string, n_groups bigint, created_ms bigint, at_ms bigint", "update", GroupStateTimeout.EventTimeTimeout)
+        F.col("doc_id").cast("string").alias("id"), "status", F.col("n_groups").cast("bigint").alias("n_groups"), "at",
+        F.unix_millis("at").alias("at_ms"), F.unix_millis("created_at").alias("created_ms"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(RUN_BUCKETS)).alias("bucket"))
+    changes = timed.groupBy("bucket").applyInPandasWithState(
+        step, "id string, status string, n_groups bigint, created_at timestamp, expired boolean",
+        "ids array<string>, status array<string>, n_groups array<bigint>, created_ms array<bigint>, at_ms array<bigint>",
+        "update", GroupStateTimeout.EventTimeTimeout)
+    return changes.select(F.col("id").cast(id_type).alias("doc_id"), "status", "n_groups", "created_at", "expired")
 
 
 def start_status_stream(events: DataFrame, out_dir: str, checkpoint: str | None = None, **kw):

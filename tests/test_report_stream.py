@@ -194,3 +194,20 @@ def test_status_follows_creation_time(spark, tmp_path):
     got = {r.doc_id: (r.status, r.n_groups, r.expired) for r in run_states(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got == {"a": ("COMPLETED", 2, True), "b": ("PROCESSING", 0, True), "c": ("COMPLETED", 3, True), "d": ("ERROR", 0, False),
                    "x": ("PROCESSING", 0, False), "y": ("COMPLETED", 1, False)}
+
+
+def test_run_states_are_kept_in_few_lists(spark, tmp_path, monkeypatch):
+    """State and Python calls do not grow with the runs alive: 300 of them in 7 lists."""
+    from echoset.streaming import stream as S
+
+    monkeypatch.setattr(S, "RUN_BUCKETS", 7)
+    src = str(tmp_path / "in")
+    for late, status in enumerate(("PROCESSING", "COMPLETED")):
+        spark.range(300).selectExpr("id AS doc_id", f"'{status}' AS status", "1 AS n_groups", "timestamp_seconds(1700000000 + id) AS created_at",
+                                    f"timestamp_seconds(1700000000 + id + {late}) AS at").coalesce(1).write.mode("append").parquet(src)
+    events = spark.readStream.schema("doc_id bigint, status string, n_groups int, created_at timestamp, at timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    q = S.start_status_stream(events, str(tmp_path / "out"))
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 7
+    got = S.run_states(spark.read.parquet(str(tmp_path / "out")))
+    assert got.schema["doc_id"].dataType.simpleString() == "bigint" and got.where("status = 'COMPLETED' AND NOT expired").count() == 300
