@@ -398,6 +398,35 @@ def lsh_tables(threshold: float, recall: float = 0.95, polytopes: int = POLYTOPE
     return tables
 
 
+def _nearest_corners(vectors: pd.Series, tables: int, seed: int, signs: dict):
+    """``(dim, rows, corners)`` by dimension; corners: rows x tables x polytopes x probes. Zero and non-finite vectors are left out."""
+    size = vectors.map(lambda x: 0 if x is None else len(x)).to_numpy()
+    for dim in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == dim)
+        x = np.stack([np.asarray(v, float) for v in vectors.iloc[rows]])
+        ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        if not ok.any():
+            continue
+        x = x[ok]
+        corners = np.empty((len(x), tables, POLYTOPES, PROBES), np.uint8)
+        for t in range(tables):
+            for k in range(POLYTOPES):
+                if (t, k, dim) not in signs:
+                    signs[t, k, dim] = direction_signs(t, k, int(dim), seed)
+                y = x @ signs[t, k, dim].T
+                near = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :PROBES]
+                corners[:, t, k] = 2 * near + (np.take_along_axis(y, near, 1) > 0)
+        yield int(dim), rows[ok], corners
+
+
+def _table_codes(dim, corners: np.ndarray) -> np.ndarray:
+    """Codes of one table from its corners (rows x polytopes x probes): a combination of corners each. ``dim``: one, or one a row."""
+    codes = np.broadcast_to(np.asarray(dim, np.int64), len(corners))[:, None]
+    for k in range(POLYTOPES):
+        codes = (codes[:, :, None] * 2 * CORNERS + corners[:, k, None, :].astype(np.int64)).reshape(len(corners), PROBES ** (k + 1))
+    return codes
+
+
 def lsh_candidates(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos", vector: str = "vector",
                    tables: int | None = None, seed: int = 7) -> DataFrame:
     """Pairs ``scope..., a, b`` (a < b) that meet in some table, each once."""
@@ -407,27 +436,13 @@ def lsh_candidates(vertices: DataFrame, scope: list[str], threshold: float, pos:
     schema = T.StructType(fields + [T.StructField("tbl", T.IntegerType()), T.StructField("side", T.LongType())])
 
     def sides(it):
-        signs: dict[tuple[int, int, int], np.ndarray] = {}
+        signs: dict = {}
         for pdf in it:
-            size = pdf["vec"].map(lambda x: 0 if x is None else len(x)).to_numpy()
-            for dim in np.unique(size[size > 0]):
-                rows = pdf[size == dim]
-                x = np.stack([np.asarray(v, float) for v in rows["vec"]])
-                ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
-                if not ok.any():
-                    continue
-                keys, x = rows.loc[ok, [*scope, "v"]], x[ok]
+            for dim, ok, near in _nearest_corners(pdf["vec"], tables, seed, signs):
+                keys = pdf.iloc[ok][[*scope, "v"]]
                 for t in range(tables):
-                    codes = np.full((len(x), 1), int(dim))
-                    for k in range(POLYTOPES):
-                        if (t, k, dim) not in signs:
-                            signs[t, k, dim] = direction_signs(t, k, int(dim), seed)
-                        y = x @ signs[t, k, dim].T
-                        near = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :PROBES]
-                        corner = 2 * near + (np.take_along_axis(y, near, 1) > 0)
-                        codes = (codes[:, :, None] * 2 * CORNERS + corner[:, None, :]).reshape(len(x), -1)
-                    n = codes.shape[1]
-                    yield keys.loc[keys.index.repeat(n)].assign(tbl=t, side=codes.ravel())
+                    codes = _table_codes(dim, near[:, t])
+                    yield keys.loc[keys.index.repeat(codes.shape[1])].assign(tbl=t, side=codes.ravel())
 
     met = src.mapInPandas(sides, schema)
     l, r = met.alias("l"), met.alias("r")
@@ -442,14 +457,111 @@ def lsh_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str
 
     A table turns a vector by two random sign matrices; it lies nearest to some corners of
     each cross-polytope and is filed under every pair of its three nearest of either. Vectors
-    filed alike in some table are candidates, each verified by cosine, so the
+    filed alike in some table are candidates, marked and verified block by block (no candidate is
+    shuffled; a vector is copied once for each ``LSH_ROWS`` of its scope), so the
     result is a subset of the exact edges. ``tables`` come from the threshold
     (``lsh_tables``: expected recall 0.95 at the threshold, more above). Zero vectors and vectors with
     NaN have no corner and no edge.
     """
-    cand = lsh_candidates(vertices, scope, threshold, pos, vector, tables, seed)
-    src = vertices.select(*scope, F.col(pos).alias("v"), as_double_vector(F.col(vector)).alias("vec"))
-    left = src.withColumnRenamed("v", "a").withColumnRenamed("vec", "_va")
-    right = src.withColumnRenamed("v", "b").withColumnRenamed("vec", "_vb")
-    out = cand.join(left, scope + ["a"]).join(right, scope + ["b"]).select(*scope, "a", "b", cosine(F.col("_va"), F.col("_vb")).alias("sim"))
-    return out.where(_keep(F.col("sim"), threshold))
+    tables = tables or lsh_tables(threshold)
+    src = vertices.select(*scope, F.col(pos).alias("v"), as_double_vector(F.col(vector)).alias("vec")).dropna(subset=[*scope, "v", "vec"])
+    keys = [src.schema[c] for c in scope]
+    filed = T.StructType([*keys, src.schema["v"], src.schema["vec"], T.StructField("near", T.BinaryType())])
+
+    def corners(it):
+        signs: dict = {}
+        for pdf in it:
+            near = np.full(len(pdf), None, object)
+            for _dim, rows, found in _nearest_corners(pdf["vec"], tables, seed, signs):
+                near[rows] = [c.tobytes() for c in found]
+            yield pdf.assign(near=near)
+
+    v = src.mapInPandas(corners, filed)
+    if scope:
+        v = v.join(src.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")), scope)
+    else:
+        v = v.withColumn("_n", F.lit(src.count()))
+    nblk = F.ceil(F.col("_n") / F.lit(LSH_ROWS)).cast("int")
+    v = v.withColumn("blk", F.pmod(F.xxhash64("v"), nblk.cast("bigint")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), nblk - 1)))
+    v = v.withColumn("lo", F.least("blk", "_o")).withColumn("hi", F.greatest("blk", "_o")).drop("_o", "_n")
+    kind = src.schema["v"].dataType
+    schema = T.StructType([*keys, T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
+    tile = LSH_TILE
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _Filed(pdf[pdf["blk"] == pdf["lo"]], tables, tile)
+        y = x if key[-2] == key[-1] else _Filed(pdf[pdf["blk"] == pdf["hi"]], tables, tile)
+        found = [f for p in range(0, len(x.ids), tile) for q in range(p if y is x else 0, len(y.ids), tile)
+                 for f in _verified(x, p, y, q, threshold)]
+        cols = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+        out = pd.DataFrame(dict(zip(("a", "b", "sim"), cols)))
+        for place, c in enumerate(scope):
+            out[c] = key[place]
+        return out[[*scope, "a", "b", "sim"]]
+
+    return v.groupBy(*scope, "lo", "hi").applyInPandas(meet, schema)
+
+
+LSH_ROWS, LSH_TILE = 4096, 1024  # rows of a block, ids of a tile
+
+
+class _Filed:
+    """A block of vectors with their corners, rows of one id side by side."""
+
+    def __init__(self, pdf: pd.DataFrame, tables: int, tile: int):
+        pdf = pdf.sort_values("v", kind="stable")
+        self.pos, self.vec, self.tables, self.tile = pdf["v"].to_numpy(), pdf["vec"].tolist(), tables, tile
+        self.ids, start = np.unique(self.pos, return_index=True)
+        self.ends = np.append(start, len(self.pos))
+        self.dims = np.array([len(x) for x in self.vec])
+        self.near, self.sorted = pdf["near"].tolist(), {}
+
+    def codes(self, p: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By table: the codes of a tile of ids, ascending, and the id of each within the tile."""
+        if p not in self.sorted:
+            at = np.array([r for r in range(self.ends[p], self.ends[min(len(self.ids), p + self.tile)]) if self.near[r] is not None], np.int64)
+            own = np.searchsorted(self.ends, at, "right") - 1 - p
+            near = np.frombuffer(b"".join(self.near[r] for r in at), np.uint8).reshape(len(at), self.tables, POLYTOPES, PROBES)
+            self.sorted[p] = []
+            for t in range(self.tables):
+                codes = _table_codes(self.dims[at], near[:, t])
+                order = np.argsort(codes, axis=None, kind="stable")
+                self.sorted[p].append((codes.ravel()[order], np.repeat(own, codes.shape[1])[order]))
+        return self.sorted[p]
+
+
+def _verified(x: _Filed, p: int, y: _Filed, q: int, threshold: float):
+    """``(a, b, sim)`` of two tiles: ids that meet in some table are marked, their vectors compared."""
+    tile = x.tile
+    n, m = min(tile, len(x.ids) - p), min(tile, len(y.ids) - q)
+    marked = np.zeros((n, m), bool)
+    for (cx, ix), (cy, iy) in zip(x.codes(p), y.codes(q)):
+        lo, hi = np.searchsorted(cy, cx), np.searchsorted(cy, cx, "right")
+        size = hi - lo
+        left = np.repeat(np.arange(len(cx)), size)
+        right = np.arange(len(left)) + np.repeat(lo - (np.cumsum(size) - size), size)
+        marked[ix[left], iy[right]] = True
+    if x is y and p == q:
+        marked = np.triu(marked, 1)
+    for a in range(x.ends[p], x.ends[p + n], tile):
+        rows = np.arange(a, min(a + tile, x.ends[p + n]))
+        for c in range(y.ends[q], y.ends[q + m], tile):
+            cols = np.arange(c, min(c + tile, y.ends[q + m]))
+            some = marked[np.ix_(np.searchsorted(x.ends, rows, "right") - 1 - p, np.searchsorted(y.ends, cols, "right") - 1 - q)]
+            for d in np.unique(x.dims[rows]):
+                mine = x.dims[rows] == d
+                alike = y.dims[cols] == d
+                if some[np.ix_(mine, ~alike)].any():
+                    raise ValueError(LENGTH_ERROR)
+                r, k = rows[mine], cols[alike]
+                if not len(k) or not d:
+                    continue
+                A, B = (np.stack([np.asarray(side.vec[i], float) for i in which]) for side, which in ((x, r), (y, k)))
+                qa, qb = np.sqrt((A * A).sum(axis=1)), np.sqrt((B * B).sum(axis=1))
+                with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+                    sim = (A @ B.T) / np.outer(qa, qb)
+                    sim[(qa == 0)[:, None] | (qb == 0)[None, :]] = 0.0
+                    i, j = np.nonzero((sim >= threshold) & some[np.ix_(mine, alike)])
+                one, two = x.pos[r[i]], y.pos[k[j]]
+                first = one < two
+                yield np.where(first, one, two), np.where(first, two, one), sim[i, j]

@@ -182,3 +182,24 @@ def test_prefix_pairs_carry_packed_vectors_not_features(spark):
                 if sim >= 0.9:
                     want[d, a, b] = sim
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_lsh_pairs_are_the_verified_candidates(spark, monkeypatch):
+    """However blocks and tiles are cut, with ids and labels that repeat or are null."""
+    from echoset.operators import pairs as P
+
+    monkeypatch.setattr(P, "LSH_ROWS", 30)
+    monkeypatch.setattr(P, "LSH_TILE", 8)
+    rng = np.random.default_rng(12)
+    vecs = {i: rng.normal(size=16) + (i % 5) for i in range(140)}
+    rows = [(i % 2, i, v.tolist()) for i, v in vecs.items()]
+    rows += [*rows[:9], (None, 3, [1.0] * 16), (0, None, [1.0] * 16), (0, 900, None), (0, 901, [float("nan")] * 16), (1, 902, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "g int, pos int, vector array<double>")
+    got = lsh_pairs(df, ["g"], 0.6)
+    met = lsh_candidates(df, ["g"], 0.6).where("g IS NOT NULL").collect()
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    want = Counter()
+    for m in met:
+        if cos(vecs[m.a], vecs[m.b]) >= 0.6:
+            want[m.g, m.a, m.b] = (2 if m.a < 9 else 1) * (2 if m.b < 9 else 1)
+    assert want and Counter((r.g, r.a, r.b) for r in got.collect()) == want
