@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values that must equal the reference's behaviour:
 #   whitespace collapsed by normalize-space: space, tab, carriage return, line feed
 #   preview length for log-style truncation: 20 characters, suffix "..."
-XML_SPACE_CLASS = "[ \\t\\r\\n]+"
+XML_SPACE_RUNS = "[\\t\\r\\n][ \\t\\r\\n]*| [ \\t\\r\\n]+"  # a lone space stays as it is
+NOT_XML_SPACE = "[^ \\t\\r\\n]"
 PREVIEW_CHARS = 20
 PREVIEW_SUFFIX = "..."
 
@@ -22,7 +23,12 @@ def normalize_space(c: Column | str) -> Column:
 
     NBSP and other Unicode spaces are kept, like XPath.
     """
-    return F.trim(F.regexp_replace(_col(c), XML_SPACE_CLASS, " "))
+    return F.trim(F.regexp_replace(_col(c), XML_SPACE_RUNS, " "))
+
+
+def has_text(c: Column | str) -> Column:
+    """Whether anything is left by :func:`normalize_space`; stops at the first other character."""
+    return F.rlike(_col(c), F.lit(NOT_XML_SPACE))
 
 
 def xml_escape(c: Column | str) -> Column:

@@ -2,13 +2,13 @@
 
 Encoders
 --------
-``hashing``      built-in, deterministic, pure Spark expressions: every word of
+``hashing``      built-in, deterministic: every word of
                  the normalised text (lower-cased) goes to bucket
                  ``int(md5(word)[:8], 16) mod dim``. The whole text is used.
                  The result is sparse: ``idx array<int>`` (ascending), ``cnt
                  array<bigint>`` and the squared norm ``sq``, all integers.
-                 Computed row by row with higher-order functions in linear
-                 time (sort, then run boundaries), so it needs no shuffle.
+                 Counted where the rows lie by an Arrow UDF (sort, then run
+                 boundaries), so it needs no shuffle.
 ``precomputed``  vectors already in a table (``array<float|double>``).
 ``model``        a user-supplied ONNX model directory (optional plug-in):
                  token ids are built with Spark expressions (T2-T5), the model
@@ -18,15 +18,17 @@ Encoders
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echoset.functions.text import words as text_words
-
 DEFAULT_DIM = 4096
 
 # Fixed values of the reference's token framing (T2-T4):
@@ -37,39 +39,52 @@ MAX_SEQ_LENGTH = 512
 MAX_WORDS = MAX_SEQ_LENGTH - 2
 
 
-def word_bucket(w: Column, dim: int) -> Column:
-    """Bucket of one word: first 8 hex digits of md5(lower(word)) mod dim."""
-    h = F.conv(F.substring(F.md5(F.lower(w)), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(h, F.lit(dim)).cast("int")
-
+HASHED_BYTES = 1_000_000  # text split into words at once
+
+
+def _hashed(texts: pa.Array, dim: int) -> pa.StructArray:
+    """Buckets, counts and squared norm of some lower-cased texts; a word is hashed once, however often it occurs."""
+    words = pc.ascii_split_whitespace(texts)
+    row = np.repeat(np.arange(len(texts)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    coded = words.flatten().dictionary_encode()
+    spelled = coded.dictionary.cast(pa.binary()).to_pylist()
+    digests = np.frombuffer(b"".join([hashlib.md5(w).digest() for w in spelled]), ">u4")
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    b = (digests[::4].astype(np.int64) % dim)[at]
+    word = np.array([w != b"" for w in spelled], bool)[at]  # not the empty piece before leading or after trailing space
+    key = np.sort(row[word] * dim + b[word])
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    cnt = np.diff(first, append=len(key))
+    row, idx = np.divmod(key[first], dim)
+    ends = np.searchsorted(row, np.arange(len(texts) + 1))
+    so_far = np.concatenate([[0], np.cumsum(cnt * cnt)])
+    offsets = pa.array(ends, pa.int32())
+    return pa.StructArray.from_arrays([
+        pa.ListArray.from_arrays(offsets, pa.array(idx, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(cnt, pa.int64())),
+        pa.array(so_far[ends[1:]] - so_far[ends[:-1]], pa.int64())], names=["idx", "cnt", "sq"])
+
+
+def hashed_words(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """``idx``, ``cnt`` and ``sq`` of each text: word to bucket by the first 8 hex digits of md5(lower(word)) mod dim.
+
+    Lower case is the JVM's, words and their numbers are counted in Arrow batches,
+    about a million bytes of text at once.
+    """
+    def run(texts: pa.Array) -> pa.Array:
+        stretch = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // HASHED_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(stretch)) + 1), len(texts)]
+        return pa.concat_arrays([_hashed(texts.slice(at, end - at), dim) for at, end in zip(cuts, cuts[1:])])
 
-def sorted_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Bucket of every word, ascending (repeats kept)."""
-    return F.sort_array(F.transform(text_words(text), lambda w: word_bucket(w, dim)))  # natively; array_sort interprets a comparator
+    return F.arrow_udf(run, "struct<idx:array<int>,cnt:array<bigint>,sq:bigint>")(F.lower(text))
 
 
 def with_hashing_counts(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:
     """Adds ``idx`` (buckets, ascending), ``cnt`` (words in each) and ``sq`` (sum of squared counts).
 
     Integers, so similarities computed from them do not depend on strategy or
-    summation order (T1, T10: each row is embedded where it is). Staged
-    projections: every intermediate array is read more than once by the next
-    step, so the optimizer keeps it as a computed column instead of inlining
-    (and re-evaluating) its expression at each use.
+    summation order (T1, T10: each row is embedded where it is).
     """
-    b = F.col("_b")
-    n = F.size(b)
-    staged = df.withColumn("_b", sorted_buckets(F.col(text_col), dim))
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    staged = staged.withColumn("_n", n).withColumn("_starts", F.filter(
-        places, lambda i: (i == 1) | (F.get(b, i - 1) != F.get(b, i - 2))))
-    staged = staged.select(*df.columns, "_n", F.transform("_starts", lambda i: F.get(b, i - 1)).alias("idx"), "_starts")
-    starts = F.col("_starts")
-    nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.col("_n") + 1))
-    staged = staged.select(*df.columns, "idx", F.zip_with(
-        F.slice(nexts, 1, F.size(starts)), starts, lambda x, y: (x - y).cast("bigint")).alias("cnt"))
-    sq = F.aggregate("cnt", F.lit(0).cast("bigint"), lambda acc, c: acc + c * c)
-    return staged.select(*df.columns, "idx", "cnt", sq.alias("sq"))
+    return df.withColumn("_h", hashed_words(F.col(text_col), dim)).select(*df.columns, "_h.idx", "_h.cnt", "_h.sq")
 
 
 def with_hashing_vectors(df: DataFrame, text_col: str = "text", dim: int = DEFAULT_DIM) -> DataFrame:

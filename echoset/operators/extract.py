@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from echoset.functions.text import normalize_space
+from echoset.functions.text import has_text, normalize_space
 from echoset.sources.documents import DEFAULT_ELEMENTS
 
 SEMID_ATTRIBUTE = "cms:semid"  # fixed value: attribute name written by the reference
@@ -185,9 +185,9 @@ def extract_elements(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, with_met
     parsed = parse_documents(docs, elements, with_meta)
     extra = ["attributes", "xpath", "content"] if with_meta else []
     return (
-        parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
+        # asked of the raw text: a filter on the normalised one would be pushed down and normalise twice
+        parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull() & has_text("raw_text"))
         .select("doc_id", "semid", "element", normalize_space("raw_text").alias("text"), *extra)
-        .where(F.col("text") != "")
     )
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoset.functions.text import normalize_space
+from echoset.functions.text import has_text, normalize_space
 from echoset.operators.extract import parse_documents
 from echoset.plans.passages import group_items, vector_length_errors
 from echoset.sources.documents import DEFAULT_ELEMENTS, DEFAULT_THRESHOLD
@@ -78,7 +78,7 @@ def outcome_message(status: Column, n_groups: Column) -> Column:
 def _count_outcomes(parsed: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """Status, message and counts per ``key`` from one parse and its groups."""
     per_doc = parsed.groupBy(key).agg(
-        F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("n_texts"),
+        F.count(F.when(F.col("parse_error").isNull() & has_text("raw_text"), 1)).alias("n_texts"),
         F.max("parse_error").alias("parse_error"))
     grouped = members.groupBy(key).agg(
         F.count(F.when(F.col("is_leader"), 1)).alias("n_groups"), F.count(F.lit(1)).alias("grouped_texts"))
@@ -95,9 +95,8 @@ def _count_outcomes(parsed: DataFrame, members: DataFrame, key: str) -> DataFram
 
 
 def _texts(parsed: DataFrame) -> DataFrame:
-    return (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull())
-            .select("doc_id", "semid", normalize_space("raw_text").alias("text"))
-            .where(F.col("text") != ""))
+    return (parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull() & has_text("raw_text"))
+            .select("doc_id", "semid", normalize_space("raw_text").alias("text")))
 
 
 def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, threshold: float = DEFAULT_THRESHOLD,
@@ -116,7 +115,7 @@ def document_outcomes(docs: DataFrame, elements: str = DEFAULT_ELEMENTS, thresho
     if observation is not None:  # one row per document has semid 1, or is a marker / error row
         parsed = parsed.observe(
             observation,
-            F.count(F.when(F.col("parse_error").isNull() & (normalize_space("raw_text") != ""), 1)).alias("texts"),
+            F.count(F.when(F.col("parse_error").isNull() & has_text("raw_text"), 1)).alias("texts"),
             F.count(F.when(F.col("semid").isNull() | (F.col("semid") == 1), 1)).alias("documents"))
     parsed = parsed.checkpoint(eager=True)
     members = group_items(_texts(parsed), ["doc_id"], "semid", threshold, **group_kw).checkpoint(eager=True)  # counted and returned

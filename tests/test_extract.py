@@ -161,3 +161,12 @@ def test_a_batch_of_many_documents_is_handed_on_in_small_parts():
     assert max(len(s["doc_id"]) for s in X.slices([docs])) <= X.SLICE_DOCS
     long = pa.RecordBatch.from_pydict({"doc_id": [1], "xml": ["<d>" + f"<p>{'x' * 100_000}</p>" * 50 + "</d>"]})
     assert max(sum(map(len, p.column("raw_text").to_pylist())) for p in X._extract_batches("p", False, schema)(iter([long]))) <= X.BATCH_CHARS + 100_000
+
+
+def test_texts_are_normalised_once(spark):
+    """Runs and lone white space of each kind; a text's white space is looked for once, not again for the filter."""
+    docs = [(1, "<d><p> a  b&#9;c </p><p>&#13;&#10; </p><p/><p>a b\u00a0 c</p><p>x&#13;y &#10;</p></d>"), (2, "<d><p>  </p></d>")]
+    out = extract_elements(spark.createDataFrame(docs, "doc_id long, xml string"), "p")
+    assert [(r.doc_id, r.semid, r.text) for r in out.orderBy("doc_id", "semid").collect()] == [
+        (1, 1, "a b c"), (1, 4, "a b\u00a0 c"), (1, 5, "x y")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1

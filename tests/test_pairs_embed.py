@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -31,6 +32,24 @@ def test_hashing_matches_python(spark):
         assert np.allclose(r.w, [exp[k] for k in sorted(exp)])
 
 
+def test_words_are_counted_in_arrow_batches(spark, monkeypatch):
+    """Odd texts against a count by hand, over several stretches; no array function that Spark interprets word by word."""
+    odd = [None, "", "  ", " a  b\ta\x0bB\x0cc ", "ΟΔΟΣ ΟΔΟΣ.", "one\n\none\r\ntwo", "a\u00a0b a\u0085b", "\U00010400 x" * 3]
+    many = [f"w{i % 7} w{i} W{i}" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(odd + many)), "pos int, text string")
+    monkeypatch.setattr("echoset.operators.embed.HASHED_BYTES", 100)
+    out = with_hashing_counts(df, "text", 4096)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
+    rows = {r.pos: r for r in out.collect()}
+    assert len(rows) == len(odd + many)
+    for pos, text in enumerate(odd + many):
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
+        exp = Counter(int(hashlib.md5(w.lower().encode()).hexdigest()[:8], 16) % 4096 for w in words)
+        assert rows[pos].text == text and rows[pos].idx == sorted(exp) and rows[pos].cnt == [exp[k] for k in sorted(exp)]
+        assert rows[pos].sq == sum(n * n for n in exp.values())
+
+
 def brute(vecs, scope, t):
     out = set()
     for i in range(len(vecs)):
