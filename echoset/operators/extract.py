@@ -23,8 +23,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,18 +111,23 @@ def _parse_matches(xml: str, names: frozenset[str], with_meta: bool):
     return [out[k] for k in sorted(out)], None
 
 
-SLICE_DOCS = 32  # documents turned into Python objects at once
+SLICE_DOCS, SLICE_BYTES = 32, 4_000_000  # documents, and bytes of them, turned into Python objects at once
 BATCH_ROWS, BATCH_CHARS = 4096, 2_000_000  # rows and characters handed on at once
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """The rows of Arrow batches as lists by column, a few documents at a time.
 
-    A batch holds up to ``maxRecordsPerBatch`` whole documents; only a slice of it becomes objects.
+    A batch holds up to ``maxRecordsPerBatch`` whole documents; only a slice of it becomes objects:
+    ``SLICE_DOCS`` documents, fewer if they are long (a longer one than ``SLICE_BYTES`` may end a slice).
     """
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_DOCS):
-            yield batch.slice(at, SLICE_DOCS).to_pydict()
+        size = pc.binary_length(batch.column("xml")).fill_null(0).to_numpy(zero_copy_only=False)
+        cut = np.diff(np.cumsum(size, dtype=np.int64) // SLICE_BYTES) > 0
+        cut |= np.arange(1, len(size)) % SLICE_DOCS == 0
+        ends = [0, *(np.flatnonzero(cut) + 1).tolist(), len(size)]
+        for at, end in zip(ends, ends[1:]):
+            yield batch.slice(at, end - at).to_pydict()
 
 
 def _extract_batches(names_default: str, with_meta: bool, schema: pa.Schema):
@@ -143,11 +150,13 @@ def _extract_batches(names_default: str, with_meta: bool, schema: pa.Schema):
                 else:
                     matches, err = _parse_matches(xml, names, with_meta)
                 if err is not None or not matches:  # marker row: the document exists but nothing matched (X7)
-                    rows.append((doc_id, None, None, None, err, None, None, None)[:len(schema)])
+                    matches = [(None,) * 6]
                 for sid, name, text, attrs, xp, full in matches:
-                    meta = (list(attrs.items()), xp, full) if with_meta else ()
-                    rows.append((doc_id, sid, name, text, None, *meta))
-                    chars += len(text)
+                    meta = (None if attrs is None else list(attrs.items()), xp, full) if with_meta else ()
+                    rows.append((doc_id, sid, name, text, err, *meta))
+                    chars += len(text or "") + len(err or "")
+                    if with_meta:
+                        chars += len(xp or "") + len(full or "") + sum(map(len, (attrs or {}).values()))
                     if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
                         yield handed(rows)
                         rows, chars = [], 0

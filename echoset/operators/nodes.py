@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from echoset.functions.text import normalize_space
-from echoset.operators.extract import slices
+from echoset.operators.extract import BATCH_CHARS, slices
 
 STRETCH = 256  # node numbers in a stretch
 BATCH_NODES = 4096  # rows handed on at once
@@ -66,36 +66,40 @@ def _nodes_of(xml: str):
     return out, None
 
 
-def node_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, kind, start, end, level, name, path, attributes, text`` of all documents (``doc_id``, ``xml``).
-
-    ``kind`` is ``element``, ``text`` or, for a document that cannot be read (one row, the cause in
-    ``text``), ``error``. ``level`` is 1 for the root. Comments and processing instructions are no nodes.
-    """
-    id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    schema = T.StructType([id_field, *T.StructType.fromDDL(
-        "kind string, start long, end long, level int, name string, path string, attributes map<string,string>, text string").fields])
-    arrow = to_arrow_schema(schema)
-
+def _node_batches(schema: pa.Schema):
     def handed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        chars = 0
         for part in slices(batches):
             for doc_id, xml in zip(part["doc_id"], part["xml"]):
                 nodes, error = ([], "XML content not provided") if xml is None else _nodes_of(xml)
-                for *n, attributes, text in nodes:
-                    rows.append((doc_id, *n, attributes if attributes is None else list(attributes.items()), text))
-                    if len(rows) >= BATCH_NODES:
-                        yield handed(rows)
-                        rows = []
                 if error is not None:
-                    rows.append((doc_id, "error", None, None, None, None, None, None, error))
+                    nodes = [("error", None, None, None, None, None, None, error)]
+                for *n, path, attributes, text in nodes:
+                    rows.append((doc_id, *n, path, attributes if attributes is None else list(attributes.items()), text))
+                    chars += len(path or "") + len(text or "") + sum(map(len, (attributes or {}).values()))
+                    if len(rows) >= BATCH_NODES or chars >= BATCH_CHARS:
+                        yield handed(rows)
+                        rows, chars = [], 0
         if rows:
             yield handed(rows)
 
-    return docs.select("doc_id", "xml").mapInArrow(run, schema)
+    return run
+
+
+def node_table(docs: DataFrame) -> DataFrame:
+    """``doc_id, kind, start, end, level, name, path, attributes, text`` of all documents (``doc_id``, ``xml``).
+
+    ``kind`` is ``element``, ``text`` or, for a document that cannot be read (one row, the cause in
+    ``text``), ``error``. ``level`` is 1 for the root. Comments and processing instructions are no nodes.
+    """
+    id_field = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    schema = T.StructType([id_field, *T.StructType.fromDDL(
+        "kind string, start long, end long, level int, name string, path string, attributes map<string,string>, text string").fields])
+    return docs.select("doc_id", "xml").mapInArrow(_node_batches(to_arrow_schema(schema)), schema)
 
 
 def select_elements(nodes: DataFrame, requests: DataFrame) -> DataFrame:

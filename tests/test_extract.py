@@ -170,3 +170,55 @@ def test_texts_are_normalised_once(spark):
     assert [(r.doc_id, r.semid, r.text) for r in out.orderBy("doc_id", "semid").collect()] == [
         (1, 1, "a b c"), (1, 4, "a b\u00a0 c"), (1, 5, "x y")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def _metadata_parts(xmls):
+    import pyarrow as pa
+
+    from echoset.operators import extract as X
+
+    schema = pa.schema([("doc_id", pa.int64()), ("semid", pa.int32()), ("element", pa.string()), ("raw_text", pa.string()),
+                        ("parse_error", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("xpath", pa.string()),
+                        ("content", pa.string())])
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(xmls))), "xml": xmls}, pa.schema([("doc_id", pa.int64()), ("xml", pa.string())]))
+    return list(X._extract_batches("p", True, schema)(iter([docs])))
+
+
+def test_documents_without_matches_are_handed_on_in_small_parts():
+    """Marker rows of documents that are malformed, missing or without a match are not kept until a match comes."""
+    from echoset.operators import extract as X
+
+    n = X.BATCH_ROWS + 10
+    parts = _metadata_parts(["<d><p>", None, "<d><q/></d>"] * n)
+    assert max(p.num_rows for p in parts) <= X.BATCH_ROWS
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(3 * n)) and {r["semid"] for r in rows} == {None}
+    assert rows[0]["parse_error"].startswith("malformed XML") and rows[1]["parse_error"] == "XML content not provided"
+    assert rows[2]["parse_error"] is None and rows[2]["attributes"] is None
+
+
+def test_long_markup_counts_like_long_text():
+    """Elements of little text but long markup or attributes: a part holds about BATCH_CHARS of all of it."""
+    from echoset.operators import extract as X
+
+    long = 100_000
+    xml = "<d>" + f"<p>a<b x='{'y' * long}'/></p><p z='{'y' * long}'>b</p>" * 50 + "</d>"
+    parts = _metadata_parts([xml])
+    assert max(sum(map(len, p.column("content").to_pylist())) for p in parts) <= X.BATCH_CHARS + 2 * long
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [r["semid"] for r in rows] == list(range(1, 101)) and {r["raw_text"] for r in rows} == {"a", "b"}
+    assert rows[1]["attributes"] == [("z", "y" * long)] and rows[0]["content"].endswith("/></p>")
+
+
+def test_long_documents_become_objects_few_at_a_time():
+    import pyarrow as pa
+
+    from echoset.operators import extract as X
+
+    sizes = [10, X.SLICE_BYTES + 5, 20, X.SLICE_BYTES // 2, X.SLICE_BYTES // 2, None, 7] + [3] * 100
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(sizes))), "xml": [None if k is None else "x" * k for k in sizes]})
+    parts = list(X.slices([docs.slice(0, 0), docs, docs]))
+    assert [d for p in parts for d in p["doc_id"]] == [*range(len(sizes))] * 2
+    assert max(len(p["doc_id"]) for p in parts) <= X.SLICE_DOCS
+    assert max(sum(len(x or "") for x in p["xml"]) for p in parts) <= 2 * X.SLICE_BYTES
+    assert [None if x is None else len(x) for p in parts for x in p["xml"]] == sizes * 2

@@ -85,3 +85,27 @@ def test_stored_edges_serve_higher_thresholds(spark, tmp_path):
         assert {(r.g, r.leader, r.member) for r in store.groups(t).collect()} == want
     plan = store.edges(0.9)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(sim,0.9)" in plan
+
+
+def test_nodes_are_handed_on_in_small_parts():
+    """Documents that cannot be read, and long texts, attributes and paths, do not pile up."""
+    import pyarrow as pa
+
+    from echoset.operators.extract import BATCH_CHARS
+
+    text = pa.string()
+    schema = pa.schema([("doc_id", pa.int64()), ("kind", text), ("start", pa.int64()), ("end", pa.int64()), ("level", pa.int32()),
+                        ("name", text), ("path", text), ("attributes", pa.map_(text, text)), ("text", text)])
+    long, bad = 100_000, N.BATCH_NODES + 10
+    xmls = ["<d>"] * bad + [None] + ["<d>" + f"<p a='{'y' * long}'>{'x' * long}</p>" * 30 + "</d>"]
+    docs = pa.RecordBatch.from_pydict({"doc_id": list(range(len(xmls))), "xml": xmls}, pa.schema([("doc_id", pa.int64()), ("xml", text)]))
+    parts = list(N._node_batches(schema)(iter([docs])))
+    assert max(p.num_rows for p in parts) <= N.BATCH_NODES
+    rows = [[*p.to_pylist()] for p in parts]
+    chars = [sum(len(r["text"] or "") + sum(len(v) for _, v in r["attributes"] or []) for r in part) for part in rows]
+    assert max(chars) <= BATCH_CHARS + long
+    rows = [r for part in rows for r in part]
+    assert [r["doc_id"] for r in rows if r["kind"] == "error"] == list(range(bad + 1)) and rows[bad]["text"] == "XML content not provided"
+    rows = rows[bad + 1:]
+    assert [r["start"] for r in rows] == list(range(len(rows))) and {r["doc_id"] for r in rows} == {bad + 1}
+    assert sum(r["kind"] == "element" for r in rows) == 31 and "".join(r["text"] or "" for r in rows) == "x" * (30 * long)
