@@ -8,24 +8,26 @@ items, in position order, are grouped like this:
 * more items are compared block by block. Where near pairs are few, they are the
   edges of parallel rounds. The job that looks for them writes no more than ``EDGES`` rows an
   item: a block pair with more gives one row that says so and no edges;
-* then the first half of the items is grouped on its own (recursively), the second half meets the
-  first half's *leaders* only, which gives (leader, member) rows, and what no leader claims is grouped like
-  the whole. A cluster of m near copies costs one leader and m rows, never m**2.
+* then the first items (``leaf_rows``, twice as many each time that is not enough, at most half) are grouped on their own,
+  the others meet those *leaders* only, which gives (leader, member) rows, and what no leader claims is grouped like
+  the whole: the clusters that make many pairs are gone by then. A cluster of m near copies costs one leader and m
+  rows, never m**2.
 
 Items appended later never change an earlier leader. ``group_onto`` uses this: new items meet
 the stored leaders, the rest is grouped as above.
 
-Blocks are sized by memory (``hold_rows``) and by the number of task slots, kept once in the checkpoint folder and
-met by a cross join of blocks, so no item is copied to a shuffle. Of sparse rows only those are multiplied whose
-norms over groups of buckets leave the threshold within reach (``_Hits``).
+Blocks are sized by memory (``hold_rows``) and by the number of task slots, kept once as files in the checkpoint folder
+while they are compared and read there by the tasks that compare them, so no item is copied to a shuffle. Of sparse rows
+only those are multiplied whose norms over groups of buckets leave the threshold within reach (``_Hits``).
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,63 +35,81 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from echoset.operators.grouping import assign_members, greedy_leaders
 from echoset.operators.pairs import LENGTH_ERROR
+from echoset.session import drop_folder, ensure_checkpoint_dir, let_go
 
 TILE = 1024  # rows multiplied at once
 EDGES = 64  # edges an item that are written before a corpus is split
-LEAF_ROWS = {True: 1024, False: 4096}  # by sparse or dense
-HOLD_ROWS = {True: 4096, False: 16384}
+LEAF_ROWS = {True: 16384, False: 4096}  # by sparse or dense
+HOLD_ROWS = {True: 16384, False: 16384}
 BOUNDS, BOUND_MARGIN = 256, 1e-4  # groups of buckets whose norms bound a similarity from above; room for single precision
+STAGES = ((32, 32), (128, 128), (512, 256))  # bounds, each closer: heaviest buckets alone, groups of the others
+PAIRWISE = 24  # cells of a product that cost as much as one pair taken by itself
+WIDTH = 1 << 12  # buckets up to which rows are laid out over all of them
 LAID_CELLS = 1 << 24  # cells of a block that may be laid out at once
 AT_ONCE = 4  # right blocks of a task
+BROADCAST_ROWS = 1 << 19  # positions sent to every executor to leave them out
 PROBED = 8  # blocks from which a few pairs are looked at first
 
 
 class _Rows:
     """Rows of a block, cut in tiles, ready to be multiplied.
 
-    By position, or (``alike``) rows of like bounds side by side in stretches of that many positions.
+    By position, or (``alike``) rows with like numbers of buckets in one stretch of that many, in it those whose
+    heaviest buckets are the same side by side.
     """
 
-    def __init__(self, cols: dict, sparse: bool, alike: int = 0):
-        """``cols``: ``v`` and either ``idx``, ``cnt`` (as values and lengths), ``sq`` or ``vector``."""
-        order = np.argsort(cols["v"], kind="stable")
-        self.sparse, self.used, self.laid = sparse, {}, None
+    def __init__(self, cols: dict, sparse: bool, alike: int = 0, ordered: bool = False):
+        """``cols``: ``v`` and either ``idx``, ``cnt`` (as values and lengths), ``sq`` or ``vector``; ``ordered``: as they lie."""
+        order = np.arange(len(cols["v"])) if ordered else np.argsort(cols["v"], kind="stable")
+        self.sparse, self.used, self.laid, self.staged = sparse, {}, {}, {}
         if sparse:
             self.idx, size = cols["idx"]
-            self.cnt = cols["cnt"][0].astype(np.float64, copy=False)
+            self.cnt = cols["cnt"][0]
             self.sq = cols["sq"].astype(np.float64, copy=False)
             self.ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            self.bounds = self._group_norms()
             if alike:
-                by = np.argsort(-self.bounds[order], axis=1, kind="stable")[:, :2]
-                order = order[np.lexsort((by[:, 1], by[:, 0], np.arange(len(order)) // alike))]
-            starts, size = self.ends[:-1][order], np.diff(self.ends)[order]
-            self.ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-            at = np.repeat(starts - self.ends[:-1], size) + np.arange(self.ends[-1])
-            self.idx, self.cnt, self.sq, self.bounds = self.idx[at], self.cnt[at], self.sq[order], self.bounds[order]
+                order = self._alike(order, alike)
+            if not ordered:
+                self._take(order)
         else:
             vectors = [cols["vector"][i] for i in order]
             if len({len(x) for x in vectors}) > 1:
                 raise ValueError(LENGTH_ERROR)
             self.vec = np.array(vectors, np.float64).reshape(len(order), -1)
             self.sq = (self.vec * self.vec).sum(axis=1)
-        self.pos = cols["v"][order]
-
-    @classmethod
-    def of_frame(cls, pdf: pd.DataFrame, sparse: bool):
-        def flat(lists, kind):
-            return np.concatenate([np.empty(0, kind), *[np.asarray(x, kind) for x in lists]]), [len(x) for x in lists]
-
-        if not sparse:
-            return cls({"v": pdf["v"].to_numpy(), "vector": pdf["vector"].tolist()}, False)
-        return cls({"v": pdf["v"].to_numpy(), "idx": flat(pdf["idx"], np.int64), "cnt": flat(pdf["cnt"], np.float64),
-                    "sq": pdf["sq"].to_numpy(np.float64)}, True)
+        self.order, self.pos = order, cols["v"][order]
+
+    def _alike(self, order: np.ndarray, stretch: int) -> np.ndarray:
+        order = order[np.argsort(np.diff(self.ends)[order], kind="stable")]
+        heavy = self.bound(0, len(self.sq), self.places(*STAGES[0]))[order, :STAGES[0][0]]
+        by = np.argsort(-heavy, axis=1, kind="stable")[:, :2]
+        return order[np.lexsort((by[:, 1], by[:, 0], np.arange(len(order)) // stretch))]
+
+    def _take(self, rows: np.ndarray) -> None:
+        at, row = self._entries(rows)
+        self.idx, self.cnt, self.sq = self.idx[at], self.cnt[at], self.sq[rows]
+        self.ends = np.searchsorted(row, np.arange(len(rows) + 1))
+
+    def part(self, rows: np.ndarray, alike: int = 0):
+        """Some rows as a block of their own, whose bounds have the same places; ``order``: where in ``rows`` each was."""
+        out = object.__new__(_Rows)
+        out.sparse, out.used, out.laid, out.staged = self.sparse, {}, {}, {}
+        if self.sparse:
+            out.idx, out.cnt, out.sq, out.ends, out.heavy = self.idx, self.cnt, self.sq, self.ends, self.heavy
+            out._take(rows)
+            order = out._alike(np.arange(len(rows)), alike) if alike else np.arange(len(rows))
+            if alike:
+                out._take(order)
+        else:
+            order = np.arange(len(rows))
+            out.vec, out.sq = self.vec[rows], self.sq[rows]
+        out.order, out.pos = order, self.pos[rows][order]
+        return out
 
     @classmethod
-    def of_arrow(cls, rows, sparse: bool, alike: int = 0):
-        """From an Arrow array of structs; lists are read in place."""
-        names = [f.name for f in rows.type]
-        cols = dict(zip(names, rows.flatten()))
+    def of_arrow(cls, batch, sparse: bool, alike: int = 0, ordered: bool = False):
+        """From an Arrow record batch; lists are read in place."""
+        cols = dict(zip(batch.schema.names, batch.columns))
         out = {"v": cols["v"].to_numpy(zero_copy_only=False)}
         for c in ("idx", "cnt"):
             if sparse:
@@ -98,41 +118,93 @@ class _Rows:
             out["sq"] = cols["sq"].to_numpy(zero_copy_only=False)
         else:
             out["vector"] = [np.asarray(x, np.float64) for x in cols["vector"].to_numpy(zero_copy_only=False)]
-        return cls(out, sparse, alike)
+        return cls(out, sparse, alike, ordered)
 
     def __len__(self):
         return len(self.pos)
 
-    def _group_norms(self) -> np.ndarray:
-        """Norms of each unit vector over groups of buckets: their dot product is no less than the similarity."""
-        row = np.repeat(np.arange(len(self.sq)), np.diff(self.ends))
-        out = np.bincount(row * BOUNDS + self.idx % BOUNDS, self.cnt * self.cnt, len(self.sq) * BOUNDS).reshape(-1, BOUNDS)
-        return np.sqrt(out / np.where(self.sq > 0, self.sq, 1)[:, None]).astype(np.float32)
+    @property
+    def bounds(self) -> np.ndarray:
+        """Norms over ``BOUNDS`` groups of buckets."""
+        return self.bound(0, len(self.sq), lambda idx: (idx % BOUNDS, BOUNDS))
+
+    @cached_property
+    def heavy(self) -> np.ndarray:
+        """Buckets by their weight in the unit vectors, the heaviest first."""
+        most = max(k for k, _ in STAGES)
+        ids, at = np.unique(self.idx, return_inverse=True) if self.idx.max(initial=0) >= 1 << 20 else (None, self.idx)
+        weight = np.bincount(at, self._squares(0, len(self.sq)))
+        by = np.argsort(-weight, kind="stable")[:most]
+        return by if ids is None else ids[by]
+
+    def places(self, alone: int, groups: int):
+        """A map of buckets to the places of a bound: this block's heaviest have one each, the others share ``groups``."""
+        heavy = self.heavy[:alone]
+        by = np.argsort(heavy)
+        ids = heavy[by]
+
+        def sought(idx):
+            at = np.minimum(np.searchsorted(ids, idx), max(0, len(ids) - 1))
+            return np.where(ids[at] == idx, by[at], alone + idx % groups) if len(ids) else alone + idx % groups
+
+        table = sought(np.arange(WIDTH))
+        return lambda idx: (table[idx] if idx.max(initial=0) < WIDTH else sought(idx), alone + groups)
+
+    def _squares(self, lo: int, hi: int) -> np.ndarray:
+        """Each bucket's share of its row's squared norm."""
+        a, b = self.ends[lo], self.ends[hi]
+        cnt = self.cnt[a:b].astype(np.float64)
+        return cnt * cnt / np.repeat(np.where(self.sq > 0, self.sq, 1)[lo:hi], np.diff(self.ends[lo:hi + 1]))
+
+    def bound(self, lo: int, hi: int, places) -> np.ndarray:
+        """Norms of unit vectors over groups of buckets: their dot product is no less than the similarity."""
+        at, width = places(self.idx[self.ends[lo]:self.ends[hi]])
+        row = np.repeat(np.arange(hi - lo), np.diff(self.ends[lo:hi + 1]))
+        return np.sqrt(np.bincount(row * width + at, self._squares(lo, hi), (hi - lo) * width).reshape(-1, width)).astype(np.float32)
 
     def buckets(self, lo: int, hi: int) -> np.ndarray:
         if (lo, hi) not in self.used:
             self.used[lo, hi] = np.unique(self.idx[self.ends[lo]:self.ends[hi]])
         return self.used[lo, hi]
 
-    def dense(self, lo: int, hi: int, cols: np.ndarray, kind) -> np.ndarray:
-        out = np.zeros((hi - lo, len(cols)), kind)
-        a, b = self.ends[lo], self.ends[hi]
-        row = np.repeat(np.arange(hi - lo), np.diff(self.ends[lo:hi + 1]))
-        at = np.minimum(np.searchsorted(cols, self.idx[a:b]), max(0, len(cols) - 1))
+    def _entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows' buckets lie, and the place in ``rows`` each belongs to."""
+        size = self.ends[rows + 1] - self.ends[rows]
+        row = np.repeat(np.arange(len(rows)), size)
+        return np.arange(len(row)) + np.repeat(self.ends[rows] - (np.cumsum(size) - size), size), row
+
+    def dense(self, rows: np.ndarray, cols: np.ndarray | int, kind) -> np.ndarray:
+        """Rows laid out over some buckets, or over the first so many."""
+        at, row = self._entries(rows)
+        idx, cnt = self.idx[at], self.cnt[at]
+        if isinstance(cols, int):
+            out = np.zeros((len(rows), cols), kind)
+            out[row, idx] = cnt
+            return out
+        out = np.zeros((len(rows), len(cols)), kind)
+        at = np.minimum(np.searchsorted(cols, idx), max(0, len(cols) - 1))
         if len(cols):
-            ok = cols[at] == self.idx[a:b]
-            out[row[ok], at[ok]] = self.cnt[a:b][ok]
+            ok = cols[at] == idx
+            out[row[ok], at[ok]] = cnt[ok]
         return out
 
-    def tile(self, lo: int, hi: int, cols: np.ndarray, kind) -> np.ndarray:
-        """A tile laid out over ``cols``; kept while the whole block takes few cells."""
-        if len(self) * len(cols) > LAID_CELLS:
-            return self.dense(lo, hi, cols, kind)
-        if self.laid is None or self.laid[0] is not cols or self.laid[1] != kind:
-            self.laid = (cols, kind, {})
-        if (lo, hi) not in self.laid[2]:
-            self.laid[2][lo, hi] = self.dense(lo, hi, cols, kind)
-        return self.laid[2][lo, hi]
+    def some(self, lo: int, hi: int, rows: np.ndarray, cols: np.ndarray | int, kind) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a tile (``rows`` counted from ``lo``) laid out, and where in that each row of the tile lies.
+
+        A tile of which most rows are asked for is laid out whole and kept while those kept take few cells.
+        """
+        if 2 * len(rows) < hi - lo:
+            place = np.zeros(hi - lo, np.int64)
+            place[rows] = np.arange(len(rows))
+            return self.dense(lo + rows, cols, kind), place
+        if any(c is not cols for c, _ in self.laid.values()):
+            self.laid.clear()
+        if (lo, hi, kind) not in self.laid:
+            out = self.dense(np.arange(lo, hi), cols, kind)
+            if sum(t.size for _, t in self.laid.values()) + out.size > LAID_CELLS:
+                return out, np.arange(hi - lo)
+            self.laid[lo, hi, kind] = cols, out
+        return self.laid[lo, hi, kind][1], np.arange(hi - lo)
 
 
 def _similar(x: _Rows, a: int, b: int, y: _Rows, c: int, d: int) -> np.ndarray:
@@ -140,7 +212,7 @@ def _similar(x: _Rows, a: int, b: int, y: _Rows, c: int, d: int) -> np.ndarray:
     if x.sparse:  # counts: exact in single precision while sums stay below 2**24
         cols = np.intersect1d(x.buckets(a, b), y.buckets(c, d), assume_unique=True)
         kind = np.float32 if max(x.sq.max(initial=0), y.sq.max(initial=0)) < 1 << 24 else np.float64
-        dot = (x.dense(a, b, cols, kind) @ y.dense(c, d, cols, kind).T).astype(np.float64)
+        dot = (x.dense(np.arange(a, b), cols, kind) @ y.dense(np.arange(c, d), cols, kind).T).astype(np.float64)
         norm = np.sqrt(np.outer(x.sq[a:b], y.sq[c:d]))
     else:
         if x.vec.shape[1] != y.vec.shape[1]:
@@ -160,16 +232,27 @@ def _tiles(n: int) -> list[tuple[int, int]]:
 class _Hits:
     """The pairs of two blocks at the threshold, tile by tile.
 
-    Of sparse rows, those are multiplied whose bounds (see ``_group_norms``) leave the threshold open in
-    some part of the tile; the margin covers the bounds' single precision.
+    Of sparse rows, those are multiplied that the bounds (see ``STAGES``), looked at one after the other, leave open:
+    all such rows and columns of a part of the tile, or pair by pair if they are few. The margin covers the bounds'
+    single precision.
     """
 
     def __init__(self, x: _Rows, y: _Rows, threshold: float):
-        self.x, self.y, self.threshold = x, y, threshold
+        self.x, self.y, self.threshold, self.staged = x, y, threshold, {}
+        self.low = np.float32(threshold - BOUND_MARGIN)
         if x.sparse:
-            self.cols = np.intersect1d(x.buckets(0, len(x)), y.buckets(0, len(y)), assume_unique=True)
+            width = int(max(x.idx.max(initial=0), y.idx.max(initial=0))) + 1
+            self.cols = WIDTH if width <= WIDTH else np.intersect1d(x.buckets(0, len(x)), y.buckets(0, len(y)), assume_unique=True)
             self.kind = np.float32 if max(x.sq.max(initial=0), y.sq.max(initial=0)) < 1 << 24 else np.float64
 
+    def _bound(self, k: int, left: bool, lo: int, hi: int) -> np.ndarray:
+        """Stage ``k`` of a tile, over the left block's places; a block keeps those over its own for other blocks."""
+        rows = self.x if left else self.y
+        kept = rows.staged if rows.heavy is self.x.heavy else self.staged
+        if (k, lo, hi) not in kept:
+            kept[k, lo, hi] = rows.bound(lo, hi, self.x.places(*STAGES[k]))
+        return kept[k, lo, hi]
+
     def of(self, a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, columns (from ``a`` and ``c``) and similarities."""
         x, y = self.x, self.y
@@ -178,31 +261,78 @@ class _Hits:
             with np.errstate(invalid="ignore"):
                 i, j = np.nonzero(sim >= self.threshold)  # NaN compares False
             return i, j, sim[i, j]
-        open_ = x.bounds[a:b] @ y.bounds[c:d].T >= np.float32(self.threshold - BOUND_MARGIN)
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        open_ = self._bound(0, True, a, b) @ self._bound(0, False, c, d).T >= self.low
         part = max(1, TILE // 4)
+        parts = []
         for p in range(0, b - a, part):
             for q in range(0, d - c, part):
-                some = open_[p:p + part, q:q + part]
-                if not some.any():
-                    continue
-                i, j = p + np.flatnonzero(some.any(axis=1)), q + np.flatnonzero(some.any(axis=0))
-                dot = x.tile(a, b, self.cols, self.kind)[i] @ y.tile(c, d, self.cols, self.kind)[j].T
-                norm = np.sqrt(np.outer(x.sq[a + i], y.sq[c + j]))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sim = dot.astype(np.float64) / norm
-                    sim[norm == 0] = 0.0
-                    h, k = np.nonzero(sim >= self.threshold)
-                found.append((i[h], j[k], sim[h, k]))
+                i, j, some = _left_open(p + np.arange(min(part, b - a - p)), q + np.arange(min(part, d - c - q)),
+                                        open_[p:p + part, q:q + part])
+                for k in range(1, len(STAGES)):
+                    if len(i):
+                        i, j, some = _left_open(i, j, _closer(self._bound(k, True, a, b), self._bound(k, False, c, d), i, j, some, self.low))
+                if len(i):
+                    parts.append((i, j, some))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if parts:
+            left, at = x.some(a, b, np.unique(np.concatenate([i for i, _, _ in parts])), self.cols, self.kind)
+            right, to = y.some(c, d, np.unique(np.concatenate([j for _, j, _ in parts])), self.cols, self.kind)
+        for i, j, some in parts:
+            r, s, dot = _products(left, right, at[i], to[j], some)
+            i, j = i[r], j[s]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                norm = np.sqrt(x.sq[a + i] * y.sq[c + j])
+                sim = np.where(norm > 0, dot.astype(np.float64) / norm, 0.0)
+                hit = sim >= self.threshold
+            found.append((i[hit], j[hit], sim[hit]))
         return tuple(np.concatenate(f) for f in zip(*found))
 
 
+def _left_open(i: np.ndarray, j: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ``i`` and columns ``j`` without those that have no open cell in ``some``."""
+    if some.shape[1] % 8:
+        r, s = np.flatnonzero(some.any(axis=1)), np.flatnonzero(some.any(axis=0))
+    else:  # eight cells at once
+        eights = some.view(np.uint64)
+        r, s = np.flatnonzero(np.bitwise_or.reduce(eights, axis=1)), np.flatnonzero(np.bitwise_or.reduce(eights, axis=0).view(bool))
+    if 4 * len(r) > 3 * len(i) and 4 * len(s) > 3 * len(j):  # few to leave out: not worth a copy of the others
+        return i, j, some
+    return i[r], j[s], some[r][:, s]
+
+
+def _at(x: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Rows ``i`` (ascending) of ``x``, not copied if they lie side by side."""
+    return x[i[0]:i[-1] + 1] if i[-1] - i[0] + 1 == len(i) else x[i]
+
+
+def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, some: np.ndarray):
+    """The open cells of ``some`` (rows ``i`` of ``x`` by rows ``j`` of ``y``) and their dot products."""
+    r, s = np.nonzero(some)
+    if len(r) * PAIRWISE > some.size:
+        return r, s, (_at(x, i) @ _at(y, j).T)[r, s]
+    out = np.empty(len(r), x.dtype)
+    step = max(1, (1 << 18) // x.shape[1])
+    for k in range(0, len(r), step):
+        out[k:k + step] = np.einsum("ij,ij->i", x[i[r[k:k + step]]], y[j[s[k:k + step]]])
+    return r, s, out
+
+
+def _closer(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, some: np.ndarray, low) -> np.ndarray:
+    """The cells of ``some`` that a closer bound leaves open."""
+    if np.count_nonzero(some) * PAIRWISE > some.size:
+        return some & (_at(x, i) @ _at(y, j).T >= low)
+    r, s, bound = _products(x, y, i, j, some)
+    out = np.zeros(some.shape, bool)
+    out[r, s] = bound >= low
+    return out
+
+
 def _near(x: _Rows, y: _Rows, threshold: float, limit: int):
     """Edges (a < b by position) between two blocks, or of one with itself; None if more than ``limit``."""
     found, total = [], 0
     hits = _Hits(x, y, threshold)
-    for a, b in _tiles(len(x)):
-        for c, d in _tiles(len(y)):
+    for a, b in reversed(_tiles(len(x))):  # rows of many buckets are most alike: too many edges are soon seen
+        for c, d in reversed(_tiles(len(y))):
             if x is y and c < a:
                 continue
             i, j, sim = hits.of(a, b, c, d)
@@ -221,64 +351,44 @@ def _claimed(new: _Rows, leaders: _Rows, threshold: float):
     least = np.full(len(new), -1)
     sims = np.zeros(len(new))
     hits = _Hits(new, leaders, threshold)
-    for c, d in _tiles(len(leaders)):  # every position of a tile before those of the next: the first tile holds the least
-        for a, b in _tiles(len(new)):
-            if (least[a:b] >= 0).all():
-                continue
+    for a, b in _tiles(len(new)):
+        for c, d in _tiles(len(leaders)):
             i, j, sim = hits.of(a, b, c, d)
             order = np.lexsort((leaders.pos[c + j], i))
             i, j, sim = i[order], j[order], sim[order]
             first = np.flatnonzero(np.diff(i, prepend=-1))
-            first = first[least[a + i[first]] < 0]
-            least[a + i[first]] = c + j[first]
-            sims[a + i[first]] = sim[first]
+            rows, at = a + i[first], c + j[first]
+            less = (least[rows] < 0) | (leaders.pos[at] < leaders.pos[least[rows]])
+            least[rows[less]], sims[rows[less]] = at[less], sim[first[less]]
     rows = np.flatnonzero(least >= 0)
     return rows, leaders.pos[least[rows]], sims[rows]
 
 
 def _led_alone(x: _Rows, threshold: float):
-    """(leader, member, similarity) of a whole scope: tiles in order meet the leaders so far, then themselves."""
-    leaders: list[int] = []
-    out = []
+    """(leader, member, similarity) of a whole scope in order of position: stretches meet the leaders so far, then themselves."""
+    led: list[_Rows] = []  # the leaders of each stretch
+    out = [(x.pos[:0], x.pos[:0], np.empty(0))]
     for a, b in _tiles(len(x)):
-        claimed = np.full(b - a, -1)
-        sims = np.zeros(b - a)
-        for k in range(0, len(leaders), TILE):
-            some = leaders[k:k + TILE]
-            picked = _picked(x, some)
-            sim = _similar(x, a, b, picked, 0, len(some))
-            with np.errstate(invalid="ignore"):
-                hit = sim >= threshold
-            take = np.flatnonzero((claimed < 0) & hit.any(axis=1))
-            first = hit.argmax(axis=1)[take]
-            claimed[take] = np.asarray(some)[first]
-            sims[take] = sim[take, first]
-        sim = _similar(x, a, b, x, a, b)
-        with np.errstate(invalid="ignore"):
-            hit = sim >= threshold
-        for i in range(b - a):
-            if claimed[i] < 0:
-                leaders.append(a + i)
-                own = np.flatnonzero(hit[i, i + 1:] & (claimed[i + 1:] < 0)) + i + 1
-                claimed[own], sims[own] = a + i, sim[i, own]
-                claimed[i] = a + i
-        members = np.flatnonzero(claimed != np.arange(a, b))
-        out.append((x.pos[claimed[members]], x.pos[a + members], sims[members]))
-    return [np.concatenate(c) for c in zip(*out)] if out else [x.pos, x.pos, x.sq]
-
-
-def _picked(x: _Rows, rows: list[int]) -> _Rows:
-    """Some rows of a block as a block of their own."""
-    out = object.__new__(_Rows)
-    out.pos, out.sparse, out.sq, out.used = x.pos[rows], x.sparse, x.sq[rows], {}
-    if x.sparse:
-        spans = [np.arange(x.ends[r], x.ends[r + 1]) for r in rows]
-        at = np.concatenate(spans)
-        out.idx, out.cnt = x.idx[at], x.cnt[at]
-        out.ends = np.concatenate([[0], np.cumsum([len(s) for s in spans], dtype=np.int64)])
-    else:
-        out.vec = x.vec[rows]
-    return out
+        rows, free = x.part(np.arange(a, b)), np.ones(b - a, bool)
+        alike = x.part(np.arange(a, b), TILE)
+        for leaders in led:  # an earlier stretch's leaders come first
+            got, by, sim = _claimed(alike, leaders, threshold)
+            got, by, sim = (c[free[alike.order[got]]] for c in (got, by, sim))
+            out.append((by, alike.pos[got], sim))
+            free[alike.order[got]] = False
+        own = rows.part(np.flatnonzero(free))
+        near, sim = np.zeros((len(own), len(own)), bool), np.zeros((len(own), len(own)))
+        i, j, s = _Hits(own, own, threshold).of(0, len(own), 0, len(own))
+        near[i, j], sim[i, j] = True, s
+        own_free, first = np.ones(len(own), bool), []
+        for k in range(len(own)):  # by position
+            if own_free[k]:
+                first.append(k)
+                member = k + 1 + np.flatnonzero(near[k, k + 1:] & own_free[k + 1:])
+                own_free[member] = False
+                out.append((np.full(len(member), own.pos[k]), own.pos[member], sim[k, member]))
+        led.append(own.part(np.array(first, np.int64), TILE))
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 def _payload(df: DataFrame, pos: str, sparse: bool) -> DataFrame:
@@ -290,35 +400,77 @@ def _schema(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("sim", T.DoubleType())])
 
 
-def _frame(a, b, sim) -> pd.DataFrame:
-    return pd.DataFrame({"a": a, "b": b, "sim": np.asarray(sim, np.float64)})
-
-
-def _blocks(items: DataFrame, n_blocks: int) -> DataFrame:
-    """``blk, rows``: the items of a block as one array of structs; a block a partition, kept once."""
-    whole = items.where(F.col("v").isNotNull()).groupBy(F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int").alias("blk")).agg(
-        F.collect_list(F.struct(*items.columns)).alias("rows"))
-    return whole.repartitionById(n_blocks, "blk").checkpoint(eager=True)
+class _Blocks:
+    """Items dealt over ``n_blocks`` blocks by a hash of the position, each an Arrow file of a folder that every task can reach.
 
+    ``first``: only so many of the blocks.
+    """
 
-def _met(left: DataFrame, right: DataFrame, wanted, run, schema: T.StructType) -> DataFrame:
-    """``run(rows of p, rows of q, p, q)`` for block pairs p of ``left``, q of ``right``; blocks are read where they were kept,
-    no row is copied to a shuffle."""
+    def __init__(self, items: DataFrame, n_blocks: int, sparse: bool, first: int | None = None):
+        spark = items.sparkSession
+        self.folder = folder = f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
+        self.spark = spark
+
+        def keep(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            from echoset.sources.documents import open_folder
+
+            own = TaskContext.get().taskAttemptId()
+            fs, root = open_folder(folder)
+            fs.create_dir(root, recursive=True)
+            batches = [x for x in batches if x.num_rows]
+            rows = pa.Table.from_batches(batches).combine_chunks() if batches else None
+            for blk in sorted(set(rows.column("blk").to_pylist())) if batches else []:
+                some = rows.filter(pa.compute.equal(rows.column("blk"), blk)).drop_columns("blk").combine_chunks().to_batches()[0]
+                some = some.take(pa.array(_Rows.of_arrow(some, sparse, TILE).order))
+                with fs.open_output_stream(f"{root}/_{own}_{blk}") as f:
+                    with pa.ipc.new_file(f, some.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                        out.write_batch(some)
+                fs.move(f"{root}/_{own}_{blk}", f"{root}/{blk}")  # a repeated attempt replaces a whole file by an equal one
+                yield pa.RecordBatch.from_pydict({"blk": pa.array([blk], pa.int32())})
+
+        dealt = items.where(F.col("v").isNotNull()).withColumn("blk", F.pmod(F.xxhash64("v"), F.lit(n_blocks)).cast("int"))
+        n_kept = min(n_blocks, first or n_blocks)
+        made = dealt.where(F.col("blk") < n_kept).repartitionById(n_kept, "blk").mapInArrow(keep, "blk int")
+        self.ids = sorted(r.blk for r in made.collect())  # a number a block
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        drop_folder(self.spark, self.folder)
+
+
+def _met(left: _Blocks, right: _Blocks, pairs: list[tuple[int, list[int]]], run, sparse: bool, schema: T.StructType) -> DataFrame:
+    """``run(rows of p, rows of q)`` for blocks p of ``left`` and the given q of ``right``, a task each p and its q."""
     import pyarrow as pa
 
-    arrow = to_arrow_schema(schema)
+    arrow, folders = to_arrow_schema(schema), (left.folder, right.folder)
 
     def each(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = (batch.column(c)[k].values for c in ("left", "right"))
-                out = run(x, y, batch.column("p")[k].as_py(), batch.column("q")[k].as_py())
+        from echoset.sources.documents import open_folder
+
+        def block(folder, blk):
+            fs, root = open_folder(folder)
+            with fs.open_input_file(f"{root}/{blk}") as f:
+                return _Rows.of_arrow(pa.ipc.open_file(f).get_batch(0), sparse, ordered=True)
+
+        for task in (k for batch in batches for k in batch.column(0).to_pylist()):
+            p, others = pairs[task]
+            x = block(folders[0], p)
+            for q in others:
+                out = run(x, x if folders[0] == folders[1] and p == q else block(folders[1], q))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
-    l = left.select(F.col("blk").alias("p"), F.col("rows").alias("left"))
-    r = right.select(F.col("blk").alias("q"), F.col("rows").alias("right"))
-    r = r.coalesce(math.ceil(max(1, r.rdd.getNumPartitions()) / AT_ONCE))  # a task reads its left block once for a few others
-    return l.hint("shuffle_replicate_nl").join(r, wanted).mapInArrow(each, schema)
+    spark = left.spark
+    return spark.range(0, len(pairs), 1, max(1, len(pairs))).mapInArrow(each, schema)
+
+
+def _dealt(p: int, others: list[int]) -> list[tuple[int, list[int]]]:
+    """A block and a few others a task: it is read once for them."""
+    return [(p, others[k:k + AT_ONCE]) for k in range(0, len(others), AT_ONCE)]
 
 
 def near_edges(items: DataFrame, n: int, threshold: float, sparse: bool, hold_rows: int, stats: dict) -> DataFrame:
@@ -330,55 +482,64 @@ def near_edges(items: DataFrame, n: int, threshold: float, sparse: bool, hold_ro
     g = max(math.ceil(n / hold_rows), min(math.ceil(math.sqrt(6 * slots)), math.ceil(n / TILE)))
     limit = max(64, EDGES * math.ceil(n / g) // g)
     stats["copied_rows"] = stats.get("copied_rows", 0) + n * g
-    blocks = _blocks(items, g)
 
-    def run(left, right, p, q):
-        x = _Rows.of_arrow(left, sparse, len(left))
-        y = x if p == q else _Rows.of_arrow(right, sparse, len(right))
+    def run(x, y):
         found = _near(x, y, threshold, limit)
         if found is None:
             return [None], [None], [0.0]
         return [np.concatenate(c) for c in zip(*found)] if found else ([], [], [])
 
-    def edges(left, right):
-        return _met(left, right, F.col("p") <= F.col("q"), run, _schema(items)).checkpoint(eager=True)
+    def edges(blocks, pairs):
+        return _met(blocks, blocks, pairs, run, sparse, _schema(items)).checkpoint(eager=True)
 
     if g >= PROBED:
-        first = edges(blocks.where("blk = 0").coalesce(1), blocks.where(F.col("blk").between(1, slots)))
+        with _Blocks(items, g, sparse, 1 + slots) as few:
+            first = edges(few, [(few.ids[0], [q]) for q in few.ids[1:]])
         if first.where("a IS NULL").take(1):
             return first
-    return edges(blocks, blocks)
+    with _Blocks(items, g, sparse) as blocks:
+        return edges(blocks, [task for k, p in enumerate(blocks.ids) for task in _dealt(p, blocks.ids[k:])])
 
 
 def claimed_by(new: DataFrame, n_new: int, leaders: DataFrame, n_leaders: int, threshold: float, sparse: bool, hold_rows: int,
                stats: dict) -> DataFrame:
-    """``a, b, sim``: each new item's least leader (``a``) at the threshold, of those that have one."""
+    """``a, b, sim``, checkpointed: each new item's least leader (``a``) at the threshold, of those that have one."""
     slots = new.sparkSession.sparkContext.defaultParallelism
     gl = max(1, math.ceil(n_leaders / hold_rows))
     gn = max(math.ceil(n_new / hold_rows), min(math.ceil(3 * slots / gl), math.ceil(n_new / 256)), 1)
     stats["copied_rows"] = stats.get("copied_rows", 0) + n_new * gl + n_leaders * gn
 
-    def run(left, right, _p, _q):
-        x, y = _Rows.of_arrow(left, sparse, len(left)), _Rows.of_arrow(right, sparse, TILE)
+    def run(x, y):
         rows, least, sims = _claimed(x, y, threshold)
         return least, x.pos[rows], sims
 
-    met = _met(_blocks(new, gn), _blocks(leaders, gl), F.lit(True), run, _schema(new))
-    return met.groupBy("b").agg(F.min(F.struct("a", "sim")).alias("m")).select("m.a", "b", "m.sim")
+    with _Blocks(new, gn, sparse) as some, _Blocks(leaders, gl, sparse) as others:
+        met = _met(some, others, [task for p in some.ids for task in _dealt(p, others.ids)], run, sparse, _schema(new))
+        return met.groupBy("b").agg(F.min(F.struct("a", "sim")).alias("m")).select("m.a", "b", "m.sim").checkpoint(eager=True)
 
 
 def _leaf(items: DataFrame, threshold: float, sparse: bool) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(*_led_alone(_Rows.of_frame(pdf, sparse), threshold))
+    import pyarrow as pa
+
+    schema = _schema(items)
+    arrow = to_arrow_schema(schema)
+
+    def run(rows: pa.Table) -> pa.Table:
+        led = _led_alone(_Rows.of_arrow(rows.combine_chunks().to_batches()[0], sparse), threshold)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(led, arrow)], schema=arrow)
 
-    return items.groupBy(F.lit(0).alias("key")).applyInPandas(run, _schema(items))  # leaf_rows items at most
+    return items.where(F.col("v").isNotNull()).groupBy(F.lit(0).alias("key")).applyInArrow(run, schema)  # leaf_rows items at most
 
 
 def _without(items: DataFrame, members: DataFrame) -> DataFrame:
-    return items.join(members.select(F.col("b").alias("v")), "v", "left_anti").checkpoint(eager=True)
+    gone = members.select(F.col("b").alias("v"))
+    if gone.count() <= BROADCAST_ROWS:  # items are kept, so they are read again and not copied
+        return items.join(F.broadcast(gone), "v", "left_anti")
+    return items.join(gone, "v", "left_anti").checkpoint(eager=True)
 
 
-def _lead(items: DataFrame, n: int, threshold: float, sparse: bool, leaf_rows: int, hold_rows: int, stats: dict) -> list[DataFrame]:
+def _lead(items: DataFrame, n: int, threshold: float, sparse: bool, leaf_rows: int, hold_rows: int, stats: dict,
+          early_rows: int | None = None) -> list[DataFrame]:
     """(leader, member, similarity) rows of ``items``, as checkpointed parts."""
     if n < 2:
         return []
@@ -390,17 +551,21 @@ def _lead(items: DataFrame, n: int, threshold: float, sparse: bool, leaf_rows: i
         return [assign_members(edges, greedy_leaders(edges, [], stats=stats, edges_checkpointed=True), []).select(
             F.col("leader").alias("a"), F.col("member").alias("b"), "sim").checkpoint(eager=True)]
     stats["splits"] = stats.get("splits", 0) + 1
-    middle = items.select(F.col("v").cast("double").alias("v")).approxQuantile("v", [0.5], 0.01)[0]
-    early, late = items.where(F.col("v") <= middle), items.where(F.col("v") > middle)
+    let_go(items.sparkSession)
+    early_rows = early_rows or leaf_rows
+    share = min(0.5, 0.8 * early_rows / n)  # about so many, rather fewer
+    last = items.select(F.col("v").cast("double").alias("v")).approxQuantile("v", [share], 0.1 * share)[0]
+    early, late = items.where(F.col("v") <= last), items.where(F.col("v") > last)
     n_early = early.count()
-    if n_early == n:  # nothing above the middle: part before the last position instead
+    if n_early == n:  # nothing above it: part before the last position instead
         last = items.agg(F.max("v")).first()[0]
         early, late, n_early = items.where(F.col("v") < last), items.where(F.col("v") == last), n - 1
     parts = _lead(early, n_early, threshold, sparse, leaf_rows, hold_rows, stats)
     leaders = _without(early, _union(parts, items)) if parts else early
-    claimed = claimed_by(late, n - n_early, leaders, leaders.count(), threshold, sparse, hold_rows, stats).checkpoint(eager=True)
+    claimed = claimed_by(late, n - n_early, leaders, leaders.count(), threshold, sparse, hold_rows, stats)
+    let_go(items.sparkSession)
     rest = _without(late, claimed)
-    return [*parts, claimed, *_lead(rest, rest.count(), threshold, sparse, leaf_rows, hold_rows, stats)]
+    return [*parts, claimed, *_lead(rest, rest.count(), threshold, sparse, leaf_rows, hold_rows, stats, 2 * early_rows)]
 
 
 def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
@@ -427,15 +592,15 @@ def group_onto(new: DataFrame, leaders: DataFrame, threshold: float, pos: str =
                leaf_rows: int | None = None, hold_rows: int | None = None, stats: dict | None = None) -> DataFrame:
     """(leader, member) rows of items appended to a grouped corpus: only new x leaders and new x new are compared.
 
-    ``leaders``: the earlier items that no other leads, all at positions before the new ones.
+    ``leaders``: the earlier items that no other leads, all at positions before the new ones. Both are read more than once.
     """
     stats = {} if stats is None else stats
     hold = hold_rows or HOLD_ROWS[sparse]
-    items, held = _payload(new, pos, sparse).checkpoint(eager=True), _payload(leaders, pos, sparse)
+    items, held = _payload(new, pos, sparse), _payload(leaders, pos, sparse)
     n, n_held = items.count(), held.count()
     parts = []
     if n and n_held:
-        parts = [claimed_by(items, n, held, n_held, threshold, sparse, hold, stats).checkpoint(eager=True)]
+        parts = [claimed_by(items, n, held, n_held, threshold, sparse, hold, stats)]
         items = _without(items, parts[0])
         n = items.count()
     parts += _lead(items, n, threshold, sparse, leaf_rows or LEAF_ROWS[sparse], hold, stats)

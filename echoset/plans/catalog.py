@@ -143,7 +143,7 @@ def q_embedding_groups_global(spark, sf_dir):
 def document_members(spark, sf_dir):
     _prep(spark)
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return group_items(docs, [], "doc_id", DOC_T)
+    return group_items(docs, [], "doc_id", DOC_T, with_text=False)
 
 
 def q_document_groups_global(spark, sf_dir):

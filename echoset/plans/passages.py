@@ -22,6 +22,7 @@ from echoset.operators.grouping import assign_members, greedy_leaders
 from echoset.operators.leaders import group_corpus
 from echoset.operators.pairs import DEFAULT_BLOCK_ROWS, LENGTH_ERROR, block_pairs
 from echoset.operators.ranks import exact_quantiles, numbered
+from echoset.session import Scratch, let_go
 from echoset.sources.documents import DEFAULT_THRESHOLD
 
 
@@ -89,7 +90,7 @@ def led_and_edges(vertices: DataFrame, scope: list[str], threshold: float, encod
 def group_items(items: DataFrame, scope: list[str], order: str, threshold: float = DEFAULT_THRESHOLD,
                 text: str | None = "text", vector: str | None = None, dim: int = DEFAULT_DIM,
                 block_rows: int = DEFAULT_BLOCK_ROWS, stats: dict | None = None,
-                threshold_col: str | None = None) -> DataFrame:
+                threshold_col: str | None = None, with_text: bool = True) -> DataFrame:
     """G1-G5 end to end. Returns one row per grouped item::
 
         scope..., leader_<order>, <order>, is_leader, similarity[, text]
@@ -97,7 +98,8 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     ``similarity`` is the member's cosine to its leader (R3), null for the
     leader. Groups of one are never reported (G3); empty input gives an empty
     result (G5). With ``threshold_col`` each scope is compared at its own
-    threshold (a per-request parameter).
+    threshold (a per-request parameter). The groups of a corpus (no scope, numeric
+    positions) are computed at once and checkpointed, with their texts unless not ``with_text``.
     """
     if threshold is None:
         threshold = DEFAULT_THRESHOLD  # G2
@@ -113,6 +115,20 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     if encoder == "precomputed":
         # vectors of different lengths fail their scope (ERROR), not the job
         base = base.join(vector_length_errors(base, scope, content), scope, "left_anti") if scope else base
+    if not scope and isinstance(base.schema[order].dataType, T.NumericType):  # a corpus: compared with leaders only
+        with Scratch(items.sparkSession) as scratch:
+            # vertices and items meet by the text's SHA-256: no text is copied for that
+            key = content if encoder == "precomputed" else "_key"
+            keyed = base if key == content else base.withColumn(key, F.unhex(F.sha2(F.col(content), 256)))
+            base = scratch.keep(keyed)
+            verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim)
+            verts = scratch.keep(verts if key == content else verts.withColumn(key, F.unhex(F.sha2(F.col(content), 256))).drop(content))
+            led = group_corpus(verts, threshold, sparse=encoder == "hashing", stats=stats)
+            assign = led.select(F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
+            let_go(items.sparkSession)
+            shown = [content] if vector is None and with_text else []
+            others = [c for c in items.columns if c not in (order, content)]
+            return _member_rows(base, verts, assign, scope, order, out_order, key, threshold, None, False, [*shown, *others]).checkpoint(eager=True)
     # The items feed both the duplicate collapse and the final expansion, the
     # vertices feed pairs, scoring and roles: each is computed once, into the shared
     # checkpoint folder (nothing stays cached for the session; Spark's cleaner drops the files
@@ -122,16 +138,18 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     if threshold_col is not None:
         scope_t = base.groupBy(*scope).agg(F.coalesce(F.min(threshold_col), F.lit(threshold)).cast("double").alias("_t"))
         verts = verts.join(scope_t, scope)
-    if not scope and isinstance(verts.schema["pos"].dataType, T.NumericType):  # a corpus: compared with leaders only
-        led = group_corpus(verts, threshold, sparse=encoder == "hashing", stats=stats)
-        assign = led.select(F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
-    else:
-        found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None)
-        found = found.checkpoint(eager=True)  # read by every round and by the assignment
-        edges = found.where(~F.col("grouped")).drop("grouped")
-        leaders = greedy_leaders(edges, scope, stats=stats, edges_checkpointed=True)
-        led = found.where("grouped").select(*scope, F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
-        assign = led.unionByName(assign_members(edges, leaders, scope))
+    found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None)
+    found = found.checkpoint(eager=True)  # read by every round and by the assignment
+    edges = found.where(~F.col("grouped")).drop("grouped")
+    leaders = greedy_leaders(edges, scope, stats=stats, edges_checkpointed=True)
+    led = found.where("grouped").select(*scope, F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
+    assign = led.unionByName(assign_members(edges, leaders, scope))
+    return _member_rows(base, verts, assign, scope, order, out_order, content, threshold, threshold_col, vector is None, items.columns)
+
+
+def _member_rows(base: DataFrame, verts: DataFrame, assign: DataFrame, scope: list[str], order: str, out_order: str, content: str,
+                 threshold: float, threshold_col: str | None, with_content: bool, columns: list[str]) -> DataFrame:
+    """The items of every vertex that leads, is led, or has copies like itself."""
     roles = (assign.select(*scope, F.col("member").alias("pos"), "leader", "sim")
              .unionByName(assign.select(*scope, F.col("leader").alias("pos"), "leader",
                                         F.lit(None).cast("double").alias("sim")).distinct()))
@@ -143,7 +161,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
              .withColumn("leader", F.coalesce("leader", "pos"))
              .withColumn("_self_ok", self_ok)
              .select(*scope, content, "pos", "leader", "sim", "selfsim", "_self_ok"))
-    keep_cols = [c for c in items.columns if c not in scope and c not in (order, content, threshold_col)]
+    keep_cols = [c for c in columns if c not in scope and c not in (order, content, threshold_col)]
     joined = base.select(*scope, order, content, *keep_cols).join(roles, scope + [content])
     is_leader = (F.col("leader") == F.col("pos")) & (F.col(order) == F.col("pos"))
     copy_of_leader = (F.col("leader") == F.col("pos")) & (F.col(order) != F.col("pos"))
@@ -151,7 +169,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     sim = F.when(is_leader, F.lit(None).cast("double")).when(copy_of_leader, F.col("selfsim")).otherwise(F.col("sim"))
     out_cols = [*scope, F.col("leader").alias(f"leader_{out_order}"), F.col(order).alias(out_order),
                 is_leader.alias("is_leader"), sim.alias("similarity")]
-    if vector is None:
+    if with_content:
         out_cols.append(F.col(content))
     out_cols += [F.col(c) for c in keep_cols]
     return kept.select(*out_cols)

@@ -7,8 +7,10 @@ setting is absent *and* the master is local (tests, bench).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -105,3 +107,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="echoset-ckpt-", dir="/tmp")
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir()
+
+
+class Scratch:
+    """Tables kept in a folder of the checkpoint folder while a job reads them again and again.
+
+    Compressed and read by column, unlike Spark's checkpoints, whose rows are as large as in memory. The folder is
+    dropped at the end of the ``with`` block, so what leaves the block must not read it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df):
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        drop_folder(self.spark, self.folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Spark drops shuffle and checkpoint files when it sees that nothing refers to them: lets it look now, not at some later time."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -36,7 +36,7 @@ FILE_FOLDERS = 256  # folders that document files are dealt over
 NO_ID = "__HIVE_DEFAULT_PARTITION__"  # the name Spark gives a null
 
 
-def _open_folder(folder: str):
+def open_folder(folder: str):
     """(pyarrow file system, path) of a folder any node can reach."""
     from pyarrow import fs
 
@@ -62,7 +62,7 @@ def write_document_files(documents: DataFrame, folder: str) -> int:
 
         context = TaskContext.get()
         task, own = context.partitionId(), context.taskAttemptId()
-        fs, root = _open_folder(folder)
+        fs, root = open_folder(folder)
         made: set[int] = set()
         n = 0
 

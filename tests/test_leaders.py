@@ -114,3 +114,76 @@ def test_bounds_are_no_less_than_similarities():
     assert (x.bounds @ x.bounds.T + L.BOUND_MARGIN >= sim).all()
     i, j, s = L._Hits(x, x, 0.2).of(0, 200, 0, 200)
     assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(sim >= 0.2))) and (s == sim[i, j]).all()
+
+
+def counted(rng, n, buckets, copies):
+    """Rows of counts, every ``copies``-th a near copy of the first, as a block and laid out."""
+    base = np.sort(rng.choice(buckets, 40, replace=False))
+    rows = [(base, rng.integers(5, 8, 40)) if i % copies == 0 else
+            (np.sort(rng.choice(buckets, rng.integers(0, 60), replace=False)), None) for i in range(n)]
+    rows = [(idx, rng.integers(1, 9, len(idx)) if cnt is None else cnt) for idx, cnt in rows]
+    full = np.zeros((n, buckets))
+    for i, (idx, cnt) in enumerate(rows):
+        full[i, idx] = cnt
+    return rows, full
+
+
+def block(rows, pos, alike=0):
+    idx, cnt = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    size = np.array([len(r[0]) for r in rows])
+    sq = np.array([int((r[1] * r[1]).sum()) for r in rows])
+    return L._Rows({"v": pos, "idx": (idx, size), "cnt": (cnt, size), "sq": sq}, True, alike)
+
+
+@pytest.mark.parametrize("tile,pairwise,buckets", [(1024, 24, 300), (64, 1, 300), (40, 10**9, 6000)])
+def test_blocks_in_stages_give_all_pairs_leaders_and_members(monkeypatch, tile, pairwise, buckets):
+    """Negative and descending positions, empty rows, near copies; rows taken in parts and pair by pair."""
+    monkeypatch.setattr(L, "TILE", tile)
+    monkeypatch.setattr(L, "PAIRWISE", pairwise)
+    rng = np.random.default_rng(tile)
+    rows, full = counted(rng, 300, buckets, 7)
+    norm = np.linalg.norm(full, axis=1)
+    sim = full @ full.T / np.where(norm > 0, norm, 1)[:, None] / np.where(norm > 0, norm, 1)
+    pos = np.arange(300) * 3 - 500
+    x, y = block(rows[:150], pos[:150], tile), block(rows[150:], pos[150:], tile)
+    edges = L._near(x, y, 0.9, 10**9)
+    got = {(int(a), int(b)) for p, q, _ in edges for a, b in zip(p, q)}
+    assert got == {(int(pos[i]), int(pos[150 + j])) for i, j in zip(*np.nonzero(sim[:150, 150:] >= 0.9))} and len(got) > 400
+    assert L._near(x, y, 0.9, 3) is None
+    at, least, sims = L._claimed(y, x, 0.9)
+    want = {150 + j: int(np.flatnonzero(sim[:150, 150 + j] >= 0.9)[0]) for j in range(150) if (sim[:150, 150 + j] >= 0.9).any()}
+    assert dict(zip(y.pos[at].tolist(), least.tolist())) == {int(pos[j]): int(pos[i]) for j, i in want.items()}
+    leader, member, sims = L._led_alone(block(rows, pos), 0.9)
+    assert groups_of(leader, member) == [[int(pos[i]) for i in g] for g in walk(full.tolist(), 0.9)]
+
+
+def groups_of(leader, member):
+    out = {}
+    for a, b in zip(leader.tolist(), member.tolist()):
+        out.setdefault(a, [a]).append(b)
+    return sorted(sorted(g) for g in out.values())
+
+
+def test_a_small_first_part_takes_the_cluster_and_nothing_stays(spark):
+    """A cluster through the whole corpus is claimed by the leaders of a small first part: one split, not one for every half.
+
+    No table or block that was kept meanwhile is left in the checkpoint folder, and no text is kept with the result.
+    """
+    import os
+
+    from echoset.plans.passages import group_items
+    from echoset.session import ensure_checkpoint_dir
+
+    rng = np.random.default_rng(11)
+    rows, full = counted(rng, 400, 500, 2)
+    df = spark.createDataFrame([(i, r[0].tolist(), r[1].tolist(), int((r[1] * r[1]).sum())) for i, r in enumerate(rows)],
+                               "pos bigint, idx array<int>, cnt array<bigint>, sq bigint")
+    stats = {}
+    assert groups(group_corpus(df, 0.9, leaf_rows=40, hold_rows=50, stats=stats)) == walk(full.tolist(), 0.9)
+    assert stats["splits"] == 1
+    items = spark.createDataFrame([(1, "a b c"), (2, "A b  c"), (3, "a b c"), (4, "d"), (5, None), (None, "a b c")], "doc_id bigint, text string")
+    m = group_items(items, [], "doc_id", 0.9)
+    assert sorted((r.leader_doc_id, r.doc_id, r.text) for r in m.collect() if r.doc_id) == [(1, 1, "a b c"), (1, 2, "A b  c"), (1, 3, "a b c")]
+    assert group_items(items, [], "doc_id", 0.9, with_text=False).columns == ["leader_doc_id", "doc_id", "is_leader", "similarity"]
+    kept = os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    assert not [f for f in kept if f.startswith(("scratch-", "blocks-"))]
