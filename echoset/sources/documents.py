@@ -23,15 +23,84 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_xml_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, ``doc_id`` = file path, ``xml`` = whole content.
 
-    ``wholetext`` keeps each file in one row; the file path comes from the
-    hidden ``_metadata`` column, so no driver-side listing is needed. Spark counts a
-    small file as 4 MB and gives a task 32 of them; tasks of many files take up to 8 such shares.
+    Where ``path`` names folders, the tasks list and read them: the driver knows the folders only, not their files
+    (Spark's own reader keeps an entry for every file there, and the plan of the scan another). Files named directly, and stores
+    that only Spark reads, go through Spark's reader: ``wholetext`` keeps each file in one row, the path comes from the
+    hidden ``_metadata`` column. Spark counts a small file as 4 MB and gives a task 32 of them; tasks of many files
+    take up to 8 such shares.
     """
+    enough = 8 * spark.sparkContext.defaultParallelism
+    folders = _folders(spark, path)
+    if folders:
+        n = min(len(folders), enough)
+        return spark.range(0, n, 1, n).mapInArrow(_folder_reader(folders, n), "doc_id string, xml string")
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("xml"))
-    parts, enough = files.rdd.getNumPartitions(), 8 * spark.sparkContext.defaultParallelism
+    parts = files.rdd.getNumPartitions()
     return files.coalesce(max(enough, parts // 8)) if parts > enough else files
 
 
+def _folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """The folders that ``path`` names, as (path, path as Spark spells it); none if it names anything else or tasks can't open them."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    found = list(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [])
+    if not all(f.isDirectory() for f in found):
+        return []
+    out = [(f.getPath().toString(), jvm.org.apache.spark.paths.SparkPath.fromFileStatus(f).urlEncoded()) for f in found]
+    try:
+        for folder, _ in out[:1]:
+            open_folder(folder)
+    except (OSError, ValueError, NotImplementedError):
+        return []
+    return out
+
+
+READ_FILES, READ_BYTES = 1024, 4_000_000  # files, and bytes of them, handed on at once
+
+
+def _folder_reader(folders: list[tuple[str, str]], n: int):
+    """Reads every ``n``-th folder's files; what Spark's reader leaves out (hidden and empty files, folders but ``key=value``) is left out."""
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+        from pyarrow.fs import FileSelector, FileType
+
+        names, texts, size = [], [], 0
+
+        def handed():
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary()).cast(pa.string(), safe=False)],
+                                              names=["doc_id", "xml"])
+
+        def files(fs, root, spelled):
+            for f in fs.get_file_info(FileSelector(root)):
+                name = f.base_name
+                if name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name:
+                    continue
+                own = re.sub(r"[\x00-\x7f]", lambda c: c[0] if re.match(r"[\w\-!.~'()*@&=+$,;:]", c[0]) else f"%{ord(c[0]):02X}", name)
+                if f.type == FileType.Directory:
+                    if "=" in name:
+                        yield from files(fs, f.path, f"{spelled}/{own}")
+                elif f.size != 0:
+                    yield f.path, f"{spelled}/{own}"
+
+        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+            for folder, spelled in folders[k::n]:
+                fs, root = open_folder(folder)
+                for at, name in files(fs, root, spelled):
+                    with fs.open_input_stream(at) as f:
+                        texts.append(f.read())
+                    names.append(name)
+                    size += len(texts[-1])
+                    if len(names) >= READ_FILES or size >= READ_BYTES:
+                        yield handed()
+                        names, texts, size = [], [], 0
+        if names:
+            yield handed()
+
+    return run
+
+
 FILE_FOLDERS = 256  # folders that document files are dealt over
 NO_ID = "__HIVE_DEFAULT_PARTITION__"  # the name Spark gives a null
 

@@ -94,3 +94,24 @@ def test_document_files_in_few_folders_and_read_back(spark, tmp_path):
     assert files.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
     got = sorted((int(r.doc_id.split("doc_id=")[1].split(".")[0]), r.semid, r.text) for r in extract_elements(files).collect())
     assert got == sorted((i, k + 1, t) for i in range(600) for k, t in enumerate((f"line {i}", "second <é>")))
+
+
+def test_files_of_folders_are_listed_by_the_tasks(spark, tmp_path, monkeypatch):
+    """The driver lists folders, not files; rows are those that Spark's reader gives."""
+    from echoset.sources.documents import read_xml_files
+
+    wanted = {"a": ["one.xml", "two words+%é.xml", "_hidden.xml", ".hidden", "_k=1.xml"], "b c": ["empty.xml", "k=1/deep.xml"],
+              "none": [], "é": ["x.xml"]}
+    for folder, names in wanted.items():
+        (tmp_path / "top" / folder).mkdir(parents=True)
+        for name in names:
+            at = tmp_path / "top" / folder / name
+            at.parent.mkdir(exist_ok=True)
+            at.write_bytes(b"" if "empty" in name else f"<doc>\r\n{name} &amp; é</doc>\n".encode() + b"\xff")
+    reader = type(spark.read)
+    by_spark = [(r.doc_id, bytes(r.xml)) for folder in ("a", "b c", "é") for r in spark.read.text(
+        str(tmp_path / "top" / folder), wholetext=True).selectExpr("_metadata.file_path AS doc_id", "cast(value AS binary) AS xml").collect()]
+    monkeypatch.setattr(reader, "text", lambda *_, **__: (_ for _ in ()).throw(AssertionError("files listed in the driver")))
+    got = [(r.doc_id, bytes(r.xml)) for r in read_xml_files(spark, str(tmp_path / "top" / "*")).selectExpr(
+        "doc_id", "cast(xml AS binary) AS xml").collect()]
+    assert sorted(got) == sorted(by_spark) and len(got) == 5
