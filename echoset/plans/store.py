@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from echoset.operators.embed import DEFAULT_DIM, with_hashing_counts
 from echoset.operators.grouping import assign_members, greedy_leaders
 from echoset.operators.leaders import group_onto
+from echoset.session import Scratch, let_go
 
 KEYS = ["k1", "k2"]
 SCHEMAS = {
@@ -56,19 +57,21 @@ class GroupStore:
 
     def append(self, items: DataFrame, batch: int, order: str, text: str = "text") -> dict:
         """Add a batch (numbers ascend; its positions lie after those of earlier batches); returns counts."""
-        rows = _keyed(items, order, text).checkpoint(eager=True)
-        first = rows.groupBy(*KEYS).agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
-        stored = self._read("contents", batch)
-        fresh = first.join(stored.select(*KEYS), KEYS, "left_anti")
-        new = with_hashing_counts(fresh, "text", self.dim).drop("text").checkpoint(eager=True)
-        leaders = stored.where("leader = pos").select("pos", "idx", "cnt", "sq")
-        led = group_onto(new, leaders, self.threshold).select(
-            F.col("b").alias("pos"), F.col("a").alias("leader"), F.col("sim").alias("similarity")).checkpoint(eager=True)
-        contents = new.join(led, "pos", "left").withColumn("leader", F.coalesce("leader", "pos"))
-        places = new.select(*KEYS, F.col("pos").alias("first")).unionByName(stored.select(*KEYS, F.col("pos").alias("first")))
-        self._write(contents, "contents", batch)
-        self._write(rows.select(*KEYS, "pos").join(places, KEYS).select("pos", "first"), "items", batch)
-        return {"items": rows.count(), "encoded": new.count(), "led": led.count()}
+        with Scratch(self.spark) as scratch:
+            rows = scratch.keep(_keyed(items, order, text))
+            first = rows.groupBy(*KEYS).agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
+            stored = self._read("contents", batch)
+            fresh = first.join(stored.select(*KEYS), KEYS, "left_anti")
+            new = scratch.keep(with_hashing_counts(fresh, "text", self.dim).drop("text"))
+            let_go(self.spark)
+            leaders = stored.where("leader = pos").select("pos", "idx", "cnt", "sq")
+            led = group_onto(new, leaders, self.threshold).select(
+                F.col("b").alias("pos"), F.col("a").alias("leader"), F.col("sim").alias("similarity")).checkpoint(eager=True)
+            contents = new.join(led, "pos", "left").withColumn("leader", F.coalesce("leader", "pos"))
+            places = new.select(*KEYS, F.col("pos").alias("first")).unionByName(stored.select(*KEYS, F.col("pos").alias("first")))
+            self._write(contents, "contents", batch)
+            self._write(rows.select(*KEYS, "pos").join(places, KEYS).select("pos", "first"), "items", batch)
+            return {"items": rows.count(), "encoded": new.count(), "led": led.count()}
 
     def members(self, order: str) -> DataFrame:
         """All groups so far: ``leader_<order>, <order>, is_leader, similarity``; groups of one are left out."""
