@@ -292,6 +292,9 @@ def _led(near: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return claimed[members], members
 
 
+BROADCAST_SCOPES = 1 << 16  # scopes larger than a block whose sizes go to every task
+
+
 def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: str = "pos",
                 vector: str | None = "vector", block_rows: int = DEFAULT_BLOCK_ROWS, mode: str = "edges",
                 threshold_col: str | None = None) -> DataFrame:
@@ -315,8 +318,15 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
     own = F.lit(float(threshold)) if threshold_col is None else F.col(threshold_col)
     v = vertices.select(*scope, F.col(pos).alias("v"), own.cast("double").alias("t"), *cols)
     if scope:
-        # one row per scope; the join lets AQE split a hot scope (skew join)
-        v = v.join(v.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")), scope)
+        sizes = vertices.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
+        large = F.col("_n") > block_rows
+        n_small, n_large = sizes.agg(F.coalesce(F.sum(F.when(~large, F.col("_n"))), F.lit(0)), F.count(F.when(large, 1))).first()
+        if n_large <= BROADCAST_SCOPES:  # a scope that fits in a block need not know its size: no vector is shuffled for that
+            v = v.where(" AND ".join(f"`{c}` IS NOT NULL" for c in scope))
+            v = v.join(F.broadcast(sizes.where(large)), scope, "left") if n_large else v.withColumn("_n", F.lit(None).cast("bigint"))
+            v = v.withColumn("_n", F.coalesce("_n", F.lit(1)))
+        else:  # one row per scope; the join lets AQE split a hot scope (skew join)
+            v = v.join(sizes, scope)
     else:
         total = v.count()  # one scalar for the single global scope
         v = v.withColumn("_n", F.lit(total))
@@ -325,8 +335,6 @@ def block_pairs(vertices: DataFrame, scope: list[str], threshold: float, pos: st
     v = v.withColumn("_other", F.explode(F.sequence(F.lit(0), nblk - 1)))
     v = v.withColumn("lo", F.least("blk", "_other")).withColumn("hi", F.greatest("blk", "_other"))
     if scope:
-        n_small = (vertices.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
-                   .where(F.col("n") <= block_rows).agg(F.sum("n")).first()[0] or 0)
         packs = max(1, math.ceil(n_small / block_rows))
         gkey = F.when(F.col("_n") <= block_rows, F.pmod(F.xxhash64(*scope), F.lit(packs))).otherwise(
             F.lit(packs) + F.pmod(F.xxhash64(*scope, "lo", "hi"), F.lit((1 << 62) - 1)))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from echoset.functions.text import has_text, normalize_space
 from echoset.operators.extract import parse_documents
 from echoset.plans.passages import group_items, vector_length_errors
+from echoset.session import Scratch, drop_folder, let_go
 from echoset.sources.documents import DEFAULT_ELEMENTS, DEFAULT_THRESHOLD
 
 # Fixed values of the reference (request checks and result messages), verbatim.
@@ -75,11 +76,18 @@ def outcome_message(status: Column, n_groups: Column) -> Column:
             .otherwise(F.lit(MSG_NO_GROUPS)))
 
 
-def _count_outcomes(parsed: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Status, message and counts per ``key`` from one parse and its groups."""
-    per_doc = parsed.groupBy(key).agg(
+def _count_texts(parsed: DataFrame, key: str) -> DataFrame:
+    return parsed.groupBy(key).agg(
         F.count(F.when(F.col("parse_error").isNull() & has_text("raw_text"), 1)).alias("n_texts"),
         F.max("parse_error").alias("parse_error"))
+
+
+def _count_outcomes(parsed: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Status, message and counts per ``key`` from one parse and its groups."""
+    return _outcomes(_count_texts(parsed, key), members, key)
+
+
+def _outcomes(per_doc: DataFrame, members: DataFrame, key: str) -> DataFrame:
     grouped = members.groupBy(key).agg(
         F.count(F.when(F.col("is_leader"), 1)).alias("n_groups"), F.count(F.lit(1)).alias("grouped_texts"))
     o = per_doc.join(grouped, key, "left").fillna(0, ["n_groups", "grouped_texts"])
@@ -271,7 +279,7 @@ def read_csv(spark, path: str, schema: str) -> DataFrame:
     return spark.read.options(**CSV, multiLine="true").schema(schema).csv(path)
 
 
-def run_requests(requests: DataFrame, **group_kw) -> tuple[DataFrame, DataFrame]:
+def run_requests(requests: DataFrame, outcomes_only: bool = False, **group_kw) -> tuple[DataFrame, DataFrame | None]:
     """The reference's request, as a table: ``(request_id?, doc_id, xml, elements?, threshold?)``.
 
     Every row is one request, keyed by ``request_id`` (given to the rows if the
@@ -280,20 +288,40 @@ def run_requests(requests: DataFrame, **group_kw) -> tuple[DataFrame, DataFrame]
     ``ERROR`` outcomes whose message names the cause; valid rows are parsed
     with their own element list and grouped at their own threshold, in one
     job. Returns ``(outcomes, members)``, both with ``request_id`` and ``doc_id``.
+
+    Parsed texts and vertices are kept compressed in the checkpoint folder (the members read them there);
+    ``outcomes_only``: dropped before the return, and there are no members. The documents themselves are not kept:
+    ``requests`` is read once to parse them and once for all else.
     """
     if "request_id" not in requests.columns:  # fixed by the checkpoint before it is read twice
         requests = requests.withColumn("request_id", F.monotonically_increasing_id()).checkpoint(eager=True)
-    v = validate_documents(requests).checkpoint(eager=True)
-    good = v.where(F.col("error").isNull()).select("request_id", "doc_id", "xml", "elements", "threshold")
-    parsed = parse_documents(good.select(F.col("request_id").alias("doc_id"), "xml", "elements"))
-    parsed = parsed.checkpoint(eager=True)
-    own = good.select("request_id", F.col("doc_id").alias("_document"), "threshold")
-    items = _texts(parsed).withColumnRenamed("doc_id", "request_id").join(own, "request_id")
-    members = group_items(items, ["request_id"], "semid", threshold_col="threshold", **group_kw)
-    o = _count_outcomes(parsed.withColumnRenamed("doc_id", "request_id"), members, "request_id").join(own, "request_id")
+    spark = requests.sparkSession
+    v = validate_documents(requests)
+    asked = v.select("request_id", "doc_id", "threshold", "error").checkpoint(eager=True)  # without the documents
+    own = asked.where(F.col("error").isNull()).select("request_id", F.col("doc_id").alias("_document"), "threshold")
+    scratch = Scratch(spark)
+    parsed = scratch.keep(
+        parse_documents(v.where(F.col("error").isNull()).select(F.col("request_id").alias("doc_id"), "xml", "elements"))
+        .select(F.col("doc_id").alias("request_id"), "semid", "parse_error", normalize_space("raw_text").alias("raw_text")))
+    counted = _count_texts(parsed, "request_id").checkpoint(eager=True)
+    texts = parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull() & has_text("raw_text"))
+    # a request sent more than once is one scope, at the least of its thresholds
+    least = own.groupBy("request_id").agg(F.min("threshold").alias("threshold"))
+    items = scratch.keep(texts.select("request_id", "semid", F.col("raw_text").alias("text"))
+                         .join(own.drop("threshold").join(least, "request_id"), "request_id"))
+    scratch.forget(1)
+    let_go(spark)
+    members = group_items(items, ["request_id"], "semid", threshold_col="threshold", scratch=scratch, **group_kw)
+    o = _outcomes(counted, members, "request_id").join(own, "request_id")
     o = o.withColumnRenamed("_document", "doc_id")
-    rejected = v.where(F.col("error").isNotNull()).select(
+    if outcomes_only:
+        let_go(spark)
+        o, members = o.checkpoint(eager=True), None
+        drop_folder(spark, scratch.folder)
+    else:
+        members = members.withColumnRenamed("_document", "doc_id")
+    rejected = asked.where(F.col("error").isNotNull()).select(
         "request_id", F.lit("ERROR").alias("status"), F.col("error").alias("message"), "error",
         *[F.lit(0).cast("bigint").alias(c) for c in ("n_texts", "n_groups", "grouped_texts", "removable_texts",
                                                       "texts_minus_groups")], "threshold", "doc_id")
-    return o.unionByName(rejected), members.withColumnRenamed("_document", "doc_id")
+    return o.unionByName(rejected), members

@@ -293,7 +293,7 @@ def q_request_outcomes(spark, sf_dir):
         F.when(k == 7, F.lit("\n\t")).when(k == 8, F.lit(None)).otherwise(F.col("xml")).alias("xml"),
         F.when(k == 4, "p.x").when(k == 5, "title%20p").when(k == 6, "title").alias("elements"),
         F.when(k == 9, 1.5).when(k == 1, 0.5).when(k == 2, 1.0).alias("threshold"))
-    out, _ = run_requests(requests)
+    out, _ = run_requests(requests, outcomes_only=True)
     return out.select("request_id", "doc_id", "status", "message", "error", "n_texts", "n_groups", "grouped_texts",
                       "removable_texts", "texts_minus_groups", "threshold")
 
@@ -433,7 +433,7 @@ def q_nested_outcomes(spark, sf_dir):
 
     _prep(spark)
     docs = nested_documents(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    out, _ = run_requests(docs.select(F.col("doc_id").alias("request_id"), "doc_id", "xml", F.lit("section p").alias("elements")))
+    out, _ = run_requests(docs.select(F.col("doc_id").alias("request_id"), "doc_id", "xml", F.lit("section p").alias("elements")), outcomes_only=True)
     return out.select("doc_id", "status", F.col("error").startswith("malformed XML").alias("malformed"), "n_texts", "n_groups", "grouped_texts")
 
 

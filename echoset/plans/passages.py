@@ -38,6 +38,11 @@ def distinct_vertices(items: DataFrame, scope: list[str], order: str, content: s
     return items.groupBy(*scope, content).agg(F.min(order).alias("pos"), F.count(F.lit(1)).alias("copies"))
 
 
+def text_key(text: str):
+    """A text's SHA-256, which stands for it where rows of equal texts meet."""
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
 def pair_members(items: DataFrame, vertices: DataFrame, pairs: DataFrame, scope: list[str], order: str, content: str,
                  threshold: float) -> DataFrame:
     """Membership beside pairs ``a, b`` of vertices: ``scope..., <order>, first_<order>, copies, links``.
@@ -90,7 +95,7 @@ def led_and_edges(vertices: DataFrame, scope: list[str], threshold: float, encod
 def group_items(items: DataFrame, scope: list[str], order: str, threshold: float = DEFAULT_THRESHOLD,
                 text: str | None = "text", vector: str | None = None, dim: int = DEFAULT_DIM,
                 block_rows: int = DEFAULT_BLOCK_ROWS, stats: dict | None = None,
-                threshold_col: str | None = None, with_text: bool = True) -> DataFrame:
+                threshold_col: str | None = None, with_text: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """G1-G5 end to end. Returns one row per grouped item::
 
         scope..., leader_<order>, <order>, is_leader, similarity[, text]
@@ -100,6 +105,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     result (G5). With ``threshold_col`` each scope is compared at its own
     threshold (a per-request parameter). The groups of a corpus (no scope, numeric
     positions) are computed at once and checkpointed, with their texts unless not ``with_text``.
+    With ``scratch`` the items are kept there already, with one threshold a scope; vertices are kept there too.
     """
     if threshold is None:
         threshold = DEFAULT_THRESHOLD  # G2
@@ -119,10 +125,10 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
         with Scratch(items.sparkSession) as scratch:
             # vertices and items meet by the text's SHA-256: no text is copied for that
             key = content if encoder == "precomputed" else "_key"
-            keyed = base if key == content else base.withColumn(key, F.unhex(F.sha2(F.col(content), 256)))
+            keyed = base if key == content else base.withColumn(key, text_key(content))
             base = scratch.keep(keyed)
             verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim)
-            verts = scratch.keep(verts if key == content else verts.withColumn(key, F.unhex(F.sha2(F.col(content), 256))).drop(content))
+            verts = scratch.keep(verts if key == content else verts.withColumn(key, text_key(content)).drop(content))
             led = group_corpus(verts, threshold, sparse=encoder == "hashing", stats=stats)
             assign = led.select(F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
             let_go(items.sparkSession)
@@ -133,9 +139,19 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     # vertices feed pairs, scoring and roles: each is computed once, into the shared
     # checkpoint folder (nothing stays cached for the session; Spark's cleaner drops the files
     # once the plan that reads them is gone).
-    base = base.checkpoint(eager=True)
-    verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim).checkpoint(eager=True)
-    if threshold_col is not None:
+    key, columns = content, items.columns
+    if scratch is None:
+        base = base.checkpoint(eager=True)
+        verts = encode_vertices(distinct_vertices(base, scope, order, content), content, encoder, dim).checkpoint(eager=True)
+    else:  # by the key, so that texts are shuffled once, for their vertices
+        key, columns = "_key", [content, *(c for c in items.columns if c != content)]
+        distinct = base.groupBy(*scope, content).agg(
+            F.min(order).alias("pos"), F.count(F.lit(1)).alias("copies"),
+            *([F.min(threshold_col).cast("double").alias("_t")] if threshold_col is not None else []))
+        verts = scratch.keep(encode_vertices(distinct, content, encoder, dim).withColumn(key, text_key(content)).drop(content))
+        base = base.withColumn(key, text_key(content))
+        let_go(items.sparkSession)
+    if scratch is None and threshold_col is not None:
         scope_t = base.groupBy(*scope).agg(F.coalesce(F.min(threshold_col), F.lit(threshold)).cast("double").alias("_t"))
         verts = verts.join(scope_t, scope)
     found = led_and_edges(verts, scope, threshold, encoder, block_rows, "_t" if threshold_col else None)
@@ -144,7 +160,7 @@ def group_items(items: DataFrame, scope: list[str], order: str, threshold: float
     leaders = greedy_leaders(edges, scope, stats=stats, edges_checkpointed=True)
     led = found.where("grouped").select(*scope, F.col("a").alias("leader"), F.col("b").alias("member"), "sim")
     assign = led.unionByName(assign_members(edges, leaders, scope))
-    return _member_rows(base, verts, assign, scope, order, out_order, content, threshold, threshold_col, vector is None, items.columns)
+    return _member_rows(base, verts, assign, scope, order, out_order, key, threshold, threshold_col, vector is None and key == content, columns)
 
 
 def _member_rows(base: DataFrame, verts: DataFrame, assign: DataFrame, scope: list[str], order: str, out_order: str, content: str,

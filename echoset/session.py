@@ -125,6 +125,10 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, n: int) -> None:
+        """Drops the ``n``-th table kept."""
+        drop_folder(self.spark, f"{self.folder}/{n}")
+
     def __enter__(self):
         return self
 

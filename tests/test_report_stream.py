@@ -211,3 +211,26 @@ def test_run_states_are_kept_in_few_lists(spark, tmp_path, monkeypatch):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 7
     got = S.run_states(spark.read.parquet(str(tmp_path / "out")))
     assert got.schema["doc_id"].dataType.simpleString() == "bigint" and got.where("status = 'COMPLETED' AND NOT expired").count() == 300
+
+
+def test_requests_keep_no_document_and_outcomes_alone_leave_nothing(spark, monkeypatch):
+    """Texts are kept compressed and only while they are read; documents never; repeated requests count as before."""
+    import os
+
+    from echoset.operators.report import run_requests
+    from echoset.session import ensure_checkpoint_dir
+
+    kept = []
+    cut = type(spark.range(0)).checkpoint
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, eager=True: (kept.append(self.columns), cut(self, eager))[1])
+    rows = [(1, 7, "<d><p>a b</p><p>c</p><p>a  b</p></d>", 0.5), (2, 7, "<d><p>a b</p></d>", 2.0), (3, 8, "<d><p>x", None),
+            (4, 9, "<d><p>one two</p></d>", 0.9), (4, 9, "<d><p>one two three</p></d>", 0.8), (None, 5, "<d><p>q</p></d>", 0.5)]
+    req = spark.createDataFrame(rows, "request_id bigint, doc_id bigint, xml string, threshold double")
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(folder) if f.startswith("scratch-")}
+    out, members = run_requests(req, outcomes_only=True)
+    got = sorted((r.request_id, r.status, r.n_texts, r.n_groups, r.grouped_texts, r.threshold) for r in out.collect())
+    assert members is None and {f for f in os.listdir(folder) if f.startswith("scratch-")} == before
+    assert got == [(1, "COMPLETED", 3, 1, 2, 0.5), (2, "ERROR", 0, 0, 0, 2.0), (3, "ERROR", 0, 0, 0, 0.75),
+                   (4, "COMPLETED", 2, 4, 4, 0.8), (4, "COMPLETED", 2, 4, 4, 0.9)]
+    assert not any({"xml", "raw_text", "text"} & set(c) for c in kept)
