@@ -300,15 +300,19 @@ def run_requests(requests: DataFrame, outcomes_only: bool = False, **group_kw) -
     asked = v.select("request_id", "doc_id", "threshold", "error").checkpoint(eager=True)  # without the documents
     own = asked.where(F.col("error").isNull()).select("request_id", F.col("doc_id").alias("_document"), "threshold")
     scratch = Scratch(spark)
+    each = F.struct("request_id", F.col("doc_id").alias("_document"), "threshold").alias("doc_id")  # stays with its texts
     parsed = scratch.keep(
-        parse_documents(v.where(F.col("error").isNull()).select(F.col("request_id").alias("doc_id"), "xml", "elements"))
-        .select(F.col("doc_id").alias("request_id"), "semid", "parse_error", normalize_space("raw_text").alias("raw_text")))
+        parse_documents(v.where(F.col("error").isNull()).select(each, "xml", "elements"))
+        .select("doc_id.*", "semid", "parse_error", normalize_space("raw_text").alias("raw_text")))
     counted = _count_texts(parsed, "request_id").checkpoint(eager=True)
-    texts = parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull() & has_text("raw_text"))
-    # a request sent more than once is one scope, at the least of its thresholds
-    least = own.groupBy("request_id").agg(F.min("threshold").alias("threshold"))
-    items = scratch.keep(texts.select("request_id", "semid", F.col("raw_text").alias("text"))
-                         .join(own.drop("threshold").join(least, "request_id"), "request_id"))
+    texts = parsed.where(F.col("parse_error").isNull() & F.col("semid").isNotNull() & has_text("raw_text")
+                         & F.col("request_id").isNotNull())
+    items = texts.select("request_id", "semid", F.col("raw_text").alias("text"), "_document", "threshold")
+    if own.groupBy("request_id").count().where("count > 1 AND request_id IS NOT NULL").take(1):
+        # a request sent more than once is one scope, at the least of its thresholds, its texts there for each time
+        least = own.groupBy("request_id").agg(F.min("threshold").alias("threshold"))
+        items = items.drop("_document", "threshold").join(own.drop("threshold").join(least, "request_id"), "request_id")
+    items = scratch.keep(items)
     scratch.forget(1)
     let_go(spark)
     members = group_items(items, ["request_id"], "semid", threshold_col="threshold", scratch=scratch, **group_kw)

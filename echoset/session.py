@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -142,6 +143,11 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Spark drops shuffle and checkpoint files when it sees that nothing refers to them: lets it look now, not at some later time."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Spark drops shuffle and checkpoint files when it sees that nothing refers to them: lets it look now, not at some later time.
+
+    Twice, as what the last job's listeners and finalizers hold is free at the second look only.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
